@@ -6,6 +6,13 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
+from .language import identify, train, training_rows
+from .line_dedup import line_dedup
+from .lm import score_lm
+from .mixing import mix_sources
+from .packing import pack
+from .pii import find_pii
+from .vectors import embedding_dedup
 
 
 def read(spark, sf_dir, table):
@@ -16,11 +23,43 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents")).drop("chain_link")
 
 
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = identify(docs, train(training_rows(docs)))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_line_dedup(spark, sf_dir):
+    out = line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_jaccard_join)}
+def op5_mix_sources(spark, sf_dir):
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op6_pack(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark, sf_dir):
+    return find_pii(read(spark, sf_dir, "documents")).drop("base")
+
+
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+def op9_lm_score(spark, sf_dir):
+    return score_lm(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -28,4 +67,30 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    # The constants are line_dedup's defaults: 10 documents, 3 leading words, agreement 0.6, likeness 0.7.
+    "op3_line_dedup": r"""
+        WITH docs AS (SELECT doc_id, text, (doc_id, text) AS rid FROM documents),
+        split AS (SELECT doc_id, rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+                  FROM (SELECT DISTINCT doc_id, rid, text FROM docs WHERE text IS NOT NULL)),
+        masked AS (SELECT doc_id, rid, pos, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS own FROM split),
+        lines AS (SELECT *, string_split(own, ' ') AS tokens FROM masked WHERE own <> ''),
+        tree AS (SELECT *, (len(tokens), array_to_string(tokens[1:3], ' ')) AS leaf FROM lines),
+        leaves AS (SELECT leaf FROM tree GROUP BY leaf HAVING count(DISTINCT rid) >= 10),
+        hot AS (SELECT * FROM tree WHERE leaf IN (SELECT leaf FROM leaves)),
+        words AS (SELECT leaf, place, token, count(*) AS n FROM (SELECT leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM hot) GROUP BY ALL),
+        places AS (SELECT leaf, place, max({'n': n, 'token': token}) AS top, sum(n) AS total FROM words GROUP BY leaf, place),
+        template AS (SELECT leaf, list(CASE WHEN top.n >= 0.6 * total AND top.token <> '<*>' THEN top.token END ORDER BY place) AS template FROM places GROUP BY leaf),
+        compared AS (
+            SELECT doc_id, rid, pos, own, hot.leaf, len(tokens) AS n, len(list_filter(tokens, lambda t: t = '<*>')) AS masks,
+                   len(list_filter(template, lambda t: t IS NOT NULL)) AS constant,
+                   len(list_filter(range(1, len(tokens) + 1), lambda i: coalesce(template[i] = tokens[i], false))) AS equal
+            FROM hot JOIN template ON hot.leaf = template.leaf),
+        keyed AS (SELECT doc_id, rid, pos, CASE WHEN constant + masks >= 0.7 * n AND constant > 0 AND equal >= 0.7 * constant THEN ('leaf', leaf::VARCHAR) ELSE ('own', own) END AS template FROM compared),
+        often AS (SELECT template FROM keyed GROUP BY template HAVING count(DISTINCT rid) >= 10),
+        gone AS (SELECT rid, list(DISTINCT pos) AS gone FROM keyed WHERE template IN (SELECT template FROM often) GROUP BY rid)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+               sha256(coalesce(CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_filter(
+                   list_transform(range(1, len(string_split(d.text, chr(10))) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE string_split(d.text, chr(10))[i] END),
+                   lambda s: s IS NOT NULL), chr(10)) END, '')) AS text_sha256
+        FROM docs d LEFT JOIN gone g ON d.rid = g.rid""",
 }
