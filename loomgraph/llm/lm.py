@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch
-from .shared import Scratch, column, mix, steps, word_hashes, words
+from .shared import Scratch, column, mix, release, steps, word_hashes, words
 
 END, START = np.uint64(0x51ED270B), np.uint64(0x2545F491)  # the end of a text, and the context of its first token
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...; log-ratios of the estimates are kept to 1/8 of a factor of two.
@@ -116,6 +116,13 @@ def widen(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def rows_of(batches):
+    """The rows one by one: a block is large, and a batch may hold many."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
@@ -125,16 +132,19 @@ def asked(bits: int):
     """For mapInArrow over blocks: for each owner the keys a block has, and its counts in both training folds."""
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
-                (one0, two0), (one1, two1) = block.counts(0), block.counts(1)
-                order = np.argsort(block.singles, kind="stable")
-                for kind, keys, c0, c1 in ((1, block.singles[order], one0[order], one1[order]), (2, block.pairs, two0, two1)):
-                    cuts = bucket_cuts(keys, bits)
-                    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                        if hi > lo:
-                            yield batch(owner=pa.array([2 * k + kind - 1], pa.int32()), id=pa.array([row["id"]]), kind=pa.array([kind], pa.int32()), part=pa.array([k], pa.int32()), keys=pa.array([keys[lo:hi].tobytes()], pa.binary()), c0=pa.array([narrow(c0[lo:hi])], pa.binary()), c1=pa.array([narrow(c1[lo:hi])], pa.binary()))
+        for row in rows_of(batches):
+            block = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
+            (one0, two0), (one1, two1) = block.counts(0), block.counts(1)
+            order = np.argsort(block.singles, kind="stable")
+            for kind, keys, c0, c1 in ((1, block.singles[order], one0[order], one1[order]), (2, block.pairs, two0, two1)):
+                cuts = bucket_cuts(keys, bits)
+                full = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[k], cuts[k + 1]) for k in full]
+                n = len(full)
+                yield batch(
+                    owner=pa.array((2 * full + kind - 1).astype(np.int32)), id=pa.array([row["id"]] * n, pa.int64()), kind=pa.array([kind] * n, pa.int32()), part=pa.array(full.astype(np.int32)),
+                    keys=pa.array([keys[p].tobytes() for p in parts], pa.binary()), c0=pa.array([narrow(c0[p]) for p in parts], pa.binary()), c1=pa.array([narrow(c1[p]) for p in parts], pa.binary()),
+                )
 
     return run
 
@@ -142,29 +152,29 @@ def asked(bits: int):
 def answered(batches):
     """For mapInArrow over requests sorted by owner: to each request the totals of its keys; with them the owner's sums."""
 
-    def reply(rows):
+    def reply_of(rows):
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = [np.bincount(at, weights=np.concatenate([widen(r[c]) for r in rows]), minlength=len(every)).astype(np.int64) for c in ("c0", "c1")]
         start = mix(START ^ np.uint64(0x5DEECE66D))
         real = every != start if rows[0]["kind"] == 1 else np.zeros(len(every), bool)
         sums = [int(totals[0][real].sum()), int(totals[1][real].sum()), int(((totals[0] + totals[1])[real] > 0).sum()), int((totals[0][real] > 0).sum())]
-        cut = 0
-        for i, (r, k) in enumerate(zip(rows, keys)):
-            own = at[cut : cut + len(k)]
-            cut += len(k)
-            yield batch(id=pa.array([r["id"]]), kind=pa.array([r["kind"]], pa.int32()), part=pa.array([r["part"]], pa.int32()), t0=pa.array([narrow(totals[0][own])], pa.binary()), t1=pa.array([narrow(totals[1][own])], pa.binary()), sums=pa.array([sums if i == 0 else [0, 0, 0, 0]], pa.list_(pa.int64())))
+        own = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+        return batch(
+            id=pa.array([r["id"] for r in rows]), kind=pa.array([r["kind"] for r in rows], pa.int32()), part=pa.array([r["part"] for r in rows], pa.int32()),
+            t0=pa.array([narrow(totals[0][i]) for i in own], pa.binary()), t1=pa.array([narrow(totals[1][i]) for i in own], pa.binary()),
+            sums=pa.array([sums] + [[0, 0, 0, 0]] * (len(rows) - 1), pa.list_(pa.int64())),
+        )
 
     owner, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["owner"] != owner and rows:
-                yield from reply(rows)
-                rows = []
-            owner = r["owner"]
-            rows.append(r)
+    for r in rows_of(batches):
+        if r["owner"] != owner and rows:
+            yield reply_of(rows)
+            rows = []
+        owner = r["owner"]
+        rows.append(r)
     if rows:
-        yield from reply(rows)
+        yield reply_of(rows)
 
 
 def gathered(block: Block, kinds, parts, t0, t1):
@@ -213,13 +223,13 @@ def learn(histogram: list[tuple[int, int, int, int]], iterations: int = 50) -> n
     return np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum(1, keepdims=True)
 
 
-def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1_500_000, share: int = 1 << 20) -> DataFrame:
+def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, share: int = 1 << 21) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z lower-cased, then one end. Texts whose crc32 of doc_id as text is 2 mod 7 are held out,
     the rest are learned from; an id that is null counts as an empty one there. base_score is the add-one unigram's log10 probability, score the interpolated bigram's. A null or
     empty text has its end alone; rows that repeat count and are scored each. With nothing to learn from, every token is as likely as
-    unknown. Empty input: empty result. Words are told apart by 64-bit hashes. share: bigrams an owner holds, about."""
+    unknown. Empty input: empty result. Words are told apart by 64-bit hashes. block and share: tokens of a block, and bigrams that an owner holds, about."""
     spark = docs.sparkSession
     text = F.coalesce(column(docs, text_col), F.lit(""))
     ids = column(docs, id_col)
@@ -231,11 +241,15 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     sent = blocks.drop("doc_ids").mapInArrow(asked(bits), "owner int, id long, kind int, part int, keys binary, c0 binary, c1 binary")
     sorted_ = sent.repartition(max(1, 2 << bits), "owner").sortWithinPartitions("owner")
     totals = scratch.save(sorted_.mapInArrow(answered, "id long, kind int, part int, t0 binary, t1 binary, sums array<long>"), "totals")
+    release(spark)
     sums = totals.where("kind = 1").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
     n0, n1, v, v0 = (int(x or 0) for x in sums)
     n = n0 + n1
     answers = totals.groupBy("id").agg(F.collect_list(F.struct("kind", "part", "t0", "t1")).alias("got"))  # one for each owner
-    joined = blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got")
+    joined = scratch.save(blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got"), "answered")
+    scratch.drop("blocks")
+    scratch.drop("totals")
+    release(spark)
 
     def opened(row):
         b = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
@@ -243,32 +257,30 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
     def counted(batches):
         """(bucket, ratios, tokens) of the deleted part against counts of the rest."""
-        for batch_ in batches:
-            for row in batch_.to_pylist():
-                b, ((one, _), (two, _)) = opened(row)
-                here = np.flatnonzero(b.fold == 1)
-                bucket, p2, p1 = estimates(b, one, two, n0, here)
-                code = (bucket * 1024 + ratio_bin(p2, 1 / (v0 + 1)) + 512) * 1024 + ratio_bin(p1, 1 / (v0 + 1)) + 512
-                code, many = np.unique(code, return_counts=True)
-                yield batch(bucket=pa.array(code >> 20), r2=pa.array((code >> 10) % 1024 - 512), r1=pa.array(code % 1024 - 512), tokens=pa.array(many.astype(np.int64)))
+        for row in rows_of(batches):
+            b, ((one, _), (two, _)) = opened(row)
+            here = np.flatnonzero(b.fold == 1)
+            bucket, p2, p1 = estimates(b, one, two, n0, here)
+            code = (bucket * 1024 + ratio_bin(p2, 1 / (v0 + 1)) + 512) * 1024 + ratio_bin(p1, 1 / (v0 + 1)) + 512
+            code, many = np.unique(code, return_counts=True)
+            yield batch(bucket=pa.array(code >> 20), r2=pa.array((code >> 10) % 1024 - 512), r1=pa.array(code % 1024 - 512), tokens=pa.array(many.astype(np.int64)))
 
     histogram = joined.mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
     weights = learn([tuple(r) for r in histogram.collect()])  # as many rows as there are bins, at most
 
     def scored(batches):
-        for batch_ in batches:
-            for row in batch_.to_pylist():
-                b, (one, two) = opened(row)
-                one, two = one[0] + one[1], two[0] + two[1]
-                bucket, p2, p1 = estimates(b, one, two, n)
-                w = weights[bucket]
-                full = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
-                count = one[b.word]
-                plain = np.log10((count + 1.0) / (n + v + 1.0))
-                first = np.cumsum(b.sizes) - b.sizes
-                yield batch(
-                    doc_id=pa.array(row["doc_ids"], pa.int64()), held_out=pa.array(b.folds == 2), n_tokens=pa.array(b.sizes), n_known=pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),
-                    train_tokens=pa.array(np.full(len(first), n)), base_score=pa.array(np.add.reduceat(plain, first)), score=pa.array(np.add.reduceat(full, first)),
-                )
+        for row in rows_of(batches):
+            b, (one, two) = opened(row)
+            one, two = one[0] + one[1], two[0] + two[1]
+            bucket, p2, p1 = estimates(b, one, two, n)
+            w = weights[bucket]
+            full = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
+            count = one[b.word]
+            plain = np.log10((count + 1.0) / (n + v + 1.0))
+            first = np.cumsum(b.sizes) - b.sizes
+            yield batch(
+                doc_id=pa.array(row["doc_ids"], pa.int64()), held_out=pa.array(b.folds == 2), n_tokens=pa.array(b.sizes), n_known=pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),
+                train_tokens=pa.array(np.full(len(first), n)), base_score=pa.array(np.add.reduceat(plain, first)), score=pa.array(np.add.reduceat(full, first)),
+            )
 
     return joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

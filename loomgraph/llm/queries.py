@@ -12,6 +12,7 @@ from .lm import score_lm
 from .mixing import mix_sources
 from .packing import pack
 from .pii import find_pii
+from .repeats import repeated_passages
 from .vectors import embedding_dedup
 
 
@@ -59,7 +60,11 @@ def op9_lm_score(spark, sf_dir):
     return score_lm(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score)}
+def op10_repeated_passages(spark, sf_dir):
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score, op10_repeated_passages)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

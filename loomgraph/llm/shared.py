@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def column(df: DataFrame, name: str):
     """A column by its exact name, also if the name holds dots."""
     return df["`" + name.replace("`", "``") + "`"]
