@@ -1,0 +1,3 @@
+"""State over time."""
+
+from .state import *  # noqa: F403
