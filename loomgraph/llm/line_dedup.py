@@ -17,15 +17,19 @@ from .shared import SPACE, Scratch, column, cut
 ANY = "<*>"
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str, lead: int) -> DataFrame:
-    """(rid, doc_id, pos, tokens, leaf, own) of every line with words."""
-    text = column(docs, text_col)
-    rows = docs.select(column(docs, id_col).alias("doc_id"), text.alias("text")).where("text is not null")
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    masked = F.regexp_replace(F.trim(F.regexp_replace("line", SPACE, " ")), r"[^ ]*[0-9][^ ]*", ANY)
-    rows = rows.select("doc_id", "rid", "pos", masked.alias("masked")).where("masked <> ''")
-    rows = rows.withColumn("tokens", F.split("masked", " "))
-    return rows.select("doc_id", "rid", "pos", "tokens", F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, lead), " ")).alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("own"))
+#: Leaves that many documents reach are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
+BROADCAST_LEAVES = 250_000
+
+
+def masked(line):
+    """The line's words with one space between them, those with digits as a wildcard; most lines need neither step."""
+    line = F.when(line.rlike(r"[\x09-\x0D]|^ | $|  "), F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ ]*[0-9][^ ]*", ANY)).otherwise(line)
+
+
+def leaf(line, lead: int):
+    """The leaf of a masked line: the number of its words and the leading ones."""
+    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", lead))
 
 
 def spread(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -41,11 +45,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the leaf's lines have one word; a template needs constants at a share of `alike` of its places, and a line must agree with
     such a share of them. Whole texts are read; all leaves and templates are counted over all documents."""
     scratch = Scratch(docs.sparkSession)
-    lines = parsed(docs, id_col, text_col, lead)
-    tree = scratch.save(lines.select("rid", "pos", "leaf", "own"), "tree")
-    leaves = cut(spread(tree, "leaf", min_docs))
+    text = column(docs, text_col)
+    # each document sends each of its leaves once
+    own = F.array_distinct(F.transform(F.transform(F.split(text, "\n"), masked), lambda line: leaf(line, lead)))
+    leaves = cut(docs.where(text.isNotNull()).select(F.explode(own).alias("leaf")).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
+    rows = docs.where(text.isNotNull()).select(F.xxhash64(column(docs, id_col), text).alias("rid"), F.posexplode(F.transform(F.split(text, "\n"), masked)).alias("pos", "line"))
+    # masked before the explode, which keeps the filter below from doing it again
+    rows = rows.where("line <> ''").withColumn("leaf", leaf(F.col("line"), lead))
+    few = leaves.count() <= BROADCAST_LEAVES
     # a template is within a leaf, so only lines of leaves that many documents reach matter from here on
-    hot = scratch.save(lines.join(leaves, "leaf").select("rid", "pos", "leaf", "own", "tokens"), "hot")
+    met = rows.join(F.broadcast(leaves) if few else leaves, "leaf")
+    hot = scratch.save(met.select("rid", "pos", "leaf", F.xxhash64("line", F.lit(1)).alias("own"), F.split("line", " ").alias("tokens")), "hot")
+    hot = hot.join(spread(hot, "leaf", min_docs), "leaf")  # documents that repeat count once
     words = hot.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     places = words.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("of"))
     fixed = places.select("leaf", "at", F.when((F.col("top.n") >= agree * F.col("of")) & (F.col("top.token") != ANY), F.col("top.token")).alias("token"))
@@ -57,8 +68,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matched = hot.join(template, "leaf").select("rid", "pos", "leaf", "own", ((constant + masks >= alike * F.size("tokens")) & (constant > 0) & (equal >= alike * constant)).alias("matches"))
     matched = cut(matched.select("rid", "pos", F.when(F.col("matches"), F.xxhash64("leaf", F.lit(2))).otherwise(F.col("own")).alias("template")))
     dropped = matched.join(spread(matched, "template", min_docs), "template").groupBy("rid").agg(F.collect_set("pos").alias("gone"))  # lines of one document
-    rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    out = rows.join(dropped, "rid", "left")
+    rows = docs.select(column(docs, id_col).alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    out = rows.join(dropped.hint("shuffle_hash"), "rid", "left")  # texts are not sorted
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("gone", i)), "\n")
     return out.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
