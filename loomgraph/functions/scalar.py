@@ -102,8 +102,9 @@ def clip_text(text: Column, cap: int) -> Column:
 def short_summary(text: Column, most: int = 200) -> Column:
     """The trimmed text; above `most` bytes, as many whole characters as fit in them and an ellipsis."""
     t = F.trim(text)
-    # the longest prefix of whole characters in `most` bytes: drop what a cut in bytes left of a character
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(t, "UTF-8"), 1, most), "UTF-8"), "�+$", "")
+    # the longest prefix of whole characters in `most` bytes: without the bytes of a character that the cut left incomplete
+    head = F.hex(F.substring(F.encode(t, "UTF-8"), 1, most))
+    cut = F.decode(F.unhex(F.regexp_replace(head, "^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", "$1")), "UTF-8")
     return F.when(F.octet_length(t) > most, F.concat(cut, F.lit("…"))).otherwise(t)
 
 
