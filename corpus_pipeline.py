@@ -14,7 +14,7 @@ from loomgraph.llm.jaccard import jaccard_join
 from loomgraph.llm.language import identify, train, training_rows
 from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.packing import pack
-from loomgraph.llm.shared import Scratch
+from loomgraph.llm.shared import Scratch, column
 
 
 def staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -23,10 +23,11 @@ def staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter (`und`) and ambiguous ones go, and those without an id."""
+    """Documents whose language is told; those without a letter (`und`) go, and those without an id. Ambiguous ones stay: most
+    are sound texts in two languages."""
     columns = docs.columns
     out = identify(docs.where("doc_id is not null"), train(training_rows(docs)), keep=tuple(c for c in columns if c != "doc_id"))
-    return out.where("lang_pred <> 'und' and not ambiguous").select(*columns)
+    return out.where("lang_pred <> 'und'").select(*[column(out, c) for c in columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken.hint("shuffle_hash"), "doc_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.join(taken.select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).hint("shuffle_hash"), F.col("doc_id") == F.col("taken_id"))
+    return rows.select(*[column(docs, c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

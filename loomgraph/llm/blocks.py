@@ -2,38 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 
 
 def by_key(n: int, one):
-    """For mapInArrow: one(key, columns) for each run of rows equal in the first n columns; the other columns come by name.
+    """For mapInArrow: one(key, columns) for each run of rows equal in the first n columns, all of them integers.
 
-    A run may span batches; only one run is held at a time."""
+    columns are the others by name, as Arrow arrays. A run may span batches; only one run is held at a time."""
 
     def run(batches):
         key, parts = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(n))))
-            cols = {name: batch.column(n + i).to_pylist() for i, name in enumerate(batch.schema.names[n:])}
-            at = 0
-            while at < len(keys):
-                end = at + 1
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != key and parts:
-                    yield from one(key, _joined(parts))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in range(n)])
+            cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [b.num_rows]))
+            for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                now = tuple(keys[:, at].tolist())
+                if now != key and parts:
+                    yield from one(key, _joined(parts, n))
                     parts = []
-                key = keys[at]
-                parts.append({k: v[at:end] for k, v in cols.items()})
-                at = end
+                key = now
+                parts.append(b.slice(at, end - at))
         if parts:
-            yield from one(key, _joined(parts))
+            yield from one(key, _joined(parts, n))
 
     return run
 
 
-def _joined(parts: list[dict]) -> dict:
-    return parts[0] if len(parts) == 1 else {k: [x for p in parts for x in p[k]] for k in parts[0]}
+def _joined(parts: list[pa.RecordBatch], n: int) -> dict:
+    names = parts[0].schema.names
+    return {names[i]: parts[0].column(i) if len(parts) == 1 else pa.concat_arrays([p.column(i) for p in parts]) for i in range(n, len(names))}
 
 
 def batch(**columns) -> pa.RecordBatch:

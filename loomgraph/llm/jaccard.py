@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import STEP_BYTES, column, components, cut, mix, numbers, shingles, slots, steps, word_hashes, words
+from .blocks import batch, by_key
+from .shared import column, components, cut, mix, numbers, shingles, slots, steps, word_hashes, words
 
 #: A block of a cluster holds about so many texts and shingles; larger clusters are compared block by block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
@@ -88,11 +89,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def links(group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, linked documents, root in this block pair) of one block pair."""
-    texts = pa.array(group["text"], pa.large_string())
+def links(key: tuple, group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, linked documents, root in this block pair) of one block pair (cluster, bi, bj)."""
     sets = []
-    for _, offsets, data in steps(texts, STEP_BYTES):
+    for _, offsets, data in steps(group["text"]):
         starts, ends, first = words(offsets, data)
         sh, begin = shingles(word_hashes(starts, ends, data), first, size)
         sets += [np.unique(sh[a:b]) for a, b in zip(begin[:-1], begin[1:])]
@@ -101,7 +101,7 @@ def links(group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndar
     sizes = np.array([len(s) for s in sets])
     near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
     near &= (both > 0) & (node[:, None] != node[None, :])
-    if group["bi"] != group["bj"]:
+    if key[1] != key[2]:
         near &= block[:, None] != block[None, :]
     root = np.arange(len(node))
     order = np.argsort(node, kind="stable")
@@ -115,34 +115,13 @@ def links(group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def verify(threshold: float, size: int):
-    """For mapInArrow over rows sorted by (cluster, bi, bj): (node, links, root) for each row of each block pair."""
-    names = ("node", "mult", "block", "text")
+    """For by_key over (cluster, bi, bj): (node, links, root) for each row of each block pair."""
 
-    def done(key, parts):
-        group = {k: [x for p in parts for x in p[k]] for k in names} | {"bi": key[1], "bj": key[2]}
-        node, count, root = links(group, threshold, size)
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(count.astype(np.int64)), pa.array(root, pa.int64())], names=["node", "links", "root"])
+    def one(key, group):
+        node, count, root = links(key, group, threshold, size)
+        yield batch(node=pa.array(node, pa.int64()), links=pa.array(count.astype(np.int64)), root=pa.array(root, pa.int64()))
 
-    def run(batches):
-        key, parts = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            cols = {k: batch.column(i + 3).to_pylist() for i, k in enumerate(names)}
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if keys[at] != key and parts:
-                    yield done(key, parts)
-                    parts = []
-                key = keys[at]
-                parts.append({k: v[at:end] for k, v in cols.items()})
-                at = end
-        if parts:
-            yield done(key, parts)
-
-    return run
+    return by_key(3, one)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, trees: int = 10, max_depth: int = 5, recall: float = 0.999) -> DataFrame:

@@ -106,7 +106,7 @@ def train(labelled: DataFrame, per_language: int = 600, max_bytes: int = 20_000)
     if not len(rows):
         return None
     languages = sorted(rows["lang"].unique())
-    x = np.vstack([features(o, d) for _, o, d in steps(pa.array(rows["text"], pa.string()), 1 << 20)])
+    x = np.vstack([features(o, d) for _, o, d in steps(pa.array(rows["text"], pa.string()))])
     return CodedClassifier(languages).fit(x, rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy())
 
 
@@ -121,7 +121,7 @@ def predicted(model: CodedClassifier | None, ambiguous: float):
             if model is None:
                 lang, score, flag = ["und"] * b.num_rows, [0.0] * b.num_rows, [True] * b.num_rows
             else:
-                for at, offsets, data in steps(b.column(n), 1 << 20):
+                for at, offsets, data in steps(b.column(n)):
                     size = len(offsets) - 1
                     for i in range(0, size, 256):
                         o = offsets[i : i + 257]

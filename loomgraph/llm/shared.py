@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 #: White space between words, everywhere in this subpackage: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one numpy step takes at once; a longer document is one step of its own.
-STEP_BYTES = 1 << 21
+#: Bytes of text that one numpy step takes at once, some 50 times that in memory; a longer document is one step of its own.
+STEP_BYTES = 1 << 19
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -58,9 +59,13 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
+
+    What a finished query held becomes unreachable in the first round and is cleaned in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def column(df: DataFrame, name: str):

@@ -67,9 +67,9 @@ def compare(threshold: float):
 
     def one(key, c):
         tree, _, bi, bj = key
-        node, mult, block = (np.array(c[k], np.int64) for k in ("node", "mult", "block"))
-        m = np.array([np.frombuffer(u, np.float64) for u in c["unit"]])
-        codes = np.array([x[:tree] for x in c["codes"]], np.int64).reshape(len(node), tree)
+        node, mult, block = (np.asarray(c[k]).astype(np.int64) for k in ("node", "mult", "block"))
+        m = np.frombuffer(b"".join(c["unit"].to_pylist()), np.float64).reshape(len(node), -1)  # a code tells the length too
+        codes = np.asarray(c["codes"].flatten()).reshape(len(node), -1)[:, :tree]
         near = m @ m.T >= threshold
         np.fill_diagonal(near, False)
         for t in range(tree):
