@@ -236,3 +236,28 @@ def knn_budget_ms(cooccurrence: Column, batch: Column) -> Column:
 def sample_size(width: Column) -> Column:
     """Wilson bound: samples for a confidence interval of that half width."""
     return F.greatest(F.lit(1), F.ceil(F.pow(F.lit(1.96) / width, F.lit(2.0)) * 0.25)).cast("long")
+
+
+# --- typed properties -----------------------------------------------------------------------------------------
+
+
+def _typed(props: Column, name: str, kind: str) -> Column:
+    v = F.try_element_at(props, F.lit(name))
+    return F.when(v.startswith(f"{kind}:"), F.substring(v, F.lit(3), F.length(v)))
+
+
+def get_str(props: Column, name: str) -> Column:
+    """The property as text; null if it is missing or of another type. So are the getters below."""
+    return _typed(props, name, "s")
+
+
+def get_int(props: Column, name: str) -> Column:
+    return _typed(props, name, "i").cast("bigint")
+
+
+def get_float(props: Column, name: str) -> Column:
+    return _typed(props, name, "f").cast("double")
+
+
+def get_bool(props: Column, name: str) -> Column:
+    return _typed(props, name, "b").cast("boolean")

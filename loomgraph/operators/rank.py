@@ -92,3 +92,45 @@ def text_rank(texts: DataFrame, query: str, k: int) -> DataFrame:
     offset = F.octet_length(F.substring(low, F.lit(1), at - 1))
     hit = texts.where(at > 0).select("id", (F.lit(1.0) / (1 + offset)).alias("score"), F.octet_length("text").alias("size"))
     return hit.orderBy(F.col("score").desc(), "size", "id").limit(k).select("id", "score")
+
+
+# --- approximate dense top-k ----------------------------------------------------------------------------------
+
+
+def sign_index(embeddings: DataFrame, words: int = 4, seed: int = 11) -> DataFrame:
+    """(node_id, code): signs of `words` * 63 random projections of each vector, as longs. Built once for a snapshot, it is a
+    sixteenth of the vectors at 64 dimensions and the only thing that a search scans."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        planes: dict = {}
+        for b in batches:
+            codes = []
+            for v in b.column(1).to_pylist():
+                if v and None not in v:
+                    if len(v) not in planes:
+                        planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), words * 63))
+                    bits = (np.asarray(v, float) @ planes[len(v)] >= 0).reshape(words, 63)
+                    codes.append((bits @ (1 << np.arange(63, dtype=np.int64))).tolist())
+                else:
+                    codes.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["node_id", "code"])
+
+    return embeddings.select("node_id", "vector").mapInArrow(run, "node_id string, code array<bigint>")
+
+
+def dense_approximate(index: DataFrame, embeddings: DataFrame, query: list[float], k: int, candidates: int = 200, seed: int = 11, hidden: DataFrame | None = None) -> DataFrame:
+    """The k best by cosine among the `candidates` whose signs differ least from the query's; hidden nodes take no place."""
+    import numpy as np
+
+    if hidden is not None:
+        index = index.join(hidden.select("node_id"), "node_id", "left_anti")
+    words = index.where("code is not null").select(F.size("code")).limit(1).collect()
+    if not words:
+        return embeddings.limit(0).select(F.col("node_id").alias("id"), F.lit(0.0).alias("score"))
+    planes = np.random.default_rng([seed, len(query)]).standard_normal((len(query), words[0][0] * 63))
+    code = (np.asarray(query) @ planes >= 0).reshape(-1, 63) @ (1 << np.arange(63, dtype=np.int64))
+    apart = F.aggregate(F.zip_with("code", F.array(*[F.lit(int(c)) for c in code]), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    near = index.where("code is not null").select("node_id", apart.alias("apart")).orderBy("apart", "node_id").limit(candidates)
+    return dense(embeddings.join(F.broadcast(near.select("node_id")), "node_id"), query, k)  # as many rows as candidates

@@ -914,3 +914,69 @@ def session_median(spark, sf_dir):
     SELECT event_id, round(v[ceil(len(v) * 0.75)::INT], 6) AS p75 FROM w""")
 def rolling_p75(spark, sf_dir):
     return state.rolling_p75(read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value").select("event_id", r6("p75").alias("p75"))
+
+
+# --- typed properties, admission, further merges --------------------------------------------------------------
+
+
+@query("SELECT p_size % 5 AS bucket, count(*) AS n, sum(p_size)::BIGINT AS total, min(p_brand) AS brand, 0::BIGINT AS mistyped FROM part GROUP BY p_size % 5")
+def node_accessors(spark, sf_dir):
+    t = graph(spark, sf_dir, "Part").nodes
+    size = fn.get_int(F.col("props"), "p_size")
+    return t.groupBy((size % 5).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.min(fn.get_str(F.col("props"), "p_brand")).alias("brand"), F.count(fn.get_int(F.col("props"), "p_brand")).alias("mistyped"))
+
+
+@query(f"SELECT {nid('Part', 'p_partkey')} AS id, sha256('Part' || chr(10) || 'p_brand=s:' || p_brand || chr(10) || 'p_size=i:' || p_size || chr(10) || 'p_type=s:' || p_type) AS cid FROM part")
+def deterministic_ids(spark, sf_dir):
+    return graph(spark, sf_dir, "Part").nodes.select("id", fn.deterministic_id(F.col("ntype"), F.col("props")).alias("cid"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_nationkey % 2 = 0 AND c_acctbal / 10000 >= 0.5")
+def admitted_candidates(spark, sf_dir):
+    t = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 2 == 0).alias("opt_in"), (F.col("c_acctbal") / 10000).alias("confidence"))
+    return extract.admitted(t, True, 0.5).select("id")
+
+
+@query("SELECT DISTINCT p_brand AS src, p_type AS dst, 'is' AS etype FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_size <> a.p_size)")
+def edge_collisions(spark, sf_dir):
+    e = read(spark, sf_dir, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.lit("is").alias("etype"), F.col("p_size").cast("string").alias("cid")).distinct()
+    return versions.edge_collisions(e, e)
+
+
+@query(f"WITH {MERGE} SELECT id, outcome FROM m WHERE outcome <> 'same' AND id % 5 = 0")
+def tombstone_conflicts(spark, sf_dir):
+    gone = read(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("node_id"))
+    return versions.tombstone_conflicts(versions.three_way(*sides(spark, sf_dir)), gone)
+
+
+@query(f"WITH {DENSE}, p AS (SELECT d.id, score, vec_label FROM dense d JOIN vecs USING (id)) SELECT id, round(score, 6) AS score FROM p WHERE vec_label IN (1, 3, 5)")
+def multi_label_filter(spark, sf_dir):
+    e = graph(spark, sf_dir).embeddings
+    t = rank.dense(e, first_vector(spark, sf_dir), 50).join(e.select(F.col("node_id").alias("id"), "vec_label"), "id")
+    return t.where(F.col("vec_label").isin(1, 3, 5)).select("id", r6("score").alias("score"))
+
+
+@query("SELECT n_nationkey AS id, 'name' AS key, 's:' || n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', 'i:' || n_regionkey FROM nation")
+def key_value_parsing(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    t = n.select(F.col("n_nationkey").alias("id"), F.explode(F.array(F.concat(F.lit("name="), "n_name"), F.concat(F.lit("region="), F.col("n_regionkey").cast("string")))).alias("kv"))
+    return t.select("id", fn.parse_kv(F.col("kv")).alias("p")).select("id", "p.key", "p.value")
+
+
+@query("WITH e AS (SELECT n_nationkey AS id, 1 AS kind, n_name AS v FROM nation), s AS (SELECT n_nationkey AS id, n_name || '!' AS v FROM nation WHERE n_nationkey % 3 = 0) SELECT e.id, coalesce(s.v, e.v) AS vector FROM e LEFT JOIN s USING (id)")
+def embedding_upsert(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("m").alias("model"), F.col("n_name").alias("vector"))
+    s = n.where("id % 3 = 0").select("id", "model", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("old").alias("vector")), F.struct(F.lit(2).alias("seq"), F.concat("vector", F.lit("!")).alias("vector")))).alias("x")).select("id", "model", "x.vector", "x.seq")
+    return versions.upserted(n, s, ["id", "model"], "seq").select("id", "vector")
+
+
+@query(f"SELECT {nid('Event', 'event_id')} AS id, epoch_us(ts) AS created_at, 7::BIGINT AS updated_at FROM events")
+def commit_memory(spark, sf_dir):
+    t = label_nodes(spark, sf_dir, "Event").withColumn("updated_at", F.lit(None).cast("bigint"))
+    return versions.remembered(t, 7).select("id", "created_at", "updated_at")
+
+
+@query()
+def dense_approximate(spark, sf_dir):
+    e = graph(spark, sf_dir).embeddings
+    return rank.dense_approximate(rank.sign_index(e), e, first_vector(spark, sf_dir), 10).select("id", r6("score").alias("score"))

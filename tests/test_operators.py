@@ -400,3 +400,16 @@ def test_package_stands_without_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", p.read_text(), re.M), p
+
+
+def test_approximate_top_k_finds_most(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((600, 16))
+    e = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(v)], "node_id string, vector array<double>")
+    index, hits = rank.sign_index(e).cache(), 0
+    for i in range(5):
+        exact = {r.id for r in rank.dense(e, v[i].tolist(), 10).collect()}
+        hits += len(exact & {r.id for r in rank.dense_approximate(index, e, v[i].tolist(), 10, 100).collect()})
+    assert hits >= 45
+    gone = spark.createDataFrame([("v000",)], "node_id string")
+    assert "v000" not in {r.id for r in rank.dense_approximate(index, e, v[0].tolist(), 10, 100, hidden=gone).collect()}
