@@ -578,35 +578,35 @@ def commit_snapshot(spark, sf_dir):
 
 
 def commit_table(spark, sf_dir) -> DataFrame:
-    """A history over the suppliers: each commit's parent is the one before it; every fifth has a second parent ten back."""
-    k = F.col("s_suppkey")
+    """A history over the nations: each commit's parent is the one before it; every fifth has a second parent ten back."""
+    k = F.col("n_nationkey") + 1
     name = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 6, "0"))
     parents = F.when(k <= 1, F.array().cast("array<string>")).when((k % 5 == 0) & (k > 10), F.array(name(k - 1), name(k - 10))).otherwise(F.array(name(k - 1)))
-    return read(spark, sf_dir, "supplier").select(name(k).alias("cid"), parents.alias("parents"), F.concat(F.lit("a"), (k % 3).cast("string")).alias("author"), (k * 1000).alias("time"), F.col("s_name").alias("message"))
+    return read(spark, sf_dir, "nation").select(name(k).alias("cid"), parents.alias("parents"), F.concat(F.lit("a"), (k % 3).cast("string")).alias("author"), (k * 1000).alias("time"), F.col("n_name").alias("message"))
 
 
 def fork_table(spark, sf_dir) -> DataFrame:
     """A history of two branches that part at the third commit: odd numbers on one, even ones on the other."""
-    k = F.col("s_suppkey")
+    k = F.col("n_nationkey") + 1
     name = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 6, "0"))
     parents = F.when(k <= 1, F.array().cast("array<string>")).when(k <= 3, F.array(name(k - 1))).when(k <= 5, F.array(name(F.lit(3)))).otherwise(F.array(name(k - 2)))
-    return read(spark, sf_dir, "supplier").where("s_suppkey <= 12").select(name(k).alias("cid"), parents.alias("parents"))
+    return read(spark, sf_dir, "nation").where("n_nationkey < 12").select(name(k).alias("cid"), parents.alias("parents"))
 
 
-@query("SELECT (s_suppkey - 12) * -1 AS depth, 'k' || lpad(s_suppkey::VARCHAR, 6, '0') AS cid, 'a' || (s_suppkey % 3) AS author, s_name AS message FROM supplier WHERE s_suppkey BETWEEN 3 AND 12")
+@query("SELECT 11::BIGINT - n_nationkey AS depth, 'k' || lpad((n_nationkey + 1)::VARCHAR, 6, '0') AS cid, 'a' || ((n_nationkey + 1) % 3) AS author, n_name AS message FROM nation WHERE n_nationkey BETWEEN 2 AND 11")
 def log_first_parents(spark, sf_dir):
     t = versions.log(commit_table(spark, sf_dir), "k000012", 10)
     return t.select(F.col("depth").cast("long").alias("depth"), "cid", "author", "message")
 
 
-HISTORY = "h AS (SELECT s_suppkey AS k, unnest(CASE WHEN s_suppkey <= 1 THEN [] WHEN s_suppkey % 5 = 0 AND s_suppkey > 10 THEN [s_suppkey - 1, s_suppkey - 10] ELSE [s_suppkey - 1] END) AS p FROM supplier)"
-TOP = "(SELECT least(60, max(s_suppkey)) FROM supplier)"
+HISTORY = "h AS (SELECT k, unnest(CASE WHEN k <= 1 THEN [] WHEN k % 5 = 0 AND k > 10 THEN [k - 1, k - 10] ELSE [k - 1] END) AS p FROM (SELECT n_nationkey + 1 AS k FROM nation))"
+TOP = "(SELECT max(n_nationkey) + 1 FROM nation)"
 
 
 @query(f"WITH RECURSIVE {HISTORY}, up(k, d) AS (SELECT {TOP}, 0 UNION SELECT h.p, d + 1 FROM up JOIN h ON h.k = up.k) SELECT 'k' || lpad(k::VARCHAR, 6, '0') AS cid, min(d)::INT AS depth FROM up GROUP BY k")
 def ancestor_closure(spark, sf_dir):
     t = commit_table(spark, sf_dir)
-    head = t.where("cid <= 'k000060'").agg(F.max("cid").alias("cid")).select(F.col("cid").alias("head"), "cid")
+    head = t.agg(F.max("cid").alias("cid")).select(F.col("cid").alias("head"), "cid")
     return versions.ancestors(t, head).select("cid", "depth")
 
 
@@ -624,7 +624,7 @@ def blame(spark, sf_dir):
     return versions.blame(reach, made.select("id", F.concat(F.lit("k"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("commit")))
 
 
-@query(f"WITH RECURSIVE {HISTORY}, up(k) AS (SELECT 20::BIGINT UNION SELECT h.p FROM up JOIN h ON h.k = up.k) SELECT 'k' || lpad(s_suppkey::VARCHAR, 6, '0') AS cid FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM up WHERE k IS NOT NULL)")
+@query(f"WITH RECURSIVE {HISTORY}, up(k) AS (SELECT 20 UNION SELECT h.p FROM up JOIN h ON h.k = up.k) SELECT 'k' || lpad((n_nationkey + 1)::VARCHAR, 6, '0') AS cid FROM nation WHERE n_nationkey + 1 NOT IN (SELECT k FROM up WHERE k IS NOT NULL)")
 def unreachable_blocks(spark, sf_dir):
     t = commit_table(spark, sf_dir)
     links = t.select("cid", F.explode("parents").alias("parent"))
