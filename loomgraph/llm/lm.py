@@ -123,6 +123,20 @@ def rows_of(batches):
             yield b.slice(i, 1).to_pylist()[0]
 
 
+def gaps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, whose two high bytes are nearly all 0 in a well-filled range: six bytes and a bit for each."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    high = zlib.compress(planes[6:].tobytes(), 1)
+    return len(high).to_bytes(4, "little") + high + planes[:6].tobytes()
+
+
+def ungap(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    low = np.frombuffer(b, np.uint8, offset=4 + n).reshape(6, -1)
+    high = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).reshape(2, -1)
+    return np.cumsum(np.concatenate((low, high)).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
@@ -143,7 +157,7 @@ def asked(bits: int):
                 n = len(full)
                 yield batch(
                     owner=pa.array((2 * full + kind - 1).astype(np.int32)), id=pa.array([row["id"]] * n, pa.int64()), kind=pa.array([kind] * n, pa.int32()), part=pa.array(full.astype(np.int32)),
-                    keys=pa.array([keys[p].tobytes() for p in parts], pa.binary()), c0=pa.array([narrow(c0[p]) for p in parts], pa.binary()), c1=pa.array([narrow(c1[p]) for p in parts], pa.binary()),
+                    keys=pa.array([gaps(keys[p]) for p in parts], pa.binary()), c0=pa.array([narrow(c0[p]) for p in parts], pa.binary()), c1=pa.array([narrow(c1[p]) for p in parts], pa.binary()),
                 )
 
     return run
@@ -153,7 +167,7 @@ def answered(batches):
     """For mapInArrow over requests sorted by owner: to each request the totals of its keys; with them the owner's sums."""
 
     def reply_of(rows):
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [ungap(r["keys"]) for r in rows]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = [np.bincount(at, weights=np.concatenate([widen(r[c]) for r in rows]), minlength=len(every)).astype(np.int64) for c in ("c0", "c1")]
         start = mix(START ^ np.uint64(0x5DEECE66D))
@@ -246,10 +260,8 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     n0, n1, v, v0 = (int(x or 0) for x in sums)
     n = n0 + n1
     answers = totals.groupBy("id").agg(F.collect_list(F.struct("kind", "part", "t0", "t1")).alias("got"))  # one for each owner
-    joined = scratch.save(blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got"), "answered")
-    scratch.drop("blocks")
-    scratch.drop("totals")
-    release(spark)
+    # joined twice, for the weights and for the scores: a third copy on disk would cost more than it saves
+    joined = blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got")
 
     def opened(row):
         b = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
@@ -267,6 +279,8 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
     histogram = joined.mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
     weights = learn([tuple(r) for r in histogram.collect()])  # as many rows as there are bins, at most
+    del histogram  # it holds the shuffle it ran with
+    release(spark)
 
     def scored(batches):
         for row in rows_of(batches):

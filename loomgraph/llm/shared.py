@@ -28,6 +28,9 @@ _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and own.isDefined():
+        return own.get()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -61,11 +64,11 @@ class Scratch:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
 
-    What a finished query held becomes unreachable in the first round and is cleaned in the second."""
-    for _ in range(2):
+    What a finished query held becomes unreachable bit by bit, as the JVM's own queues and caches let go: two to four rounds."""
+    for _ in range(5):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
 
 
 def column(df: DataFrame, name: str):

@@ -336,6 +336,13 @@ def test_lm_blocks_do_not_change_scores(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50, unique=True))
+def test_gaps_round_trip(keys):
+    keys = np.sort(np.array(keys, np.uint64))
+    assert (lm.ungap(lm.gaps(keys)) == keys).all()
+    assert (lm.widen(lm.narrow(keys % np.uint64(2**32))) == (keys % np.uint64(2**32)).astype(np.int64)).all()
+
+
 def test_em_finds_the_mixture():
     w = lm.learn([(3, 80, 8, 900), (3, -lm.CLIP * lm.FINE - 1, 8, 100)])
     assert w[3, 0] > 0.8 and np.allclose(w.sum(1), 1)
