@@ -4,8 +4,7 @@ A document is its sequence of word 5-grams. Under each of several hash functions
 for every position the interval in which its hash is least; the positions whose interval holds a whole passage
 (`passage` words) are its compact windows, about two for each passage length. All passages within the interval that contain the
 position share its min-hash, so two documents with a common passage have windows with the same key, and
-a passage of similarity s is met under k functions with probability 1 - (1 - s)^k. Where a key is crowded, as a common
-line makes it, a second key within reach must be shared as well.
+a passage of similarity s is met under k functions with probability 1 - (1 - s)^k, however crowded a key is.
 
 Windows whose key occurs in several documents are joined by key, their intervals cut to what a passage around the position
 can reach, and compared by content: a passage counts where two stretches of its length share enough 5-grams.
@@ -25,10 +24,8 @@ from .shared import Scratch, column, cut, mix, numbers, release, shingles, slots
 
 SIZE = 5
 BLOCK = 2048
-#: A key with more than so many contents is crowded: a passage there must be met under a second key too, one of so many.
-CROWD, COMPANIONS = 256, 4
-#: Spots of more than a block are broadcast up to this number (12 bytes each), and joined by a shuffle beyond it.
-BROADCAST_SPOTS = 100_000
+#: Keys of more than a block are broadcast up to this number (12 bytes each), and joined by a shuffle beyond it.
+BROADCAST_KEYS = 100_000
 #: Up to so many rows of a key, or rows that hold a shingle, are compared each with each or with leaders; more with leaders.
 FEW = 24
 
@@ -94,9 +91,9 @@ def windows(width: int, functions: int):
 
 
 def contents(width: int, whole: bool):
-    """For mapInArrow over (doc_id, text, hits, all): a row for each hit, (key, digest, doc_id, pos, left, right), or with `whole` (spot,
-    key, digest, content). content: 16 bits for each shingle from width - 1 before the position to as many after it, 0
-    outside the interval; digest: a hash of it. spot is the key, or for a crowded one, the key with another within reach."""
+    """For mapInArrow over (doc_id, text, hits): a row for each hit, (key, digest, doc_id, pos, left, right), or with `whole` (key,
+    digest, low, high, content). content: 16 bits for each shingle from width - 1 before the position to as many after it, 0
+    outside the interval; digest: a hash of it."""
     span = 2 * width - 1
     near = np.arange(-(width - 1), width)
 
@@ -112,9 +109,7 @@ def contents(width: int, whole: bool):
                 doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(part)))
                 pos, left, right, key = (np.asarray(flat.field(k)).astype(np.int64) for k in range(4))
                 if whole:
-                    hit, spot = spots(doc, pos, key, np.asarray(flat.field(4)), b.column(3).slice(row, n), width)
-                    low_id, high_id = (np.asarray(flat.field(k))[hit] for k in (5, 6))
-                    doc, pos, left, right, key = (v[hit] for v in (doc, pos, left, right, key))
+                    low_id, high_id = (np.asarray(flat.field(k)) for k in (4, 5))
                 low = (sh >> np.uint64(48)).astype(np.uint16)
                 low[low == 0] = 1  # 0: outside
                 for at in range(0, len(doc), 20_000):
@@ -125,40 +120,13 @@ def contents(width: int, whole: bool):
                         digest = (mix(content.astype(np.uint64) + np.uint64(7)) * (numbers(41, span) | np.uint64(1))).sum(1)
                     out = {"key": pa.array(key[own]), "digest": pa.array(mix(digest).view(np.int64))}
                     if whole:
-                        yield batch(spot=pa.array(spot[own]), **out, low=pa.array(low_id[own]), high=pa.array(high_id[own]), content=pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * span), len(content), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary()))
+                        yield batch(**out, low=pa.array(low_id[own]), high=pa.array(high_id[own]), content=pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * span), len(content), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary()))
                     else:
                         yield batch(**out, doc_id=b.column(0).slice(row, n).take(pa.array(doc[own])), pos=pa.array(pos[own].astype(np.int32)), left=pa.array(left[own].astype(np.int8)), right=pa.array(right[own].astype(np.int8)))
 
     return run
 
 
-def spots(doc, pos, key, crowded, every, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hit, spot): each hit with its key, and a crowded one with the key of each of its COMPANIONS, the least by hash of the other
-    hits that a passage around it can reach. every: all hits (pos, key) of each document."""
-    flat = every.flatten()
-    owner = np.repeat(np.arange(len(every)), np.asarray(pa.compute.list_value_length(every)))
-    there, other = (np.asarray(flat.field(k)).astype(np.int64) for k in range(2))
-    order = np.lexsort((there, owner))
-    code, other = (owner[order] << 40) + there[order], other[order]
-    full = np.flatnonzero(crowded)
-    low = np.searchsorted(code, (doc[full] << 40) + np.maximum(pos[full] - width + 1, 0), "left")
-    high = np.searchsorted(code, (doc[full] << 40) + pos[full] + width - 1, "right")
-    m = high - low
-    hit = np.repeat(full, m)
-    near = np.arange(len(hit)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
-    apart = code[near] != (doc[hit] << 40) + pos[hit]
-    hit, near = hit[apart], near[apart]
-    with np.errstate(over="ignore"):
-        mark = mix(other[near].view(np.uint64) + np.uint64(5))
-    _, first = np.unique(np.stack([hit.astype(np.uint64), mark], 1), axis=0, return_index=True) if len(hit) else (None, np.zeros(0, np.int64))
-    hit, mark = hit[first], mark[first]  # by hit, then by hash
-    rank = np.arange(len(hit)) - np.searchsorted(hit, hit, "left")
-    hit, mark = hit[rank < COMPANIONS], mark[rank < COMPANIONS]
-    plain = np.flatnonzero(~crowded)
-    spot = np.concatenate((key[plain], mix(key[hit].view(np.uint64) ^ mark).view(np.int64)))
-    return np.concatenate((plain, hit)), spot
-
-
 def stretch(mask: np.ndarray, inside: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row: begin and end of the union of stretches of `width`, all inside, with `need` marks at least; (0, 0) if none."""
     total, within = (np.cumsum(np.pad(m.astype(np.int16), ((0, 0), (1, 0))), 1) for m in (mask, inside))
@@ -205,16 +173,16 @@ def _shares(items: np.ndarray, sizes: np.ndarray, most: int):
 
 
 def judged(width: int, need: int):
-    """For mapInArrow over rows sorted by (spot, block): (spot, key, digest, start, end, least and greatest match, found) of each row.
+    """For mapInArrow over rows sorted by (key, block): (key, digest, start, end, least and greatest match, found) of each row.
 
     Row against leader: the first row of a key leads; rows like it follow; the first of the others leads next.
     A leader without followers is compared with all rows that follow others. In a key of more than FEW rows, which may share no more
     than a common line, only rows that share one of their rarest shingles are compared; see below."""
 
     def settle(rows: pa.Table):
-        spot, block, key, digest, low, high, asks = (np.asarray(rows.column(k)) for k in ("spot", "block", "key", "digest", "low", "high", "asks"))
+        block, key, digest, low, high, asks = (np.asarray(rows.column(k)) for k in ("block", "key", "digest", "low", "high", "asks"))
         content = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint16).reshape(len(key), -1)
-        segment = np.cumsum(np.concatenate(([0], (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]))))
+        segment = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
         n = len(key)
         start, end, match, last = np.full(n, 2 * content.shape[1]), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
 
@@ -310,7 +278,7 @@ def judged(width: int, need: int):
             candidates(distinct >> 16, distinct & 0xFFFF)
         found = end > 0
         out = found | asks
-        return batch(spot=pa.array(spot[out]), key=pa.array(key[out]), digest=pa.array(digest[out]), start=pa.array(start[out]), end=pa.array(end[out]), match=pa.array(match[out]), last=pa.array(last[out]), found=pa.array(found[out]))
+        return batch(key=pa.array(key[out]), digest=pa.array(digest[out]), start=pa.array(start[out]), end=pa.array(end[out]), match=pa.array(match[out]), last=pa.array(last[out]), found=pa.array(found[out]))
 
     def run(batches):
         held = None
@@ -319,7 +287,7 @@ def judged(width: int, need: int):
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 20_000:
                 continue
-            key, block = np.asarray(held.column("spot")), np.asarray(held.column("block"))
+            key, block = np.asarray(held.column("key")), np.asarray(held.column("block"))
             cut_ = int(np.flatnonzero((key != key[-1]) | (block != block[-1]))[-1]) + 1 if ((key != key[-1]) | (block != block[-1])).any() else 0
             if cut_:
                 yield settle(held.slice(0, cut_).combine_chunks())
@@ -377,32 +345,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # equal contents need no comparison; of a key with several, each is read once, at its first place
     shared = each.where((F.col("low") < F.col("high")) & (F.col("at.left") + F.col("at.right") + 1 >= width))
     alike_ = shared.select("key", "digest", (width - 1 - F.col("at.left")).cast("long").alias("start"), (width + F.col("at.right")).cast("long").alias("end"), F.col("low").alias("match"), F.col("high").alias("last"))
-    several = each.join(size.where("n > 1 and least < most").select("key", (F.col("n") > CROWD).alias("crowded")), "key")
-    hits = several.groupBy(F.col("at.doc_id").alias("first_id")).agg(F.collect_list(F.struct("at.pos", "at.left", "at.right", "key", "crowded", "low", "high")).alias("own"))
-    every = met.select(F.col("doc_id").alias("first_id"), "rid", F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["key"].alias("key"))).alias("every"))
-    hits = every.join(hits, "first_id").select("rid", "own", "every")
-    read = base.join(hits.hint("shuffle_hash"), "rid").select("doc_id", "text", "own", "every").mapInArrow(contents(width, True), "spot long, key long, digest long, low long, high long, content binary")
-    placed = scratch.save(read, "spots")
+    several = each.join(size.where("n > 1 and least < most").select("key"), "key")
+    hits = several.groupBy(F.col("at.doc_id").alias("first_id")).agg(F.collect_list(F.struct("at.pos", "at.left", "at.right", "key", "low", "high")).alias("own"))
+    hits = met.select(F.col("doc_id").alias("first_id"), "rid").join(hits, "first_id").select("rid", "own")
+    read = base.join(hits.hint("shuffle_hash"), "rid").select("doc_id", "text", "own").mapInArrow(contents(width, True), "key long, digest long, low long, high long, content binary")
+    placed = scratch.save(read, "contents")
     scratch.drop("met")
     release(spark)
-    crowds = cut(placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("spot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_SPOTS else crowds
-    placed = placed.join(crowds, "spot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    columns = ("spot", "block", "key", "digest", "low", "high", "content", "asks")
-    schema = "spot long, key long, digest long, start long, end long, match long, last long, found boolean"
+    crowds = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_KEYS else crowds
+    placed = placed.join(crowds, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    columns = ("key", "block", "digest", "low", "high", "content", "asks")
+    schema = "key long, digest long, start long, end long, match long, last long, found boolean"
 
     def settled(rows: DataFrame) -> DataFrame:
-        return rows.select(*columns).repartition(slots(spark), "spot", "block").sortWithinPartitions("spot", "block").mapInArrow(judged(width, need), schema)
+        return rows.select(*columns).repartition(slots(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(judged(width, need), schema)
 
     one = cut(settled(placed.withColumn("asks", F.col("blocks") > 1)))
     release(spark)
-    # a content that met nothing in its own block asks all other blocks of its spot
-    alone = placed.where("blocks > 1").join(one.where("not found").select("spot", "key", "digest"), ["spot", "key", "digest"], "left_semi")
+    # a content that met nothing in its own block asks all other blocks of its key
+    alone = placed.where("blocks > 1").join(one.where("not found").select("key", "digest"), ["key", "digest"], "left_semi")
     asking = alone.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
-    asked = asking.select("spot", "block").distinct()
-    there = placed.join(asked, ["spot", "block"], "left_semi").join(alone.select("spot", "key", "digest"), ["spot", "key", "digest"], "left_anti").withColumn("asks", F.lit(False))
+    asked = asking.select("key", "block").distinct()
+    there = placed.join(asked, ["key", "block"], "left_semi").join(alone.select("key", "digest"), ["key", "digest"], "left_anti").withColumn("asks", F.lit(False))
     verdicts = one.where("found").unionByName(settled(asking.select(*columns).unionByName(there.select(*columns))).where("found"))
-    verdicts = verdicts.drop("found", "spot").unionByName(alike_).groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("match").alias("match"), F.max("last").alias("last"))
+    verdicts = verdicts.drop("found").unionByName(alike_).groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("match").alias("match"), F.max("last").alias("last"))
     at = F.col("pos") - (width - 1)
     spans = made.select("key", "digest", "doc_id", "pos").join(verdicts, ["key", "digest"]).select("doc_id", (at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"), F.when(F.col("match") != F.col("doc_id"), F.col("match")).otherwise(F.col("last")).alias("match"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "match")).alias("spans")).mapInArrow(merged, "doc_id long, start_word long, end_word long, n_words long, match_doc_id long")

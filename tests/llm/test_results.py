@@ -404,6 +404,22 @@ def test_repeats_near_passages_and_blocks(spark, monkeypatch):
         assert r.start_word >= 55 and r.end_word <= 146
 
 
+def test_repeats_amid_other_frequent_passages(spark):
+    """A crowded key: the passage stands between passages that one other document repeats."""
+    rng = random.Random(502)
+    some = lambda n: [f"{rng.randrange(16**6):06x}" for _ in range(n)]
+    passage, texts = some(50), {}
+    for i in range(400):
+        before, after = some(60), some(60)
+        texts[i] = " ".join(before + passage + after)
+        texts[1000 + i] = " ".join(before + some(9) + after)
+    got = repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    cover = {i: np.zeros(170, bool) for i in texts}
+    for r in got:
+        cover[r.doc_id][r.start_word : r.end_word] = True
+    assert all((cover[i][: len(w)] >= w).all() for i, w in exact_cover(texts).items())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(2, 8))
 def test_compact_windows(values, width):
