@@ -26,7 +26,7 @@ SIZE = 5
 BLOCK = 2048
 #: Keys of more than a block are broadcast up to this number (12 bytes each), and joined by a shuffle beyond it.
 BROADCAST_KEYS = 100_000
-#: Up to so many rows of a key, or rows that hold a shingle, are compared each with each or with leaders; more with leaders.
+#: Up to so many rows of a key, or rows that hold a shingle, are compared each with each at once; of more, by turns, those that are still open.
 FEW = 24
 
 
@@ -173,18 +173,21 @@ def _shares(items: np.ndarray, sizes: np.ndarray, most: int):
 
 
 def judged(width: int, need: int):
-    """For mapInArrow over rows sorted by (key, block): (key, digest, start, end, least and greatest match, found) of each row.
+    """For mapInArrow over rows sorted by (key, block): (key, digest, start, end, least and greatest match, found, open) of each row.
 
-    Row against leader: the first row of a key leads; rows like it follow; the first of the others leads next.
-    A leader without followers is compared with all rows that follow others. In a key of more than FEW rows, which may share no more
-    than a common line, only rows that share one of their rarest shingles are compared; see below."""
+    A row is open until its whole interval is covered by what it matched. Stretches that are equal at the same place are met by hash,
+    of all rows at once; then each pair is compared of which one row is open, in a key of more than FEW rows, which may
+    share no more than a common line, only rows that share one of their rarest shingles; see below. Rows with a home (0 or
+    more) have met those of the same home before, and only rows that ask count as open there."""
 
     def settle(rows: pa.Table):
-        block, key, digest, low, high, asks = (np.asarray(rows.column(k)) for k in ("block", "key", "digest", "low", "high", "asks"))
+        block, key, digest, low, high, asks, home = (np.asarray(rows.column(k)) for k in ("block", "key", "digest", "low", "high", "asks", "home"))
         content = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint16).reshape(len(key), -1)
         segment = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
         n = len(key)
         start, end, match, last = np.full(n, 2 * content.shape[1]), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        full = content != 0
+        first, beyond = full.argmax(1), content.shape[1] - full[:, ::-1].argmax(1)
 
         def note(i, a, b, partner, top):
             """Rows i hold a passage from a to b that these documents share; a row may come several times."""
@@ -193,51 +196,69 @@ def judged(width: int, need: int):
             np.minimum.at(match, i, partner)
             np.maximum.at(last, i, top)
 
-        def compare(i, j, x, y):
-            """Row i[k] against row j[k] by x[k] and y[k]; whether they are alike at all, also within one document."""
-            a, b, c, d = alike(x, y, width, need)
-            joined = b > 0
-            ok = joined & ((low[i] != low[j]) | (high[i] != high[j]) | (low[i] != high[i]))
-            i, j, a, b, c, d = (v[ok] for v in (i, j, a, b, c, d))
-            note(i, a, b, low[j], high[j])
-            note(j, c, d, low[i], high[i])
-            return joined
-
-        def lead(rows, group, of):
-            """Leaders and followers within each group (rows in order of their groups) by `of`, all rows' contents."""
-            open_, follows = np.arange(len(rows)), np.zeros(len(rows), bool)
-            while len(open_):
-                first = np.concatenate(([True], group[open_][1:] != group[open_][:-1]))
-                head = open_[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]
-                i, j = open_[~first], head[~first]
-                joined = np.concatenate([compare(a, b, of[a], of[b]) for a, b in ((rows[i[k : k + 20_000]], rows[j[k : k + 20_000]]) for k in range(0, len(i), 20_000))] or [np.zeros(0, bool)])
-                follows[i[joined]] = True
-                open_ = i[~joined]
-            # a leader without followers has met all rows but those that follow others; a row whose leader is of its own
-            # document has met that one alone
-            first = np.searchsorted(group, group, "left")
-            sizes = np.searchsorted(group, group, "right") - first
-            alone = np.flatnonzero((end[rows] == 0) & (sizes > 2))
-            for part in _shares(alone, sizes[alone], 40_000):
-                m = sizes[part]
-                i = np.repeat(part, m)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[part], m)
-                ask = (i != j) & (follows[i] | follows[j])
-                compare(rows[i[ask]], rows[j[ask]], of[rows[i[ask]]], of[rows[j[ask]]])
-
-        def meet(held, index, often):
-            """All pairs of the rows that hold a shingle: held[index : index + often] ends in the row's number."""
-            for part in _shares(np.arange(len(index)), often**2, 400_000):
-                m = often[part]
-                i = np.repeat(index[part], m)  # every holder with every one after it
-                i = i + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-                left = np.repeat(index[part] + m, m) - i - 1
-                a = np.repeat(i, left)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
-                pair = np.unique((held[a] & 0xFFFFF) << 20 | (held[b] & 0xFFFFF))
-                i, j = pair >> 20, pair & 0xFFFFF
-                for k in range(0, len(i), 20_000):
-                    compare(i[k : k + 20_000], j[k : k + 20_000], content[i[k : k + 20_000]], content[j[k : k + 20_000]])
+        def open_(i):
+            return asks[i] & ((start[i] > first[i]) | (end[i] < beyond[i]))
+
+        def compare(i, j):
+            """Rows i[k] against j[k], where one is still open."""
+            for k in range(0, len(i), 20_000):
+                x, y = i[k : k + 20_000], j[k : k + 20_000]
+                ask = (open_(x) | open_(y)) & ((low[x] != low[y]) | (high[x] != high[y]) | (low[x] != high[x])) & ((home[x] != home[y]) | (home[x] < 0))
+                x, y = x[ask], y[ask]
+                a, b, c, d = alike(content[x], content[y], width, need)
+                ok = b > 0
+                x, y, a, b, c, d = (v[ok] for v in (x, y, a, b, c, d))
+                note(x, a, b, low[y], high[y])
+                note(y, c, d, low[x], high[x])
+
+        def equal():
+            """Notes all stretches of `width` that rows of one segment have in common at the same place."""
+            with np.errstate(over="ignore"):
+                total = np.cumsum(np.pad(mix(content.astype(np.uint64) + np.uint64(7)) * (numbers(43, content.shape[1]) | np.uint64(1)), ((0, 0), (1, 0))), 1)
+                places = np.arange(total.shape[1] - width, dtype=np.uint64)
+                code = mix(mix(total[:, width:] - total[:, :-width]) + mix(segment.astype(np.uint64)[:, None] * np.uint64(1 << 10) + places))
+            inside = (first[:, None] <= places.astype(np.int64)) & (places.astype(np.int64) + width <= beyond[:, None])
+            row, place = np.nonzero(inside)
+            code = code[row, place]
+            order = np.argsort(code, kind="stable")
+            code, row, place = code[order], row[order], place[order]
+            if not len(code):
+                return
+            at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            least, most = np.minimum.reduceat(low[row], at), np.maximum.reduceat(high[row], at)
+            of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(code))))
+            ok = (least < most)[of]
+            note(row[ok], place[ok], place[ok] + width, least[of][ok], most[of][ok])
+
+        def pairs(index, often):
+            """All pairs within index : index + often."""
+            i = np.repeat(index, often)
+            i = i + np.arange(len(i)) - np.repeat(np.cumsum(often) - often, often)
+            left = np.repeat(index + often, often) - i - 1
+            a = np.repeat(i, left)
+            return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+
+        def crowd(held):
+            """The same for the rows of one segment that share a mark with more than FEW: held as in candidates, all of one segment."""
+            mark, row = held >> 20, held & 0xFFFFF
+            rows, row = np.unique(row, return_inverse=True)
+            near = np.zeros((len(rows), len(rows)), bool)
+            cuts = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1], [True])))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                near[np.ix_(row[a:b], row[a:b])] = True
+            np.fill_diagonal(near, False)
+            size = 1
+            while True:
+                # what is open asks all it may be like, a few rows at first, as most may be like those
+                ask = np.flatnonzero(open_(rows) & near.any(1))[:size]
+                if not len(ask):
+                    return
+                i, j = np.nonzero(near[ask])
+                once = ~np.isin(j, ask) | (ask[i] < j)
+                compare(rows[ask[i[once]]], rows[j[once]])
+                near[ask] = False
+                near[:, ask] = False
+                size = min(64, 2 * size)
 
         def candidates(row, mark):
             """Compares rows that share one of their first marks; rows with fewer marks than `need` share too few with any."""
@@ -252,20 +273,27 @@ def judged(width: int, need: int):
             head = order[rank < (m - need + 1)[row[order]]]
             held = np.sort(code[head] << 20 | row[head])
             _, index, often = np.unique(held >> 20, return_index=True, return_counts=True)
-            pairs = (often > 1) & (often <= FEW)
-            meet(held, index[pairs], often[pairs])
-            crowd = np.repeat(often > FEW, often)
-            lead(held[crowd] & 0xFFFFF, held[crowd] >> 20, content)
+            small = (often > 1) & (often <= FEW)
+            for part in _shares(np.flatnonzero(small), often[small] ** 2, 400_000):
+                a, b = pairs(index[part], often[part])
+                pair = np.unique((held[a] & 0xFFFFF) << 20 | (held[b] & 0xFFFFF))
+                compare(pair >> 20, pair & 0xFFFFF)
+            held = held[np.repeat(often > FEW, often)]
+            cuts = np.flatnonzero(np.concatenate(([True], held[1:] >> 44 != held[:-1] >> 44, [True]))) if len(held) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                crowd(held[a:b])
 
         own = np.flatnonzero(low != high)  # equal content in several documents
-        full = content[own] != 0
-        a, b = stretch(full, full, width, width)
+        a, b = stretch(full[own], full[own], width, width)
         ok = b > 0
         note(own[ok], a[ok], b[ok], low[own][ok], high[own][ok])
-        many = np.bincount(segment)[segment] > FEW
-        few = np.flatnonzero(~many)
-        lead(few, segment[few], content)
-        rows = np.flatnonzero(many)
+        equal()
+        size = np.bincount(segment)
+        at = np.cumsum(size) - size
+        few = np.flatnonzero(size <= FEW)
+        for part in _shares(few, size[few] ** 2, 400_000):
+            compare(*pairs(at[part], size[part]))
+        rows = np.flatnonzero((size > FEW)[segment])
         if len(rows):
             # Rows alike place by place share `need` marks (place, shingle); rows alike as sets share `need` shingles. In order of
             # how many rows hold them, the rarest mark shared is among the first m - need + 1 of the m marks of either
@@ -276,9 +304,9 @@ def judged(width: int, need: int):
             candidates(row, place << 16 | value)
             distinct = np.unique(row << 16 | value)
             candidates(distinct >> 16, distinct & 0xFFFF)
-        found = end > 0
-        out = found | asks
-        return batch(key=pa.array(key[out]), digest=pa.array(digest[out]), start=pa.array(start[out]), end=pa.array(end[out]), match=pa.array(match[out]), last=pa.array(last[out]), found=pa.array(found[out]))
+        found, left = end > 0, open_(np.arange(n))
+        out = found | left
+        return batch(key=pa.array(key[out]), digest=pa.array(digest[out]), start=pa.array(start[out]), end=pa.array(end[out]), match=pa.array(match[out]), last=pa.array(last[out]), found=pa.array(found[out]), open=pa.array(left[out]))
 
     def run(batches):
         held = None
@@ -355,21 +383,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     crowds = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_KEYS else crowds
     placed = placed.join(crowds, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    columns = ("key", "block", "digest", "low", "high", "content", "asks")
-    schema = "key long, digest long, start long, end long, match long, last long, found boolean"
+    columns = ("key", "block", "digest", "low", "high", "content", "asks", "home")
+    schema = "key long, digest long, start long, end long, match long, last long, found boolean, open boolean"
 
     def settled(rows: DataFrame) -> DataFrame:
         return rows.select(*columns).repartition(slots(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(judged(width, need), schema)
 
-    one = cut(settled(placed.withColumn("asks", F.col("blocks") > 1)))
+    one = cut(settled(placed.withColumn("asks", F.lit(True)).withColumn("home", F.lit(-1))))
     release(spark)
-    # a content that met nothing in its own block asks all other blocks of its key
-    alone = placed.where("blocks > 1").join(one.where("not found").select("key", "digest"), ["key", "digest"], "left_semi")
-    asking = alone.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(False))
-    asked = asking.select("key", "block").distinct()
-    there = placed.join(asked, ["key", "block"], "left_semi").join(alone.select("key", "digest"), ["key", "digest"], "left_anti").withColumn("asks", F.lit(False))
-    verdicts = one.where("found").unionByName(settled(asking.select(*columns).unionByName(there.select(*columns))).where("found"))
-    verdicts = verdicts.drop("found").unionByName(alike_).groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("match").alias("match"), F.max("last").alias("last"))
+    # two blocks of a key are met where one has contents that are still open
+    many = placed.where("blocks > 1")
+    still = many.join(one.where("open").select("key", "digest"), ["key", "digest"], "left_semi")
+    asked = cut(still.groupBy("key", "block").agg(F.lit(True).alias("any")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met_ = many.select("key", "digest", "low", "high", "content", "blocks", F.col("block").alias("home"), every).where("other <> home")
+    met_ = met_.join(one.where("open").select("key", "digest", F.lit(True).alias("asks")), ["key", "digest"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    # of the others, only those that an open content of the other block asks
+    met_ = met_.join(asked.withColumnRenamed("block", "other"), ["key", "other"], "left").where("asks or any")
+    met_ = met_.withColumn("block", (F.least("home", "other") * F.col("blocks") + F.greatest("home", "other")).cast("long"))
+    verdicts = one.where("found").unionByName(settled(met_).where("found"))
+    verdicts = verdicts.drop("found", "open").unionByName(alike_).groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("match").alias("match"), F.max("last").alias("last"))
     at = F.col("pos") - (width - 1)
     spans = made.select("key", "digest", "doc_id", "pos").join(verdicts, ["key", "digest"]).select("doc_id", (at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"), F.when(F.col("match") != F.col("doc_id"), F.col("match")).otherwise(F.col("last")).alias("match"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "match")).alias("spans")).mapInArrow(merged, "doc_id long, start_word long, end_word long, n_words long, match_doc_id long")

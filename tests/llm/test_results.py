@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -420,6 +421,25 @@ def test_repeats_amid_other_frequent_passages(spark):
     assert all((cover[i][: len(w)] >= w).all() for i, w in exact_cover(texts).items())
 
 
+def test_repeats_of_followers_and_leaders(spark):
+    """R shares a passage with L and another, overlapping one with M, which has followers of its own; all in one key."""
+    width = 46
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(1, 1 << 16, n).astype(np.uint16)
+    r = some(91)
+    left, right = np.concatenate((r[:50], some(41))), np.concatenate((some(41), r[41:]))
+    for extra in (0, 40):  # few rows, and many
+        rows = [left, right, *(np.concatenate((some(20), right[20:])) for _ in range(3 + extra)), r]
+        n = len(rows)
+        t = pa.table({
+            "key": np.zeros(n, np.int64), "block": np.zeros(n, np.int64), "digest": np.arange(n), "low": np.arange(n), "high": np.arange(n),
+            "content": pa.array([x.tobytes() for x in rows], pa.binary()), "asks": np.ones(n, bool), "home": np.full(n, -1, np.int32),
+        })
+        got = pa.Table.from_batches(list(repeats.judged(width, 41)(iter(t.combine_chunks().to_batches())))).to_pylist()
+        last = next(g for g in got if g["digest"] == n - 1)
+        assert (last["start"], last["end"]) == (0, 91)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(2, 8))
 def test_compact_windows(values, width):
