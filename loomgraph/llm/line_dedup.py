@@ -2,9 +2,10 @@
 
 A line's words pass a tree of fixed depth: first their number, then the leading words, those with digits read as a
 wildcard. In a leaf that many documents reach, a place where most lines agree is a constant of the leaf's template and
-any other place a variable field; lines that agree with enough constants belong to that template, other lines to
-the template of their own words with wildcards for what holds digits. A template of `min_docs` documents or
-more is boilerplate, and its lines are dropped from all of them.
+any other place a variable field; lines that agree with enough constants belong to that template. Each other line belongs
+to the template of those of its words that are about as frequent at their places as enough of them are, so a leaf
+holds any number of templates; where too few of its words recur, to that of its own words with wildcards for what holds digits.
+A template of `min_docs` documents or more is boilerplate, and its lines are dropped from all of them.
 """
 
 from __future__ import annotations
@@ -37,13 +38,27 @@ def spread(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     return lines.groupBy(key, "rid").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("one").alias("docs")).where(F.col("docs") >= min_docs).select(key)
 
 
+def patterns(rest: DataFrame, words: DataFrame, min_docs: int, agree: float, alike: float) -> DataFrame:
+    """(own, pattern) of the lines (leaf, own, tokens) in which words of min_docs lines or more, or wildcards, are at a share `alike` of the
+    places. words: (leaf, at, token, n). The constants of a line are its words that are at least `agree` times as frequent at
+    their places as the rarest that is needed for that share."""
+    masks = F.size(F.filter("tokens", lambda t: t == ANY))
+    need = F.greatest(F.ceil(alike * F.size("tokens") - F.lit(1e-9)).cast("int") - masks, F.lit(1))
+    each = rest.select("leaf", "own", need.alias("need"), F.posexplode("tokens").alias("at", "token")).where(F.col("token") != ANY)
+    each = each.join(words.where(F.col("n") >= agree * min_docs), ["leaf", "at", "token"])
+    lines = each.groupBy("leaf", "own").agg(F.max("need").alias("need"), F.collect_set(F.struct("n", "at", F.xxhash64("token").alias("token"))).alias("held")).where(F.size("held") >= F.col("need"))
+    lines = lines.withColumn("least", F.element_at(F.sort_array("held", asc=False), F.col("need"))["n"]).where(F.col("least") >= min_docs)
+    constants = F.array_sort(F.transform(F.filter("held", lambda w: w["n"] >= agree * F.col("least")), lambda w: F.struct(w["at"].alias("at"), w["token"].alias("token"))))
+    return lines.select("own", F.xxhash64("leaf", constants, F.lit(3)).alias("pattern"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, lead: int = 3, agree: float = 0.6, alike: float = 0.7) -> DataFrame:
     """One row per row of docs: doc_id, text (without the dropped lines), n_lines, n_dropped.
 
     Lines end at U+000A. A line of white space alone belongs to no template and stays. A null text stays null, with no lines; rows
     that repeat (same id and text) count as one document and lose the same lines. A place is constant where a share of `agree` of
-    the leaf's lines have one word; a template needs constants at a share of `alike` of its places, and a line must agree with
-    such a share of them. Whole texts are read; all leaves and templates are counted over all documents."""
+    the leaf's lines have one word, or a share of `agree` of the lines that have the rest of a line's constants; a template needs
+    constants at a share of `alike` of its places, and a line must agree with such a share of the leaf's. Whole texts are read; all leaves and templates are counted over all documents."""
     scratch = Scratch(docs.sparkSession)
     text = column(docs, text_col)
     # each document sends each of its leaves once
@@ -65,8 +80,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     constant = F.size(F.filter("template", lambda t: t.isNotNull()))
     equal = F.size(F.filter(F.zip_with("template", "tokens", lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False))))
     masks = F.size(F.filter("tokens", lambda t: t == ANY))
-    matched = hot.join(template, "leaf").select("rid", "pos", "leaf", "own", ((constant + masks >= alike * F.size("tokens")) & (constant > 0) & (equal >= alike * constant)).alias("matches"))
-    matched = cut(matched.select("rid", "pos", F.when(F.col("matches"), F.xxhash64("leaf", F.lit(2))).otherwise(F.col("own")).alias("template")))
+    fits = (constant + masks >= alike * F.size("tokens")) & (constant > 0) & (equal >= alike * constant)
+    judged = hot.join(template, "leaf").select("rid", "pos", "leaf", "own", "tokens", fits.alias("matches"))
+    others = patterns(judged.where("not matches"), words, min_docs, agree, alike)
+    matched = judged.select("rid", "pos", "leaf", "own", "matches").join(others, "own", "left")
+    matched = cut(matched.select("rid", "pos", F.when(F.col("matches"), F.xxhash64("leaf", F.lit(2))).otherwise(F.coalesce("pattern", "own")).alias("template")))
     dropped = matched.join(spread(matched, "template", min_docs), "template").groupBy("rid").agg(F.collect_set("pos").alias("gone"))  # lines of one document
     rows = docs.select(column(docs, id_col).alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     out = rows.join(dropped.hint("shuffle_hash"), "rid", "left")  # texts are not sorted

@@ -18,6 +18,7 @@ from loomgraph.llm import lm, mixing, packing, pii, queries, repeats
 from loomgraph.llm.exact_dedup import directory
 from loomgraph.llm.jaccard import forest_depth, jaccard_join
 from loomgraph.llm.language import codewords
+from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.shared import components
 from loomgraph.llm.vectors import embedding_dedup, tables_for
 
@@ -440,6 +441,23 @@ def test_repeats_of_followers_and_leaders(spark):
         assert (last["start"], last["end"]) == (0, 91)
 
 
+
+def test_line_dedup_templates_of_one_leaf(spark):
+    """Two templates with one number of words and one lead, in equal parts and beside many other lines."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    lines = {}
+    for i in range(60):
+        lines[i] = f"this page was written by the good author {name()} today" if i % 2 else f"this page was last seen near another town {name()} yesterday"
+    for i in range(60, 260):
+        lines[i] = "this page was " + " ".join(name() for _ in range(7))
+    rows = [(i, f"{name()} {name()}\n{line}\n{name()}") for i, line in lines.items()]
+    got = {r.doc_id: r.n_dropped for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(260)] == [1] * 60 + [0] * 200
+    got = {r.doc_id: r.n_dropped for r in line_dedup(spark.createDataFrame(rows[:60], "doc_id long, text string")).collect()}
+    assert set(got.values()) == {1}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(2, 8))
 def test_compact_windows(values, width):
