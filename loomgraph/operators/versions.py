@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,11 +157,38 @@ def merged_refs(base: DataFrame, heads: list[DataFrame]) -> DataFrame:
 # --- history --------------------------------------------------------------------------------------------------
 
 
+#: Histories of up to so many parent links are walked by one task for each head, which holds them all; longer ones generation by generation.
+WALK_LINKS = 200_000
+
+
+def walked(links: list, most: int):
+    """For applyInPandas over one head's (head, cid): (head, cid, depth) of all it comes from, breadth first."""
+    up: dict = {}
+    for cid, parent in links:
+        up.setdefault(cid, []).append(parent)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        depth = dict.fromkeys(t["cid"], 0)
+        now = list(depth)
+        for d in range(1, most):
+            now = [c for c in dict.fromkeys(p for c in now for p in up.get(c, ())) if c not in depth]
+            if not now:
+                break
+            depth.update(dict.fromkeys(now, d))
+        return pd.DataFrame({"head": t["head"].iat[0], "cid": list(depth), "depth": np.array(list(depth.values()), np.int32)})
+
+    return one
+
+
 def ancestors(commits: DataFrame, heads: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(head, cid, depth) of everything that the heads (head, cid) come from, themselves at depth 0; depth is the shortest.
 
-    A join for each generation on the frontier alone."""
+    A walk for each head where there are few links; otherwise a join for each generation on the frontier alone."""
     parents = cut(commits.select("cid", F.explode("parents").alias("parent")))
+    links = parents.limit(WALK_LINKS + 1).collect()
+    if len(links) <= WALK_LINKS:
+        kinds = {f.name: f.dataType.simpleString() for f in heads.schema.fields}
+        return heads.select("head", "cid").groupBy("head").applyInPandas(walked([tuple(x) for x in links], most), f"head {kinds['head']}, cid {kinds['cid']}, depth int")
     frontier = cut(heads.select("head", "cid", F.lit(0).alias("depth")))
     seen = [frontier]
     for depth in range(1, most):

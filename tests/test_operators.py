@@ -237,6 +237,18 @@ def test_history(spark):
     assert [r.cid for r in versions.unreachable(blocks, links, spark.createDataFrame([("5",)], "cid string")).collect()] == ["9"]
 
 
+def test_long_history(spark, monkeypatch):
+    """The jobs don't grow with the length of a history, and both ways of walking it agree."""
+    c = spark.createDataFrame([(str(k), [str(p) for p in (k - 1, k - 10) if p >= 0 and (p == k - 1 or k % 5 == 0)]) for k in range(60)], "cid string, parents array<string>")
+    heads = spark.createDataFrame([("59", "59"), ("7", "7"), ("x", "x")], "head string, cid string")
+    calls, plain = [], versions.cut
+    monkeypatch.setattr(versions, "cut", lambda df: calls.append(1) or plain(df))
+    got = {tuple(r) for r in versions.ancestors(c, heads).collect()}
+    assert len(got) == 60 + 8 + 1 and len(calls) <= 2
+    monkeypatch.setattr(versions, "WALK_LINKS", 0)
+    assert {tuple(r) for r in versions.ancestors(c, heads).collect()} == got
+
+
 def test_refs(spark):
     r = spark.createDataFrame([("refs/heads/main", "1"), ("refs/tags/main", "2")], "name string, target string")
     assert versions.set_ref(r, "refs/heads/main", "3", "1").where("name = 'refs/heads/main'").first().target == "3"
