@@ -1,39 +1,47 @@
 """Substring dedup by compact windows.
 
-A document is its sequence of word 5-grams. Under each of several hash functions, the Cartesian tree over their hashes has
+A text is its sequence of word 5-grams. Under each of several hash functions, the Cartesian tree over their hashes has
 for every position the interval in which its hash is least; the positions whose interval holds a whole passage
-(`passage` words) are its compact windows, about two for each passage length. All passages within the interval that contain the
-position share its min-hash, so two documents with a common passage have windows with the same key, and
-a passage of similarity s is met under k functions with probability 1 - (1 - s)^k, however crowded a key is.
-
-Windows whose key occurs in several documents are joined by key, their intervals cut to what a passage around the position
-can reach, and compared by content: a passage counts where two stretches of its length share enough 5-grams.
-Windows of equal content are one row, compared once; those of one key are met in blocks of bounded size.
+(`passage` words) are its compact windows, about two for each passage length. All passages within the interval that
+contain the position share its min-hash, so two texts with a common passage have windows with the same key, and a
+passage of similarity s is met under one of k functions with probability 1 - (1 - s)^k, however crowded a key is.
+
+Windows are joined by key. The intervals of two texts that meet under keys of few texts are united, and the words of
+both are compared once for the pair. A key of many texts is compared as one group: equal stretches by a hash of the
+whole stretch, then what could still match, by the number of its shingles that other rows of the key hold, against the
+group's most typical rows, and what is left against every row that shares one of its rarest shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch
-from .shared import Scratch, column, cut, mix, numbers, release, shingles, slots, steps, word_hashes, words
+from .shared import Scratch, column, cut, mix, numbers, shingles, slots, steps, word_hashes, words
 
 SIZE = 5
-BLOCK = 2048
-#: Keys of more than a block are broadcast up to this number (12 bytes each), and joined by a shuffle beyond it.
-BROADCAST_KEYS = 100_000
-#: Up to so many rows of a key, or rows that hold a shingle, are compared each with each at once; of more, by turns, those that are still open.
-FEW = 24
+#: Keys of up to so many texts are met pair by pair; those of more as one group.
+FEW = 8
+#: Rows of a crowded key that one task compares at once; a larger key is compared in blocks and pairs of blocks.
+BLOCK = 16_384
+#: Rounds against typical rows before the rarest shingles are looked up; candidate rows enumerated at once.
+ROUNDS, SHARE = 8, 300_000
+_FAR = 1 << 40
+_RADIX = 0x9E3779B97F4A7C15
+
+
+# --- compact windows -----------------------------------------------------------------------------------------
 
 
 def sliding(h: np.ndarray, width: int) -> np.ndarray:
     """Least of h[i : i + width] for each i."""
     n = len(h)
-    pad = np.full((-n) % width, np.iinfo(np.uint64).max, np.uint64)
+    pad = np.full((-n) % width, np.iinfo(h.dtype).max, h.dtype)
     m = np.concatenate((h, pad)).reshape(-1, width)
     left = np.minimum.accumulate(m, 1).ravel()
     right = np.minimum.accumulate(m[:, ::-1], 1)[:, ::-1].ravel()
@@ -71,278 +79,571 @@ def compact(sh: np.ndarray, begin: np.ndarray, width: int, functions: int):
 
 
 def windows(width: int, functions: int):
-    """For mapInArrow: (rid, doc_id, pos, left, right, key) of (rid, doc_id, text)."""
+    """For mapInArrow: (key, node, mark) of (node, text); mark holds position, left and right reach."""
 
     def run(batches):
         for b in batches:
-            for row, offsets, data in steps(b.column(2)):
+            for row, offsets, data in steps(b.column(1)):
                 starts, ends, first = words(offsets, data)
                 sh, begin = shingles(word_hashes(starts, ends, data), first, SIZE)
-                n = len(offsets) - 1
-                rid, ids = (b.column(k).slice(row, n) for k in (0, 1))
+                node = np.asarray(b.column(0).slice(row, len(offsets) - 1))
                 for j, at, doc, left, right in compact(sh, begin, width, functions):
-                    owner = pa.array(doc)
-                    yield batch(
-                        rid=rid.take(owner), doc_id=ids.take(owner), pos=pa.array((at - begin[doc]).astype(np.int32)), left=pa.array(left.astype(np.int8)), right=pa.array(right.astype(np.int8)),
-                        key=pa.array(mix(sh[at] + np.uint64(101 + j)).view(np.int64)),
-                    )
+                    key = mix(sh[at] + np.uint64(101 + j)).view(np.int64)
+                    mark = (at - begin[doc]) << 16 | left << 8 | right
+                    yield batch(key=pa.array(key), node=pa.array(node[doc]), mark=pa.array(mark))
 
     return run
 
 
-def contents(width: int, whole: bool):
-    """For mapInArrow over (doc_id, text, hits): a row for each hit, (key, digest, doc_id, pos, left, right), or with `whole` (key,
-    digest, low, high, content). content: 16 bits for each shingle from width - 1 before the position to as many after it, 0
-    outside the interval; digest: a hash of it."""
-    span = 2 * width - 1
-    near = np.arange(-(width - 1), width)
+def distinct_texts(batches):
+    """For mapInArrow: (node, low, high, text), each text of this task once, with its least and greatest document."""
+    seen: dict[int, list[int]] = {}
+    for b in batches:
+        node, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+        new = []
+        for i, (t, d) in enumerate(zip(node, ids)):
+            if t not in seen:
+                new.append(i)
+                seen[t] = [d, d]
+            elif not seen[t][0] <= d <= seen[t][1]:
+                seen[t] = [min(seen[t][0], d), max(seen[t][1], d)]
+        if new:
+            at = pa.array(new)
+            own = b.column(1).take(at)
+            yield batch(node=b.column(0).take(at), low=own, high=own, text=b.column(2).take(at))
+    wide = [(t, *r) for t, r in seen.items() if r[0] < r[1]]
+    if wide:
+        t, low, high = zip(*wide)
+        none = pa.nulls(len(t), pa.string())
+        yield batch(node=pa.array(t, pa.int64()), low=pa.array(low, pa.int64()), high=pa.array(high, pa.int64()), text=none)
+
+
+# --- windows of one key --------------------------------------------------------------------------------------
+
+
+def joined_by_key(few: int):
+    """For mapInArrow over (key, node, mark) sorted by all three: (node, mark, group, crowded) of windows that meet others.
+
+    Under a key of up to `few` texts a window gets a row for each other text, whose group is the pair; under one of
+    more a single row, whose group is the key. A crowded key is passed on as it is read, never held."""
+
+    def settle(key, node, mark):
+        new = np.flatnonzero((np.diff(key, prepend=key[0] ^ 1) != 0) | (np.diff(node, prepend=node[0]) != 0))
+        text = np.cumsum(np.bincount(new, minlength=len(key))) - 1  # of each row, its (key, text)
+        at = np.flatnonzero(np.diff(key[new], prepend=key[0] ^ 1) != 0)
+        texts = np.diff(np.append(at, len(new)))  # of each key
+        of = np.repeat(np.arange(len(at)), texts)[text]  # of each row, its key
+        d = texts[of]
+        rows = np.flatnonzero((d > 1) & (d <= few))
+        own = np.repeat(rows, d[rows])
+        other = np.arange(len(own)) - np.repeat(np.cumsum(d[rows]) - d[rows], d[rows]) + at[of[own]]
+        own, other = own[other != text[own]], other[other != text[own]]
+        x, y = node[own].view(np.uint64), node[new[other]].view(np.uint64)
+        with np.errstate(over="ignore"):
+            pair = mix(np.minimum(x, y) * np.uint64(3) + mix(np.maximum(x, y)))
+        many = np.flatnonzero(d > few)
+        rows = np.concatenate((own, many))
+        if len(rows):
+            yield out(rows, node, mark, np.concatenate((pair.view(np.int64), key[many])), np.arange(len(rows)) >= len(own))
+
+    def out(rows, node, mark, group, crowded):
+        return batch(node=pa.array(node[rows]), mark=pa.array(mark[rows]), group=pa.array(group), crowded=pa.array(crowded))
 
     def run(batches):
+        held = np.zeros((3, 0), np.int64)
+        crowded, last = None, None
         for b in batches:
-            hits = b.column(2)
-            for row, offsets, data in steps(b.column(1)):
-                starts, ends, first = words(offsets, data)
-                sh, begin = shingles(word_hashes(starts, ends, data), first, SIZE)
-                n = len(offsets) - 1
-                part = hits.slice(row, n)
-                flat = part.flatten()
-                doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(part)))
-                pos, left, right, key = (np.asarray(flat.field(k)).astype(np.int64) for k in range(4))
-                if whole:
-                    low_id, high_id = (np.asarray(flat.field(k)) for k in (4, 5))
-                low = (sh >> np.uint64(48)).astype(np.uint16)
-                low[low == 0] = 1  # 0: outside
-                for at in range(0, len(doc), 20_000):
-                    own = slice(at, at + 20_000)
-                    inside = (near >= -left[own, None]) & (near <= right[own, None])
-                    content = np.where(inside, low[np.where(inside, (begin[doc[own]] + pos[own])[:, None] + near, 0)], 0).astype(np.uint16)
-                    with np.errstate(over="ignore"):
-                        digest = (mix(content.astype(np.uint64) + np.uint64(7)) * (numbers(41, span) | np.uint64(1))).sum(1)
-                    out = {"key": pa.array(key[own]), "digest": pa.array(mix(digest).view(np.int64))}
-                    if whole:
-                        yield batch(**out, low=pa.array(low_id[own]), high=pa.array(high_id[own]), content=pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * span), len(content), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary()))
-                    else:
-                        yield batch(**out, doc_id=b.column(0).slice(row, n).take(pa.array(doc[own])), pos=pa.array(pos[own].astype(np.int32)), left=pa.array(left[own].astype(np.int8)), right=pa.array(right[own].astype(np.int8)))
+            now = np.stack([np.asarray(b.column(k)) for k in range(3)])
+            new = np.ones(now.shape[1], bool)
+            new[1:] = (now[:, 1:] != now[:, :-1]).any(0)
+            if now.shape[1] and last is not None:
+                new[0] = (now[:, 0] != last).any()  # copies of a text have equal windows
+            if now.shape[1]:
+                last = now[:, -1]
+            held = np.concatenate((held, now[:, new]), 1)
+            if crowded is not None:
+                more = int(np.searchsorted(held[0] != crowded, True))
+                if more:
+                    yield out(slice(0, more), held[1], held[2], np.full(more, crowded), np.ones(more, bool))
+                held = held[:, more:]
+                crowded = None if held.shape[1] else crowded
+            if held.shape[1] < 400_000:
+                continue
+            cut_ = int(np.flatnonzero(held[0] != held[0, -1])[-1]) + 1 if held[0, 0] != held[0, -1] else 0
+            if cut_:
+                yield from settle(*held[:, :cut_])
+                held = held[:, cut_:]
+            if held.shape[1] >= 400_000 and len(np.unique(held[1])) > few:
+                crowded = held[0, -1]
+                yield out(slice(None), held[1], held[2], held[0], np.ones(held.shape[1], bool))
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from settle(*held)
+
+    return run
+
+
+# --- pieces of text ------------------------------------------------------------------------------------------
+
+PIECES = "kind byte, group long, digest long, node long, low long, high long, start long, length long, piece binary"
+
+
+def pieces(width: int):
+    """For mapInArrow over (node, mark, low, high, text), the text first, sorted by node: the pieces of text to compare.
+
+    kind 0: a pair's, overlapping windows united; 1: a crowded key's, where a piece that this batch has for the key
+    already comes without its bytes; 2: a whole text that several documents have, length shingles long."""
+
+    def settle(rows: pa.Table):
+        node, mark, low, high = (np.asarray(rows.column(k)) for k in ("node", "mark", "low", "high"))
+        first = np.flatnonzero(np.diff(node, prepend=node[0] ^ 1) != 0)
+        last = np.append(first[1:], len(node))
+        text = rows.column("text")
+        least = np.minimum.reduceat(np.where(mark < 0, low, np.iinfo(np.int64).max), first)
+        most = np.maximum.reduceat(np.where(mark < 0, high, np.iinfo(np.int64).min), first)
+        found: dict[str, list] = {k: [] for k in ("kind", "group", "digest", "node", "low", "high", "start", "length", "piece")}
+        seen: set = set()
+        for k in np.flatnonzero((most > least) | (mark[last - 1] >= 0)):
+            a, z = int(first[k]), int(last[k])
+            has = a
+            while has < z and text[has].as_py() is None:
+                has += 1
+            raw = text[has].as_py().encode()
+            data = np.frombuffer(raw, np.uint8)
+            starts, ends, _ = words(np.array([0, len(data)]), data)
+            total = len(starts) - SIZE + 1
+            begin = a + int((mark[a:z] < 0).sum())
+            m = mark[begin:z]
+            at = m >> 17
+            lo, hi = at - (m >> 9 & 255), at + (m >> 1 & 255)
+            crowded, group = m & 1 == 1, low[begin:z]
+            put = [(2, 0, 0, 0, total, b"")] if most[k] > least[k] and total >= width else []
+            own = np.flatnonzero(~crowded)
+            if len(own):
+                own = own[np.lexsort((lo[own], group[own]))]
+                g, x, y = group[own], lo[own], hi[own]
+                same = np.concatenate(([False], g[1:] == g[:-1]))
+                # the furthest end so far, within the group: ends are less than total
+                step = np.cumsum(~same) * (total + 1)
+                reach = np.maximum.accumulate(y + step) - step
+                open_ = ~same | (x > np.concatenate(([0], reach[:-1])) + 1)
+                head = np.flatnonzero(open_)
+                tail = np.append(head[1:], len(own)) - 1
+                for i, j in zip(head.tolist(), tail.tolist()):
+                    p, q = int(x[i]), int(reach[j])
+                    put.append((0, int(g[i]), 0, p, q - p + 1, raw[starts[p] : ends[q + SIZE - 1]]))
+            for i in np.flatnonzero(crowded).tolist():
+                p, q = int(lo[i]), int(hi[i])
+                piece = raw[starts[p] : ends[q + SIZE - 1]]
+                digest = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+                mine = (int(group[i]), digest, int(least[k]), int(most[k]))
+                put.append((1, int(group[i]), digest, p, q - p + 1, None if mine in seen else piece))
+                seen.add(mine)
+            for kind, g, digest, start, length, piece in put:
+                for name, v in zip(found, (kind, g, digest, int(node[a]), int(least[k]), int(most[k]), start, length, piece)):
+                    found[name].append(v)
+        if found["kind"]:
+            kinds = {"kind": pa.int8(), "piece": pa.binary()}
+            yield batch(**{name: pa.array(v, kinds.get(name, pa.int64())) for name, v in found.items()})
+
+    return by_runs("node", settle, 20_000, 8 << 20)
+
+
+def by_runs(name, settle, most_rows: int, most_bytes: int):
+    """For mapInArrow over rows sorted by the columns `name`: settle(table) of so many rows or bytes, in whole runs."""
+    names = (name,) if isinstance(name, str) else name
+
+    def run(batches):
+        held: list = []
+        rows = size = 0
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                held.append(part)
+                rows += part.num_rows
+                size += part.get_total_buffer_size() if k == 0 else 0
+                if rows < most_rows and size < most_bytes:
+                    continue
+                t = pa.Table.from_batches(held)
+                keys = [np.asarray(t.column(c)) for c in names]
+                other = np.logical_or.reduce([c != c[-1] for c in keys])
+                cut_ = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                if cut_:
+                    yield from settle(t.slice(0, cut_).combine_chunks())
+                    held = t.slice(cut_).combine_chunks().to_batches()
+                    rows, size = t.num_rows - cut_, 0
+        if rows:
+            yield from settle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def stretch(mask: np.ndarray, inside: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: begin and end of the union of stretches of `width`, all inside, with `need` marks at least; (0, 0) if none."""
-    total, within = (np.cumsum(np.pad(m.astype(np.int16), ((0, 0), (1, 0))), 1) for m in (mask, inside))
-    good = (total[:, width:] - total[:, :-width] >= need) & (within[:, width:] - within[:, :-width] == width)
-    any_ = good.any(1)
-    return np.where(any_, good.argmax(1), 0), np.where(any_, good.shape[1] - 1 - good[:, ::-1].argmax(1) + width, 0)
-
-
-def alike(x: np.ndarray, y: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(begin and end in x, begin and end in y) of the passages that rows of x and y have in common; ends are 0 where none."""
-    inside, there = x != 0, y != 0
-    equal = (x == y) & inside
-    marks = equal.sum(1)
-    a, b, c, d = (np.zeros(len(x), np.int64) for _ in range(4))
-    near = np.flatnonzero(marks >= need)
-    a[near], b[near] = stretch(equal[near], inside[near], width, need)
-    c[near], d[near] = stretch(equal[near], there[near], width, need)
-    none = (b == 0) | (d == 0)
-    a[none] = b[none] = c[none] = d[none] = 0
-    rest = np.flatnonzero(none & (inside.sum(1) >= width) & (there.sum(1) >= width))
-    if len(rest):  # what was inserted or left out shifts the rest: compare as sets, where that has more in common than the places
-        # distinct shingles in common: in order, each changes once from x to y
-        both = np.sort(np.concatenate((x[rest].astype(np.uint32) * 2, y[rest].astype(np.uint32) * 2 + 1), 1), 1)
-        common = ((both[:, 1:] == both[:, :-1] + 1) & (both[:, 1:] % 2 == 1) & (both[:, 1:] > 1)).sum(1)
-        rest = rest[(common >= need) & (common > marks[rest])]
-    for i in (rest[k : k + 1000] for k in range(0, len(rest), 1000)):
-        p, q = x[i] != 0, y[i] != 0
-        same = (x[i][:, :, None] == y[i][:, None, :]) & p[:, :, None]
-        a[i], b[i] = stretch(same.any(2), p, width, need)
-        c[i], d[i] = stretch(same.any(1), q, width, need)
-        none = i[(b[i] == 0) | (d[i] == 0)]
-        a[none] = b[none] = c[none] = d[none] = 0
-    return a, b, c, d
-
-
-def _shares(items: np.ndarray, sizes: np.ndarray, most: int):
-    """Consecutive parts of items whose sizes add up to about `most`."""
-    at = 0
-    total = np.concatenate(([0], np.cumsum(sizes)))
-    while at < len(items):
-        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
-        yield items[at:end]
-        at = end
-
-
-def judged(width: int, need: int):
-    """For mapInArrow over rows sorted by (key, block): (key, digest, start, end, least and greatest match, found, open) of each row.
-
-    A row is open until its whole interval is covered by what it matched. Stretches that are equal at the same place are met by hash,
-    of all rows at once; then each pair is compared of which one row is open, in a key of more than FEW rows, which may
-    share no more than a common line, only rows that share one of their rarest shingles; see below. Rows with a home (0 or
-    more) have met those of the same home before, and only rows that ask count as open there."""
+# --- comparison of words -------------------------------------------------------------------------------------
+
+
+def spread(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """at[k], at[k] + 1, ..., `length[k]` numbers for each k."""
+    return np.repeat(at - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+
+
+def covered(stretches: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n places lie in a stretch of `width` from one of these starts."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, stretches, 1)
+    np.add.at(edge, stretches + width, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _stretches(mark, many, there, piece, width, need):
+    """Starts of stretches within one piece of which `need` shingles stand within one stretch of the other side.
+
+    there: where on the other side a marked shingle stands first; many: it stands there several times, and counts wherever it is."""
+    total = np.concatenate(([0], np.cumsum(mark)))
+    near = np.flatnonzero((total[width:] - total[:-width] >= need) & (piece[: len(piece) - width + 1] == piece[width - 1 :]))
+    if not len(near):
+        return near
+    low = sliding(np.where(mark, there, _FAR), width)[near]
+    high = _FAR - sliding(np.where(mark, _FAR - there, _FAR), width)[near]
+    tight = high - low < width
+    several = np.concatenate(([0], np.cumsum(many & mark)))
+    tight |= several[near + width] > several[near]
+    rest, ok = near[~tight], [near[tight]]
+    spots = np.where(mark, there, _FAR)
+    for k in range(0, len(rest), 8192):
+        at = rest[k : k + 8192]
+        p = np.sort(spots[at[:, None] + np.arange(width)], 1)
+        hit = (p[:, need - 1 :] - p[:, : width - need + 1] < width) & (p[:, need - 1 :] < _FAR)
+        ok.append(at[hit.any(1)])
+    return np.concatenate(ok)
+
+
+def compared(a: tuple, b: tuple, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of a and of b lie in a passage that both have. a, b: (shingle, pair, place, piece) arrays."""
+    n = len(a[0])
+    pair = np.concatenate((a[1], b[1])).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        code = mix(np.concatenate((a[0], b[0])) + mix(pair + np.uint64(9)))
+    order = np.argsort(code, kind="stable")  # of equal ones those of a come first
+    code = code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    if not len(first):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    size = np.diff(np.append(first, len(code)))
+    of_b = np.add.reduceat((order >= n).astype(np.int64), first)
+    of_a = size - of_b
+    both = (of_a > 0) & (of_b > 0)
+    there = np.zeros((2, len(first)), np.int64)
+    there[0, both] = b[2][order[(first + of_a)[both]] - n]
+    there[1, both] = a[2][order[first[both]]]
+    group = np.empty(len(code), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), size)
+    out = []
+    for side, g, many, piece in ((0, group[:n], of_b > 1, a[3]), (1, group[n:], of_a > 1, b[3])):
+        at = _stretches(both[g], many[g], there[side][g], piece, width, need) if len(g) >= width else np.zeros(0, np.int64)
+        out.append(covered(at, len(g), width))
+    return out[0], out[1]
+
+
+def runs_of(cover: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each covered run within one piece."""
+    on = np.flatnonzero(cover)
+    cut_ = (np.diff(on) > 1) | (np.diff(piece[on]) != 0)
+    return on[np.concatenate(([True], cut_))] if len(on) else on, on[np.concatenate((cut_, [True]))] if len(on) else on
+
+
+def hashed_pieces(column_) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of binary pieces of text, and the first of each piece."""
+    parts, sizes = [], []
+    for _, offsets, data in steps(column_.cast(pa.string())):
+        starts, ends, first = words(offsets, data)
+        sh, begin = shingles(word_hashes(starts, ends, data), first, SIZE)
+        parts.append(sh)
+        sizes.append(np.diff(begin))
+    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def other_document(low, high, i, j) -> np.ndarray:
+    """Whether rows i and j have two documents between them."""
+    return (low[i] != low[j]) | (high[i] != high[j]) | (low[i] != high[i])
+
+
+def pairs_compared(width: int, need: int):
+    """For mapInArrow over kind 0 sorted by (group, node, start): (node, start, end, match, last) of passages in common."""
 
     def settle(rows: pa.Table):
-        block, key, digest, low, high, asks, home = (np.asarray(rows.column(k)) for k in ("block", "key", "digest", "low", "high", "asks", "home"))
-        content = np.frombuffer(b"".join(rows.column("content").to_pylist()), np.uint16).reshape(len(key), -1)
-        segment = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
-        n = len(key)
-        start, end, match, last = np.full(n, 2 * content.shape[1]), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        full = content != 0
-        first, beyond = full.argmax(1), content.shape[1] - full[:, ::-1].argmax(1)
-
-        def note(i, a, b, partner, top):
-            """Rows i hold a passage from a to b that these documents share; a row may come several times."""
-            np.minimum.at(start, i, a)
-            np.maximum.at(end, i, b)
-            np.minimum.at(match, i, partner)
-            np.maximum.at(last, i, top)
-
-        def open_(i):
-            return asks[i] & ((start[i] > first[i]) | (end[i] < beyond[i]))
-
-        def compare(i, j):
-            """Rows i[k] against j[k], where one is still open."""
-            for k in range(0, len(i), 20_000):
-                x, y = i[k : k + 20_000], j[k : k + 20_000]
-                ask = (open_(x) | open_(y)) & ((low[x] != low[y]) | (high[x] != high[y]) | (low[x] != high[x])) & ((home[x] != home[y]) | (home[x] < 0))
-                x, y = x[ask], y[ask]
-                a, b, c, d = alike(content[x], content[y], width, need)
-                ok = b > 0
-                x, y, a, b, c, d = (v[ok] for v in (x, y, a, b, c, d))
-                note(x, a, b, low[y], high[y])
-                note(y, c, d, low[x], high[x])
-
-        def equal():
-            """Notes all stretches of `width` that rows of one segment have in common at the same place."""
-            with np.errstate(over="ignore"):
-                total = np.cumsum(np.pad(mix(content.astype(np.uint64) + np.uint64(7)) * (numbers(43, content.shape[1]) | np.uint64(1)), ((0, 0), (1, 0))), 1)
-                places = np.arange(total.shape[1] - width, dtype=np.uint64)
-                code = mix(mix(total[:, width:] - total[:, :-width]) + mix(segment.astype(np.uint64)[:, None] * np.uint64(1 << 10) + places))
-            inside = (first[:, None] <= places.astype(np.int64)) & (places.astype(np.int64) + width <= beyond[:, None])
-            row, place = np.nonzero(inside)
-            code = code[row, place]
-            order = np.argsort(code, kind="stable")
-            code, row, place = code[order], row[order], place[order]
-            if not len(code):
+        group, node, low, high, start = (np.asarray(rows.column(k)) for k in ("group", "node", "low", "high", "start"))
+        sh, begin = hashed_pieces(rows.column("piece"))
+        pair = np.cumsum(np.diff(group, prepend=group[0]) != 0)
+        head = np.flatnonzero(np.diff(group, prepend=group[0] ^ 1) != 0)
+        tail = np.append(head[1:], len(group)) - 1
+        side = node != node[head][pair]
+        differ = other_document(low, high, head, tail)[pair]
+        piece = np.repeat(np.arange(len(group)), np.diff(begin))
+        place = np.arange(len(sh)) - begin[:-1][piece] + start[piece]
+        sides = []
+        for s in (False, True):
+            at = np.flatnonzero(((side == s) & differ)[piece])
+            sides.append((sh[at], pair[piece[at]], place[at], piece[at]))
+        for me, cover in zip(sides, compared(*sides, width, need)):
+            x, y = runs_of(cover, me[3])
+            row = me[3][x]
+            other = np.where(side[row], head[pair[row]], tail[pair[row]])
+            yield batch(
+                node=pa.array(node[row]), start=pa.array(me[2][x]), end=pa.array(me[2][y] + 1),
+                match=pa.array(low[other]), last=pa.array(high[other]),
+            )
+
+    return by_runs("group", settle, 20_000, 2 << 20)
+
+
+class Crowd:
+    """Rows of crowded keys: which of their shingles lie in a passage that another document has under the same key.
+
+    seg: the key (or block of one) of each row; home: rows of one home (0 or more) have met before; asks: rows that still look for others."""
+
+    def __init__(self, seg, low, high, sh, begin, width, need, home=None, asks=None, cover=None):
+        self.seg, self.low, self.high, self.sh, self.begin, self.width, self.need = seg, low, high, sh, begin, width, need
+        n = len(seg)
+        self.home = np.full(n, -1) if home is None else home
+        self.asks = np.ones(n, bool) if asks is None else asks
+        self.length = np.diff(begin)
+        self.row = np.repeat(np.arange(n), self.length)
+        self.cover = np.zeros(len(sh), bool) if cover is None else cover
+        self.match, self.last = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        self.code = mix(sh + mix(seg.astype(np.uint64) + np.uint64(5))[self.row])
+        whole = self.row[: max(0, len(sh) - width + 1)] == self.row[width - 1 :]
+        self.starts = np.flatnonzero(whole)  # of all stretches
+
+    def note(self, rows, partner, top):
+        np.minimum.at(self.match, rows, partner)
+        np.maximum.at(self.last, rows, top)
+
+    def equal(self):
+        """Passages that are equal word by word, of all rows at once."""
+        own = np.flatnonzero((self.low != self.high) & (self.length >= self.width))  # equal pieces in several documents
+        self.cover[spread(self.begin[own], self.length[own])] = True
+        self.note(own, self.low[own], self.high[own])
+        if not len(self.starts):
+            return
+        n = len(self.sh)
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.full(n, _RADIX, np.uint64))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.code) * power)))
+            power = np.multiply.accumulate(np.full(n, pow(_RADIX, -1, 1 << 64), np.uint64))
+            code = mix((total[self.starts + self.width] - total[self.starts]) * power[self.starts])
+        order = np.argsort(code)
+        row = self.row[self.starts[order]]
+        code = code[order]
+        at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        size = np.diff(np.append(at, len(code)))
+        least, most = np.minimum.reduceat(self.low[row], at), np.maximum.reduceat(self.high[row], at)
+        ok = np.repeat(least < most, size)
+        self.cover |= covered(self.starts[order[ok]], n, self.width)
+        self.note(row[ok], np.repeat(least, size)[ok], np.repeat(most, size)[ok])
+
+    def support(self):
+        """Of each shingle how many rows of its key hold it, and whether two documents do."""
+        self.order = np.argsort(self.code)
+        code = self.code[self.order]
+        self.at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        self.often = np.diff(np.append(self.at, len(code)))
+        row = self.row[self.order]
+        shared = np.minimum.reduceat(self.low[row], self.at) < np.maximum.reduceat(self.high[row], self.at)
+        self.group = np.empty(len(code), np.int64)
+        self.group[self.order] = np.repeat(np.arange(len(self.at)), self.often)
+        self.held = shared[self.group]
+        total = np.concatenate(([0], np.cumsum(self.held)))
+        # no passage has fewer shingles than `need` in another document
+        self.starts = self.starts[total[self.starts + self.width] - total[self.starts] >= self.need]
+
+    def open(self):
+        """Starts of stretches that could match and are not covered yet."""
+        total = np.concatenate(([0], np.cumsum(self.cover)))
+        at = self.starts
+        return at[(total[at + self.width] - total[at] < self.width) & self.asks[self.row[at]]]
+
+    def compare(self, i, j):
+        ok = (i != j) & other_document(self.low, self.high, i, j) & ((self.home[i] != self.home[j]) | (self.home[i] < 0))
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 6000):
+            x, y = i[k : k + 6000], j[k : k + 6000]
+            sides, flat = [], []
+            for r in (x, y):
+                at, pair = spread(self.begin[r], self.length[r]), np.repeat(np.arange(len(r)), self.length[r])
+                sides.append((self.sh[at], pair, at - self.begin[r][pair], pair))
+                flat.append(at)
+            for me, at, cover, own, other in zip(sides, flat, compared(*sides, self.width, self.need), (x, y), (y, x)):
+                self.cover[at[cover]] = True
+                hit = np.unique(me[1][cover])
+                self.note(own[hit], self.low[other[hit]], self.high[other[hit]])
+
+    def typical(self):
+        """What is open against the row of its key that has most in common with all; again for those still open."""
+        score = np.bincount(self.row, self.often[self.group] * self.held, len(self.seg))
+        used = np.zeros(len(self.seg), bool)
+        for k in range(ROUNDS):
+            rows = np.unique(self.row[self.open()])
+            if not len(rows):
                 return
-            at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            least, most = np.minimum.reduceat(low[row], at), np.maximum.reduceat(high[row], at)
-            of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(code))))
-            ok = (least < most)[of]
-            note(row[ok], place[ok], place[ok] + width, least[of][ok], most[of][ok])
-
-        def pairs(index, often):
-            """All pairs within index : index + often."""
-            i = np.repeat(index, often)
-            i = i + np.arange(len(i)) - np.repeat(np.cumsum(often) - often, often)
-            left = np.repeat(index + often, often) - i - 1
-            a = np.repeat(i, left)
-            return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
-
-        def crowd(held):
-            """The same for the rows of one segment that share a mark with more than FEW: held as in candidates, all of one segment."""
-            mark, row = held >> 20, held & 0xFFFFF
-            rows, row = np.unique(row, return_inverse=True)
-            near = np.zeros((len(rows), len(rows)), bool)
-            cuts = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1], [True])))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                near[np.ix_(row[a:b], row[a:b])] = True
-            np.fill_diagonal(near, False)
-            size = 1
-            while True:
-                # what is open asks all it may be like, a few rows at first, as most may be like those
-                ask = np.flatnonzero(open_(rows) & near.any(1))[:size]
-                if not len(ask):
-                    return
-                i, j = np.nonzero(near[ask])
-                once = ~np.isin(j, ask) | (ask[i] < j)
-                compare(rows[ask[i[once]]], rows[j[once]])
-                near[ask] = False
-                near[:, ask] = False
-                size = min(64, 2 * size)
-
-        def candidates(row, mark):
-            """Compares rows that share one of their first marks; rows with fewer marks than `need` share too few with any."""
-            m = np.bincount(row, minlength=n)
-            enough = m[row] >= need
-            row, mark = row[enough], mark[enough]
-            code = segment[row].astype(np.int64) << 24 | mark
-            _, back, often = np.unique(code, return_inverse=True, return_counts=True)
-            order = np.lexsort((code, often[back], row))
-            m = np.bincount(row, minlength=n)
-            rank = np.arange(len(order)) - (np.cumsum(m) - m)[row[order]]
-            head = order[rank < (m - need + 1)[row[order]]]
-            held = np.sort(code[head] << 20 | row[head])
-            _, index, often = np.unique(held >> 20, return_index=True, return_counts=True)
-            small = (often > 1) & (often <= FEW)
-            for part in _shares(np.flatnonzero(small), often[small] ** 2, 400_000):
-                a, b = pairs(index[part], often[part])
-                pair = np.unique((held[a] & 0xFFFFF) << 20 | (held[b] & 0xFFFFF))
-                compare(pair >> 20, pair & 0xFFFFF)
-            held = held[np.repeat(often > FEW, often)]
-            cuts = np.flatnonzero(np.concatenate(([True], held[1:] >> 44 != held[:-1] >> 44, [True]))) if len(held) else []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                crowd(held[a:b])
-
-        own = np.flatnonzero(low != high)  # equal content in several documents
-        a, b = stretch(full[own], full[own], width, width)
-        ok = b > 0
-        note(own[ok], a[ok], b[ok], low[own][ok], high[own][ok])
-        equal()
-        size = np.bincount(segment)
-        at = np.cumsum(size) - size
-        few = np.flatnonzero(size <= FEW)
-        for part in _shares(few, size[few] ** 2, 400_000):
-            compare(*pairs(at[part], size[part]))
-        rows = np.flatnonzero((size > FEW)[segment])
-        if len(rows):
-            # Rows alike place by place share `need` marks (place, shingle); rows alike as sets share `need` shingles. In order of
-            # how many rows hold them, the rarest mark shared is among the first m - need + 1 of the m marks of either
-            # row: only rows that share one of their first can be alike.
-            row, place = np.nonzero(content[rows])
-            value = content[rows[row], place].astype(np.int64)
-            row = rows[row]
-            candidates(row, place << 16 | value)
-            distinct = np.unique(row << 16 | value)
-            candidates(distinct >> 16, distinct & 0xFFFF)
-        found, left = end > 0, open_(np.arange(n))
-        out = found | left
-        return batch(key=pa.array(key[out]), digest=pa.array(digest[out]), start=pa.array(start[out]), end=pa.array(end[out]), match=pa.array(match[out]), last=pa.array(last[out]), found=pa.array(found[out]), open=pa.array(left[out]))
+            pool = rows[~used[rows]] if k else np.flatnonzero(np.isin(self.seg, self.seg[rows]))
+            pool = pool[np.lexsort((score[pool], self.seg[pool]))]
+            hub = pool[np.flatnonzero(np.diff(np.append(self.seg[pool], -1)) != 0)] if len(pool) else pool
+            used[hub] = True
+            of = np.full(int(self.seg.max()) + 1, -1)
+            of[self.seg[hub]] = hub
+            rows = rows[of[self.seg[rows]] >= 0]
+            self.compare(rows, of[self.seg[rows]])
+
+    def rarest(self):
+        """What is still open against all rows that share one of its rarest shingles.
+
+        A match shares `need` of a stretch's shingles, so at least one of any width - need + 1 of them; those that no
+        other document holds are surely among the others."""
+        at = self.open()
+        if not len(at):
+            return
+        miss = self.width - self.need + 1
+        wanted = []
+        for k in range(0, len(at), 8192):
+            flat = at[k : k + 8192, None] + np.arange(self.width)
+            often = np.where(self.held[flat], self.often[self.group[flat]], 0)  # those alone go first, and ask nothing
+            best = np.argsort(often, 1, kind="stable")[:, :miss]
+            rare = np.take_along_axis(flat, best, 1)[np.take_along_axis(often, best, 1) > 0]
+            wanted.append(np.unique(self.row[rare] << 32 | self.group[rare]))
+        wanted = np.unique(np.concatenate(wanted))
+        size = self.often[wanted & 0xFFFFFFFF]
+        order = np.argsort(size, kind="stable")
+        wanted, size = wanted[order], size[order]
+        total = np.concatenate(([0], np.cumsum(size)))
+        done = np.zeros(0, np.int64)
+        k = 0
+        while k < len(wanted):
+            end = max(k + 1, int(np.searchsorted(total, total[k] + SHARE, "right")) - 1)
+            row, group = wanted[k:end] >> 32, wanted[k:end] & 0xFFFFFFFF
+            still = np.isin(row, self.row[self.open()])
+            row, group = row[still], group[still]
+            other = self.row[self.order[spread(self.at[group], self.often[group])]]
+            pair = np.unique(np.repeat(row, self.often[group]) << 32 | other)
+            pair = pair[~np.isin(pair, done, assume_unique=True)]
+            done = np.union1d(done, pair)[-4 * SHARE :]  # only spares work
+            self.compare(pair >> 32, pair & 0xFFFFFFFF)
+            k = end
+
+    def settle(self):
+        if len(self.sh):
+            self.equal()
+            self.support()
+            self.typical()
+            self.rarest()
+        return self
+
+
+FOUND = "group long, digest long, start long, end long, match long, last long"
+
+
+def crowds_compared(width: int, need: int):
+    """For mapInArrow over kind 1 sorted by (group, block): (group, digest, start, end, match, last), places from the piece's first."""
+
+    def settle(rows: pa.Table):
+        group, block, digest, low, high = (np.asarray(rows.column(k)) for k in ("group", "block", "digest", "low", "high"))
+        seg = np.cumsum((np.diff(group, prepend=group[0]) != 0) | (np.diff(block, prepend=block[0]) != 0))
+        sh, begin = hashed_pieces(rows.column("piece"))
+        more = {k: np.asarray(rows.column(k)) for k in ("home", "asks") if k in rows.column_names}
+        c = Crowd(seg, low, high, sh, begin, width, need, **more).settle()
+        x, y = runs_of(c.cover, c.row)
+        row = c.row[x]
+        yield batch(
+            group=pa.array(group[row]), digest=pa.array(digest[row]), start=pa.array(x - begin[row]), end=pa.array(y + 1 - begin[row]),
+            match=pa.array(c.match[row]), last=pa.array(c.last[row]),
+        )
+
+    return by_runs(("group", "block"), settle, 10_000, 6 << 20)
+
+
+def coded(batches):
+    """For mapInArrow: (group, digest, low, high, place, code) of each shingle of (group, digest, low, high, piece)."""
+    for b in batches:
+        for k in range(0, b.num_rows, 500):
+            part = b.slice(k, 500)
+            sh, begin = hashed_pieces(part.column(4))
+            row = np.repeat(np.arange(part.num_rows), np.diff(begin))
+            group = np.asarray(part.column(0)).view(np.uint64)
+            code = mix(sh + mix(group)[row]).view(np.int64)
+            own = pa.array(row)
+            yield batch(
+                group=part.column(0).take(own), digest=part.column(1).take(own), low=part.column(2).take(own), high=part.column(3).take(own),
+                place=pa.array((np.arange(len(sh)) - begin[:-1][row]).astype(np.int32)), code=pa.array(code),
+            )
+
+
+def unsettled(width: int, need: int):
+    """For mapInArrow: (group, digest) of rows (group, digest, places, spans) with a stretch that other documents could match and none covers."""
 
     def run(batches):
-        held = None
         for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 20_000:
-                continue
-            key, block = np.asarray(held.column("key")), np.asarray(held.column("block"))
-            cut_ = int(np.flatnonzero((key != key[-1]) | (block != block[-1]))[-1]) + 1 if ((key != key[-1]) | (block != block[-1])).any() else 0
-            if cut_:
-                yield settle(held.slice(0, cut_).combine_chunks())
-                held = held.slice(cut_)
-        if held is not None and held.num_rows:
-            yield settle(held.combine_chunks())
+            keep = []
+            for places, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                n = max(places) + 1
+                held, cover = np.zeros(n + width, np.int64), np.zeros(n + width, np.int64)
+                held[places] = 1
+                for s in spans or ():
+                    cover[s["start"] : s["end"]] = 1
+                total, done = (np.concatenate(([0], np.cumsum(v))) for v in (held, cover))
+                keep.append(bool(((total[width:] - total[:-width] >= need) & (done[width:] - done[:-width] < width)).any()))
+            yield batch(group=b.column(0).filter(pa.array(keep, pa.bool_())), digest=b.column(1).filter(pa.array(keep, pa.bool_())))
 
     return run
 
 
+def across(placed: DataFrame, found: DataFrame, width: int, need: int) -> DataFrame:
+    """What rows of keys of several blocks have in common with other blocks' rows.
+
+    Only rows that could still match look for others: which of their shingles two documents of the key hold is counted over the
+    whole key."""
+    many = placed.where("blocks > 1")
+    codes = many.select("group", "digest", "low", "high", "piece").mapInArrow(coded, "group long, digest long, low long, high long, place int, code long")
+    codes = cut(codes)
+    shared = codes.groupBy("code").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("code")
+    places = codes.join(shared, "code").groupBy("group", "digest").agg(F.collect_list("place").alias("places"))  # a piece's own
+    spans = found.groupBy("group", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    open_ = places.join(spans, ["group", "digest"], "left").mapInArrow(unsettled(width, need), "group long, digest long")
+    open_ = cut(open_.withColumn("asks", F.lit(True)))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = many.join(open_, ["group", "digest"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    asked = rows.where("asks").select("group", F.col("block").alias("other"), F.lit(True).alias("any")).distinct()
+    met = rows.select("group", "digest", "low", "high", "piece", "blocks", F.col("block").alias("home"), "asks", every).where("other <> home")
+    met = met.join(asked, ["group", "other"], "left").where("asks or any")
+    met = met.withColumn("block", F.least("home", "other") * F.col("blocks") + F.greatest("home", "other"))
+    met = met.select("group", "block", "digest", "low", "high", "piece", "home", "asks")
+    sorted_ = met.repartition(slots(placed.sparkSession), "group", "block").sortWithinPartitions("group", "block")
+    return sorted_.mapInArrow(crowds_compared(width, need), FOUND)
+
+
+# --- the operator --------------------------------------------------------------------------------------------
+
+
 def merged(batches):
-    """For mapInArrow: passages (doc_id, start_word, end_word, n_words, match_doc_id) of (doc_id, spans)."""
+    """For mapInArrow: passages (node, start_word, end_word, n_words, match, last) of (node, spans)."""
     for b in batches:
         rows: list[tuple] = []
-        for doc_id, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for node, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             now = None
-            for s in sorted((x["start"], x["end"], x["match"]) for x in spans):
+            for s in sorted((x["start"], x["end"], x["match"], x["last"]) for x in spans):
                 if now and s[0] <= now[1]:
-                    now = [now[0], max(now[1], s[1]), min(now[2], s[2])]
+                    now = [now[0], max(now[1], s[1]), min(now[2], s[2]), max(now[3], s[3])]
                 else:
                     if now:
-                        rows.append((doc_id, *now))
+                        rows.append((node, *now))
                     now = list(s)
             if now:
-                rows.append((doc_id, *now))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield batch(doc_id=pa.array(cols[0], pa.int64()), start_word=pa.array(cols[1], pa.int64()), end_word=pa.array([e + SIZE - 1 for e in cols[2]], pa.int64()), n_words=pa.array([e + SIZE - 1 - s for s, e in zip(cols[1], cols[2])], pa.int64()), match_doc_id=pa.array(cols[3], pa.int64()))
+                rows.append((node, *now))
+        node, start, end, match, last = (np.array(c, np.int64) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+        end = end + SIZE - 1
+        yield batch(
+            node=pa.array(node), start_word=pa.array(start), end_word=pa.array(end), n_words=pa.array(end - start),
+            match=pa.array(match), last=pa.array(last),
+        )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 50, threshold: float = 0.8, functions: int = 4) -> DataFrame:
@@ -350,59 +651,44 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A passage is a stretch of at least `passage` words of which each stretch of that many has a Jaccard similarity of
     at least the threshold (of word 5-grams) to one in another document; match_doc_id is the smallest such document met.
-    Passages that overlap are one row. Passages that only their own document repeats are not reported, so rows of one id and text
-    are one document; rows without an id, null texts and texts shorter than a passage give nothing. Whole texts are read."""
+    A 5-gram that repeats within a piece counts wherever it stands there. Passages that overlap are one row. Passages that
+    only their own document repeats are not reported, so rows of one id and text are one document; rows without an id, null
+    texts and texts shorter than a passage give nothing. Whole texts are read."""
     spark = docs.sparkSession
     width = passage - SIZE + 1
     need = int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9))
     scratch = Scratch(spark)
     base = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).where("doc_id is not null and text is not null")
-    base = base.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
-    seen = scratch.save(base.mapInArrow(windows(width, functions), "rid long, doc_id long, pos int, left byte, right byte, key long"), "windows")
-    keys = seen.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    met = scratch.save(seen.join(keys, "key").groupBy("rid", "doc_id").agg(F.collect_list(F.struct("pos", "left", "right", "key")).alias("hits")), "met")  # a document's own windows
-    scratch.drop("windows")
-    release(spark)
-    shipped = base.join(met.drop("doc_id"), "rid").select("doc_id", "text", "hits")
-    made = scratch.save(shipped.mapInArrow(contents(width, False), "key long, digest long, doc_id long, pos int, left byte, right byte"), "digests")
-    release(spark)
-    each = made.groupBy("key", "digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "pos", "left", "right")).alias("at"))
-    each = scratch.save(each, "each")
-    release(spark)
-    size = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
-    # equal contents need no comparison; of a key with several, each is read once, at its first place
-    shared = each.where((F.col("low") < F.col("high")) & (F.col("at.left") + F.col("at.right") + 1 >= width))
-    alike_ = shared.select("key", "digest", (width - 1 - F.col("at.left")).cast("long").alias("start"), (width + F.col("at.right")).cast("long").alias("end"), F.col("low").alias("match"), F.col("high").alias("last"))
-    several = each.join(size.where("n > 1 and least < most").select("key"), "key")
-    hits = several.groupBy(F.col("at.doc_id").alias("first_id")).agg(F.collect_list(F.struct("at.pos", "at.left", "at.right", "key", "low", "high")).alias("own"))
-    hits = met.select(F.col("doc_id").alias("first_id"), "rid").join(hits, "first_id").select("rid", "own")
-    read = base.join(hits.hint("shuffle_hash"), "rid").select("doc_id", "text", "own").mapInArrow(contents(width, True), "key long, digest long, low long, high long, content binary")
-    placed = scratch.save(read, "contents")
+    base = base.select(F.xxhash64("text").alias("node"), "doc_id", "text")
+    seen = base.select("node", "text").mapInArrow(windows(width, functions), "key long, node long, mark long")
+    seen = seen.repartition(slots(spark), "key").sortWithinPartitions("key", "node", "mark")
+    met = seen.mapInArrow(joined_by_key(FEW), "node long, mark long, group long, crowded boolean")
+    met = met.select("node", F.expr("mark * 2 + int(crowded)").alias("mark"), F.col("group").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(None).cast("string").alias("text"))
+    met = scratch.save(met, "met")
+    texts = base.mapInArrow(distinct_texts, "node long, low long, high long, text string")
+    both = texts.select("node", F.lit(-1).cast("long").alias("mark"), "low", "high", "text").unionByName(met)
+    both = both.repartition(slots(spark), "node").sortWithinPartitions("node", "mark")
+    made = scratch.save(both.mapInArrow(pieces(width), PIECES), "pieces")
     scratch.drop("met")
-    release(spark)
-    crowds = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_KEYS else crowds
-    placed = placed.join(crowds, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    columns = ("key", "block", "digest", "low", "high", "content", "asks", "home")
-    schema = "key long, digest long, start long, end long, match long, last long, found boolean, open boolean"
-
-    def settled(rows: DataFrame) -> DataFrame:
-        return rows.select(*columns).repartition(slots(spark), "key", "block").sortWithinPartitions("key", "block").mapInArrow(judged(width, need), schema)
-
-    one = cut(settled(placed.withColumn("asks", F.lit(True)).withColumn("home", F.lit(-1))))
-    release(spark)
-    # two blocks of a key are met where one has contents that are still open
-    many = placed.where("blocks > 1")
-    still = many.join(one.where("open").select("key", "digest"), ["key", "digest"], "left_semi")
-    asked = cut(still.groupBy("key", "block").agg(F.lit(True).alias("any")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met_ = many.select("key", "digest", "low", "high", "content", "blocks", F.col("block").alias("home"), every).where("other <> home")
-    met_ = met_.join(one.where("open").select("key", "digest", F.lit(True).alias("asks")), ["key", "digest"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    # of the others, only those that an open content of the other block asks
-    met_ = met_.join(asked.withColumnRenamed("block", "other"), ["key", "other"], "left").where("asks or any")
-    met_ = met_.withColumn("block", (F.least("home", "other") * F.col("blocks") + F.greatest("home", "other")).cast("long"))
-    verdicts = one.where("found").unionByName(settled(met_).where("found"))
-    verdicts = verdicts.drop("found", "open").unionByName(alike_).groupBy("key", "digest").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("match").alias("match"), F.max("last").alias("last"))
-    at = F.col("pos") - (width - 1)
-    spans = made.select("key", "digest", "doc_id", "pos").join(verdicts, ["key", "digest"]).select("doc_id", (at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"), F.when(F.col("match") != F.col("doc_id"), F.col("match")).otherwise(F.col("last")).alias("match"))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "match")).alias("spans")).mapInArrow(merged, "doc_id long, start_word long, end_word long, n_words long, match_doc_id long")
+    pairs = made.where("kind = 0").select("group", "node", "low", "high", "start", "piece")
+    pairs = pairs.repartition(slots(spark), "group").sortWithinPartitions("group", "node", "start")
+    spans = pairs.mapInArrow(pairs_compared(width, need), "node long, start long, end long, match long, last long")
+    whole = made.where("kind = 2").select("node", "start", F.col("length").alias("end"), F.col("low").alias("match"), F.col("high").alias("last"))
+    # pieces of crowded keys, each content once
+    key = ["group", "digest"]
+    least = made.where("kind = 1").groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    content = made.where("kind = 1 and piece is not null").groupBy(*key).agg(F.first("piece").alias("piece"))
+    content = scratch.save(content.join(least, key), "contents")
+    blocks = content.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    placed = content.join(cut(blocks), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
+    rows = placed.select("group", "block", "digest", "low", "high", "piece").repartition(slots(spark), "group", "block")
+    found = cut(rows.sortWithinPartitions("group", "block").mapInArrow(crowds_compared(width, need), FOUND))
+    found = found.unionByName(across(placed, found, width, need))
+    members = made.where("kind = 1").select("group", "digest", "node", F.col("start").alias("first"))
+    crowd = members.join(found, key).select("node", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"), "match", "last")
+    every = spans.unionByName(whole).unionByName(crowd).groupBy("node").agg(F.collect_list(F.struct("start", "end", "match", "last")).alias("spans"))
+    passages = every.mapInArrow(merged, "node long, start_word long, end_word long, n_words long, match long, last long")
+    out = base.select("node", "doc_id").distinct().join(passages, "node")
+    partner = F.when(F.col("match") != F.col("doc_id"), F.col("match")).otherwise(F.col("last"))
+    return out.select("doc_id", "start_word", "end_word", "n_words", partner.alias("match_doc_id"))

@@ -422,25 +422,79 @@ def test_repeats_amid_other_frequent_passages(spark):
     assert all((cover[i][: len(w)] >= w).all() for i, w in exact_cover(texts).items())
 
 
-def test_repeats_of_followers_and_leaders(spark):
+def test_repeats_of_followers_and_leaders():
     """R shares a passage with L and another, overlapping one with M, which has followers of its own; all in one key."""
-    width = 46
     rng = np.random.default_rng(3)
-    some = lambda n: rng.integers(1, 1 << 16, n).astype(np.uint16)
+    some = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
     r = some(91)
     left, right = np.concatenate((r[:50], some(41))), np.concatenate((some(41), r[41:]))
     for extra in (0, 40):  # few rows, and many
         rows = [left, right, *(np.concatenate((some(20), right[20:])) for _ in range(3 + extra)), r]
         n = len(rows)
-        t = pa.table({
-            "key": np.zeros(n, np.int64), "block": np.zeros(n, np.int64), "digest": np.arange(n), "low": np.arange(n), "high": np.arange(n),
-            "content": pa.array([x.tobytes() for x in rows], pa.binary()), "asks": np.ones(n, bool), "home": np.full(n, -1, np.int32),
-        })
-        got = pa.Table.from_batches(list(repeats.judged(width, 41)(iter(t.combine_chunks().to_batches())))).to_pylist()
-        last = next(g for g in got if g["digest"] == n - 1)
-        assert (last["start"], last["end"]) == (0, 91)
+        crowd = repeats.Crowd(np.zeros(n, np.int64), np.arange(n), np.arange(n), np.concatenate(rows), np.arange(n + 1) * 91, 46, 41).settle()
+        x, y = repeats.runs_of(crowd.cover[-91:], np.zeros(91))
+        assert (x.tolist(), y.tolist()) == ([0], [90])
 
 
+def near_cover(texts, width=46, need=41):
+    """Shingles in a stretch of `width` of which `need` stand in one stretch of another document."""
+    ids: dict = {}
+    grams_ = {i: np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(len(w) - 4)]) for i, w in ((i, t.split()) for i, t in texts.items())}
+    cover = {i: np.zeros(len(g), bool) for i, g in grams_.items()}
+    total = lambda m: np.concatenate(([0], np.cumsum(m)))
+    many = lambda m: np.flatnonzero(total(m)[width:] - total(m)[:-width] >= need)
+    for i, x in grams_.items():
+        for j, y in grams_.items():
+            for at in many(np.isin(x, y)) if i != j else ():
+                if len(many(np.isin(y, x[at : at + width]))):
+                    cover[i][at : at + width] = True
+    return cover
+
+
+def crowded_texts(seed, copies, strangers):
+    """Near copies of one passage, and texts that share one line only, some of them with near stretches around it."""
+    rng = random.Random(seed)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage, line, texts = some(80), some(12), {}
+    for i in range(copies):
+        p = list(passage)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(p))
+            p[k : k + rng.randrange(2)] = some(rng.randrange(1, 2))
+        texts[i] = " ".join(some(60) + p + some(60))
+    for i in range(copies, copies + strangers, 2):
+        texts[i] = " ".join(some(60) + line + some(60))
+        w = texts[i].split()
+        w[55], w[80] = some(2)
+        texts[i + 1] = " ".join(some(7) + w[30:110] + some(30)) if i % 3 == 0 else " ".join(some(50) + line + some(50))
+    return texts
+
+
+@pytest.mark.parametrize("block", [16_384, 16])
+def test_repeats_against_brute_force_in_crowded_keys(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    texts = crowded_texts(4, 60, 100)
+    want = near_cover(texts)
+    got = {i: np.zeros(len(w), bool) for i, w in want.items()}
+    for r in repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id][r.start_word : r.end_word - 4] = True
+    missed = sum((want[i] & ~got[i]).sum() for i in want)
+    assert sum(w.sum() for w in want.values()) > 4000 and missed <= 0.01 * sum(w.sum() for w in want.values())
+    assert not any((got[i] & ~want[i]).any() for i in want)
+
+
+def test_windows_of_one_key_are_passed_on_whole():
+    """Crowded keys that no batch holds, copies of one window, keys of one text and of few."""
+    rng = np.random.default_rng(0)
+    rows = [(1, n, 5) for n in range(20) for _ in range(2)] + [(2, 7, 9)] * 3 + [(3, n, m) for n in (1, 2) for m in (4, 6)]
+    rows = sorted(rows + [(4, int(n), 8) for n in rng.integers(0, 1 << 40, 900_000)])
+    t = pa.table(dict(zip(("key", "node", "mark"), map(pa.array, zip(*rows)))))
+    got = pa.Table.from_batches(list(repeats.joined_by_key(8)(iter(t.to_batches(max_chunksize=10_000))))).to_pandas()
+    crowded = got[got.crowded]
+    assert (crowded.group == 1).sum() == 20 and (crowded.group == 4).sum() == len({r for r in rows if r[0] == 4})
+    few = got[~got.crowded]
+    assert sorted(zip(few.node, few.mark)) == [(1, 4), (1, 6), (2, 4), (2, 6)] and few.group.nunique() == 1
+
 
 def test_line_dedup_templates_of_one_leaf(spark):
     """Two templates with one number of words and one lead, in equal parts and beside many other lines."""
