@@ -5,7 +5,8 @@ often the context v was seen: one set of weights for each bucket of context freq
 expectation-maximisation on the counts of a held-out part of the training texts against counts of the rest.
 
 The corpus is read once into a table of blocks of about `block` tokens. A block sends the distinct n-grams it has, with its own
-counts of them, to the tasks that own them by hash; these add up and send each block the totals of what it asked for. So a
+counts of them, to the tasks that own them by hash; these add up and send each block the totals of what it asked for, and
+apart from those the counts without the deleted part, for what the block's deleted texts hold. So a
 frequent n-gram costs one entry for each block, no task holds more than a share of the n-grams, and nothing but a bounded
 histogram for the weights reaches the driver.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch
-from .shared import Scratch, column, mix, release, steps, word_hashes, words
+from .shared import Scratch, column, mix, slots, steps, tidy, word_hashes, words
 
 END, START = np.uint64(0x51ED270B), np.uint64(0x2545F491)  # the end of a text, and the context of its first token
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...; log-ratios of the estimates are kept to 1/8 of a factor of two.
@@ -164,46 +165,55 @@ def asked(bits: int):
 
 
 def answered(batches):
-    """For mapInArrow over requests sorted by owner: to each request the totals of its keys; with them the owner's sums."""
+    """For mapInArrow over requests sorted by owner: to each request the totals of its keys, and the counts without the deleted part
+    of those that its deleted texts hold; with one of them the owner's sums."""
 
     def reply_of(rows):
         keys = [ungap(r["keys"]) for r in rows]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.bincount(at, weights=np.concatenate([widen(r[c]) for r in rows]), minlength=len(every)).astype(np.int64) for c in ("c0", "c1")]
-        start = mix(START ^ np.uint64(0x5DEECE66D))
-        real = every != start if rows[0]["kind"] == 1 else np.zeros(len(every), bool)
-        sums = [int(totals[0][real].sum()), int(totals[1][real].sum()), int(((totals[0] + totals[1])[real] > 0).sum()), int((totals[0][real] > 0).sum())]
         own = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-        return batch(
-            id=pa.array([r["id"] for r in rows]), kind=pa.array([r["kind"] for r in rows], pa.int32()), part=pa.array([r["part"] for r in rows], pa.int32()),
-            t0=pa.array([narrow(totals[0][i]) for i in own], pa.binary()), t1=pa.array([narrow(totals[1][i]) for i in own], pa.binary()),
-            sums=pa.array([sums] + [[0, 0, 0, 0]] * (len(rows) - 1), pa.list_(pa.int64())),
-        )
+        del keys
+        kept, all_ = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        deleted = []
+        for r, i in zip(rows, own):  # a request has a key once
+            c0, c1 = widen(r["c0"]), widen(r["c1"])
+            kept[i] += c0
+            all_[i] += c0 + c1
+            deleted.append(i[c1 > 0])
+        real = every != mix(START ^ np.uint64(0x5DEECE66D)) if rows[0]["kind"] == 1 else np.zeros(len(every), bool)
+        sums = [int(kept[real].sum()), int(all_[real].sum()), int((all_[real] > 0).sum()), int((kept[real] > 0).sum())]
+        n = len(rows)
+        for flag, source, wanted in ((False, all_, own), (True, kept, deleted)):
+            yield batch(
+                id=pa.array([r["id"] for r in rows]), kind=pa.array([r["kind"] for r in rows], pa.int32()), part=pa.array([r["part"] for r in rows], pa.int32()),
+                deleted=pa.array([flag] * n), total=pa.array([narrow(source[i]) for i in wanted], pa.binary()),
+                sums=pa.array([[0, 0, 0, 0] if flag else sums] + [[0, 0, 0, 0]] * (n - 1), pa.list_(pa.int64())),
+            )
 
     owner, rows = None, []
     for r in rows_of(batches):
         if r["owner"] != owner and rows:
-            yield reply_of(rows)
+            yield from reply_of(rows)
             rows = []
         owner = r["owner"]
         rows.append(r)
     if rows:
-        yield reply_of(rows)
+        yield from reply_of(rows)
 
 
-def gathered(block: Block, kinds, parts, t0, t1):
-    """Totals of the block's unigrams (the start last) and bigrams in both training folds, from the answers it got."""
+def gathered(block: Block, got: list[dict], deleted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's unigrams (the start last) and bigrams from the answers it got: all of them, or those of its deleted texts."""
     order = np.argsort(block.singles, kind="stable")
+    one1, two1 = block.counts(1)
     out = []
-    for kind, n in ((1, len(block.singles)), (2, len(block.pairs))):
-        got = sorted((p, i) for i, (k, p) in enumerate(zip(kinds, parts)) if k == kind)
-        both = [np.concatenate([widen(t[i]) for _, i in got]) if got else np.zeros(n, np.int64) for t in (t0, t1)]
-        if kind == 1:
-            back = np.empty(n, np.int64)
-            back[order] = np.arange(n)
-            both = [x[back] for x in both]
-        out.append(both)
-    return out
+    for kind, own in ((1, one1[order]), (2, two1)):
+        parts = [widen(g["total"]) for g in sorted((g for g in got if g["kind"] == kind), key=lambda g: g["part"])]
+        counts = np.zeros(len(own), np.int64)
+        counts[own > 0 if deleted else slice(None)] = np.concatenate(parts) if parts else 0
+        out.append(counts)
+    one = np.empty(len(order), np.int64)
+    one[order] = out[0]
+    return one, out[1]
 
 
 def estimates(block: Block, one: np.ndarray, two: np.ndarray, total: int, where=slice(None)):
@@ -237,7 +247,7 @@ def learn(histogram: list[tuple[int, int, int, int]], iterations: int = 50) -> n
     return np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum(1, keepdims=True)
 
 
-def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 400_000, share: int = 1 << 21) -> DataFrame:
+def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 100_000, share: int = 1 << 20) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z lower-cased, then one end. Texts whose crc32 of doc_id as text is 2 mod 7 are held out,
@@ -249,43 +259,42 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     ids = column(docs, id_col)
     base = docs.select(ids.cast("long").alias("doc_id"), F.crc32(F.coalesce(ids.cast("string"), F.lit(""))).alias("crc"), text.alias("text"))
     scratch = Scratch(spark)
-    blocks = scratch.save(base.mapInArrow(tokenised(block), "id long, doc_ids array<long>, folds binary, sizes binary, vocab binary, wide long, stream binary"), "blocks")
+    kinds = "id long, doc_ids array<long>, folds binary, sizes binary, vocab binary, wide long, stream binary"
+    blocks = scratch.save(base.mapInArrow(tokenised(block), kinds), "blocks")
     tokens = blocks.agg(F.sum(F.octet_length("stream") / F.col("wide"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, tokens / share)))))
     sent = blocks.drop("doc_ids").mapInArrow(asked(bits), "owner int, id long, kind int, part int, keys binary, c0 binary, c1 binary")
-    sorted_ = sent.repartition(max(1, 2 << bits), "owner").sortWithinPartitions("owner")
-    totals = scratch.save(sorted_.mapInArrow(answered, "id long, kind int, part int, t0 binary, t1 binary, sums array<long>"), "totals")
-    release(spark)
-    sums = totals.where("kind = 1").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
-    n0, n1, v, v0 = (int(x or 0) for x in sums)
-    n = n0 + n1
-    answers = totals.groupBy("id").agg(F.collect_list(F.struct("kind", "part", "t0", "t1")).alias("got"))  # one for each owner
-    # joined twice, for the weights and for the scores: a third copy on disk would cost more than it saves
-    joined = blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got")
-
-    def opened(row):
+    sorted_ = sent.repartition(slots(spark), "owner").sortWithinPartitions("owner")
+    totals = scratch.save(sorted_.mapInArrow(answered, "id long, kind int, part int, deleted boolean, total binary, sums array<long>"), "totals")
+    sums = totals.where("kind = 1 and not deleted").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
+    n0, n, v, v0 = (int(x or 0) for x in sums)
+
+    def joined(deleted: bool) -> DataFrame:
+        """Each block with its answers, one for each owner."""
+        answers = totals.where(F.col("deleted") == deleted).groupBy("id").agg(F.collect_list(F.struct("kind", "part", "total")).alias("got"))
+        return blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got")
+
+    def opened(row, deleted: bool):
         b = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
-        return b, gathered(b, *([g[k] for g in row["got"]] for k in ("kind", "part", "t0", "t1")))
+        return b, *gathered(b, row["got"], deleted)
 
     def counted(batches):
         """(bucket, ratios, tokens) of the deleted part against counts of the rest."""
         for row in rows_of(batches):
-            b, ((one, _), (two, _)) = opened(row)
+            b, one, two = opened(row, True)
             here = np.flatnonzero(b.fold == 1)
             bucket, p2, p1 = estimates(b, one, two, n0, here)
             code = (bucket * 1024 + ratio_bin(p2, 1 / (v0 + 1)) + 512) * 1024 + ratio_bin(p1, 1 / (v0 + 1)) + 512
             code, many = np.unique(code, return_counts=True)
             yield batch(bucket=pa.array(code >> 20), r2=pa.array((code >> 10) % 1024 - 512), r1=pa.array(code % 1024 - 512), tokens=pa.array(many.astype(np.int64)))
 
-    histogram = joined.mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
-    weights = learn([tuple(r) for r in histogram.collect()])  # as many rows as there are bins, at most
-    del histogram  # it holds the shuffle it ran with
-    release(spark)
+    histogram = joined(True).mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
+    with tidy(spark):
+        weights = learn([tuple(r) for r in histogram.collect()])  # as many rows as there are bins, at most
 
     def scored(batches):
         for row in rows_of(batches):
-            b, (one, two) = opened(row)
-            one, two = one[0] + one[1], two[0] + two[1]
+            b, one, two = opened(row, False)
             bucket, p2, p1 = estimates(b, one, two, n)
             w = weights[bucket]
             full = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
@@ -297,4 +306,4 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
                 train_tokens=pa.array(np.full(len(first), n)), base_score=pa.array(np.add.reduceat(plain, first)), score=pa.array(np.add.reduceat(full, first)),
             )
 
-    return joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(False).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

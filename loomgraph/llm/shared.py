@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -26,33 +26,53 @@ _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; on one machine (tests), where that is unset, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not root and own.isDefined():
         return own.get()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """What runs inside removes its shuffle files when it is done: its result is written, so nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; Spark's cleaner removes it when nothing refers to it any more."""
+    """df, computed once into the shared folder. Where spark.cleaner.referenceTracking.cleanCheckpoints is true, Spark
+    removes it when nothing refers to it any more; else it stays until the folder is emptied."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
 
 
 class Scratch:
-    """Parquet tables in the shared folder, for what is too large for row checkpoints. drop() removes one."""
+    """Parquet tables in the shared folder, for what is too large for row checkpoints.
+
+    drop() removes one; those that a lazy result still reads are removed when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark).rstrip('/')}/loomgraph/{uuid.uuid4().hex}"
+        atexit.register(self._end)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with tidy(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -60,15 +80,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
-
-    What a finished query held becomes unreachable bit by bit, as the JVM's own queues and caches let go: two to four rounds."""
-    for _ in range(5):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+    def _end(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # a stopped session leaves nobody to ask
+            with contextlib.suppress(Exception):
+                self.drop()
 
 
 def column(df: DataFrame, name: str):

@@ -319,14 +319,27 @@ def test_lm(spark, docs):
     n, v = sum(c.values()), len(c)
     two = Counter((a, b) for i in train for a, b in zip(["<s>", *tokens[i]], tokens[i]))
     context = c + Counter({"<s>": len(train)})
+    # the deleted part against the rest, and the interpolation, token by token
+    part = {i for i in train if zlib.crc32(str(i).encode()) % 7 == 3}
+    pairs = lambda i: list(zip(["<s>", *tokens[i]], tokens[i]))
+    c0 = Counter(t for i in train - part for t in tokens[i])
+    two0, context0 = Counter(p for i in train - part for p in pairs(i)), c0 + Counter({"<s>": len(train - part)})
+    floor, histogram = 1 / (len(c0) + 1), Counter()
+    for i in part:
+        for a, b in pairs(i):
+            p2, p1 = (two0[a, b] / context0[a] if context0[a] else 0), c0[b] / sum(c0.values())
+            histogram[math.ceil(math.log2(context0[a] + 1)), *(int(lm.ratio_bin(np.array([p]), floor)[0]) for p in (p2, p1))] += 1
+    weights = lm.learn([(*k, m) for k, m in sorted(histogram.items())])
     rows = queries.op9_lm_score(spark, SF).collect()
     for r in rows:
         ts = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in train, len(ts), sum(c[t] > 0 for t in ts), n)
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
-        # the mixture is no more likely than its best part at each token, and no less than its uniform share at the least weight
-        top = sum(math.log10(max(two[a, b] / context[a] if context[a] else 0, c[b] / n, 1 / (v + 1))) for a, b in zip(["<s>", *ts], ts))
-        assert top + 1e-6 >= r.score >= len(ts) * math.log10(1e-6 / (v + 1))
+        score = 0.0
+        for a, b in pairs(r.doc_id):
+            w = weights[math.ceil(math.log2(context[a] + 1))]
+            score += math.log10(w[0] * (two[a, b] / context[a] if context[a] else 0) + w[1] * c[b] / n + w[2] / (v + 1))
+        assert math.isclose(r.score, score, rel_tol=1e-6)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
