@@ -1,10 +1,11 @@
 """Word-shingle Jaccard join by a MinHash LSH forest, verified on the whole texts.
 
-Each document's signature is read as `trees` keys of up to `max_depth` min-hashes. Matching begins with the whole key
-and shortens the prefix, level by level, until pairs at the threshold are found with the recall asked for. The
-matches of a longer prefix are among those of a shorter one, so the level reached gives all of them: documents
-under one node of a tree are candidates. They are gathered into clusters, and within a cluster all pairs
-are compared exactly, in blocks of bounded size, without ever being written out.
+Each document has in each of `trees` tries a string of `max_depth` min-hashes; documents under one node of a trie are
+candidates. Matching begins at the longest prefixes. After each level the recall of every document is measured: a
+link of similarity s is met at depth d with probability p(s) = 1 - (1 - s^d)^trees, so the links found stand for the sum
+of 1 / p(s) links. A document whose recall is below the target goes on with prefixes shorter by one, and so do those
+without links for as long as one at the threshold could be missed. Candidates of one node are compared exactly, each pair
+where it meets first, and only verified links are joined into classes.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch, by_key
+from .buckets import dealt, first_met, roots
 from .shared import column, components, cut, mix, numbers, shingles, slots, steps, word_hashes, words
 
-#: A block of a cluster holds about so many texts and shingles; larger clusters are compared block by block.
+#: A block of a node holds about so many texts and shingles; larger nodes are compared block by block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
 
 
 def forest_depth(trees: int, max_depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix, shortened from max_depth, at which pairs at the threshold are found with that recall."""
+    """The depth at which pairs at the threshold are found with that recall, so that no document needs a shorter prefix."""
     depth = max_depth
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -30,14 +32,15 @@ def forest_depth(trees: int, max_depth: int, threshold: float, recall: float) ->
 
 
 def signatures(trees: int, depth: int, size: int):
-    """For mapInArrow: (doc_id, s1, s2, n, prefixes) of (doc_id, text); s1 and s2 are of the words in order."""
+    """For mapInArrow: (doc_id, s1, s2, n, prefixes) of (doc_id, text); s1 and s2 are of the words in order, prefixes has the
+    keys of the nodes at depth 1 of all trees, then those at depth 2 and so on."""
     places = numbers(11, trees * depth), numbers(12, trees * depth) | np.uint64(1)
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
-                ids = batch.column(0)
-                for at, offsets, data in steps(batch.column(1)):
+            for b in batches:
+                ids = b.column(0)
+                for at, offsets, data in steps(b.column(1)):
                     starts, ends, first = words(offsets, data)
                     hashes = word_hashes(starts, ends, data)
                     rows = len(offsets) - 1
@@ -49,15 +52,18 @@ def signatures(trees: int, depth: int, size: int):
                         if len(full):
                             seq[k, full] = np.add.reduceat(mix(hashes + mix(order + np.uint64(77 + k))), first[:-1][full])
                     sh, begin = shingles(hashes, first, size)
-                    keys = np.zeros((rows, trees), np.uint64)
+                    keys = np.zeros((rows, depth, trees), np.uint64)
                     for t in range(trees):
                         for d in range(depth if len(full) else 0):
                             j = t * depth + d
                             low = np.minimum.reduceat((sh ^ places[0][j]) * places[1][j], begin[:-1][full])
-                            keys[full, t] = mix(keys[full, t] * np.uint64(31) + low + np.uint64(t + 1))
-                    n = np.diff(begin)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * trees), pa.array(keys.reshape(-1).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["doc_id", "s1", "s2", "n", "prefixes"])
+                            above = keys[full, d - 1, t] if d else np.uint64(0)
+                            keys[full, d, t] = mix(above * np.uint64(31) + low + np.uint64(t + 1))
+                    ends = pa.array(np.arange(rows + 1, dtype=np.int32) * (trees * depth))
+                    yield batch(
+                        doc_id=ids.slice(at, rows), s1=pa.array(seq[0].view(np.int64)), s2=pa.array(seq[1].view(np.int64)), n=pa.array(np.diff(begin).astype(np.int64)),
+                        prefixes=pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64))),
+                    )
 
     return run
 
@@ -89,77 +95,93 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def links(key: tuple, group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, linked documents, root in this block pair) of one block pair (cluster, bi, bj)."""
+def found_at(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:
+    """The probability that a pair is met at that depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def links(one: bool, group: dict, threshold: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with a new candidate, which of them are linked, similarity) of one pair of blocks. one: the blocks are the same."""
+    block, active = (np.asarray(group[k]) for k in ("block", "active"))
+    new = first_met(group["earlier"], block, one) & (active[:, None] | active[None, :])
+    rows = np.flatnonzero(new.any(1))
     sets = []
-    for _, offsets, data in steps(group["text"]):
+    for _, offsets, data in steps(group["text"].take(pa.array(rows))):
         starts, ends, first = words(offsets, data)
         sh, begin = shingles(word_hashes(starts, ends, data), first, size)
         sets += [np.unique(sh[a:b]) for a, b in zip(begin[:-1], begin[1:])]
-    node, mult, block = (np.asarray(group[k]) for k in ("node", "mult", "block"))
     both = overlaps(sets)
-    sizes = np.array([len(s) for s in sets])
-    near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-    near &= (both > 0) & (node[:, None] != node[None, :])
-    if key[1] != key[2]:
-        near &= block[:, None] != block[None, :]
-    root = np.arange(len(node))
-    order = np.argsort(node, kind="stable")
-    root[order] = np.arange(len(node))  # rank by node, so that the least root is the least node
-    while True:
-        low = np.minimum(root, np.where(near, root[None, :], len(node)).min(1, initial=len(node)))
-        if (low == root).all():
-            break
-        root = low
-    return node, near @ mult, node[order][root]
-
-
-def verify(threshold: float, size: int):
-    """For by_key over (cluster, bi, bj): (node, links, root) for each row of each block pair."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    union = sizes[:, None] + sizes[None, :] - both
+    near = new[np.ix_(rows, rows)] & (both > 0) & (both >= threshold * union - 1e-9)
+    return rows, near, both / np.maximum(union, 1)
 
-    def one(key, group):
-        node, count, root = links(key, group, threshold, size)
-        yield batch(node=pa.array(node, pa.int64()), links=pa.array(count.astype(np.int64)), root=pa.array(root, pa.int64()))
 
-    return by_key(3, one)
+def verify(threshold: float, size: int, depth: int, trees: int):
+    """For by_key over (tree, key, bi, bj): (node, links, root, shares) for each linked row; shares: the links that these stand for,
+    at each depth."""
+
+    def one(key, group):
+        rows, near, similarity = links(key[2] == key[3], group, threshold, size)
+        hit = near.any(1)
+        if hit.any():
+            node, mult = (np.asarray(group[k])[rows] for k in ("node", "mult"))
+            root = roots(node, near)
+            at, to = np.nonzero(near)
+            shares = np.stack([np.bincount(at, mult[to] / found_at(similarity[at, to], d, trees), len(rows)) for d in range(1, depth + 1)], 1)
+            ends = pa.array(np.arange(int(hit.sum()) + 1, dtype=np.int32) * depth)
+            yield batch(
+                node=pa.array(node[hit]), links=pa.array((near @ mult)[hit].astype(np.int64)), root=pa.array(root[hit]),
+                shares=pa.ListArray.from_arrays(ends, pa.array(shares[hit].reshape(-1))),
+            )
+
+    return by_key(4, one)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, trees: int = 10, max_depth: int = 5, recall: float = 0.999) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, rep_id, kept.
+    """One row per row of docs: doc_id, class_id, n_links, rep_id, kept, depth.
 
     Two documents are linked when the sets of their word 5-grams (a document of fewer words: all its words) have a
     Jaccard similarity of at least the threshold; class_id is the smallest doc_id reachable by links, n_links the
     number of other rows linked directly. Texts of the same words are one node, rep_id, and linked with
     each other. Texts that are null or without words link with nothing. Rows that share an id are one document;
-    rows without an id get null classes and no links. Whole texts are compared; other columns are not looked at."""
-    depth = forest_depth(trees, max_depth, threshold, recall)
+    rows without an id get null classes and no links. Whole texts are compared; other columns are not looked at.
+    depth: the length of the prefix at which the document's recall was reached."""
+    spark = docs.sparkSession
+    least = forest_depth(trees, max_depth, threshold, recall)
     base = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    signed = cut(base.mapInArrow(signatures(trees, depth, size), "doc_id long, s1 long, s2 long, n long, prefixes array<long>"))
+    signed = cut(base.mapInArrow(signatures(trees, max_depth, size), "doc_id long, s1 long, s2 long, n long, prefixes array<long>"))
     usable = signed.where("n > 0 and doc_id is not null")
     same = cut(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.max("n").alias("n"), F.any_value("prefixes").alias("prefixes")))
-    hung = same.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = hung.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    under = hung.join(heads.select("tree", "prefix", "head"), ["tree", "prefix"]).where("node <> head")
-    clusters = cut(components(under.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "cluster"))
-    member = same.select("node", "mult", "n").join(clusters, "node")
-    weight = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("sh"))
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("sh") / BLOCK_SHINGLES)).cast("int")
-    placed = member.join(weight.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj"))))
-    placed = cut(placed.select("cluster", "node", "mult", "block", "blocks"))
-    shipped = base.join(placed, base["doc_id"] == placed["node"]).select("cluster", "node", "mult", "block", "text", other.alias("pair"))
-    shipped = shipped.select("cluster", F.col("pair.bi").alias("bi"), F.col("pair.bj").alias("bj"), "node", "mult", "block", "text")
-    sorted_ = shipped.repartition(slots(docs.sparkSession), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    found = cut(sorted_.mapInArrow(verify(threshold, size), "node long, links long, root long"))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    nodes = same.join(counts, "node", "left").join(classes, "node", "left")
-    nodes = nodes.select("s1", "s2", "node", "mult", "links", F.coalesce("component", "node").alias("class_id"))
-    out = signed.select("doc_id", "s1", "s2", (F.col("doc_id").isNotNull() & (F.col("n") > 0)).alias("ok")).join(nodes, ["s1", "s2"], "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("ok"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("ok"), F.coalesce("links", F.lit(0)) + F.col("mult") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("ok"), F.col("node")).otherwise(F.col("doc_id")).alias("rep_id"),
-        F.when(F.col("ok"), F.col("class_id")).otherwise(F.col("doc_id")).eqNullSafe(F.col("doc_id")).alias("kept"),
-    )
+    state = same.select("node", F.lit(True).alias("active"), F.lit(max_depth).alias("depth"), F.lit(0).cast("long").alias("links"), F.array(*[F.lit(0.0)] * max_depth).alias("shares"))
+    edges = None
+    for d in range(max_depth, least - 1, -1):
+        level = lambda k: F.slice("prefixes", (k - 1) * trees + 1, trees)
+        met = F.slice(level(d), 1, F.col("tree")) if d == max_depth else F.concat(F.slice(level(d), 1, F.col("tree")), F.slice(level(d + 1), F.col("tree") + 1, trees))
+        hung = same.join(state.select("node", "active"), "node").select("node", F.col("n").alias("weight"), "active", "prefixes", F.posexplode(level(d)).alias("tree", "key"))
+        full = hung.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.max("active").alias("any")).where("m > 1 and any").select("tree", "key")
+        rows = hung.join(full, ["tree", "key"]).select("tree", "key", "node", "weight", met.alias("earlier"))
+        pairs = cut(dealt(rows, BLOCK_TEXTS, BLOCK_SHINGLES)).join(same.select("node", "mult"), "node").join(state.select("node", "active"), "node")
+        shipped = base.join(pairs, base["doc_id"] == pairs["node"]).select("tree", "key", "bi", "bj", "node", "mult", "block", "active", "earlier", "text")
+        sorted_ = shipped.repartition(slots(spark), "tree", "key", "bi", "bj").sortWithinPartitions("tree", "key", "bi", "bj")
+        found = cut(sorted_.mapInArrow(verify(threshold, size, max_depth, trees), "node long, links long, root long, shares array<double>"))
+        new = found.groupBy("node").agg(F.sum("links").alias("more"), *[F.sum(F.col("shares")[k]).alias(f"s{k}") for k in range(max_depth)])
+        state = state.join(new, "node", "left")
+        count = F.col("links") + F.coalesce("more", F.lit(0))
+        shares = F.array(*[F.col("shares")[k] + F.coalesce(f"s{k}", F.lit(0.0)) for k in range(max_depth)])
+        # besides the links found, one at the threshold may be there
+        chance = float(found_at(np.float64(threshold), d, trees))
+        reached = (count + chance) / (shares[d - 1] + 1) >= recall
+        depth = F.when(F.col("active"), F.lit(d)).otherwise(F.col("depth"))
+        state = cut(state.select("node", (F.col("active") & ~reached).alias("active"), depth.alias("depth"), count.cast("long").alias("links"), shares.alias("shares")))
+        joined = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        edges = joined if edges is None else edges.unionByName(joined)
+    nodes = same.join(state, "node").join(components(edges), "node", "left")
+    nodes = nodes.select("s1", "s2", "node", "mult", "links", "depth", F.coalesce("component", "node").alias("class_id"))
+    linked = usable.select("doc_id", "s1", "s2").join(nodes, ["s1", "s2"]).select(
+        "doc_id", "class_id", (F.col("links") + F.col("mult") - 1).cast("long").alias("n_links"), F.col("node").alias("rep_id"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"), "depth"
+    )
+    alone = signed.where("not (n > 0 and doc_id is not null)").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("kept"), F.lit(max_depth).alias("depth")
+    )
+    return linked.unionByName(alone)

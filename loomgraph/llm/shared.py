@@ -194,9 +194,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = stars.agg(*size).first()
     while before["n"]:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
+        # stored, so that both sides of the join come from a shuffle that is split where one node has many neighbours
+        least = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m")))
         large = cut(both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(small, "a")
         new = cut(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         after = new.agg(*size).first()
