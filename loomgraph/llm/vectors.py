@@ -1,7 +1,8 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosine, components.
 
-Equal vectors are one node. A node falls into one bucket of each table; buckets of several nodes are compared pair by pair in
-double precision, large ones in blocks, and a pair that an earlier table has brought together already is not counted again.
+Equal vectors are one node. A node falls into one bucket of each table; buckets are made of ids and codes alone, and only
+what shares one with others is compared, with its vector, in double precision: large buckets in blocks, each pair in
+the first table that brings it together.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch, by_key
+from .buckets import dealt, first_met, roots
 from .shared import column, components, cut, mix, numbers, slots
 
 BLOCK = 512
@@ -50,7 +52,7 @@ def hashed(bits: int, tables: int, seed: int):
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, size]).standard_normal((size, bits * tables))
                 sign = (m @ planes[size] >= 0).reshape(len(at), tables, bits)
-                code = (sign @ (1 << np.arange(bits, dtype=np.int64))) * 65_537 + size
+                code = mix(sign @ (np.uint64(1) << np.arange(bits, dtype=np.uint64)) + numbers(23, size)[-1]).view(np.int64)  # the length too
                 word = m.view(np.uint64)
                 with np.errstate(over="ignore"):
                     for k in (0, 1):
@@ -63,30 +65,15 @@ def hashed(bits: int, tables: int, seed: int):
 
 
 def compare(threshold: float):
-    """For by_key over (tree, code, bi, bj): partial link counts and a forest of the pairs first met in this table."""
+    """For by_key over (tree, key, bi, bj): partial link counts and a forest of the pairs first met in this table."""
 
     def one(key, c):
-        tree, _, bi, bj = key
         node, mult, block = (np.asarray(c[k]).astype(np.int64) for k in ("node", "mult", "block"))
         m = np.frombuffer(b"".join(c["unit"].to_pylist()), np.float64).reshape(len(node), -1)  # a code tells the length too
-        codes = np.asarray(c["codes"].flatten()).reshape(len(node), -1)[:, :tree]
-        near = m @ m.T >= threshold
-        np.fill_diagonal(near, False)
-        for t in range(tree):
-            near &= codes[:, t][:, None] != codes[:, t][None, :]
-        if bi != bj:
-            near &= block[:, None] != block[None, :]
-        root = np.empty(len(node), np.int64)
-        order = np.argsort(node, kind="stable")
-        root[order] = np.arange(len(node))
-        while True:
-            low = np.minimum(root, np.where(near, root[None, :], len(node)).min(1))
-            if (low == root).all():
-                break
-            root = low
+        near = (m @ m.T >= threshold) & first_met(c["earlier"], block, key[2] == key[3])
         hit = near.any(1)
         if hit.any():
-            yield batch(node=pa.array(node[hit]), links=pa.array((near @ mult)[hit]), root=pa.array(node[order][root][hit]))
+            yield batch(node=pa.array(node[hit]), links=pa.array((near @ mult)[hit]), root=pa.array(roots(node, near)[hit]))
 
     return one
 
@@ -97,26 +84,28 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Pairs found with a cosine of at least the threshold are linked; a pair at the threshold itself is found with the recall
     asked for, closer ones more often. Vectors of other lengths are never linked; a vector that is null, empty or zero or
     holds null or non-finite components links with nothing. Rows of one id are one vector; rows without an id get no links and a null
-    component. bits defaults to what leaves about 16 vectors in a bucket."""
+    component. bits defaults to what leaves few vectors that are not near ones in a bucket, however many there are."""
+    spark = vectors.sparkSession
     base = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vec_col).cast("array<double>").alias("v"))
     if bits is None:
-        bits = min(24, max(6, math.ceil(math.log2(max(1, base.count()) / 16))))
+        bits = min(62, max(6, math.ceil(math.log2(max(1, base.count()))) + 2))  # a signature is a long; 2^60 vectors fill it
     tables = tables_for(bits, threshold, recall)
     made = cut(base.mapInArrow(hashed(bits, tables, seed), "vec_id long, unit binary, s1 long, s2 long, codes array<long>"))
     usable = made.where("unit is not null and vec_id is not null")
-    same = cut(usable.groupBy("s1", "s2").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("mult"), F.any_value("unit").alias("unit"), F.any_value("codes").alias("codes")))
-    hung = same.select("node", F.posexplode("codes").alias("tree", "code"))
-    heads = hung.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    full = same.select("node", "mult", "unit", "codes", F.posexplode("codes").alias("tree", "code")).join(heads, ["tree", "code"])
-    full = full.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj"))))
-    shipped = full.select("tree", "code", "node", "mult", "block", "unit", "codes", other.alias("pair"))
-    shipped = shipped.select("tree", "code", F.col("pair.bi").alias("bi"), F.col("pair.bj").alias("bj"), "node", "mult", "block", "unit", "codes")
-    sorted_ = shipped.repartition(slots(vectors.sparkSession), "tree", "code", "bi", "bj").sortWithinPartitions("tree", "code", "bi", "bj")
+    same = usable.groupBy("s1", "s2").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("mult"), F.any_value("unit").alias("unit"), F.any_value("codes").alias("codes"))
+    same = cut(same)
+    hung = same.select("node", F.posexplode("codes").alias("tree", "key"))
+    full = hung.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tree", "key")
+    rows = hung.join(full, ["tree", "key"]).join(same.select("node", "codes"), "node")
+    rows = rows.select("tree", "key", "node", F.lit(1).alias("weight"), F.slice("codes", 1, F.col("tree")).alias("earlier"))
+    shipped = cut(dealt(rows, BLOCK, BLOCK)).join(same.select("node", "mult", "unit"), "node").select("tree", "key", "bi", "bj", "node", "mult", "block", "unit", "earlier")
+    sorted_ = shipped.repartition(slots(spark), "tree", "key", "bi", "bj").sortWithinPartitions("tree", "key", "bi", "bj")
     found = cut(sorted_.mapInArrow(by_key(4, compare(threshold)), "node long, links long, root long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    nodes = same.join(counts, "node", "left").join(classes, "node", "left").select("s1", "s2", "node", "mult", "links", F.coalesce("component", "node").alias("component"))
-    out = made.select("vec_id", "s1", "s2", (F.col("vec_id").isNotNull() & F.col("unit").isNotNull()).alias("ok")).join(nodes, ["s1", "s2"], "left")
-    component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("ok"), F.coalesce("links", F.lit(0)) + F.col("mult") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    nodes = same.join(counts, "node", "left").join(classes, "node", "left")
+    nodes = nodes.select("s1", "s2", "node", "mult", "links", F.coalesce("component", "node").alias("component_id"))
+    linked = usable.select("vec_id", "s1", "s2").join(nodes, ["s1", "s2"])
+    linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+    alone = made.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
