@@ -27,6 +27,10 @@ from .shared import Scratch, column, mix, slots, steps, tidy, word_hashes, words
 END, START = np.uint64(0x51ED270B), np.uint64(0x2545F491)  # the end of a text, and the context of its first token
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...; log-ratios of the estimates are kept to 1/8 of a factor of two.
 CONTEXTS, FINE, CLIP = 40, 8, 30
+#: Bits of a bigram's hash; words have 64.
+PAIR_BITS = 56
+#: Places in a block's vocabulary by their bytes.
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
@@ -55,7 +59,7 @@ def tokenised(block: int):
             kind = np.uint8 if len(vocab) < 1 << 8 else np.uint16 if len(vocab) < 1 << 16 else np.uint32
             out = batch(
                 id=pa.array([(task << 32) + at]), doc_ids=pa.array([ids], pa.list_(pa.int64())), folds=pa.array([np.concatenate(folds).astype(np.int8).tobytes()], pa.binary()),
-                sizes=pa.array([np.concatenate(sizes).astype(np.int64).tobytes()], pa.binary()), vocab=pa.array([vocab.tobytes()], pa.binary()), wide=pa.array([np.dtype(kind).itemsize]), stream=pa.array([stream.astype(kind).tobytes()], pa.binary()),
+                sizes=pa.array([np.concatenate(sizes).astype(np.int64).tobytes()], pa.binary()), vocab=pa.array([gaps(vocab)], pa.binary()), wide=pa.array([np.dtype(kind).itemsize]), stream=pa.array([stream.astype(kind).tobytes()], pa.binary()),
             )
             at, ids, folds, sizes, parts, total = at + 1, [], [], [], [], 0
             return out
@@ -79,13 +83,26 @@ def tokenised(block: int):
     return run
 
 
+def only_deleted(batches):
+    """For mapInArrow: of each block its deleted texts, as a block; those without any are left out."""
+    for row in rows_of(batches):
+        folds, sizes = np.frombuffer(row["folds"], np.int8), np.frombuffer(row["sizes"], np.int64)
+        word = np.frombuffer(row["stream"], WIDTHS[row["wide"]])[np.repeat(folds == 1, sizes)]
+        if len(word):
+            own, word = np.unique(word, return_inverse=True)
+            yield batch(
+                id=pa.array([row["id"]]), folds=pa.array([folds[folds == 1].tobytes()], pa.binary()), sizes=pa.array([sizes[folds == 1].tobytes()], pa.binary()),
+                vocab=pa.array([gaps(ungap(row["vocab"])[own])], pa.binary()), wide=pa.array([row["wide"]]), stream=pa.array([word.astype(WIDTHS[row["wide"]]).tobytes()], pa.binary()),
+            )
+
+
 class Block:
     """One row of the table of blocks, with its n-grams: unigrams first, then bigrams, each by ascending key."""
 
     def __init__(self, folds: bytes, sizes: bytes, vocab: bytes, wide: int, stream: bytes):
         self.folds, self.sizes = np.frombuffer(folds, np.int8), np.frombuffer(sizes, np.int64)
-        self.vocab = np.frombuffer(vocab, np.uint64)
-        self.word = np.frombuffer(stream, {1: np.uint8, 2: np.uint16, 4: np.uint32}[wide]).astype(np.int64)
+        self.vocab = ungap(vocab)
+        self.word = np.frombuffer(stream, WIDTHS[wide]).astype(np.int64)
         self.fold = np.repeat(self.folds, self.sizes)
         before = np.empty(len(self.word), np.int64)
         before[1:] = self.word[:-1]
@@ -95,7 +112,7 @@ class Block:
         with np.errstate(over="ignore"):
             left = np.append(mix(self.vocab + np.uint64(1)), mix(START))
             pair = mix(left[before] * np.uint64(3) + self.vocab[self.word])
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.pairs, self.pair = np.unique(pair >> np.uint64(64 - PAIR_BITS), return_inverse=True)
         #: contexts are unigrams, and the start, whose count is the number of texts
         with np.errstate(over="ignore"):
             self.singles = np.append(mix(self.vocab ^ np.uint64(0x5DEECE66D)), mix(START ^ np.uint64(0x5DEECE66D)))
@@ -124,22 +141,22 @@ def rows_of(batches):
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def gaps(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences, whose two high bytes are nearly all 0 in a well-filled range: six bytes and a bit for each."""
+def gaps(keys: np.ndarray, plain: int = 6) -> bytes:
+    """Ascending keys as their differences, whose bytes above the `plain` low ones are nearly all 0 in a well-filled range."""
     planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    high = zlib.compress(planes[6:].tobytes(), 1)
-    return len(high).to_bytes(4, "little") + high + planes[:6].tobytes()
+    high = zlib.compress(planes[plain:].tobytes(), 1)
+    return bytes([plain]) + len(high).to_bytes(4, "little") + high + planes[:plain].tobytes()
 
 
 def ungap(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
-    low = np.frombuffer(b, np.uint8, offset=4 + n).reshape(6, -1)
-    high = np.frombuffer(zlib.decompress(b[4 : 4 + n]), np.uint8).reshape(2, -1)
+    plain, n = b[0], int.from_bytes(b[1:5], "little")
+    low = np.frombuffer(b, np.uint8, offset=5 + n).reshape(plain, -1)
+    high = np.frombuffer(zlib.decompress(b[5 : 5 + n]), np.uint8).reshape(8 - plain, -1)
     return np.cumsum(np.concatenate((low, high)).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+def bucket_cuts(keys: np.ndarray, bits: int, wide: int) -> np.ndarray:
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(wide - bits)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
@@ -152,21 +169,21 @@ def asked(bits: int):
             (one0, two0), (one1, two1) = block.counts(0), block.counts(1)
             order = np.argsort(block.singles, kind="stable")
             for kind, keys, c0, c1 in ((1, block.singles[order], one0[order], one1[order]), (2, block.pairs, two0, two1)):
-                cuts = bucket_cuts(keys, bits)
+                cuts = bucket_cuts(keys, bits, 64 if kind == 1 else PAIR_BITS)
                 full = np.flatnonzero(np.diff(cuts))
                 parts = [slice(cuts[k], cuts[k + 1]) for k in full]
                 n = len(full)
                 yield batch(
                     owner=pa.array((2 * full + kind - 1).astype(np.int32)), id=pa.array([row["id"]] * n, pa.int64()), kind=pa.array([kind] * n, pa.int32()), part=pa.array(full.astype(np.int32)),
-                    keys=pa.array([gaps(keys[p]) for p in parts], pa.binary()), c0=pa.array([narrow(c0[p]) for p in parts], pa.binary()), c1=pa.array([narrow(c1[p]) for p in parts], pa.binary()),
+                    keys=pa.array([gaps(keys[p], 6 if kind == 1 else 5) for p in parts], pa.binary()), c0=pa.array([narrow(c0[p]) for p in parts], pa.binary()), c1=pa.array([narrow(c1[p]) for p in parts], pa.binary()),
                 )
 
     return run
 
 
 def answered(batches):
-    """For mapInArrow over requests sorted by owner: to each request the totals of its keys, and the counts without the deleted part
-    of those that its deleted texts hold; with one of them the owner's sums."""
+    """For mapInArrow over requests sorted by owner: to each request the totals of its keys, and, of those that its deleted texts
+    hold, the counts without the deleted part; with one of them the owner's sums."""
 
     def reply_of(rows):
         keys = [ungap(r["keys"]) for r in rows]
@@ -201,26 +218,22 @@ def answered(batches):
         yield from reply_of(rows)
 
 
-def gathered(block: Block, got: list[dict], deleted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the block's unigrams (the start last) and bigrams from the answers it got: all of them, or those of its deleted texts."""
-    order = np.argsort(block.singles, kind="stable")
-    one1, two1 = block.counts(1)
+def gathered(block: Block, got: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's unigrams (the start last) and bigrams from the answers it got."""
     out = []
-    for kind, own in ((1, one1[order]), (2, two1)):
+    for kind in (1, 2):
         parts = [widen(g["total"]) for g in sorted((g for g in got if g["kind"] == kind), key=lambda g: g["part"])]
-        counts = np.zeros(len(own), np.int64)
-        counts[own > 0 if deleted else slice(None)] = np.concatenate(parts) if parts else 0
-        out.append(counts)
-    one = np.empty(len(order), np.int64)
-    one[order] = out[0]
+        out.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    one = np.empty(len(block.singles), np.int64)
+    one[np.argsort(block.singles, kind="stable")] = out[0]
     return one, out[1]
 
 
-def estimates(block: Block, one: np.ndarray, two: np.ndarray, total: int, where=slice(None)):
+def estimates(block: Block, one: np.ndarray, two: np.ndarray, total: int):
     """(context bucket, bigram and unigram estimates) of each token."""
-    context = one[block.before[where]]
+    context = one[block.before]
     bucket = np.minimum(np.ceil(np.log2(context + 1.0)).astype(np.int64), CONTEXTS - 1)
-    return bucket, two[block.pair[where]] / np.maximum(context, 1), one[block.word[where]] / max(total, 1)
+    return bucket, two[block.pair] / np.maximum(context, 1), one[block.word] / max(total, 1)
 
 
 def ratio_bin(p: np.ndarray, floor: float) -> np.ndarray:
@@ -253,7 +266,7 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     Tokens are the words of the text, A-Z lower-cased, then one end. Texts whose crc32 of doc_id as text is 2 mod 7 are held out,
     the rest are learned from; an id that is null counts as an empty one there. base_score is the add-one unigram's log10 probability, score the interpolated bigram's. A null or
     empty text has its end alone; rows that repeat count and are scored each. With nothing to learn from, every token is as likely as
-    unknown. Empty input: empty result. Words are told apart by 64-bit hashes. block and share: tokens of a block, and bigrams that an owner holds, about."""
+    unknown. Empty input: empty result. Words are told apart by 64-bit hashes, bigrams by 56-bit ones. block and share: tokens of a block, and bigrams that an owner holds, about."""
     spark = docs.sparkSession
     text = F.coalesce(column(docs, text_col), F.lit(""))
     ids = column(docs, id_col)
@@ -269,32 +282,31 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     sums = totals.where("kind = 1 and not deleted").agg(*[F.sum(F.col("sums")[k]) for k in range(4)]).first()
     n0, n, v, v0 = (int(x or 0) for x in sums)
 
-    def joined(deleted: bool) -> DataFrame:
+    def joined(blocks: DataFrame, deleted: bool) -> DataFrame:
         """Each block with its answers, one for each owner."""
         answers = totals.where(F.col("deleted") == deleted).groupBy("id").agg(F.collect_list(F.struct("kind", "part", "total")).alias("got"))
-        return blocks.join(answers, "id").select("id", "doc_ids", "folds", "sizes", "vocab", "wide", "stream", "got")
+        return blocks.join(answers, "id")
 
-    def opened(row, deleted: bool):
+    def opened(row):
         b = Block(*(row[k] for k in ("folds", "sizes", "vocab", "wide", "stream")))
-        return b, *gathered(b, row["got"], deleted)
+        return b, *gathered(b, row["got"])
 
     def counted(batches):
         """(bucket, ratios, tokens) of the deleted part against counts of the rest."""
         for row in rows_of(batches):
-            b, one, two = opened(row, True)
-            here = np.flatnonzero(b.fold == 1)
-            bucket, p2, p1 = estimates(b, one, two, n0, here)
+            bucket, p2, p1 = estimates(*opened(row), n0)
             code = (bucket * 1024 + ratio_bin(p2, 1 / (v0 + 1)) + 512) * 1024 + ratio_bin(p1, 1 / (v0 + 1)) + 512
             code, many = np.unique(code, return_counts=True)
             yield batch(bucket=pa.array(code >> 20), r2=pa.array((code >> 10) % 1024 - 512), r1=pa.array(code % 1024 - 512), tokens=pa.array(many.astype(np.int64)))
 
-    histogram = joined(True).mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
+    deleted = blocks.drop("doc_ids").mapInArrow(only_deleted, "id long, folds binary, sizes binary, vocab binary, wide long, stream binary")
+    histogram = joined(deleted, True).mapInArrow(counted, "bucket long, r2 long, r1 long, tokens long").groupBy("bucket", "r2", "r1").agg(F.sum("tokens").alias("tokens"))
     with tidy(spark):
         weights = learn([tuple(r) for r in histogram.collect()])  # as many rows as there are bins, at most
 
     def scored(batches):
         for row in rows_of(batches):
-            b, one, two = opened(row, False)
+            b, one, two = opened(row)
             bucket, p2, p1 = estimates(b, one, two, n)
             w = weights[bucket]
             full = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
@@ -306,4 +318,4 @@ def score_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
                 train_tokens=pa.array(np.full(len(first), n)), base_score=pa.array(np.add.reduceat(plain, first)), score=pa.array(np.add.reduceat(full, first)),
             )
 
-    return joined(False).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(blocks, False).mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
