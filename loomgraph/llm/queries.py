@@ -21,7 +21,7 @@ def read(spark, sf_dir, table):
 
 
 def op1_exact_dedup(spark, sf_dir):
-    return exact_dedup(read(spark, sf_dir, "documents")).drop("chain_link")
+    return exact_dedup(read(spark, sf_dir, "documents")).drop("bucket", "chain_link")
 
 
 def op2_language_id(spark, sf_dir):

@@ -31,10 +31,37 @@ def docs(spark):
     return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
-def test_directory_splits_overfull_buckets_only():
-    depth, owner = directory({0: 50, 1: 50, 2: 1, 3: 1, 12: 3}, 4, 60)
-    assert depth == 4 and owner[0] != owner[1] and len(set(owner[2:4])) == 1 and len(set(owner[8:])) == 1
-    assert directory({}, 4, 10) == (0, [0])
+def test_directory_splits_overfull_buckets_only(spark):
+    keys = [-1 - i for i in range(5)] + [(0b0010 << 60) + i for i in range(50)] + [(0b0011 << 60) + i for i in range(50)] + [7, 8]
+    table, depth = directory(spark.createDataFrame([(k,) for k in keys], "key long"), 60)
+    rows = {r.slot >> (depth - 4): (r.bucket >> (depth - 4), r.local) for r in table.collect()}
+    assert rows[0b0010] == (0b0010, 4) and rows[0b0011] == (0b0011, 4)  # split down to where they differ
+    assert rows[0b0000] == (0, 3) and rows[0b1111] == (0b1000, 1)
+    table, depth = directory(spark.createDataFrame([(k,) for k in keys], "key long"), 200)
+    assert depth == 0 and [(r.slot, r.bucket, r.local) for r in table.collect()] == [(0, 0, 0)]
+    assert directory(spark.createDataFrame([], "key long"), 10)[0].collect() == []
+
+
+def test_directory_deepens_as_far_as_keys_need(spark):
+    keys = spark.range(4000).selectExpr("shiftrightunsigned(xxhash64(id), 20) as key")  # 20 leading zeros
+    table, depth = directory(keys, 100)
+    owned = keys.selectExpr(f"shiftrightunsigned(key, {64 - depth}) as slot").join(table, "slot").groupBy("bucket").count().collect()
+    assert depth > 20 and max(r["count"] for r in owned) <= 100 and sum(r["count"] for r in owned) == 4000
+
+
+def test_owners_chain_what_differs_under_one_key(spark, monkeypatch):
+    """Keys that collide, and owners that do not look at the bytes: then different texts are one group."""
+    from loomgraph.llm import exact_dedup as module
+
+    rows = [(i, f"text {i % 7}  of {i % 7}") for i in range(70)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(module.F, "xxhash64", lambda *c: module.F.lit(5).cast("long") if c == ("norm",) else module.F.hash(*c).cast("long"))
+    got = {r.doc_id: r for r in module.exact_dedup(df).collect()}
+    assert all((got[i].keep_id, got[i].group_size) == (i % 7, 10) for i in range(70)) and got[101].keep_id == 100
+    assert sorted({r.chain_link for r in got.values()}) == list(range(1, 9))
+    monkeypatch.setattr(module, "chained", lambda t: t.groupBy("bucket", "key").agg(module.F.lit(1).alias("link"), module.F.first("norm").alias("norm"), module.F.min("keep").alias("keep"), module.F.sum("size").alias("size")))
+    wrong = module.exact_dedup(df).collect()
+    assert [(r.doc_id, r.group_size) for r in wrong] != [(r.doc_id, r.group_size) for r in got.values()]
 
 
 def test_exact_dedup(spark, docs):
