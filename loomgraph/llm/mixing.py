@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, column, cut
 
+#: Sources are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_SOURCES = 100_000
 TINY = 1e-9
 #: Documents of a source that the landing decides, besides the two that the flight leaves; it looks at 2 to that power of roundings.
 LANDING = 10
@@ -94,15 +96,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     cap rounded up and never more than cap times; a source without words takes none of its documents. The same rows give the same
     mix; rows without an id take part like others; rows that repeat are documents of their own. Empty input: empty result."""
     words = F.coalesce(F.regexp_count(column(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(column(docs, id_col).alias("doc_id"), column(docs, source_col).alias("source"), words.alias("size"), *[column(docs, k).alias(f"keep_{i}") for i, k in enumerate(keep)])
+    ids = column(docs, id_col)
+    # the text as well, so that rows without an id are spread over groups too
+    place = F.xxhash64(ids, column(docs, text_col), F.lit(seed))
+    rows = docs.select(ids.alias("doc_id"), column(docs, source_col).alias("source"), words.alias("size"), place.alias("place"), *[column(docs, k).alias(f"keep_{i}") for i, k in enumerate(keep)])
     rows = cut(rows)
     held = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, cap).withColumn("source_no", F.xxhash64(F.col("source").isNull(), "source")))
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
     held = held.join(counts, held["source"].eqNullSafe(counts["source"])).select(held["source"].alias("of"), "source_size", "target", "source_no", F.ceil(F.col("docs") / group).cast("int").alias("groups"))
+    held = cut(held)  # a row for each source
+    held = F.broadcast(held) if held.count() <= BROADCAST_SOURCES else held
     drawn = rows.join(held, rows["source"].eqNullSafe(held["of"])).drop("of")
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     drawn = drawn.withColumn("per", per).withColumn("whole", F.floor("per")).withColumn("p", F.col("per") - F.col("whole")).drop("per")
-    drawn = drawn.withColumn("place", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.pmod("place", F.col("groups")).cast("int"))
+    drawn = drawn.withColumn("part", F.pmod("place", F.col("groups")).cast("int"))
     schema = drawn.schema
 
     def flight(last: bool):
