@@ -1,43 +1,103 @@
 """Rows that share a bucket of one of several hash tables, dealt to blocks of bounded size for exact comparison.
 
 A pair is compared where it meets first: `earlier` lists a row's keys in the buckets that come before this one, and a pair
-that agrees in one of them has met there. Buckets in which every pair has met before are left out, and of a
+that agrees in one of them has met there. Rows that have met all others of their bucket before are left out, and of a
 bucket too large for one block the rows that have all met one another meet the others only.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a long that say in which earlier buckets a row agrees with the first row of its bucket; more save no more work.
+from .shared import cut, slots
+
+#: Bits of a long that say in which earlier buckets a row agrees with the first row of a large bucket; more save no more work.
 BITS = 62
 
 
 def dealt(rows: DataFrame, rows_of_block: int, weight_of_block: int) -> DataFrame:
     """(tree, key, bi, bj, node, block, earlier) of rows (tree, key, node, weight, earlier): each row once for each pair of blocks."""
+    spark, bucket = rows.sparkSession, ["tree", "key"]
+    rows = rows.select(*bucket, "node", F.col("weight").cast("long").alias("weight"), "earlier").repartition(slots(spark), *bucket).sortWithinPartitions(*bucket)
+    schema = "tree int, key long, node long, weight long, earlier array<long>, large boolean"
+    rows = cut(rows.withColumn("tree", F.col("tree").cast("int")).mapInArrow(small(rows_of_block, weight_of_block), schema))
+    zero = F.lit(0)
+    out = rows.where("not large").select(*bucket, zero.alias("bi"), zero.alias("bj"), "node", zero.alias("block"), "earlier")
+    return out.unionByName(_large(rows.where("large").drop("large"), rows_of_block, weight_of_block))
+
+
+def small(rows_of_block: int, weight_of_block: int):
+    """For mapInArrow over rows sorted by bucket: those with a pair that meets first here; large: their bucket is more than one block,
+    and passed on as it is read."""
+
+    def settled(parts):
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        n = t.num_rows
+        if n < 2:
+            return
+        keys = np.asarray(t.column("earlier").flatten()).reshape(n, -1)
+        if keys.shape[1]:
+            if n > 2 and (keys == keys[0]).all(0).any():
+                return
+            new = np.ones((n, n), bool)
+            for k in range(keys.shape[1]):
+                new &= keys[:, k][:, None] != keys[:, k][None, :]
+            rows = np.flatnonzero(new.any(1))
+            if not len(rows):
+                return
+            t = t if len(rows) == n else t.take(pa.array(rows))
+        yield marked(t, False)
+
+    def marked(t, large):
+        return pa.RecordBatch.from_arrays([*t.columns, pa.array(np.full(t.num_rows, large))], names=[*t.schema.names, "large"])
+
+    def run(batches):
+        last, parts, rows, weight, large = None, [], 0, 0, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, key, heavy = (np.asarray(b.column(k)) for k in ("tree", "key", "weight"))
+            cuts = np.concatenate(([0], np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1])) + 1, [len(key)]))
+            for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if (tree[at], key[at]) != last:
+                    if parts:
+                        yield from settled(parts)
+                    last, parts, rows, weight, large = (tree[at], key[at]), [], 0, 0, False
+                parts.append(b.slice(at, end - at))
+                rows += end - at
+                weight += int(heavy[at:end].sum())
+                large |= rows > rows_of_block or (weight > weight_of_block and rows > 1)
+                if large:
+                    yield from (marked(p, True) for p in parts)
+                    parts = []
+        if parts:
+            yield from settled(parts)
+
+    return run
+
+
+def _large(rows: DataFrame, rows_of_block: int, weight_of_block: int) -> DataFrame:
+    """The same for rows of buckets of more than one block."""
     bucket = ["tree", "key"]
-    first = rows.groupBy(*bucket).agg(F.min_by("earlier", "node").alias("head"), F.count(F.lit(1)).alias("m"), F.sum("weight").alias("w"))
+    head = rows.groupBy(*bucket).agg(F.min_by("earlier", "node").alias("head"))
     agree = f"aggregate(transform(slice(earlier, 1, {BITS}), (x, i) -> if(x = head[i], shiftleft(1L, i), 0L)), 0L, (a, x) -> a + x)"
-    rows = rows.join(first.where("m > 1"), bucket).withColumn("agree", F.expr(agree)).drop("head")
-    fresh = rows.groupBy(*bucket).agg(F.bit_and("agree").alias("common")).where("common = 0").select(*bucket)
-    rows = rows.join(fresh, bucket)
-    large = rows.where((F.col("m") > rows_of_block) | (F.col("w") > weight_of_block))
+    rows = cut(rows.join(head, bucket).withColumn("agree", F.expr(agree)).drop("head"))
     places = F.expr(f"filter(sequence(0, {BITS - 1}), i -> (agree & shiftleft(1L, i)) != 0)")
-    often = large.select(*bucket, F.explode(places).alias("place")).groupBy(*bucket, "place").agg(F.count(F.lit(1)).alias("often"))
+    often = rows.select(*bucket, F.explode(places).alias("place")).groupBy(*bucket, "place").agg(F.count(F.lit(1)).alias("often"))
     best = often.groupBy(*bucket).agg(F.max_by("place", "often").alias("place"))
-    rows = rows.join(best, bucket, "left")
-    rows = rows.withColumn("met", F.coalesce(F.expr("(agree & shiftleft(1L, place)) != 0"), F.lit(False)))
+    rows = rows.join(best, bucket, "left").withColumn("met", F.coalesce(F.expr("(agree & shiftleft(1L, place)) != 0"), F.lit(False)))
     size = rows.groupBy(*bucket, "met").agg(F.count(F.lit(1)).alias("m"), F.sum("weight").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / rows_of_block), F.ceil(F.col("w") / weight_of_block)).cast("int")
     size = size.groupBy(*bucket).agg(F.sum(F.when(~F.col("met"), blocks).otherwise(0)).alias("own"), F.sum(F.when(F.col("met"), blocks).otherwise(0)).alias("rest"))
-    rows = rows.drop("m", "w").join(size, bucket)
+    rows = rows.join(size.where("own > 0"), bucket)
     at = F.xxhash64("node")
     block = F.when(F.col("met"), F.col("own") + F.pmod(at, "rest")).otherwise(F.pmod(at, "own")).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("met"), F.col("own") - 1).otherwise(F.col("own") + F.col("rest") - 1).cast("int"))
     pair = F.transform(others, lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))
-    rows = rows.withColumn("block", block).where("own > 0").select(*bucket, "node", "block", "earlier", F.explode(pair).alias("pair"))
+    rows = rows.withColumn("block", block).select(*bucket, "node", "block", "earlier", F.explode(pair).alias("pair"))
     return rows.select(*bucket, "pair.bi", "pair.bj", "node", "block", "earlier")
 
 

@@ -158,9 +158,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for d in range(max_depth, least - 1, -1):
         level = lambda k: F.slice("prefixes", (k - 1) * trees + 1, trees)
         met = F.slice(level(d), 1, F.col("tree")) if d == max_depth else F.concat(F.slice(level(d), 1, F.col("tree")), F.slice(level(d + 1), F.col("tree") + 1, trees))
-        hung = same.join(state.select("node", "active"), "node").select("node", F.col("n").alias("weight"), "active", "prefixes", F.posexplode(level(d)).alias("tree", "key"))
+        hung = same.join(state.select("node", "active"), "node").select("node", "active", F.posexplode(level(d)).alias("tree", "key"))
         full = hung.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.max("active").alias("any")).where("m > 1 and any").select("tree", "key")
-        rows = hung.join(full, ["tree", "key"]).select("tree", "key", "node", "weight", met.alias("earlier"))
+        rows = hung.select("node", "tree", "key").join(full, ["tree", "key"]).join(same.select("node", F.col("n").alias("weight"), "prefixes"), "node")
+        rows = rows.select("tree", "key", "node", "weight", met.alias("earlier"))
         pairs = cut(dealt(rows, BLOCK_TEXTS, BLOCK_SHINGLES)).join(same.select("node", "mult"), "node").join(state.select("node", "active"), "node")
         shipped = base.join(pairs, base["doc_id"] == pairs["node"]).select("tree", "key", "bi", "bj", "node", "mult", "block", "active", "earlier", "text")
         sorted_ = shipped.repartition(slots(spark), "tree", "key", "bi", "bj").sortWithinPartitions("tree", "key", "bi", "bj")
