@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,27 @@ def embedding_valid(vector: Column, dim: Column) -> Column:
     return F.size(vector) == dim
 
 
+#: Bytes of one number of an encoded vector, by its kind.
+WIDTHS = {"f16": 2, "f32": 4, "f64": 8, "i8": 1}
+
+
+def encoded_valid(content: Column, kind: Column, dim: Column) -> Column:
+    """Whether the bytes of a vector are as many as its kind and dimension ask for."""
+    table = F.create_map(*[F.lit(x) for kv in WIDTHS.items() for x in kv])
+    return F.coalesce(F.octet_length(content) == dim * F.try_element_at(table, kind), F.lit(False))
+
+
+def decode_embedding(content: Column, kind: Column, dim: Column) -> Column:
+    """The numbers of a vector from its little-endian bytes, as floats; null where they are not as many as they should be."""
+    kinds = {"f16": "<f2", "f32": "<f4", "f64": "<f8", "i8": "<i1"}
+
+    @F.pandas_udf("array<float>")
+    def decoded(content: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or k not in kinds or len(c) % WIDTHS[k] else np.frombuffer(c, kinds[k]).astype(np.float32) for c, k in zip(content, kind)])
+
+    return F.when(encoded_valid(content, kind, dim), decoded(content, kind))
+
+
 # --- sparse vectors -------------------------------------------------------------------------------------------
 
 
@@ -200,6 +223,14 @@ def micros_to_rfc3339(micros: Column) -> Column:
     return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def time_ordered_id(micros: Column, *parts: Column) -> Column:
+    """An id that sorts by time and is the same whenever it is made: the milliseconds, then a hash of the parts, as a version 7 UUID."""
+    t = F.lpad(F.lower(F.hex(F.floor(micros / 1000).cast("long"))), 12, "0")
+    h = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.conv(F.substring(h, 4, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat(F.substring(t, 1, 8), F.lit("-"), F.substring(t, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-"), variant, F.substring(h, 5, 3), F.lit("-"), F.substring(h, 8, 12))
+
+
 def now_micros() -> Column:
     return F.unix_micros(F.current_timestamp())
 
@@ -218,6 +249,26 @@ def parse_kv(text: Column) -> Column:
     return F.struct(key.alias("key"), kind.alias("value"))
 
 
+def json_value(text: Column) -> Column:
+    """A JSON text as a typed value: integers and decimals stay apart, lists and objects are kept; null where it is no JSON."""
+    return F.try_parse_json(text)
+
+
+def props_json(props: Column) -> Column:
+    """Typed properties as one JSON object, its keys in order."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    body = lambda v: F.substring(v, F.lit(3), F.length(v))
+    value = lambda v: F.when(v.startswith("s:"), quoted(body(v))).otherwise(body(v))
+    return F.concat(F.lit("{"), F.array_join(F.transform(sorted_props(props), lambda e: F.concat(quoted(e["key"]), F.lit(":"), value(e["value"]))), ","), F.lit("}"))
+
+
+def text_to_index(ntype: Column, summary: Column, content: Column, props: Column) -> Column:
+    """What a node is embedded by: its summary, else its content, else its label and properties in order."""
+    pairs = F.array_join(F.transform(sorted_props(props), lambda e: F.concat(e["key"], F.lit("="), F.substring(e["value"], F.lit(3), F.length(e["value"])))), " ")
+    some = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(some(summary), some(content), F.trim(F.concat_ws(" ", ntype, pairs)))
+
+
 def fill_template(template: str, **values: Column) -> Column:
     out = F.lit(template)
     for name, v in values.items():

@@ -245,3 +245,17 @@ def summary_scores(sentences: DataFrame, query: list[float] | None = None, weigh
     asked = cosine(F.col("vector"), F.array(*[F.lit(float(q)) for q in query])) if query else F.lit(0.0)
     central = F.when(F.col("most") > 0, F.col("centrality") / F.col("most")).otherwise(F.lit(0.0))
     return t.select("group", "id", (alpha * cosine(F.col("vector"), F.col("centre")) + beta * asked + gamma * central).alias("score"), "vector")
+
+
+def community_count(membership: DataFrame) -> DataFrame:
+    """One row, n: the greatest community number and one; 0 for none."""
+    return membership.agg((F.coalesce(F.max("community"), F.lit(-1)) + 1).cast("long").alias("n"))
+
+
+def histogram(samples: DataFrame, key: str, value: str, bounds: list[float]) -> DataFrame:
+    """(key, le, n, total): how many samples are at most each bound, the last bound being infinite, and their sum."""
+    le = [*map(float, bounds), float("inf")]
+    counts = [F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(le)]
+    t = samples.groupBy(key).agg(*counts, F.sum(value).alias("total"))
+    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"_{i}").alias("n")) for i, b in enumerate(le)]))
+    return t.select(key, "total", rows.alias("b")).select(key, "b.le", "b.n", "total")

@@ -16,18 +16,19 @@ OUT = "doc string, idx int, section_path array<string>, text string, tokens int"
 
 
 def section_paths(sections: DataFrame) -> DataFrame:
-    """Sections with section_path: walking back, headings of ever smaller depth, outermost first. A document is one list."""
+    """Sections with section_path: walking back, headings of ever smaller depth, outermost first.
 
-    def walk(acc, i):
-        s = F.element_at("all", i)
-        take = s["heading"].isNotNull() & (s["depth"] > 0) & (s["depth"] <= acc["level"])
+    A document's headings are one list, from the first to each row; its texts are not in it."""
+    past = W.partitionBy("doc").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    heads = F.collect_list(F.when(F.col("heading").isNotNull() & (F.col("depth") > 0), F.struct("heading", "depth"))).over(past)
+
+    def walk(acc, s):
+        take = s["depth"] <= acc["level"]
         return F.struct(F.when(take, F.concat(F.array(s["heading"]), acc["path"])).otherwise(acc["path"]).alias("path"), F.when(take, s["depth"] - 1).otherwise(acc["level"]).alias("level"))
 
-    lists = sections.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "heading", "depth", "text"))).alias("all"))
-    t = lists.select("doc", "all", F.posexplode("all").alias("i", "s"))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.col("s.depth").alias("level"))
-    path = F.aggregate(F.reverse(F.sequence(F.lit(1), F.col("i") + 1)), start, walk)["path"]
-    return t.select("doc", "s.*", path.alias("section_path"))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.col("depth").alias("level"))
+    t = sections.withColumn("_heads", heads)
+    return t.select("doc", "idx", "heading", "depth", "text", F.aggregate(F.reverse("_heads"), start, walk)["path"].alias("section_path"))
 
 
 def chunk_paragraph(sections: DataFrame) -> DataFrame:
@@ -116,6 +117,15 @@ def chunk_session(sections: DataFrame, most: int = 10) -> DataFrame:
     return t.select("doc", F.col("chunk").alias("idx"), "first", "messages", "text", token_count(F.col("text")).alias("tokens"))
 
 
+def sections_in_chunks(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc, section, chunk): a section is in the chunks whose path ends with its heading; one without a heading is in all of its document."""
+    last = F.try_element_at("section_path", F.lit(-1))
+    a = sections.select("doc", F.col("idx").alias("section"), "heading")
+    b = chunks.select(F.col("doc"), F.col("idx").alias("chunk"), last.alias("last"))
+    named = a.where("heading is not null").join(b, [a["doc"] == b["doc"], a["heading"] == b["last"]]).select(a["doc"], "section", "chunk")
+    return named.unionByName(a.where("heading is null").join(b, "doc").select("doc", "section", "chunk"))
+
+
 #: What each kind of source is cut by, if nothing else is asked for.
 AUTO = {"markdown": ("paragraph",), "text": ("recursive", 256, 32), "pdf": ("recursive", 512, 64), "conversation": ("session", 10), "code": ("structural",)}
 CHUNKERS = {"paragraph": chunk_paragraph, "recursive": chunk_recursive, "sentence_recursive": chunk_sentences, "session": chunk_session, "structural": chunk_structural}

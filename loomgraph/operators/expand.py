@@ -183,3 +183,38 @@ def explain_paths(edges: DataFrame, target: str, depth: int = 8, per_node: int =
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def answer_hops(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(id, hop, path): what the seeds (id) reach along edges, by the hop that finds it first, and the least path there."""
+    found = seeds.select("id", F.lit(0).alias("hop"), F.col("id").alias("path"))
+    frontier = found
+    for hop in range(1, depth + 1):
+        step = edges.join(frontier.select(F.col("id").alias("src"), "path"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.lit(">"), "dst")).alias("path"))
+        frontier = cut(step.join(found.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "path"))
+        found = found.unionByName(frontier)
+    return found
+
+
+def knn_approximate(index: DataFrame, embeddings: DataFrame, k: int, bands: int = 24, width: int = 10) -> DataFrame:
+    """(src, dst, weight): of each vector the k nearest of those that share a band of sign codes with it, by exact cosine.
+
+    index: (node_id, code) of rank.sign_index. `bands` groups of `width` signs are buckets; buckets and their pairs are joined by
+    id, vectors fetched once for each candidate pair. Work grows with the buckets' sizes, not with the square of the vectors."""
+    from ..functions import cosine
+
+    bit = lambda i: F.shiftright(F.get("code", F.lit(i // 63)), i % 63).bitwiseAND(F.lit(1).cast("long"))
+    keys = [reduce(lambda a, b: a * 2 + b, [bit(t * width + j) for j in range(width)]) for t in range(bands)]
+    own = index.where("code is not null").select("node_id", F.posexplode(F.array(*keys)).alias("band", "key"))
+    pairs = own.join(own.withColumnRenamed("node_id", "other"), ["band", "key"]).where("node_id <> other").select("node_id", "other").distinct()
+    a = embeddings.select("node_id", F.col("vector").alias("v"))
+    b = embeddings.select(F.col("node_id").alias("other"), F.col("vector").alias("w"))
+    scored = pairs.join(a, "node_id").join(b, "other").select(F.col("node_id").alias("src"), F.col("other").alias("dst"), cosine(F.col("v"), F.col("w")).alias("weight"))
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.round("weight", 12).desc(), "dst"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "weight")
+
+
+def stored_knn(edges: DataFrame, path: str) -> DataFrame:
+    """The edges, written to a path and read again: a later session reads them there."""
+    edges.write.mode("overwrite").parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path)

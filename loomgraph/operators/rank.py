@@ -65,7 +65,15 @@ def rerank_head(ranked: DataFrame, score: Column, k: int) -> DataFrame:
 def pack_budget(ranked: DataFrame, budget: int, limit: int | None = None) -> DataFrame:
     """Items (id, score, tokens) that fit, in order: one that overflows is left out, later ones may still fit.
 
-    A fold in the order of the ranking, so it belongs after a top-k: all items meet in one list."""
+    A fold in the order of the ranking: what can fit is in one list. An item of more tokens than the budget never fits, and of those of
+    equal size only as many as the budget holds can, so the list is bounded by the budget, however many are ranked."""
+    own = F.row_number().over(W.partitionBy("tokens").orderBy(F.col("score").desc(), "id"))
+    seen = ranked.agg(F.count(F.lit(1)).alias("all"))
+    some = ranked.where(F.col("tokens") <= budget).withColumn("_own", own)
+    # items without tokens all fit, so only a limit bounds them
+    ranked = some.where((F.col("_own") - 1) * F.col("tokens") <= budget)
+    if limit is not None:
+        ranked = ranked.where(F.col("_own") <= limit)
     item = F.struct((-F.col("score")).alias("s"), "id", F.col("tokens").cast("long").alias("tokens"))
     rows = ranked.agg(F.array_sort(F.collect_list(item)).alias("items"))
     most = limit if limit is not None else 2_147_483_647
@@ -75,7 +83,7 @@ def pack_budget(ranked: DataFrame, budget: int, limit: int | None = None) -> Dat
         return F.struct(F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    packed = rows.select(F.aggregate("items", start, take).alias("p"), F.size("items").alias("seen"))
+    packed = rows.crossJoin(seen).select(F.aggregate("items", start, take).alias("p"), F.col("all").cast("int").alias("seen"))  # one row each
     return packed.select(F.posexplode("p.kept").alias("place", "id"), F.col("p.used").alias("tokens_used"), (F.col("seen") - F.size("p.kept")).alias("dropped"))
 
 

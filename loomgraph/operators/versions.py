@@ -214,13 +214,20 @@ def lowest_common_ancestor(commits: DataFrame, heads: list[str]) -> DataFrame:
 
 def log(commits: DataFrame, head: str, limit: int = 20) -> DataFrame:
     """(depth, cid, author, time, message) along first parents; one recursive query."""
-    commits.createOrReplaceTempView("_commits")
-    return commits.sparkSession.sql(f"""
+    text = """
         WITH RECURSIVE line(depth, cid, author, time, message, parent) AS (
-            SELECT 0, cid, author, time, message, try_element_at(parents, 1) FROM _commits WHERE cid = '{head}'
+            SELECT 0, cid, author, time, message, try_element_at(parents, 1) FROM {commits} WHERE cid = :head
             UNION ALL
-            SELECT depth + 1, c.cid, c.author, c.time, c.message, try_element_at(c.parents, 1) FROM line JOIN _commits c ON c.cid = line.parent WHERE depth + 1 < {int(limit)})
-        SELECT depth, cid, author, time, message FROM line""")
+            SELECT depth + 1, c.cid, c.author, c.time, c.message, try_element_at(c.parents, 1)
+            FROM line JOIN {commits} c ON c.cid = line.parent WHERE depth + 1 < :most)
+        SELECT depth, cid, author, time, message FROM line"""
+    return commits.sparkSession.sql(text, args={"head": head, "most": int(limit)}, commits=commits)
+
+
+def recent_operations(operations: DataFrame, head: str, limit: int = 10) -> DataFrame:
+    """(depth, cid, author, time, description) of the last operations along first parents, at most 100."""
+    own = operations.select("cid", "parents", "author", "time", F.col("description").alias("message"))
+    return log(own, head, min(100, max(1, limit))).withColumnRenamed("message", "description")
 
 
 def blame(reach: DataFrame, edge_versions: DataFrame) -> DataFrame:
@@ -246,6 +253,76 @@ def corrupt(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.sha2("content", 256) != F.col("cid")).select("cid")
 
 
+def merged_views(ancestor: DataFrame, heads: list[DataFrame]) -> DataFrame:
+    """(kind, name, value) of a view merged from several: what a head adds to the ancestor is in, what a head takes away is out.
+
+    A view's rows are its heads, tombstones and refs; a row that one head took away stays gone, whatever the others say."""
+    key = ["kind", "name", "value"]
+    every = reduce(DataFrame.unionByName, [h.select(*key) for h in [ancestor, *heads]]).distinct()
+    for h in heads:
+        gone = ancestor.select(*key).join(h.select(*key), key, "left_anti")
+        every = every.join(gone, key, "left_anti")
+    return every
+
+
+def merged_heads(operations: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row, (cid, parents, description): the operation that merges several heads (cid), the same whatever their order."""
+    parents = heads.join(operations.select("cid"), "cid", "left_semi").agg(F.array_sort(F.collect_set("cid")).alias("parents"))
+    merge = F.concat(F.lit("merge:"), F.substring(F.sha2(F.array_join("parents", ","), 256), 1, 32))
+    one = F.size("parents") == 1
+    return parents.where(F.size("parents") > 0).select(
+        F.when(one, F.col("parents")[0]).otherwise(merge).alias("cid"), "parents", F.when(one, "head").otherwise("merge operation heads").alias("description")
+    )
+
+
+def untombstoned(tombstones: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tombstones without those of these nodes (id)."""
+    return tombstones.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti")
+
+
+def unpicked(merged: DataFrame, picks: DataFrame) -> DataFrame:
+    """Conflicts that no pick (id, side) settles yet: a merge goes on when there are none, and is given up by keeping ours."""
+    return merged.where(F.col("outcome").isin(*CONFLICTS)).join(picks.select("id"), "id", "left_anti").select("id", "outcome")
+
+
+def status(refs: DataFrame, commits: DataFrame, branch: str) -> DataFrame:
+    """One row: the branch, its commit, who made it and when, and how many branches and tags there are."""
+    head = refs.where(F.col("name") == f"refs/heads/{branch}").select(F.col("target").alias("cid")).join(commits.select("cid", "author", "time"), "cid", "left")
+    counts = refs.agg(F.count_if(F.col("name").startswith("refs/heads/")).alias("branches"), F.count_if(F.col("name").startswith("refs/tags/")).alias("tags"))
+    return head.limit(1).select(F.lit(branch).alias("branch"), "cid", "author", "time").crossJoin(counts)  # one row each
+
+
+def block(blocks: DataFrame, cid: str) -> DataFrame:
+    """(cid, size, content) of one block."""
+    return blocks.where(F.col("cid") == cid).select("cid", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+def links_in(blocks: DataFrame) -> DataFrame:
+    """(cid, link): the content ids that stand in a block's text."""
+    return blocks.select("cid", F.explode(F.array_distinct(F.regexp_extract_all(F.col("content").cast("string"), F.lit("([0-9a-f]{64})"), 1))).alias("link"))
+
+
+#: Bits and hash functions of a have-set: about one cid in a hundred that isn't there seems to be.
+HAVE_BITS, HAVE_HASHES = 10, 7
+
+
+def have_set(cids: DataFrame, bits: int | None = None) -> tuple[DataFrame, int]:
+    """((bit), bits): a Bloom filter of the cids, HAVE_BITS bits for each, as the table of its set bits."""
+    bits = bits or max(64, HAVE_BITS * cids.count())
+    return _bits(cids, bits).select("bit").distinct(), bits
+
+
+def _bits(cids: DataFrame, bits: int) -> DataFrame:
+    hashes = F.array(*[F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(bits)) for k in range(HAVE_HASHES)])
+    return cids.select("cid", F.explode(F.array_distinct(hashes)).alias("bit"))
+
+
+def not_had(cids: DataFrame, have: tuple[DataFrame, int]) -> DataFrame:
+    """cids that are surely not in a have-set: one of their bits is unset."""
+    table, bits = have
+    return _bits(cids, bits).join(table, "bit", "left_anti").select("cid").distinct()
+
+
 # --- refs -----------------------------------------------------------------------------------------------------
 
 

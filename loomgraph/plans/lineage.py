@@ -7,11 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into spark.checkpoint.dir; where that is unset (tests), into a folder of our own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def folder(spark) -> str:
+    """spark.checkpoint.dir; on one machine (tests), where that is unset, a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder. Where spark.cleaner.referenceTracking.cleanCheckpoints is true, Spark
+    removes it when nothing refers to it any more; else it stays until the folder is emptied."""
+    folder(df.sparkSession)
     return df.checkpoint()

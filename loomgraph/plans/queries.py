@@ -117,9 +117,11 @@ def node_by_id(spark, sf_dir):
     return graph(spark, sf_dir).nodes.where("id = 'part:0000000017'").select("id", "ntype", "summary")
 
 
-@query(f"WITH {EDGES} SELECT etype, src, dst FROM edges WHERE id = 'in_region:nation:0000000003>region:0000000001'")
+@query(f"WITH {EDGES} SELECT etype, src, dst FROM edges WHERE id = (SELECT min(id) FROM edges WHERE etype = 'in_region')")
 def edge_by_id(spark, sf_dir):
-    return edges(spark, sf_dir).where("id = 'in_region:nation:0000000003>region:0000000001'").select("etype", "src", "dst")
+    t = edges(spark, sf_dir)
+    found = edges(spark, sf_dir, ("in_region",)).agg(F.min("id")).first()[0]
+    return t.where(F.col("id") == found).select("etype", "src", "dst")
 
 
 @query(f"WITH {VECTORS} SELECT id, 'm64' AS models, len(v) AS dim FROM vecs")
@@ -577,67 +579,86 @@ def commit_snapshot(spark, sf_dir):
     return versions.committed(base, added, base.where("id % 4 = 2").select("id"))
 
 
+def commit_name(k):
+    return F.concat(F.lit("k"), F.lpad(k.cast("string"), 9, "0"))
+
+
 def commit_table(spark, sf_dir) -> DataFrame:
-    """A history over the nations: each commit's parent is the one before it; every fifth has a second parent ten back."""
-    k = F.col("n_nationkey") + 1
-    name = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 6, "0"))
-    parents = F.when(k <= 1, F.array().cast("array<string>")).when((k % 5 == 0) & (k > 10), F.array(name(k - 1), name(k - 10))).otherwise(F.array(name(k - 1)))
-    return read(spark, sf_dir, "nation").select(name(k).alias("cid"), parents.alias("parents"), F.concat(F.lit("a"), (k % 3).cast("string")).alias("author"), (k * 1000).alias("time"), F.col("n_name").alias("message"))
+    """A history over the parts: each commit's parent is the one before it; every fifth has a second parent ten back."""
+    k = F.col("p_partkey") + 1
+    parents = F.when(k <= 1, F.array().cast("array<string>")).when((k % 5 == 0) & (k > 10), F.array(commit_name(k - 1), commit_name(k - 10))).otherwise(F.array(commit_name(k - 1)))
+    return read(spark, sf_dir, "part").select(commit_name(k).alias("cid"), parents.alias("parents"), F.concat(F.lit("a"), (k % 3).cast("string")).alias("author"), (k * 1000).alias("time"), F.col("p_name").alias("message"))
 
 
 def fork_table(spark, sf_dir) -> DataFrame:
     """A history of two branches that part at the third commit: odd numbers on one, even ones on the other."""
-    k = F.col("n_nationkey") + 1
-    name = lambda c: F.concat(F.lit("k"), F.lpad(c.cast("string"), 6, "0"))
-    parents = F.when(k <= 1, F.array().cast("array<string>")).when(k <= 3, F.array(name(k - 1))).when(k <= 5, F.array(name(F.lit(3)))).otherwise(F.array(name(k - 2)))
-    return read(spark, sf_dir, "nation").where("n_nationkey < 12").select(name(k).alias("cid"), parents.alias("parents"))
+    k = F.col("p_partkey") + 1
+    parents = F.when(k <= 1, F.array().cast("array<string>")).when(k <= 3, F.array(commit_name(k - 1))).when(k <= 5, F.array(commit_name(F.lit(3)))).otherwise(F.array(commit_name(k - 2)))
+    return read(spark, sf_dir, "part").select(commit_name(k).alias("cid"), parents.alias("parents"))
+
+
+def last_commit(commits: DataFrame) -> str:
+    return commits.agg(F.max("cid")).first()[0]
+
+
+CID = "'k' || lpad(({})::VARCHAR, 9, '0')"
+TOP = "(SELECT max(p_partkey) + 1 FROM part)"
 
 
-@query("SELECT 11::BIGINT - n_nationkey AS depth, 'k' || lpad((n_nationkey + 1)::VARCHAR, 6, '0') AS cid, 'a' || ((n_nationkey + 1) % 3) AS author, n_name AS message FROM nation WHERE n_nationkey BETWEEN 2 AND 11")
+@query(f"SELECT {TOP} - p_partkey - 1 AS depth, {CID.format('p_partkey + 1')} AS cid, 'a' || ((p_partkey + 1) % 3) AS author, p_name AS message FROM part ORDER BY p_partkey DESC LIMIT 10")
 def log_first_parents(spark, sf_dir):
-    t = versions.log(commit_table(spark, sf_dir), "k000012", 10)
-    return t.select(F.col("depth").cast("long").alias("depth"), "cid", "author", "message")
+    t = commit_table(spark, sf_dir)
+    return versions.log(t, last_commit(t), 10).select(F.col("depth").cast("long").alias("depth"), "cid", "author", "message")
 
 
-HISTORY = "h AS (SELECT k, unnest(CASE WHEN k <= 1 THEN [] WHEN k % 5 = 0 AND k > 10 THEN [k - 1, k - 10] ELSE [k - 1] END) AS p FROM (SELECT n_nationkey + 1 AS k FROM nation))"
-TOP = "(SELECT max(n_nationkey) + 1 FROM nation)"
+# each row of the recursion holds the depths of the ten commits after its own
+DEPTHS = f"""up(k, last) AS (SELECT {TOP}, [0] UNION ALL
+        SELECT k - 1, list_prepend(CASE WHEN len(last) >= 10 AND (k + 9) % 5 = 0 AND k + 9 > 10 THEN least(last[1], last[10]) ELSE last[1] END + 1, last)[1:10] FROM up WHERE k > 1)"""
 
 
-@query(f"WITH RECURSIVE {HISTORY}, up(k, d) AS (SELECT {TOP}, 0 UNION SELECT h.p, d + 1 FROM up JOIN h ON h.k = up.k) SELECT 'k' || lpad(k::VARCHAR, 6, '0') AS cid, min(d)::INT AS depth FROM up GROUP BY k")
+@query(f"WITH RECURSIVE {DEPTHS} SELECT {CID.format('k')} AS cid, last[1]::INT AS depth FROM up")
 def ancestor_closure(spark, sf_dir):
     t = commit_table(spark, sf_dir)
     head = t.agg(F.max("cid").alias("cid")).select(F.col("cid").alias("head"), "cid")
     return versions.ancestors(t, head).select("cid", "depth")
 
 
-@query("SELECT 'k000003' AS cid")
+FORK = "CASE WHEN k <= 1 THEN NULL WHEN k <= 3 THEN k - 1 WHEN k <= 5 THEN 3 ELSE k - 2 END"
+
+
+@query(f"""WITH RECURSIVE a(k) AS (SELECT {TOP} UNION ALL SELECT {FORK} FROM a WHERE k > 1), b(k) AS (SELECT {TOP} - 1 UNION ALL SELECT {FORK} FROM b WHERE k > 1)
+    SELECT {CID.format('max(k)')} AS cid FROM a JOIN b USING (k)""")
 def lowest_common_ancestor(spark, sf_dir):
-    return versions.lowest_common_ancestor(fork_table(spark, sf_dir), ["k000010", "k000009"])
+    t = fork_table(spark, sf_dir)
+    heads = [r[0] for r in t.orderBy(F.col("cid").desc()).select("cid").limit(2).collect()]
+    return versions.lowest_common_ancestor(t, heads)
 
 
-@query("SELECT p_partkey AS id, 'k' || lpad((1 + p_partkey % 8)::VARCHAR, 6, '0') AS cid FROM part")
+@query(f"""WITH RECURSIVE {DEPTHS}, v AS (SELECT p_partkey AS id, 1 + p_partkey * 7 % ({TOP} - 3) + j AS k FROM part, range(4) r(j))
+    SELECT id, {CID.format('k')} AS cid FROM v JOIN up USING (k) QUALIFY row_number() OVER (PARTITION BY id ORDER BY last[1] DESC, k) = 1""")
 def blame(spark, sf_dir):
     t = commit_table(spark, sf_dir)
-    reach = versions.ancestors(t, t.where("cid = 'k000010'").select(F.col("cid").alias("head"), "cid"))
-    # an edge is in every version from the one that made it on
-    made = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(F.sequence(1 + F.col("p_partkey") % 8, F.lit(10).cast("long"))).alias("k"))
-    return versions.blame(reach, made.select("id", F.concat(F.lit("k"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("commit")))
+    reach = versions.ancestors(t, t.agg(F.max("cid").alias("cid")).select(F.col("cid").alias("head"), "cid"))
+    # an edge is in the version that made it and in the three after that
+    part = read(spark, sf_dir, "part")
+    made = F.col("p_partkey") * 7 % (F.col("top") - 3) + 1
+    held = part.crossJoin(part.agg((F.max("p_partkey") + 1).alias("top"))).select(F.col("p_partkey").alias("id"), F.explode(F.sequence(made, made + 3)).alias("k"))
+    return versions.blame(reach, held.select("id", commit_name(F.col("k")).alias("commit")))
 
 
-@query(f"WITH RECURSIVE {HISTORY}, up(k) AS (SELECT 20 UNION SELECT h.p FROM up JOIN h ON h.k = up.k) SELECT 'k' || lpad((n_nationkey + 1)::VARCHAR, 6, '0') AS cid FROM nation WHERE n_nationkey + 1 NOT IN (SELECT k FROM up WHERE k IS NOT NULL)")
+@query(f"SELECT {CID.format('p_partkey + 1')} AS cid FROM part WHERE p_partkey + 1 > {TOP} * 4 // 5")
 def unreachable_blocks(spark, sf_dir):
     t = commit_table(spark, sf_dir)
     links = t.select("cid", F.explode("parents").alias("parent"))
-    roots = spark.createDataFrame([("k000020",)], "cid string")
+    roots = read(spark, sf_dir, "part").agg(commit_name(F.floor((F.max("p_partkey") + 1) * 4 / 5)).alias("cid"))
     return versions.unreachable(t, links, roots)
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 50 = 7 AND text IS NOT NULL")
+@query("SELECT sha256(text) AS cid FROM documents WHERE doc_id % 50 = 7 AND text IS NOT NULL")
 def corrupt_blocks(spark, sf_dir):
+    """Blocks of all documents, some of them with one more character than their hash is of."""
     d = read(spark, sf_dir, "documents").where("text is not null")
-    blocks = d.select(F.col("doc_id"), F.sha2("text", 256).alias("cid"), F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
-    bad = versions.corrupt(blocks).distinct()
-    return blocks.where("doc_id % 50 = 7").join(bad, "cid", "left_semi").select(F.col("doc_id").alias("id"))
+    return versions.corrupt(d.select(F.sha2("text", 256).alias("cid"), F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content")))
 
 
 @query("""WITH u AS (SELECT s_name AS name, 't' || (s_suppkey % 4) AS target, 1 - 2 AS sign FROM supplier UNION ALL SELECT s_name, 't' || (s_suppkey % 4 + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END), 1 FROM supplier
@@ -980,3 +1001,6 @@ def commit_memory(spark, sf_dir):
 def dense_approximate(spark, sf_dir):
     e = graph(spark, sf_dir).embeddings
     return rank.dense_approximate(rank.sign_index(e), e, first_vector(spark, sf_dir), 10).select("id", r6("score").alias("score"))
+
+
+from . import more  # noqa: E402, F401  registers further queries

@@ -32,6 +32,8 @@ class GraphExpand:
     mode: str = "decay"
     damping: float = 0.85
     iterations: int = 15
+    #: PageRank over graphs of more nodes than expand.PPR_NODES only if it is asked for; else decay takes its place
+    large: bool = False
 
 
 @dataclass(frozen=True)
@@ -95,6 +97,23 @@ class Retriever:
             t = without_tombstones(t, self.graph.tombstones)
         return temporal(without_system(t), **self.times)
 
+    def by_pagerank(self) -> bool:
+        e = self.expansion
+        return e is not None and e.mode == "pagerank" and self.adjacency is not None and (e.large or not expand.too_many_nodes(self.adjacency))
+
+    def warnings(self) -> list[str]:
+        """What a result does not show: stages that were asked for and did not run; at most eight."""
+        e, out = self.expansion, []
+        if e is not None and e.mode == "pagerank" and self.adjacency is None:
+            out.append("pagerank_without_adjacency")
+        elif e is not None and e.mode == "pagerank" and not self.by_pagerank():
+            out.append("pagerank_skipped_by_size")
+        if not self.dense and not self.sparse:
+            out.append("no_ranker")
+        if self.budget is not None and self.budget <= 0:
+            out.append("empty_budget")
+        return out[:8]
+
     def candidates(self) -> DataFrame:
         t = self.fused()
         if self.community:
@@ -105,7 +124,7 @@ class Retriever:
         if e is None:
             return t
         seeds = t.select("id", "score")
-        if e.mode == "pagerank" and self.adjacency is not None:
+        if self.by_pagerank():
             new = expand.expand_pagerank(seeds, self.adjacency, e.max_expand, e.damping, e.iterations)
         else:
             new = expand.expand_decay(seeds, self.graph.edges, e.max_expand, e.decay, e.depth, dict(e.etypes) if e.etypes else None, e.direction, e.max_per_seed, e.max_frontier)
@@ -133,6 +152,31 @@ class Retriever:
         return t.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(s["lane"], F.lit(":"), F.round(s["score"], 6).cast("string"))).alias("lanes"))
 
 
+def with_passage(query: Column, generate: Callable[[Column], Column] | None) -> Column:
+    """The query, and a passage that a generator writes for it, to be embedded together; without a generator the query alone."""
+    return query if generate is None else F.concat_ws("\n\n", query, generate(query))
+
+
+def over_graphs(graphs: list[tuple[str, Retriever]], limit: int) -> DataFrame:
+    """(graph, id, score): the best of several graphs' candidates, each with the graph it is from."""
+    parts = [r.candidates().select(F.lit(name).alias("graph"), "id", "score") for name, r in graphs]
+    t = parts[0]
+    for p in parts[1:]:
+        t = t.unionByName(p)
+    return t.where(~F.isnan("score")).orderBy(F.col("score").desc(), "id", "graph").limit(limit)
+
+
+#: The greatest numbers that a request may ask for.
+REQUEST_CAPS = {"limit": 1000, "vector_cap": 100_000, "iterations": 100}
+
+
+def checked(name: str, value: int) -> int:
+    """value, if a request may ask for it; ValueError else."""
+    if not 0 <= value <= REQUEST_CAPS[name]:
+        raise ValueError(f"{name} must be between 0 and {REQUEST_CAPS[name]}")
+    return value
+
+
 def multi_query(retrievers: list[Retriever], limit: int, k: float = 60.0) -> DataFrame:
     """(id, score): several phrasings, each retrieved deeper than asked for, fused by rank."""
     depth = max(30, 3 * limit)

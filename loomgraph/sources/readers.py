@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SECTIONS = "doc string, idx int, heading string, depth int, text string"
@@ -63,20 +64,35 @@ def markdown(docs: DataFrame) -> DataFrame:
     return _sections(docs, markdown_sections)
 
 
-_TEXT_HEADING = re.compile(r"^[ \t]*(?:(?:ARTICLE|CHAPTER|PART)\s+(?:[IVXLCDM]{1,8}|\d+)|(?:SECTION|Section)\s+\d+(?:\.\d+)*|[IVXLCDM]{1,5}\.\s+[A-Z])[^\n]*$", re.M)
+#: The shapes of a heading line in plain text. A line of capitals has four characters or more.
+HEADING_SHAPES = (
+    r"(ARTICLE|CHAPTER|PART)\s+([IVXLCDM]{1,8}|[0-9]+)",
+    r"(SECTION|Section)\s+[0-9]+(\.[0-9]+)*",
+    r"[IVXLCDM]{1,5}\.\s+[A-Z]",
+    r"[A-Z][A-Z &/-]{2,}[A-Z]",
+)
+_SHAPES = [re.compile(x) for x in HEADING_SHAPES]
+
+
+def is_heading(line: str) -> bool:
+    """Whether a line is nothing but a heading, closed perhaps by a colon or a full stop."""
+    line = line.strip(" \t")
+    bare = line[:-1].rstrip(" \t") if line.endswith((":", ".")) else line
+    return any(shape.fullmatch(x) for shape in _SHAPES for x in (line, bare))
 
 
 def text_sections(text: str) -> list[tuple[str | None, int, str]]:
-    """Sections under lines such as CHAPTER 4 or Section 2.1; with fewer than two of them, the whole text is one."""
-    heads = list(_TEXT_HEADING.finditer(text))
+    """Sections under lines such as CHAPTER 4, Section 2.1 or METHODS; with fewer than two of them, the whole text is one."""
     if not text:
         return []
+    lines = text.split("\n")
+    heads = [i for i, line in enumerate(lines) if is_heading(line)]
     if len(heads) < 2:
         return [(None, 0, text)]
-    lead = text[: heads[0].start()].strip()
+    lead = "\n".join(lines[: heads[0]]).strip()
     out: list[tuple[str | None, int, str]] = [(None, 0, lead)] if lead else []
-    for a, b in zip(heads, [*heads[1:], None]):
-        out.append((a[0].strip(), 1, text[a.end() : b.start() if b else len(text)].strip()))
+    for a, b in zip(heads, [*heads[1:], len(lines)]):
+        out.append((lines[a].strip(), 1, "\n".join(lines[a + 1 : b]).strip()))
     return out
 
 
@@ -167,19 +183,30 @@ def export_blocks(blocks: DataFrame, path: str) -> None:
 
 
 def import_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(cid, content) of an export; blocks whose content has another hash are left out."""
+    """(cid, content) of an export; a block whose content has another hash ends the import with an error."""
     t = spark.read.schema("cid string, hex string").json(path).select("cid", F.unhex("hex").alias("content"))
-    return t.where(F.sha2("content", 256) == F.col("cid"))
+    wrong = F.raise_error(F.concat(F.lit("block "), "cid", F.lit(" has other content"))).cast("binary")
+    return t.select("cid", F.when(F.sha2("content", 256).eqNullSafe(F.col("cid")), F.col("content")).otherwise(wrong).alias("content"))
+
+
+def author_runs(rows: DataFrame, order: str, author: str) -> DataFrame:
+    """rows with `run`: the commit that a bulk insert makes of them, one for each run of equal authors that follow one another.
+
+    An author that comes again later is another run. Rows are numbered in their order, so one request is one window."""
+    w = W.orderBy(order)
+    new = F.coalesce(~F.lag(author).over(w).eqNullSafe(F.col(author)), F.lit(True))
+    return rows.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def ingest(docs: DataFrame, kind: str = "markdown", chunker: str = "auto") -> dict[str, DataFrame]:
-    """documents, chunks, entities and edges of (doc, text). Ids come from the content, so a second ingest adds nothing."""
+def ingest(docs: DataFrame, kind: str = "markdown", chunker: str = "auto", language: str = "python") -> dict[str, DataFrame]:
+    """documents, chunks, entities and edges of (doc, text): chunk_of, chunk_mentions, and a relation between each two entities
+    of a chunk that stand near each other. Ids come from the content, so a second ingest adds nothing. language: of code."""
     from ..functions import content_hash, short_summary
     from ..operators.chunk import chunk
-    from ..operators.extract import canonical_entities, entities
+    from ..operators.extract import canonical_entities, entities, relations
 
     own = docs.select(F.col("doc").cast("string").alias("doc"), "text")
-    sections = {"markdown": markdown, "text": plain_text, "pdf": paged_text, "conversation": conversations}[kind](own)
+    sections = {"markdown": markdown, "text": plain_text, "pdf": paged_text, "conversation": conversations, "code": lambda d: code(d, language)}[kind](own)
     ident = lambda *parts: F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
     chunks = chunk(sections, kind, chunker).withColumn("id", ident(F.lit("Chunk"), "doc", F.col("idx").cast("string"), "text"))
     found = entities(chunks.select(F.col("id").alias("doc"), "text"))
@@ -189,4 +216,8 @@ def ingest(docs: DataFrame, kind: str = "markdown", chunker: str = "auto") -> di
     documents = own.select(ident(F.lit("Doc"), "doc", content_hash(F.col("text"))).alias("id"), "doc", short_summary(F.col("text")).alias("summary"))
     belongs = chunks.join(documents.select("doc", F.col("id").alias("dst")), "doc").select(F.lit("chunk_of").alias("etype"), F.col("id").alias("src"), "dst")
     mentioned = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("dst")), ["doc", "kind", "name"]).select(F.lit("chunk_mentions").alias("etype"), F.col("chunk").alias("src"), "dst").distinct()
-    return {"documents": documents, "chunks": chunks, "entities": named, "edges": belongs.unionByName(mentioned)}
+    related = relations(found, chunks.select(F.col("id").alias("doc"), "text"))
+    end = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("entity")), ["doc", "kind", "name"]).select("chunk", "ordinal", "entity")
+    ends = [end.select(F.col("chunk").alias("doc"), F.col("ordinal").alias(k), F.col("entity").alias(v)) for k, v in (("subject", "src"), ("object", "dst"))]
+    linked = related.join(ends[0], ["doc", "subject"]).join(ends[1], ["doc", "object"]).where("src <> dst").select(F.col("kind").alias("etype"), "src", "dst").distinct()
+    return {"documents": documents, "chunks": chunks, "entities": named, "edges": belongs.unionByName(mentioned).unionByName(linked)}

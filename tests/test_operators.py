@@ -276,7 +276,7 @@ def test_markdown():
 
 def test_plain_text_and_code():
     assert readers.text_sections("CHAPTER 1\nonly one") == [(None, 0, "CHAPTER 1\nonly one")]
-    assert [s[0] for s in readers.text_sections("lead\nCHAPTER 1\na\nSection 2.1 x\nb")] == [None, "CHAPTER 1", "Section 2.1 x"]
+    assert [s[0] for s in readers.text_sections("lead\nCHAPTER 1\na\nSection 2.1\nb\nSection 3 x")] == [None, "CHAPTER 1", "Section 2.1"]
     assert [s[0] for s in readers.code_sections("def f():\n    pass\nclass C:\n    x = 1\n", "python")] == ["function:f", "class:C"]
     assert readers.code_sections("def (", "python") == [(None, 0, "def (")]
     assert [s[0] for s in readers.code_sections("pub fn a() {}\nstruct B;\n", "rust")] == ["fn:a", "struct:B"]
