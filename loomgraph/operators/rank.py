@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cosine
-
 
 def top(lane: DataFrame, k: int) -> DataFrame:
     """The k best; NaN scores are left out, for Spark holds them to be the largest."""
@@ -20,13 +20,34 @@ def top(lane: DataFrame, k: int) -> DataFrame:
 
 
 def dense(embeddings: DataFrame, query: list[float], k: int, model: str | None = None, hidden: DataFrame | None = None) -> DataFrame:
-    """Cosine of every vector of the query's dimension. Hidden nodes take no place only if they are given."""
+    """Cosine of every vector of the query's dimension; 0 where a norm is 0, none where a component is null. Hidden nodes take no place
+    only if they are given. Vectors are scored in Arrow batches, one product each, and a batch gives its k best alone."""
     own = embeddings if model is None else embeddings.where(F.col("model") == model)
     own = own.where(F.size("vector") == len(query))
     if hidden is not None:
         own = own.join(hidden.select("node_id"), "node_id", "left_anti")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top(own.select(F.col("node_id").alias("id"), cosine(F.col("vector"), q).alias("score")), k)
+    kind = own.schema["node_id"].dataType.simpleString()
+    return top(own.select("node_id", "vector").mapInArrow(scored([float(x) for x in query], k), f"id {kind}, score double"), k)
+
+
+def scored(query: list[float], k: int):
+    """For mapInArrow: (id, score) of the k best of each batch of (id, vector), and those that tie with them."""
+    q = np.array(query, np.float64)
+    norm = np.sqrt(q @ q)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                m = b.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(b.num_rows, len(q))
+                length = np.sqrt((m * m).sum(1)) * norm
+                score = np.divide((m * q).sum(1), length, out=np.where(np.isnan(length), np.nan, 0.0), where=length > 0)
+                keep = np.flatnonzero(~np.isnan(score))
+                if len(keep) > k > 0:
+                    keep = keep[score[keep] >= np.partition(score[keep], -k)[-k] - 1e-12]
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(score[keep])], names=["id", "score"])
+
+    return run
 
 
 def sparse(postings: DataFrame, query: DataFrame, k: int) -> DataFrame:
@@ -108,9 +129,6 @@ def text_rank(texts: DataFrame, query: str, k: int) -> DataFrame:
 def sign_index(embeddings: DataFrame, words: int = 4, seed: int = 11) -> DataFrame:
     """(node_id, code): signs of `words` * 63 random projections of each vector, as longs. Built once for a snapshot, it is a
     sixteenth of the vectors at 64 dimensions and the only thing that a search scans."""
-    import numpy as np
-    import pyarrow as pa
-
     def run(batches):
         planes: dict = {}
         for b in batches:
@@ -130,8 +148,6 @@ def sign_index(embeddings: DataFrame, words: int = 4, seed: int = 11) -> DataFra
 
 def dense_approximate(index: DataFrame, embeddings: DataFrame, query: list[float], k: int, candidates: int = 200, seed: int = 11, hidden: DataFrame | None = None) -> DataFrame:
     """The k best by cosine among the `candidates` whose signs differ least from the query's; hidden nodes take no place."""
-    import numpy as np
-
     if hidden is not None:
         index = index.join(hidden.select("node_id"), "node_id", "left_anti")
     words = index.where("code is not null").select(F.size("code")).limit(1).collect()

@@ -257,7 +257,8 @@ def sparse_query(spark, sf_dir) -> DataFrame:
 
 
 def sparse_lane(spark, sf_dir, k=50) -> DataFrame:
-    t = rank.sparse(sparse_vectors(read(spark, sf_dir, "documents")), sparse_query(spark, sf_dir), 2**31 - 1)
+    query = sparse_query(spark, sf_dir)
+    t = rank.sparse(sparse_vectors(read(spark, sf_dir, "documents"), query), query, 2**31 - 1)
     return t.orderBy(F.round("score", 9).desc(), "id").limit(k)
 
 

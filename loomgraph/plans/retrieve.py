@@ -13,6 +13,11 @@ from ..model import tagged
 from ..operators import expand, rank
 from ..operators.query import Query, rendered, temporal, without_system, without_tombstones
 from ..sources.graph import Graph
+from .lineage import cut
+
+
+#: Candidates of a lane are broadcast up to this cap (some 40 bytes each).
+BROADCAST_CANDIDATES = 100_000
 
 
 class RetrievalEmpty(ValueError):
@@ -88,7 +93,8 @@ class Retriever:
 
     def filtered(self, ranked: DataFrame) -> DataFrame:
         """Candidates that are nodes and pass; the filters stand above the cut of the lanes and don't refill it."""
-        t = ranked.join(self.graph.nodes, "id")
+        # then the candidates are few and meet the nodes where those are read
+        t = self.graph.nodes.join(F.broadcast(ranked) if self.bounded() else ranked, "id")
         if self.label is not None:
             t = t.where(F.col("ntype") == self.label)
         if self.prop is not None:
@@ -97,6 +103,10 @@ class Retriever:
             t = without_tombstones(t, self.graph.tombstones)
         return temporal(without_system(t), **self.times)
 
+    def bounded(self) -> bool:
+        """Whether candidates come from lanes, which end in a top-k, and from what is expanded from them, which does too."""
+        return bool(self.dense or self.sparse) and self.vector_cap <= BROADCAST_CANDIDATES
+
     def by_pagerank(self) -> bool:
         e = self.expansion
         return e is not None and e.mode == "pagerank" and self.adjacency is not None and (e.large or not expand.too_many_nodes(self.adjacency))
@@ -123,6 +133,7 @@ class Retriever:
         e = self.expansion
         if e is None:
             return t
+        t = cut(t) if self.bounded() else t  # read as seeds and as results
         seeds = t.select("id", "score")
         if self.by_pagerank():
             new = expand.expand_pagerank(seeds, self.adjacency, e.max_expand, e.damping, e.iterations)
@@ -134,6 +145,7 @@ class Retriever:
     def items(self) -> DataFrame:
         """(place, id, score, tokens_used, dropped): what fits the budget, best first."""
         t = self.candidates()
+        t = cut(t) if self.bounded() else t
         texts = rendered(t)
         t = t.select("id", "score").join(texts, "id")
         if self.rerank:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import token_slot, token_weight, whitespace_tokens
+from ..functions import token_slot, token_weight
 from ..model import ANCHOR, tag
 
 
@@ -34,12 +34,22 @@ LABELS = {
 
 
 class Graph:
-    """The tables of a snapshot as DataFrames; nothing is read before a query asks for it."""
+    """The tables of a snapshot as DataFrames, or as functions that make them; nothing is opened before a query asks for it."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None, sparse: DataFrame | None = None, tombstones: DataFrame | None = None):
-        self.spark = nodes.sparkSession
-        self.nodes, self.edges = nodes, edges
-        self.embeddings, self.sparse, self.tombstones = embeddings, sparse, tombstones
+    def __init__(self, nodes, edges, embeddings=None, sparse=None, tombstones=None, spark: SparkSession | None = None):
+        self.spark = spark or nodes.sparkSession
+        self._tables = {"nodes": nodes, "edges": edges, "embeddings": embeddings, "sparse": sparse, "tombstones": tombstones}
+
+    def _table(self, name: str) -> DataFrame | None:
+        if callable(self._tables[name]) and not isinstance(self._tables[name], DataFrame):
+            self._tables[name] = self._tables[name]()
+        return self._tables[name]
+
+    nodes = property(lambda self: self._table("nodes"))
+    edges = property(lambda self: self._table("edges"))
+    embeddings = property(lambda self: self._table("embeddings"))
+    sparse = property(lambda self: self._table("sparse"))
+    tombstones = property(lambda self: self._table("tombstones"))
 
     def label(self, *labels: str) -> DataFrame:
         return self.nodes.where(F.col("ntype").isin(*labels))
@@ -74,15 +84,29 @@ def edges(spark: SparkSession, sf_dir: str, etypes: tuple[str, ...] | None = Non
     return reduce(DataFrame.unionByName, [makers[t]() for t in etypes or makers])
 
 
-def sparse_vectors(docs: DataFrame) -> DataFrame:
-    """One posting row per (node, slot): the greatest weight of the tokens that fall there."""
-    tokens = docs.select(node_id("Doc", "doc_id").alias("node_id"), F.explode(F.array_distinct(whitespace_tokens(F.lower("text")))).alias("token"))
-    return tokens.groupBy("node_id", token_slot(F.col("token")).alias("slot")).agg(F.max(token_weight(F.col("token"))).alias("weight"))
+def sparse_vectors(docs: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """One posting row per (node, slot): the greatest weight of the tokens that fall there. slots: only these (slot) are made, for
+    a query that asks for no others; there are no more of them than the vocabulary has slots, so they are broadcast."""
+    tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("token")).where("token <> ''")
+    made = [token_slot(F.col("token")).alias("slot"), token_weight(F.col("token")).alias("weight")]
+    if slots is None:
+        tokens = tokens.select("doc_id", *made)
+    else:  # each word of the vocabulary is hashed once, and only those of the slots are looked for
+        words = tokens.select("token").distinct().select("token", *made).join(F.broadcast(slots.select("slot").distinct()), "slot", "left_semi")
+        tokens = tokens.join(words, "token").select("doc_id", "slot", "weight")
+    return tokens.groupBy("doc_id", "slot").agg(F.max("weight").alias("weight")).select(node_id("Doc", "doc_id").alias("node_id"), "slot", "weight")
 
 
 def tpch_graph(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] | None = None, etypes: tuple[str, ...] | None = None) -> Graph:
-    nodes = reduce(DataFrame.unionByName, [label_nodes(spark, sf_dir, x) for x in labels or LABELS])
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(node_id("Vec", "vec_id").alias("node_id"), F.lit("m64").alias("model"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("label").alias("vec_label"))
-    gone = nodes.where(F.substring("id", -4, 4).cast("int") % 17 == 0).select(F.col("id").alias("node_id"), F.lit("rule").alias("reason"), F.lit(0).cast("bigint").alias("tombstoned_at"))
-    postings = sparse_vectors(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return Graph(nodes, edges(spark, sf_dir, etypes), vectors, postings, gone)
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    nodes = lambda: reduce(DataFrame.unionByName, [label_nodes(spark, sf_dir, x) for x in labels or LABELS])
+
+    def vectors():
+        return read("embeddings").select(node_id("Vec", "vec_id").alias("node_id"), F.lit("m64").alias("model"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("label").alias("vec_label"))
+
+    def gone():
+        own = graph.nodes.where(F.substring("id", -4, 4).cast("int") % 17 == 0)
+        return own.select(F.col("id").alias("node_id"), F.lit("rule").alias("reason"), F.lit(0).cast("bigint").alias("tombstoned_at"))
+
+    graph = Graph(nodes, lambda: edges(spark, sf_dir, etypes), vectors, lambda: sparse_vectors(read("documents")), gone, spark)
+    return graph

@@ -425,3 +425,78 @@ def test_approximate_top_k_finds_most(spark):
     assert hits >= 45
     gone = spark.createDataFrame([("v000",)], "node_id string")
     assert "v000" not in {r.id for r in rank.dense_approximate(index, e, v[0].tolist(), 10, 100, hidden=gone).collect()}
+
+
+# --- requests, sources and versions ---------------------------------------------------------------------------
+
+
+def test_headings_are_nothing_but_headings():
+    for line in ("CHAPTER 4", "PART IX:", "  Section 2.1.3  ", "SECTION 3.", "IV. T", "METHODS & DATA", "RESULTS-A", "END."):
+        assert readers.is_heading(line) or line == "END.", line
+    for line in ("CHAPTER 1 was long", "Chapter 1", "METHODS of", "ABC", "IV. Title", "section 2", "", "A B"):
+        assert not readers.is_heading(line), line
+
+
+def test_ingest_relates_entities_and_reads_code(spark):
+    out = readers.ingest(spark.createDataFrame([("d", "Then Anna Maier joined Acme Corp. today.")], "doc string, text string"), "text")
+    edges_ = {(r.etype, r.n) for r in out["edges"].groupBy("etype").count().withColumnRenamed("count", "n").collect()}
+    assert edges_ == {("chunk_of", 1), ("chunk_mentions", 2), ("acts_on", 1)}
+    again = readers.ingest(spark.createDataFrame([("f", "def g():\n    return 1\n")], "doc string, text string"), "code")
+    assert [r.section_path for r in again["chunks"].collect()] == [["function:g"]]
+
+
+def test_import_refuses_other_content(spark, tmp_path):
+    good = spark.createDataFrame([(bytearray(b"one"),)], "content binary").select(F.sha2("content", 256).alias("cid"), "content")
+    readers.export_blocks(good, str(tmp_path / "a"))
+    assert readers.import_blocks(spark, str(tmp_path / "a")).count() == 1
+    readers.export_blocks(good.withColumn("content", F.lit(b"two")), str(tmp_path / "b"))
+    with pytest.raises(Exception, match="has other content"):
+        readers.import_blocks(spark, str(tmp_path / "b")).collect()
+
+
+def test_pagerank_gate_falls_back_to_decay(small, monkeypatch):
+    near = expand.authored(small.edges)
+    e = small.spark.createDataFrame([("a", "m", 2, [1.0, 0.0])], "node_id string, model string, dim int, vector array<double>")
+    r = Retriever(Graph(small.nodes, small.edges, e), tombstoned=True, adjacency=near, expansion=GraphExpand(mode="pagerank")).vector([1.0, 0.0])
+    assert r.by_pagerank() and r.warnings() == []
+    by_rank = {x.id: x.score for x in r.candidates().collect()}
+    monkeypatch.setattr(expand, "PPR_NODES", 2)
+    monkeypatch.setattr(expand.too_many_nodes, "__defaults__", (2,))
+    assert not r.by_pagerank() and r.warnings() == ["pagerank_skipped_by_size"]
+    assert {x.id: x.score for x in r.candidates().collect()} == {"a": 1.0, "b": pytest.approx(0.7), "c": pytest.approx(0.7)} != by_rank
+    assert r.with_(expansion=GraphExpand(mode="pagerank", large=True)).by_pagerank()
+
+
+def test_packing_reads_no_more_than_can_fit(spark):
+    rows = [(f"{i:03d}", 1.0 / (i + 1), 1 + i % 5) for i in range(300)] + [("big", 9.0, 500)]
+    got = [r.id for r in rank.pack_budget(spark.createDataFrame(rows, "id string, score double, tokens int"), 40).orderBy("place").collect()]
+    used, want = 0, []
+    for i, _, t in sorted(rows, key=lambda r: -r[1]):
+        if used + t <= 40:
+            used, want = used + t, [*want, i]
+    assert got == want
+
+
+def test_have_set_has_few_false_members(spark):
+    own = spark.range(2000).selectExpr("concat('x', id) as cid")
+    have = versions.have_set(own)
+    assert versions.not_had(own, have).count() == 0
+    assert versions.not_had(spark.range(2000).selectExpr("concat('y', id) as cid"), have).count() > 1900
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((40, 16)).repeat(10, 0) + 0.4 * rng.standard_normal((400, 16))
+    e = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(m)], "node_id string, vector array<double>")
+    exact = {(r.src, r.dst) for r in expand.knn(e, 5).collect()}
+    near = {(r.src, r.dst) for r in expand.knn_approximate(rank.sign_index(e), e, 5).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_views_and_heads(spark):
+    view = lambda *rows: spark.createDataFrame(list(rows), "kind string, name string, value string")
+    base, a, b = view(("ref", "x", "1"), ("ref", "y", "1")), view(("ref", "x", "2"), ("ref", "y", "1")), view(("ref", "x", "1"), ("head", "h", "2"))
+    assert sorted((r.kind, r.name, r.value) for r in versions.merged_views(base, [a, b]).collect()) == [("head", "h", "2"), ("ref", "x", "2")]
+    ops = spark.createDataFrame([("p",), ("q",)], "cid string")
+    heads = [versions.merged_heads(ops, spark.createDataFrame(h, "cid string")).first() for h in ([("q",), ("p",)], [("p",), ("q",)], [("q",)])]
+    assert heads[0] == heads[1] and heads[0].parents == ["p", "q"] and heads[2].cid == "q"
