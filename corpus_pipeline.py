@@ -1,7 +1,8 @@
 """The corpus pipeline: language, exact copies, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
-Decisions are made by doc_id, so documents without one leave in the first stage; rows of one id are one document.
+Decisions are made by doc_id, so documents without one leave in the first stage; rows of one id are one document, and rows
+equal in text too are one row after the second.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from loomgraph.llm.jaccard import jaccard_join
 from loomgraph.llm.language import identify, train, training_rows
 from loomgraph.llm.mixing import mix_sources
 from loomgraph.llm.packing import pack
-from loomgraph.llm.shared import Scratch, column
+from loomgraph.llm.shared import SPACE, Scratch, column, cut
 
 
 def staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,8 +32,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest id."""
-    return staying(docs, exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts: the smallest id. Of rows that have that id and text too, one stays."""
+    kept = cut(exact_dedup(docs).where("kept and doc_id is not null").select("doc_id", "text_sha256"))
+    several = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    out = staying(docs, kept.join(several, "doc_id", "left_anti"))
+    norm = F.regexp_replace(F.coalesce(column(docs, "text"), F.lit("")), SPACE, " ")
+    marked = docs.withColumn("__text", F.sha2(norm, 256)).join(several, "doc_id", "left_semi")
+    wanted = kept.select("doc_id", F.col("text_sha256").alias("__text"))
+    again = marked.join(wanted, ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"])
+    return out.select(*[column(out, c) for c in docs.columns]).unionByName(again.select(*[column(again, c) for c in docs.columns]))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
