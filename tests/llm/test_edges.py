@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import types as T
+from pyspark.sql.functions import lit as spark_lit
 
 import corpus_pipeline
 from loomgraph.llm.exact_dedup import exact_dedup
@@ -102,3 +103,51 @@ def test_vectors(spark):
     assert [x for x in links if x[0] in near] == [("0", 3, 0, True), ("1", 3, 0, False), ("10", 3, 0, False), ("9", 3, 0, False), ("9", 3, 0, False)]
     assert all(x[1] == 0 for x in links if x[0] not in near)
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_exact_stage_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a b", "en", "x", 3), (1, "a  b", "en", "x", 3), (1, "other", "en", "x", 3), (2, "a b", "en", "x", 3), (3, "c", "en", "x", 1), (3, "c", "en", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("a.b", spark_lit(1))
+    out = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, " ".join(r.text.split())) for r in out.collect()) == [(1, "a b"), (1, "other"), (3, "c")]
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """Copies, near copies and rows without letters leave; what is packed is what was mixed, whole."""
+    import random
+    import zlib
+
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, own = [], [text(60) for _ in range(40)]
+    for i, t in enumerate(own):
+        rows.append((i, t, "en" if i % 2 else "fr", "ab"[i % 2], len(t)))
+    rows += [(100 + i, "  ".join(own[i].split(" ")), "en", "a", 1) for i in range(5)]
+    rows += [(200 + i, own[10 + i] + " more", "en", "b", 1) for i in range(5)]
+    rows += [(300, "123 456", "en", "a", 1), (301, None, "en", "a", 1), (None, text(20), "en", "a", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= set(range(40))
+    words = sum(len(t.split()) for t in own)
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm.packing import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    import numpy as np
+
+    for r in out:
+        ids = np.array([*tok.encode(own[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert (r.piece, r.start, r.length) == (0, 0, len(ids)) and r.ids_crc32 == zlib.crc32(ids.tobytes())
+    taken = sum(len(own[r.doc_id].split()) for r in out)
+    assert abs(taken - 1.5 * words) <= 0.1 * words  # both sources are below twice their size
+    seqs: dict = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in seqs.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
