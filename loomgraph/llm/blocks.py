@@ -9,9 +9,24 @@ import pyarrow as pa
 def by_key(n: int, one):
     """For mapInArrow: one(key, columns) for each run of rows equal in the first n columns, all of them integers.
 
-    columns are the others by name, as Arrow arrays. A run may span batches; only one run is held at a time."""
+    columns are the others by name, as Arrow arrays. A run may span batches; only one run is held at a time. Small results of many runs
+    leave together."""
 
     def run(batches):
+        done, rows = [], 0
+        for b in each(batches):
+            done.append(b)
+            rows += b.num_rows
+            if rows >= 2000 or len(done) >= 1000:
+                yield together(done)
+                done, rows = [], 0
+        if done:
+            yield together(done)
+
+    def together(done):
+        return done[0] if len(done) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(b.columns for b in done))], schema=done[0].schema)
+
+    def each(batches):
         key, parts = None, []
         for b in batches:
             if not b.num_rows:

@@ -33,48 +33,58 @@ def small(rows_of_block: int, weight_of_block: int):
     """For mapInArrow over rows sorted by bucket: those with a pair that meets first here; large: their bucket is more than one block,
     and passed on as it is read."""
 
-    def settled(parts):
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        n = t.num_rows
-        if n < 2:
-            return
-        keys = np.asarray(t.column("earlier").flatten()).reshape(n, -1)
-        if keys.shape[1]:
-            if n > 2 and (keys == keys[0]).all(0).any():
-                return
-            new = np.ones((n, n), bool)
-            for k in range(keys.shape[1]):
-                new &= keys[:, k][:, None] != keys[:, k][None, :]
-            rows = np.flatnonzero(new.any(1))
-            if not len(rows):
-                return
-            t = t if len(rows) == n else t.take(pa.array(rows))
-        yield marked(t, False)
-
-    def marked(t, large):
-        return pa.RecordBatch.from_arrays([*t.columns, pa.array(np.full(t.num_rows, large))], names=[*t.schema.names, "large"])
+    def kept(b, last: bool):
+        """(rows of whole buckets that stay, which of them are of large ones, first row of the bucket that may go on)."""
+        tree, key, weight = (np.asarray(b.column(k)) for k in ("tree", "key", "weight"))
+        cuts = np.concatenate(([0], np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1])) + 1, [len(key)]))
+        if not last:
+            cuts = cuts[:-1]
+        at, size = cuts[:-1], np.diff(cuts)
+        heavy = np.concatenate(([0], np.cumsum(weight)))
+        large = (size > rows_of_block) | ((heavy[cuts[1:]] - heavy[at] > weight_of_block) & (size > 1))
+        flat, ends = np.asarray(b.column("earlier").values), np.asarray(b.column("earlier").offsets)
+        stay = np.repeat(large, size)
+        for k in np.flatnonzero(~large & (size > 1)).tolist():
+            x, n = int(at[k]), int(size[k])
+            keys = flat[ends[x] : ends[x + n]].reshape(n, -1)
+            stay[x : x + n] = apart(keys).any(1) if keys.shape[1] else True
+        rows = np.flatnonzero(stay)
+        return rows, np.repeat(large, size)[rows], int(cuts[-1]), int(len(key) - cuts[-1]), int(heavy[-1] - heavy[cuts[-1]])
+
+    def marked(b, rows, large):
+        t = b.take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*t.columns, pa.array(large)], names=[*t.schema.names, "large"])
 
     def run(batches):
-        last, parts, rows, weight, large = None, [], 0, 0, False
+        held, going = None, None  # rows of a bucket that may go on; a large one, passed on as it is read
         for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+                held = None
             if not b.num_rows:
                 continue
-            tree, key, heavy = (np.asarray(b.column(k)) for k in ("tree", "key", "weight"))
-            cuts = np.concatenate(([0], np.flatnonzero((tree[1:] != tree[:-1]) | (key[1:] != key[:-1])) + 1, [len(key)]))
-            for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if (tree[at], key[at]) != last:
-                    if parts:
-                        yield from settled(parts)
-                    last, parts, rows, weight, large = (tree[at], key[at]), [], 0, 0, False
-                parts.append(b.slice(at, end - at))
-                rows += end - at
-                weight += int(heavy[at:end].sum())
-                large |= rows > rows_of_block or (weight > weight_of_block and rows > 1)
-                if large:
-                    yield from (marked(p, True) for p in parts)
-                    parts = []
-        if parts:
-            yield from settled(parts)
+            if going is not None:
+                more = (np.asarray(b.column("tree")) == going[0]) & (np.asarray(b.column("key")) == going[1])
+                n = int(more.sum())  # sorted: they are the first ones
+                if n:
+                    yield marked(b, np.arange(n), np.ones(n, bool))
+                    b = b.slice(n)
+                if not b.num_rows:
+                    continue
+                going = None
+                b = pa.RecordBatch.from_arrays([c if c.offset == 0 else pa.concat_arrays([c]) for c in b.columns], schema=b.schema)
+            rows, large, begin, left, weight = kept(b, False)
+            if len(rows):
+                yield marked(b, rows, large)
+            if left > rows_of_block or (weight > weight_of_block and left > 1):
+                going = (b.column("tree")[begin].as_py(), b.column("key")[begin].as_py())
+                yield marked(b, np.arange(begin, b.num_rows), np.ones(left, bool))
+            else:
+                held = b.take(pa.array(np.arange(begin, b.num_rows)))
+        if held is not None and held.num_rows:
+            rows, large, *_ = kept(held, True)
+            if len(rows):
+                yield marked(held, rows, large)
 
     return run
 
@@ -105,7 +115,15 @@ def first_met(earlier, block: np.ndarray, one: bool) -> np.ndarray:
     """Which pairs of rows meet here and in no bucket before. one: the rows are of one block, else of two."""
     n = len(block)
     new = ~np.eye(n, dtype=bool) if one else block[:, None] != block[None, :]
-    keys = np.asarray(earlier.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
+    return new & apart(np.asarray(earlier.flatten()).reshape(n, -1)) if n else new
+
+
+def apart(keys: np.ndarray) -> np.ndarray:
+    """Which rows have no key in common, place by place."""
+    n = len(keys)
+    if n <= 48:
+        return (keys[:, None, :] != keys[None, :, :]).all(2)
+    new = np.ones((n, n), bool)
     for k in range(keys.shape[1]):
         new &= keys[:, k][:, None] != keys[:, k][None, :]
     return new
