@@ -382,7 +382,18 @@ def pagerank(spark, sf_dir):
     return expand.pagerank(adj, iterations=5, eps=None).select("id", r6("score").alias("score"))
 
 
-@query()
+def _seeded_sql(rounds: int) -> str:
+    parts = [f"""WITH {EDGES}, {SEEDS}, m AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, count(*)::DOUBLE AS w FROM edges WHERE etype IN ('in_nation', 'in_region') GROUP BY ALL)),
+        n AS (SELECT src AS id FROM m UNION SELECT dst FROM m), own AS (SELECT * FROM seeds WHERE id IN (SELECT id FROM n)),
+        r0 AS MATERIALIZED (SELECT n.id, coalesce(score, 0) / (SELECT sum(score) FROM own) AS p, coalesce(score, 0) / (SELECT sum(score) FROM own) AS r FROM n LEFT JOIN own USING (id))"""]
+    for i in range(rounds):
+        parts.append(f"""l{i} AS (SELECT coalesce(sum(r), 0) AS loose FROM r{i} WHERE id NOT IN (SELECT src FROM m)), c{i} AS (SELECT dst AS id, sum(r * m.p) AS came FROM m JOIN r{i} ON r{i}.id = m.src GROUP BY dst),
+            r{i + 1} AS MATERIALIZED (SELECT r{i}.id, p, (0.15 + 0.85 * loose) * p + 0.85 * coalesce(came, 0) AS r FROM r{i} CROSS JOIN l{i} LEFT JOIN c{i} ON c{i}.id = r{i}.id)""")
+    last = f"r{rounds}"
+    return ", ".join(parts) + f" SELECT id, round(r / (SELECT sum(r) FROM {last}), 6) AS score FROM {last} WHERE r > 0 AND id NOT IN (SELECT id FROM seeds) ORDER BY r DESC, id LIMIT 30"
+
+
+@query(_seeded_sql(15))
 def personalized_pagerank(spark, sf_dir):
     g = graph(spark, sf_dir, "Nation")
     adj = expand.authored(edges(spark, sf_dir, ("in_nation", "in_region")))
@@ -451,7 +462,16 @@ def communities(spark, sf_dir):
     return analytics.communities(analytics.undirected(expand.knn(graph(spark, sf_dir).embeddings, 5).where("weight > 0")))
 
 
-@query()
+def _labels_sql(rounds: int) -> str:
+    parts = [f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE etype IN ('in_nation', 'in_region') AND src <> dst),
+        walk AS MATERIALIZED (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), c0 AS MATERIALIZED (SELECT DISTINCT x AS id, x AS community FROM walk)"""]
+    for i in range(rounds):
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT x AS id, community FROM walk JOIN c{i} ON c{i}.id = walk.y GROUP BY x, community
+            QUALIFY row_number() OVER (PARTITION BY x ORDER BY count(*) DESC, community) = 1)""")
+    return ", ".join(parts) + f" SELECT id, community FROM c{rounds}"
+
+
+@query(_labels_sql(3))
 def label_propagation(spark, sf_dir):
     return analytics.label_propagation(analytics.undirected(expand.authored(edges(spark, sf_dir, ("in_nation", "in_region")))), 3)
 
@@ -720,24 +740,58 @@ def chunk_session(spark, sf_dir):
     return t.select("doc", "idx", "text", "messages")
 
 
-@query()
+#: Sentences with their tokens added up, then one chunk after another: as many sentences as fit, the next from where at most 32 tokens repeat.
+SENTENCES_SQL = """WITH RECURSIVE parts AS (SELECT doc_id AS doc, list_filter(list_transform(
+        regexp_extract_all(text, '[^.!?…]*[.!?…]+["'')\\]]*\\s*|[^.!?…]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+    sized AS (SELECT doc, s, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[:i], lambda x: len(regexp_extract_all(x, '\\S+')))), 0)) AS c FROM parts WHERE len(s) > 0),
+    walk AS (SELECT doc, 0 AS idx, 1 AS a, greatest(2, len(list_filter(c, lambda v: v <= 256))) AS b, s, c FROM sized
+        UNION ALL SELECT doc, idx + 1, a2, greatest(a2 + 1, len(list_filter(c, lambda v: v <= c[a2] + 256))), s, c FROM (
+            SELECT *, list_min(list_filter(range(a + 1, b + 1), lambda k: c[b] - c[k] <= 32)) AS a2 FROM walk WHERE b <= len(s)))
+    SELECT doc::VARCHAR AS doc, idx, array_to_string(s[a:b - 1], ' ') AS text, len(regexp_extract_all(array_to_string(s[a:b - 1], ' '), '\\S+')) AS tokens FROM walk"""
+
+
+@query(SENTENCES_SQL)
 def chunk_sentences(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("depth"), "text")
     return chunk.chunk_sentences(d).select("doc", "idx", "text", "tokens")
 
 
-@query()
+def entities_sql(source: str) -> str:
+    """Names in the relation `source` of (doc, text): runs of capitalised words, cut out with what stands between them."""
+    run = "[A-Z][A-Za-z.]*(?: [A-Z][A-Za-z.]*)*"
+    not_first, suffixes = ("[" + ", ".join(f"'{w}'" for w in sorted(x)) + "]" for x in (extract.NOT_FIRST, extract.ORG_SUFFIXES))
+    return f"""runs AS (SELECT doc, regexp_extract_all(text, '{run}') AS c, string_split_regex(text, '{run}') AS g FROM {source}),
+    placed AS (SELECT *, string_split(c, ' ') AS w, sum(strlen(g) + strlen(c)) OVER r - strlen(c) AS byte0, sum(length(g) + length(c)) OVER r - length(c) AS char0
+        FROM (SELECT doc, unnest(c) AS c, unnest(g[1:len(c)]) AS g, generate_subscripts(c, 1) AS i FROM runs) WINDOW r AS (PARTITION BY doc ORDER BY i)),
+    begun AS (SELECT *, list_position(list_transform(w, lambda x: NOT list_contains({not_first}, x)), true) AS j FROM placed),
+    cuts AS (SELECT doc, byte0, char0, list_slice(w, j, len(w)) AS w, coalesce(list_sum(list_transform(list_slice(w, 1, j - 1), lambda x: length(x) + 1)), 0) AS skip FROM begun WHERE j > 0 AND len(w) > j),
+    entities AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY byte0) - 1 AS ordinal, CASE WHEN list_has_any(w, {suffixes}) THEN 'Entity:Organization' ELSE 'Entity:Person' END AS kind,
+        array_to_string(w, ' ') AS text, (byte0 + skip)::BIGINT AS "start", (byte0 + skip + length(array_to_string(w, ' ')))::BIGINT AS "end", (char0 + skip)::BIGINT AS cstart, (char0 + skip + length(array_to_string(w, ' ')))::BIGINT AS cend FROM cuts)"""
+
+
+def relations_sql(source: str) -> str:
+    """After entities_sql(source): each two names of a text with at most six words between them."""
+    return f"""between AS (SELECT a.doc, a.ordinal AS subject, b.ordinal AS object, substr(t.text, a.cend + 1, b.cstart - a.cend) AS x
+        FROM entities a JOIN entities b ON a.doc = b.doc AND a.ordinal < b.ordinal JOIN {source} t ON t.doc = a.doc),
+    relations AS (SELECT doc, subject, object, CASE WHEN verb THEN 'acts_on' ELSE 'co_occurs_with' END AS kind, CASE WHEN verb THEN 0.5 ELSE 0.4 END AS confidence
+        FROM (SELECT *, regexp_matches(x, '(?i)\\b(?:{extract.VERBS})\\b') AS verb FROM between WHERE len(regexp_extract_all(x, '[^ \\t\\n\\x0B\\f\\r]+')) <= 6))"""
+
+
+DOC_TEXTS = "texts AS (SELECT doc_id AS doc, text FROM documents)"
+
+
+@query(f'WITH {DOC_TEXTS}, {entities_sql("texts")} SELECT doc, ordinal, kind, text, "start", "end", 0.6::DOUBLE AS confidence FROM entities')
 def rule_entities(spark, sf_dir):
     return extract.entities(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-@query()
+@query(f'WITH {DOC_TEXTS}, {entities_sql("texts")}, {relations_sql("texts")} SELECT doc, subject, object, kind, confidence::DOUBLE AS confidence FROM relations')
 def rule_relations(spark, sf_dir):
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return extract.relations(extract.entities(texts), texts)
 
 
-@query()
+@query(f'WITH {DOC_TEXTS}, {entities_sql("texts")} SELECT doc, kind, lower(trim(text)) AS name, arg_min(text, ordinal) AS text, count(*) AS mentions FROM entities GROUP BY 1, 2, 3')
 def canonical_entities(spark, sf_dir):
     return extract.canonical_entities(extract.entities(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")))
 
@@ -757,13 +811,32 @@ def keywords(spark, sf_dir):
     return extract.keywords(c, extract.hashed_embedding(), 5).select("doc", "gram", "place", r6("score").alias("score"))
 
 
-@query()
+def sections_sql(source: str) -> str:
+    """Sections of the relation `source` of (doc, text): lines numbered, each heading begins one. For texts without fenced code."""
+    head = " {0,3}(#{1,6})(?:[ \\t]+(.*?))??(?:[ \\t]+#+)?[ \\t]*"
+    return f"""lines AS (SELECT doc, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc, string_split(text, chr(10)) AS l FROM {source})),
+    marked AS (SELECT *, regexp_full_match(line, '{head}') AS h FROM lines), numbered AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc ORDER BY i) AS part FROM marked),
+    joined AS (SELECT doc, part, max(line) FILTER (h) AS head, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT h), ''), '^\\n+|\\s+$', '', 'g') AS text FROM numbered GROUP BY doc, part),
+    sections AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY part) - 1 AS idx, trim(regexp_extract(head, '^{head}$', 2)) AS heading, coalesce(length(regexp_extract(head, '^{head}$', 1)), 0) AS depth, text
+        FROM joined WHERE head IS NOT NULL OR trim(text) <> '')"""
+
+
+@query(f"""WITH marked_up AS (SELECT doc_id AS doc, '# Doc' || chr(10) || replace(text, chr(10), chr(10) || '## Part' || chr(10)) AS text FROM documents), {sections_sql("marked_up")}
+    SELECT doc::VARCHAR AS doc, idx, heading, depth, length(text) AS length FROM sections""")
 def markdown_sections(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("# Doc\n"), F.replace("text", F.lit("\n"), F.lit("\n## Part\n"))).alias("text"))
     return readers.markdown(d).select("doc", "idx", "heading", "depth", F.length("text").alias("length"))
 
 
-@query()
+@query(f"""WITH {DOC_TEXTS}, lines AS (SELECT doc, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc, string_split(text, chr(10)) AS l FROM texts)),
+    marked AS (SELECT *, regexp_full_match(line, '[ \\t]*(?:{"|".join(f"(?:{x})" for x in readers.HEADING_SHAPES)})[ \\t]*[:.]?[ \\t]*'.replace('\\s', '[ \\t]')) AS h FROM lines),
+    headed AS (SELECT *, h AND sum(h::INT) OVER (PARTITION BY doc) >= 2 AS head FROM marked), numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY i) AS part FROM headed),
+    sections AS (SELECT doc, part, list_filter(regexp_split_to_array(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '\\s+'), lambda x: x <> '') AS w FROM numbered GROUP BY doc, part),
+    cut AS (SELECT *, unnest(range(0, (greatest(0, ceil((len(w) - 256) / 224.0)) * 224 + 1)::BIGINT, 224)) AS a FROM sections WHERE len(w) > 0),
+    chunks AS (SELECT doc AS of, doc::VARCHAR || ':' || part || ':' || a AS doc, array_to_string(w[a + 1:a + 256], ' ') AS text FROM cut),
+    {entities_sql("chunks")}, {relations_sql("chunks")}, named AS (SELECT of, e.doc, ordinal, (of, kind, lower(e.text)) AS entity FROM entities e JOIN chunks USING (doc))
+    SELECT 'chunk_of' AS etype, count(*) AS n FROM chunks HAVING count(*) > 0 UNION ALL SELECT 'chunk_mentions', count(DISTINCT (doc, entity)) FROM named HAVING count(*) > 0
+    UNION ALL SELECT r.kind, count(DISTINCT (a.entity, b.entity)) FROM relations r JOIN named a ON a.doc = r.doc AND a.ordinal = r.subject JOIN named b ON b.doc = r.doc AND b.ordinal = r.object WHERE a.entity <> b.entity GROUP BY r.kind""")
 def ingest_edges(spark, sf_dir):
     out = readers.ingest(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "text")
     return out["edges"].groupBy("etype").agg(F.count(F.lit(1)).alias("n"))
