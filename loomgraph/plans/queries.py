@@ -476,7 +476,18 @@ def label_propagation(spark, sf_dir):
     return analytics.label_propagation(analytics.undirected(expand.authored(edges(spark, sf_dir, ("in_nation", "in_region")))), 3)
 
 
-@query()
+def _summary_sql(picks: int) -> str:
+    parts = [f"""WITH {VECTORS}, own AS (SELECT vec_label AS g, id, v, right(id, 2)::INT + 1 AS central FROM vecs WHERE vec_label IS NOT NULL),
+        dims AS (SELECT g, i, avg(x) AS x FROM (SELECT g, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM own) GROUP BY g, i), centres AS (SELECT g, list(x ORDER BY i) AS centre FROM dims GROUP BY g),
+        left0 AS MATERIALIZED (SELECT g, id, v, 0.8 * list_cosine_similarity(v, centre) + 0.2 * central / max(central) OVER (PARTITION BY g) AS base, 0.0::DOUBLE AS red FROM own JOIN centres USING (g))"""]
+    for i in range(picks):
+        parts.append(f"""pick{i} AS MATERIALIZED (SELECT *, 0.5 * base - 0.5 * red AS score FROM left{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(0.5 * base - 0.5 * red, 12) DESC, id) = 1),
+            left{i + 1} AS MATERIALIZED (SELECT a.g, a.id, a.v, a.base, greatest(a.red, list_cosine_similarity(a.v, p.v)) AS red FROM left{i} a JOIN pick{i} p ON a.g = p.g AND a.id <> p.id)""")
+    rows = " UNION ALL ".join(f'SELECT g AS "group", id, {i + 1} AS place, round(score, 6) AS score FROM pick{i}' for i in range(picks))
+    return ", ".join(parts) + " " + rows
+
+
+@query(_summary_sql(5))
 def community_summary(spark, sf_dir):
     e = graph(spark, sf_dir).embeddings
     t = e.select(F.col("vec_label").alias("group"), F.col("node_id").alias("id"), "vector", (F.substring("node_id", -2, 2).cast("int") + 1).alias("centrality"))
