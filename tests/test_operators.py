@@ -500,3 +500,38 @@ def test_views_and_heads(spark):
     ops = spark.createDataFrame([("p",), ("q",)], "cid string")
     heads = [versions.merged_heads(ops, spark.createDataFrame(h, "cid string")).first() for h in ([("q",), ("p",)], [("p",), ("q",)], [("q",)])]
     assert heads[0] == heads[1] and heads[0].parents == ["p", "q"] and heads[2].cid == "q"
+
+
+def test_keywords_against_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    from loomgraph.functions import STOPWORDS
+
+    def embed(text):
+        v = np.zeros(32)
+        for w in text.lower().split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % 32] += 1 if h // 32 % 2 == 0 else -1
+        return v
+
+    def cosine(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(a @ b / n) if n else 0.0
+
+    def best(text, most):
+        w = "".join(c if c.isalnum() or c in "_'" else " " for c in text).lower().split()
+        grams = sorted({" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i] not in STOPWORDS and w[i + n - 1] not in STOPWORDS})
+        base, picked = {g: cosine(embed(g), embed(text)) for g in grams}, []
+        while len(picked) < min(most, len(grams)):
+            value = {g: base[g] - 0.5 * max([0.0] + [cosine(embed(g), embed(p)) for p, _ in picked]) for g in grams if g not in {p for p, _ in picked}}
+            g = min(value, key=lambda k: (-round(value[k], 12), k))
+            picked.append((g, value[g]))
+        return picked
+
+    texts = [(1, "Graph engines rank the nodes of a graph, and graph engines keep versions"), (2, "one word"), (3, "the of and"), (4, ""), (5, None), (6, "red red red blue")]
+    got = extract.keywords(spark.createDataFrame(texts, "doc long, text string"), extract.hashed_embedding(), 4).collect()
+    for doc, text in texts:
+        own = sorted((r.place, r.gram, round(r.score, 9)) for r in got if r.doc == doc)
+        assert own == [(i + 1, g, round(s, 9)) for i, (g, s) in enumerate(best(text or "", 4))]
