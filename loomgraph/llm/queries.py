@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
 from .jaccard import jaccard_join
 from .language import identify, train, training_rows
 from .line_dedup import line_dedup
@@ -64,7 +65,17 @@ def op10_repeated_passages(spark, sf_dir):
     return repeated_passages(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score, op10_repeated_passages)}
+def op11_document_fingerprints(spark, sf_dir):
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score,
+        op10_repeated_passages, op11_document_fingerprints,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
