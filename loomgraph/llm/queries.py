@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .jaccard import jaccard_join
@@ -14,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .pii import find_pii
 from .repeats import repeated_passages
+from .search import rank_items
 from .vectors import embedding_dedup
 
 
@@ -69,11 +71,19 @@ def op11_document_fingerprints(spark, sf_dir):
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return rank_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_line_dedup, op4_jaccard_join, op5_mix_sources, op6_pack, op7_pii, op8_embedding_dedup, op9_lm_score,
-        op10_repeated_passages, op11_document_fingerprints,
+        op10_repeated_passages, op11_document_fingerprints, op12_ranked_search, op13_source_divergence,
     )
 }
 
@@ -109,4 +119,52 @@ ORACLE_SQL = {
                    list_transform(range(1, len(string_split(d.text, chr(10))) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE string_split(d.text, chr(10))[i] END),
                    lambda s: s IS NOT NULL), chr(10)) END, '')) AS text_sha256
         FROM docs d LEFT JOIN gone g ON d.rid = g.rid""",
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        size AS (SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+        q AS (
+            SELECT DISTINCT item_id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        occurs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM occurs GROUP BY term), size),
+        lengths AS (SELECT rid, doc_id, 100 - 90 + (90 * len(terms) * n) // l AS m FROM d, size WHERE len(terms) > 0),
+        scores AS (
+            SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM occurs JOIN weights USING (term) JOIN lengths USING (rid) JOIN q USING (term) GROUP BY ALL),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        occurs AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM occurs GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS c FROM occurs SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (
+            SELECT lang, source, coalesce(n, 0) AS n
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL) USING (lang, source)),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(counts.c, 0) AS c,
+                   1 + (1000000000::HUGEINT * (coalesce(counts.c, 0) + 1)) // (g.n + l.v)::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v)::HUGEINT AS q
+            FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+            LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = k.term),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+        found AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE c > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM pairs UNION ALL SELECT * FROM found))
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }

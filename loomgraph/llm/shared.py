@@ -137,9 +137,11 @@ def steps(texts: pa.Array, limit: int = STEP_BYTES):
         at = end
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words: start and end byte, and for each document the index of its first word (one more at the end)."""
-    word = ~_SPACES[data]
+def words(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words: start and end byte, and for each document the index of its first word (one more at the end).
+
+    between: for each byte, whether it stands between words."""
+    word = ~between[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
@@ -209,3 +211,10 @@ def components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     inner = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return inner.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def least_ids(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component_id): of every node of the classes (node, component), the smallest `least` among the nodes of its component."""
+    members = cut(classes.join(nodes.select("node", "least"), "node"))
+    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    return members.join(least, "component").select("node", "component_id")
