@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .blocks import batch, by_key
 from .buckets import dealt, first_met, roots
-from .shared import column, components, cut, mix, numbers, shingles, slots, steps, word_hashes, words
+from .shared import column, components, cut, least_ids, mix, numbers, shingles, slots, steps, word_hashes, words
 
 #: A block of a node holds about so many texts and shingles; larger nodes are compared block by block.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
@@ -32,7 +32,7 @@ def forest_depth(trees: int, max_depth: int, threshold: float, recall: float) ->
 
 
 def signatures(trees: int, depth: int, size: int):
-    """For mapInArrow: (doc_id, s1, s2, n, prefixes) of (doc_id, text); s1 and s2 are of the words in order, prefixes has the
+    """For mapInArrow: (doc_id, h, s1, s2, n, prefixes) of (doc_id, text, h); s1 and s2 are of the words in order, prefixes has the
     keys of the nodes at depth 1 of all trees, then those at depth 2 and so on."""
     places = numbers(11, trees * depth), numbers(12, trees * depth) | np.uint64(1)
 
@@ -61,7 +61,7 @@ def signatures(trees: int, depth: int, size: int):
                             keys[full, d, t] = mix(above * np.uint64(31) + low + np.uint64(t + 1))
                     ends = pa.array(np.arange(rows + 1, dtype=np.int32) * (trees * depth))
                     yield batch(
-                        doc_id=ids.slice(at, rows), s1=pa.array(seq[0].view(np.int64)), s2=pa.array(seq[1].view(np.int64)), n=pa.array(np.diff(begin).astype(np.int64)),
+                        doc_id=ids.slice(at, rows), h=b.column(2).slice(at, rows), s1=pa.array(seq[0].view(np.int64)), s2=pa.array(seq[1].view(np.int64)), n=pa.array(np.diff(begin).astype(np.int64)),
                         prefixes=pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64))),
                     )
 
@@ -144,15 +144,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two documents are linked when the sets of their word 5-grams (a document of fewer words: all its words) have a
     Jaccard similarity of at least the threshold; class_id is the smallest doc_id reachable by links, n_links the
     number of other rows linked directly. Texts of the same words are one node, rep_id, and linked with
-    each other. Texts that are null or without words link with nothing. Rows that share an id are one document;
-    rows without an id get null classes and no links. Whole texts are compared; other columns are not looked at.
+    each other. Texts that are null or without words link with nothing. Different texts under one id are several
+    documents, each with its own links; rows without an id get null classes and no links. Whole texts are compared; other columns are not looked at.
     depth: the length of the prefix at which the document's recall was reached."""
     spark = docs.sparkSession
     least = forest_depth(trees, max_depth, threshold, recall)
-    base = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    signed = cut(base.mapInArrow(signatures(trees, max_depth, size), "doc_id long, s1 long, s2 long, n long, prefixes array<long>"))
+    base = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = cut(base.mapInArrow(signatures(trees, max_depth, size), "doc_id long, h long, s1 long, s2 long, n long, prefixes array<long>"))
     usable = signed.where("n > 0 and doc_id is not null")
-    same = cut(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("mult"), F.max("n").alias("n"), F.any_value("prefixes").alias("prefixes")))
+    # a node is a content, named by its hash; its text is read from the row (doc_id, h) that is its least one
+    same = usable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count(F.lit(1)).alias("mult"), F.max("n").alias("n"), F.any_value("prefixes").alias("prefixes"))
+    same = cut(same.select(F.xxhash64("s1", "s2").alias("node"), "s1", "s2", F.col("rep.doc_id").alias("least"), F.col("rep.h").alias("h"), "mult", "n", "prefixes"))
+    repeated = cut(usable.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", "h"))
+    texts = base
+    if repeated.take(1):  # of equal rows one is read
+        texts = base.join(repeated, ["doc_id", "h"], "left_anti").unionByName(base.join(repeated, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]))
     state = same.select("node", F.lit(True).alias("active"), F.lit(max_depth).alias("depth"), F.lit(0).cast("long").alias("links"), F.array(*[F.lit(0.0)] * max_depth).alias("shares"))
     edges = None
     for d in range(max_depth, least - 1, -1):
@@ -162,8 +168,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         full = hung.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.max("active").alias("any")).where("m > 1 and any").select("tree", "key")
         rows = hung.select("node", "tree", "key").join(full, ["tree", "key"]).join(same.select("node", F.col("n").alias("weight"), "prefixes"), "node")
         rows = rows.select("tree", "key", "node", "weight", met.alias("earlier"))
-        pairs = cut(dealt(rows, BLOCK_TEXTS, BLOCK_SHINGLES)).join(same.select("node", "mult"), "node").join(state.select("node", "active"), "node")
-        shipped = base.join(pairs, base["doc_id"] == pairs["node"]).select("tree", "key", "bi", "bj", "node", "mult", "block", "active", "earlier", "text")
+        pairs = cut(dealt(rows, BLOCK_TEXTS, BLOCK_SHINGLES)).join(same.select("node", "mult", F.col("least").alias("doc_id"), "h"), "node").join(state.select("node", "active"), "node")
+        shipped = texts.join(pairs, ["doc_id", "h"]).select("tree", "key", "bi", "bj", "node", "mult", "block", "active", "earlier", "text")
         sorted_ = shipped.repartition(slots(spark), "tree", "key", "bi", "bj").sortWithinPartitions("tree", "key", "bi", "bj")
         found = cut(sorted_.mapInArrow(verify(threshold, size, max_depth, trees), "node long, links long, root long, shares array<double>"))
         new = found.groupBy("node").agg(F.sum("links").alias("more"), *[F.sum(F.col("shares")[k]).alias(f"s{k}") for k in range(max_depth)])
@@ -177,10 +183,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         state = cut(state.select("node", (F.col("active") & ~reached).alias("active"), depth.alias("depth"), count.cast("long").alias("links"), shares.alias("shares")))
         joined = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         edges = joined if edges is None else edges.unionByName(joined)
-    nodes = same.join(state, "node").join(components(edges), "node", "left")
-    nodes = nodes.select("s1", "s2", "node", "mult", "links", "depth", F.coalesce("component", "node").alias("class_id"))
+    nodes = same.join(state, "node").join(least_ids(components(edges), same), "node", "left")
+    nodes = nodes.select("s1", "s2", "least", "mult", "links", "depth", F.coalesce("component_id", "least").alias("class_id"))
     linked = usable.select("doc_id", "s1", "s2").join(nodes, ["s1", "s2"]).select(
-        "doc_id", "class_id", (F.col("links") + F.col("mult") - 1).cast("long").alias("n_links"), F.col("node").alias("rep_id"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"), "depth"
+        "doc_id", "class_id", (F.col("links") + F.col("mult") - 1).cast("long").alias("n_links"), F.col("least").alias("rep_id"), F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"), "depth"
     )
     alone = signed.where("not (n > 0 and doc_id is not null)").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id"), F.lit(True).alias("kept"), F.lit(max_depth).alias("depth")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .blocks import batch, by_key
 from .buckets import dealt, first_met, roots
-from .shared import column, components, cut, mix, numbers, slots
+from .shared import column, components, cut, least_ids, mix, numbers, slots
 
 BLOCK = 512
 
@@ -83,8 +83,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Pairs found with a cosine of at least the threshold are linked; a pair at the threshold itself is found with the recall
     asked for, closer ones more often. Vectors of other lengths are never linked; a vector that is null, empty or zero or
-    holds null or non-finite components links with nothing. Rows of one id are one vector; rows without an id get no links and a null
-    component. bits defaults to what leaves few vectors that are not near ones in a bucket, however many there are."""
+    holds null or non-finite components links with nothing. Equal rows are one vector; different vectors under one id are several, each
+    with its own links, and component ids are the smallest of the rows that are joined. Rows without an id get no links and a null component. bits defaults to what leaves few vectors that are not near ones in a bucket, however many there are."""
     spark = vectors.sparkSession
     base = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vec_col).cast("array<double>").alias("v"))
     if bits is None:
@@ -92,8 +92,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     tables = tables_for(bits, threshold, recall)
     made = cut(base.mapInArrow(hashed(bits, tables, seed), "vec_id long, unit binary, s1 long, s2 long, codes array<long>"))
     usable = made.where("unit is not null and vec_id is not null")
-    same = usable.groupBy("s1", "s2").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("mult"), F.any_value("unit").alias("unit"), F.any_value("codes").alias("codes"))
-    same = cut(same)
+    # a node is a content: one id may stand on several, so nodes are named by hashes and get ids at the end
+    same = usable.groupBy("s1", "s2").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("mult"), F.any_value("unit").alias("unit"), F.any_value("codes").alias("codes"))
+    same = cut(same.withColumn("node", F.xxhash64("s1", "s2")))
     hung = same.select("node", F.posexplode("codes").alias("tree", "key"))
     full = hung.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("tree", "key")
     rows = hung.join(full, ["tree", "key"]).join(same.select("node", "codes"), "node")
@@ -103,8 +104,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = cut(sorted_.mapInArrow(by_key(4, compare(threshold)), "node long, links long, root long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    nodes = same.join(counts, "node", "left").join(classes, "node", "left")
-    nodes = nodes.select("s1", "s2", "node", "mult", "links", F.coalesce("component", "node").alias("component_id"))
+    nodes = same.join(counts, "node", "left").join(least_ids(classes, same), "node", "left")
+    nodes = nodes.select("s1", "s2", "mult", "links", F.coalesce("component_id", "least").alias("component_id"))
     linked = usable.select("vec_id", "s1", "s2").join(nodes, ["s1", "s2"])
     linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"), "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
     alone = made.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
