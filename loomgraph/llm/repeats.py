@@ -31,6 +31,8 @@ FEW = 8
 BLOCK = 16_384
 #: Rounds against typical rows before the rarest shingles are looked up; candidate rows enumerated at once.
 ROUNDS, SHARE = 8, 300_000
+#: Places of shingles that are tried at once.
+EVENTS = 1 << 20
 _FAR = 1 << 40
 _RADIX = 0x9E3779B97F4A7C15
 
@@ -294,31 +296,93 @@ def covered(stretches: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _stretches(mark, many, there, piece, width, need):
+def _stretches(mark, many, there, piece, width, need, places):
     """Starts of stretches within one piece of which `need` shingles stand within one stretch of the other side.
 
-    there: where on the other side a marked shingle stands first; many: it stands there several times, and counts wherever it is."""
+    there: where on the other side a marked shingle stands first; many: it stands several times on one of the sides, so that it counts
+    as often as both stretches have it. places: see _anywhere; the last are the places on this side."""
     total = np.concatenate(([0], np.cumsum(mark)))
     near = np.flatnonzero((total[width:] - total[:-width] >= need) & (piece[: len(piece) - width + 1] == piece[width - 1 :]))
     if not len(near):
         return near
-    low = sliding(np.where(mark, there, _FAR), width)[near]
-    high = _FAR - sliding(np.where(mark, _FAR - there, _FAR), width)[near]
-    tight = high - low < width
     several = np.concatenate(([0], np.cumsum(many & mark)))
-    tight |= several[near + width] > several[near]
-    rest, ok = near[~tight], [near[tight]]
+    several = several[near + width] > several[near]
+    rest, ok = near[~several], []
     spots = np.where(mark, there, _FAR)
+    if len(rest):
+        low = sliding(spots, width)[rest]
+        high = _FAR - sliding(np.where(mark, _FAR - there, _FAR), width)[rest]
+        ok.append(rest[high - low < width])
+        rest = rest[high - low >= width]
     for k in range(0, len(rest), 8192):
         at = rest[k : k + 8192]
         p = np.sort(spots[at[:, None] + np.arange(width)], 1)
         hit = (p[:, need - 1 :] - p[:, : width - need + 1] < width) & (p[:, need - 1 :] < _FAR)
         ok.append(at[hit.any(1)])
+    rest = near[several]
+    if len(rest):
+        straight = _straight(mark, many, there, piece, width, need, *places)[rest]
+        ok.append(rest[straight])
+        rest = rest[~straight]
+        ok.append(rest[_anywhere(rest, mark, width, need, *places[:-1])])
     return np.concatenate(ok)
 
 
+def _straight(mark, many, there, piece, width, need, group, begin, count, place, own):
+    """Which stretches have `need` shingles on the other side at one distance from their own places: found without trying all."""
+    sure = np.flatnonzero(mark & ~many)
+    out = np.zeros(max(0, len(mark) - width + 1), bool)
+    if not len(sure):
+        return out
+    last = np.maximum(np.searchsorted(sure, np.arange(len(mark)), "right") - 1, 0)
+    shift = (there - own)[sure[last]]  # as the last shingle that stands once on both sides
+    steady = np.concatenate(([0], np.cumsum((np.diff(shift) != 0) | (np.diff(piece) != 0))))
+    at = own + shift
+    low, high = begin[group], begin[group] + count[group]
+    end = high.copy()
+    while (low < high).any():  # bisection of each shingle's places
+        mid = (low + high) // 2
+        right = (low < high) & (place[np.minimum(mid, len(place) - 1)] < at)
+        high = np.where((low < high) & ~right, mid, high)
+        low = np.where(right, mid + 1, low)
+    met = mark & (low < end) & (place[np.minimum(low, len(place) - 1)] == at)
+    total = np.concatenate(([0], np.cumsum(met)))
+    return (total[width:] - total[:-width] >= need) & (steady[: len(out)] == steady[width - 1 :])
+
+
+def _anywhere(at, mark, width, need, group, begin, count, place):
+    """Which stretches have `need` shingles within one stretch of the other side, if each may stand at any of its places there.
+
+    group: the shingle of each place; begin, count: its places within `place`, which ascend. A shingle at x stands in the stretches
+    that start from x - width + 1 to x. The starts that each shingle allows are counted, one that this stretch has n times up to n
+    times, and the most allowed start decides."""
+    out = np.zeros(len(at), bool)
+    size = np.concatenate(([0], np.cumsum(np.where(mark, count[group], 0))))
+    size = np.cumsum(size[at + width] - size[at])
+    k = 0
+    while k < len(at):
+        end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + EVENTS, "right")))
+        flat = at[k:end, None] + np.arange(width)
+        own, which = np.nonzero(mark[flat])
+        key, times = np.unique(own * len(begin) + group[flat[own, which]], return_counts=True)
+        own, shingle = key // len(begin), key % len(begin)
+        n = count[shingle]
+        x = place[spread(begin[shingle], n)]
+        nth = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        own, times = np.repeat(own, n), np.repeat(times, n)
+        before = np.where(nth >= times, x[np.maximum(np.arange(len(x)) - times, 0)], -_FAR)  # so many places on, this one is one too many
+        start = np.maximum(x - width + 1, before + 1)
+        when, change = np.concatenate((start, x + 1)), np.repeat((1, -1), len(x))
+        who = np.concatenate((own, own))
+        order = np.lexsort((change, when, who))  # what ends goes before what begins
+        level = np.cumsum(change[order])  # 0 again after each stretch
+        out[k + who[order][level >= need]] = True
+        k = end
+    return out
+
+
 def compared(a: tuple, b: tuple, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which shingles of a and of b lie in a passage that both have. a, b: (shingle, pair, place, piece) arrays."""
+    """Which shingles of a and of b lie in a passage that both have. a, b: (shingle, pair, place, piece) arrays, places of a pair ascending."""
     n = len(a[0])
     pair = np.concatenate((a[1], b[1])).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -332,14 +396,18 @@ def compared(a: tuple, b: tuple, width: int, need: int) -> tuple[np.ndarray, np.
     of_b = np.add.reduceat((order >= n).astype(np.int64), first)
     of_a = size - of_b
     both = (of_a > 0) & (of_b > 0)
+    place = np.concatenate((a[2], b[2]))[order]
     there = np.zeros((2, len(first)), np.int64)
-    there[0, both] = b[2][order[(first + of_a)[both]] - n]
-    there[1, both] = a[2][order[first[both]]]
+    there[0, both] = place[(first + of_a)[both]]
+    there[1, both] = place[first[both]]
     group = np.empty(len(code), np.int64)
     group[order] = np.repeat(np.arange(len(first)), size)
     out = []
-    for side, g, many, piece in ((0, group[:n], of_b > 1, a[3]), (1, group[n:], of_a > 1, b[3])):
-        at = _stretches(both[g], many[g], there[side][g], piece, width, need) if len(g) >= width else np.zeros(0, np.int64)
+    several = (of_a > 1) | (of_b > 1)
+    sides = ((0, group[:n], of_b, first + of_a, a[2], a[3]), (1, group[n:], of_a, first, b[2], b[3]))
+    for side, g, count, begin, own, piece in sides:
+        places = (g, begin, count, place, own)
+        at = _stretches(both[g], several[g], there[side][g], piece, width, need, places) if len(g) >= width else np.zeros(0, np.int64)
         out.append(covered(at, len(g), width))
     return out[0], out[1]
 
@@ -651,7 +719,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A passage is a stretch of at least `passage` words of which each stretch of that many has a Jaccard similarity of
     at least the threshold (of word 5-grams) to one in another document; match_doc_id is the smallest such document met.
-    A 5-gram that repeats within a piece counts wherever it stands there. Passages that overlap are one row. Passages that
+    A 5-gram that repeats there counts once for each time the stretch has it, at the place that serves best. Passages that overlap are one row. Passages that
     only their own document repeats are not reported, so rows of one id and text are one document; rows without an id, null
     texts and texts shorter than a passage give nothing. Whole texts are read."""
     spark = docs.sparkSession
