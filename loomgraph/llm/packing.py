@@ -2,8 +2,8 @@
 
 Only the histogram of piece lengths reaches the driver: one number for each length up to the capacity. The covering
 program over configurations (how many pieces of each length share a sequence) is solved by multiplicative weights, whose pricing
-step is a knapsack by dynamic programming; the solution is rounded down and what remains is packed largest first,
-again as configurations. Each piece then finds its place from its length and its rank among pieces of that length.
+step is a knapsack by dynamic programming: each round covers the longest lengths by configurations at its prices, in whole
+numbers. Each piece then finds its place from its length and its rank among pieces of that length.
 """
 
 from __future__ import annotations
@@ -167,45 +167,56 @@ def pieces(path: str, capacity: int):
     return run
 
 
-def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length is taken in the most valuable set of lengths of at most `capacity` in all."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    back = value[::-1]  # back[capacity - l] = value[l]
+def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest price of pieces of at most c in all, for each c up to the capacity."""
+    best, back = np.zeros(capacity + 1), price[::-1]  # back[capacity - l] = price[l]
     for c in range(1, capacity + 1):
-        gain = best[:c] + back[capacity - c : capacity]
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1]:
-            best[c], pick[c] = gain[k], c - k
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if pick[c]:
-            out[pick[c]] += 1
-            c -= pick[c]
-        else:
-            c -= 1
-    return out
-
-
-def filled(config: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """config with the room it has filled by the largest pieces left: it may have asked for more of a length than there are."""
-    room = capacity - int(config @ np.arange(capacity + 1))
-    while room > 0 and len(fit := np.flatnonzero(left[: room + 1] > config[: room + 1])):
-        length = int(fit[-1])
-        more = min(room // length, int(left[length] - config[length]))
-        config[length] += more
-        room -= more * length
-    return config
-
-
-def plan(count: np.ndarray, capacity: int = CAPACITY, rounds: int = 250, step: float = 0.15) -> tuple[np.ndarray, int]:
-    """(runs, number of sequences). A run is (length, first rank, pieces in a sequence, first sequence, first offset)."""
-    count = count.astype(np.int64)
-    left = count.copy()
+        best[c] = max(best[c - 1], (best[:c] + back[capacity - c : capacity]).max())
+    return best
+
+
+def priced(length: int, price: np.ndarray, best: np.ndarray, left: np.ndarray) -> tuple[dict[int, int], float]:
+    """The configuration of that length and what the knapsack says goes best with it, out of the pieces left, and its price."""
+    capacity = len(best) - 1
+    back = best[::-1]  # back[capacity - c + l] = best[c - l]
+    free = np.where(left > 0, price, -np.inf)
+    config, worth, room = {length: 1}, float(price[length]), capacity - length
+    if left[length] == 1:
+        free[length] = -np.inf
+    while room > 0:
+        k = int((free[1 : room + 1] + back[capacity - room + 1 :]).argmax()) + 1
+        if left[k] == 0 or not np.isfinite(free[k]):
+            break  # nothing that is left fits
+        config[k] = config.get(k, 0) + 1
+        worth += float(price[k])
+        room -= k
+        if config[k] >= left[k]:
+            free[k] = -np.inf
+    return config, worth
+
+
+#: Pricing rounds: each covers the longest lengths left, up to its share of their tokens.
+ROUNDS = 96
+#: What the price of a token depends on beside the constant 1: how much of its length is to be covered yet, and how long it is. Long
+#: pieces are worth more, so that short ones stay for where only they fit.
+NEED, LONG = 0.005, 0.05
+#: Of a length that only fills up, a configuration takes no more than this part of what is left at once.
+PART = 2
+
+
+def program(count: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int, float]:
+    """(runs, number of sequences, share of the pieces that stand in configurations at the knapsack's price).
+
+    A run is (length, first rank, pieces in a sequence, first sequence, first offset). The program asks for the fewest configurations that
+    cover the histogram. Its weights, one for each length, fall by the exponential of the share that a round has covered; each
+    round prices them, and takes configurations in whole numbers. Late in a round, and at the end, lengths run out and a
+    configuration makes do with others: the share tells how often that costs more than 0.4 % of its price."""
+    left = count.astype(np.int64)
     runs: list[tuple] = []
     used = np.zeros(capacity + 1, np.int64)
-    sequences = 0
+    sequences = at_price = 0
+    sizes = np.arange(capacity + 1)
+    weight = np.minimum(left / max(1.0, left[left > 0].mean() if left.any() else 1.0), 3.0)
 
     def place(config: dict[int, int], times: int) -> None:
         nonlocal sequences
@@ -218,36 +229,34 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, rounds: int = 250, step: f
         sequences += times
 
     if left[capacity]:
+        at_price += int(left[capacity])
         place({capacity: 1}, int(left[capacity]))
-    sizes = np.arange(capacity + 1)
-    need, weight, mass = left.astype(float), sizes / capacity * (left > 0), []
-    for _ in range(rounds):
-        if not (need > 0.5).any():
-            break
-        config = filled(np.minimum(knapsack(weight, capacity), left), left * (need > 1e-6), capacity)
-        on = np.flatnonzero(config)
-        if not len(on):
+    for k in range(ROUNDS, 0, -1):
+        todo = np.flatnonzero(left)[::-1]
+        if not len(todo):
             break
-        amount = float(np.min(np.maximum(need[on], 1e-9) / config[on])) * max(step, 1.0 / max(1.0, float(np.min(left[on] / config[on]))))
-        mass.append(({int(k): int(config[k]) for k in on}, amount))
-        need[on] -= amount * config[on]
-        weight[on] *= np.exp(-step * amount * config[on] / left[on])
-        weight[need <= 1e-6] = 0.0
-    merged: dict[tuple, float] = {}
-    for config, amount in mass:
-        key = tuple(config.items())
-        merged[key] = merged.get(key, 0.0) + amount
-    for key, amount in sorted(merged.items(), key=lambda x: -x[1]):
-        times = min(int(amount + 1e-9), *(int(left[k]) // a for k, a in key))
-        if times:
-            place(dict(key), times)
-    while (left > 0).any():  # each turn uses up a length at least
-        config = np.zeros(capacity + 1, np.int64)
-        config[np.flatnonzero(left)[-1]] = 1
-        on = np.flatnonzero(config := filled(config, left, capacity))
-        place({int(k): int(config[k]) for k in on}, int((left[on] // config[on]).min()))
+        tokens = np.cumsum((left * sizes)[todo])
+        before = left.copy()
+        mean = weight[todo].mean()
+        price = sizes / capacity * (1 + NEED * np.minimum(weight / mean, 3.0) + LONG * sizes / capacity)
+        best = knapsack(np.where(left > 0, price, 0.0), capacity)
+        for length in todo[: max(1, int(np.searchsorted(tokens, tokens[-1] / k, "right" if k == 1 else "left")))].tolist():
+            while left[length] > 0:
+                config, worth = priced(length, price, best, left)
+                most = [left[n] // a if n == length else max(1, left[n] // a // PART) for n, a in config.items()]
+                times = int(min(*most, *(left[n] // a for n, a in config.items())))
+                if worth >= (price[length] + best[capacity - length]) * 0.996:
+                    at_price += times * sum(config.values())
+                place(config, times)
+        weight *= np.exp(-(before - left) / np.maximum(before, 1))
+        weight[left == 0] = 0.0
     table = np.array(runs, np.int64).reshape(-1, 5)
-    return table[np.lexsort((table[:, 1], table[:, 0]))], sequences
+    return table[np.lexsort((table[:, 1], table[:, 0]))], sequences, at_price / max(1, int(count.sum()))
+
+
+def plan(count: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """(runs, number of sequences) of the program."""
+    return program(count, capacity)[:2]
 
 
 def placed(runs: np.ndarray):
