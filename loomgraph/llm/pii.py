@@ -303,12 +303,13 @@ class Taken:
         return at > 0 and self.reach[at - 1] > a
 
 
-def field_spans(texts: list[str], field: Field, taken: list[Taken]) -> list[list[tuple[int, int, str]]]:
+def field_spans(texts: list[str], field: Field, taken: list[Taken] | None = None) -> list[list[tuple[int, int, str]]]:
     """Spans that the field finds in each text, apart from what is taken.
 
     A span ends before a word that is taken. What follows such a word begins a span of its own: by the field's tag if that opens one
     or goes on with the kind before, and a word that assigns something is a secret whatever it was to go on with."""
     out: list[list] = [[] for _ in texts]
+    taken = taken or [Taken([])] * len(texts)
     runs = [(i, r) for i, t in enumerate(texts) for r in stretches(t)]
     for at in range(0, len(runs), 4096):
         part = runs[at : at + 4096]
