@@ -78,17 +78,21 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def _tiles(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value): sums over heavy terms. rows: (lang, term, s, p); groups: (lang, s, zero, sources)."""
+    wide = TILE_SOURCES
     blocks = rows.groupBy("lang").agg(F.ceil(F.count_distinct("term") / TILE_TERMS).cast("int").alias("blocks"))
-    groups = groups.join(blocks, "lang").withColumn("across", F.ceil(F.col("sources") / TILE_SOURCES).cast("int"))
-    own = F.floor(F.col("s") / TILE_SOURCES).cast("int")
+    groups = groups.join(blocks, "lang").withColumn("across", F.ceil(F.col("sources") / wide).cast("int"))
+    own = F.floor(F.col("s") / wide).cast("int")
     tiles = F.expr("concat(transform(sequence(0, across - 1), x -> struct(own as x, x as y)), filter(transform(sequence(0, across - 1), x -> struct(x as x, own as y)), t -> t.x <> own))")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("own", own).withColumn("tile", F.explode(tiles)).select("lang", "block", "tile.x", "tile.y", "s", "term", "p")
+        return df.withColumn("own", own).withColumn("tile", F.explode(tiles)).select("lang", "block", "tile.x", "tile.y", "s", "term", "p", "terms")
 
-    heads = groups.select("lang", "s", "across", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("term"), F.col("zero").alias("p"))
+    # a tile also counts the terms of its block that none of its sources has
+    block = F.pmod("term", F.col("blocks")).cast("int").alias("block")
+    terms = rows.select("lang", "term").distinct().join(blocks, "lang").groupBy("lang", block).agg(F.count(F.lit(1)).alias("terms"))
+    heads = groups.join(terms, "lang").select("lang", "s", "across", "block", F.lit(None).cast("long").alias("term"), F.col("zero").alias("p"), "terms")
     cells = rows.join(groups.select("lang", "s", "across", "blocks"), ["lang", "s"])
-    cells = cells.select("lang", "s", "across", F.pmod("term", F.col("blocks")).cast("int").alias("block"), "term", "p")
+    cells = cells.select("lang", "s", "across", block, "term", "p", F.lit(None).cast("long").alias("terms"))
     both = dealt(heads).unionByName(dealt(cells))
 
     def tile(key, table):
@@ -102,9 +106,10 @@ def _tiles(rows: DataFrame, groups: DataFrame) -> DataFrame:
         zero[np.searchsorted(known, s[head])] = p[head]
         shares = np.repeat(zero[:, None], len(names), 1)
         shares[np.searchsorted(known, s[~head]), code] = p[~head]
-        mine, other = known // TILE_SOURCES == x, known // TILE_SOURCES == y
-        q = shares[other]
+        mine, other = known // wide == x, known // wide == y
+        q, absent = shares[other], int(table.column("terms").filter(pa.array(head))[0].as_py()) - len(names)
         values = np.array([_far(a[None, :], q).sum(1) for a in shares[mine]], np.int64).reshape(int(mine.sum()), int(other.sum()))
+        values += absent * _far(zero[mine][:, None], zero[other][None, :])
         a, b = np.meshgrid(known[mine], known[other], indexing="ij")
         n = values.size
         return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "a": pa.array(a.ravel(), pa.int32()), "b": pa.array(b.ravel(), pa.int32()), "value": values.ravel()})

@@ -63,7 +63,7 @@ def impact(weight: Column, tf: Column, n: Column, docs: int, total: int) -> Colu
 def rank_items(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """item_id, rank, doc_id, score: of each item the k rows of docs with the highest score above 0, equal scores by doc_id.
 
-    Every row of docs is a document, also where ids repeat; a null id comes after all others. Null and empty texts have no terms, and
+    Every row of docs is a document, also where ids repeat; a null id comes after all others. Items without an id are one item. Null and empty texts have no terms, and
     items without terms no answer. Items are searched in blocks of at most about 250,000 terms in all (BLOCK_TERMS; an item with
     more is not split), each over all documents; no posting is left out but by the bounds. Other columns are not looked at."""
     spark = docs.sparkSession
@@ -80,6 +80,9 @@ def rank_items(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "do
 def _searched(docs: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame | None:
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    named = pairs.withColumn("item", F.xxhash64("item_id", F.col("item_id").isNull()))  # an item may lack an id
+    names = F.broadcast(named.select("item", "item_id").distinct())
+    pairs = named.select(F.col("item").alias("item_id"), "term")
     vocabulary = sorted(r["term"] for r in pairs.select("term").distinct().collect())
     if not vocabulary:
         return None
@@ -132,4 +135,5 @@ def _searched(docs: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col:
 
     # 3: exact scores of what is left
     last = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "rid"))
-    return scores(able.select("item_id", "rid")).withColumn("rank", last).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    found = scores(able.select("item_id", "rid")).withColumn("rank", last).where(F.col("rank") <= k).withColumnRenamed("item_id", "item")
+    return found.join(names, "item").select("item_id", "rank", "doc_id", "score")
