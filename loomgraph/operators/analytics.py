@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered, with_next
+
 #: Edges that community detection takes into one worker; it is sequential by design. Beyond that, use label propagation.
 COMMUNITY_EDGES = 2_000_000
 
@@ -139,13 +141,15 @@ def shape(scores: DataFrame, least: int = 8) -> DataFrame:
 
     bimodal: a gap wider than half the range, with two scores at least on either side; long-tail: the greatest lies more than
     twice the iqr above the median; else uniform. Below `least` scores: insufficient."""
-    order = W.orderBy("score")
-    gaps = scores.select("score", (F.lead("score").over(order) - F.col("score")).alias("gap"), F.row_number().over(order).alias("below"))
-    t = gaps.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.array_sort(F.collect_list("score")).alias("s"), F.collect_list(F.struct("below", "gap")).alias("gaps"))
-    at = lambda part, of: F.element_at("s", (F.floor(F.col("n") * part / of) + 1).cast("int"))
+    t = numbered(with_next(scores.select("score"), "score", of=F.col("score")), "score", name="below")
+    n = t.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).where("n > 0")
+    place = lambda part, of: (F.floor(F.col("n") * part / of) + 1).cast("int")
+    t = t.join(F.broadcast(n))  # one row
     span = F.col("high") - F.col("low")
-    wide = F.exists("gaps", lambda g: (g["below"] >= 2) & (F.col("n") - g["below"] >= 2) & (g["gap"] > span * 0.5))
-    t = t.where("n > 0").select("n", "low", "high", wide.alias("wide"), span.alias("span"), at(1, 2).alias("median"), at(1, 4).alias("q1"), at(3, 4).alias("q3"))
+    wide = (F.col("below") >= 2) & (F.col("n") - F.col("below") >= 2) & (F.col("next") - F.col("score") > span * 0.5)
+    at = lambda part, of: F.max(F.when(F.col("below") == place(part, of), F.col("score")))
+    t = t.groupBy("n", "low", "high").agg(F.bool_or(F.coalesce(wide, F.lit(False))).alias("wide"), at(1, 2).alias("median"), at(1, 4).alias("q1"), at(3, 4).alias("q3"))
+    t = t.withColumn("span", span)
     iqr = F.col("q3") - F.col("q1")
     name = F.when(F.col("n") < least, "insufficient").when((F.col("n") >= 4) & (F.col("span") > 0) & F.col("wide"), "bimodal").when(F.col("high") - F.col("median") > 2 * iqr, "long-tail").otherwise("uniform")
     return t.select("n", "low", "high", "median", "q1", "q3", iqr.alias("iqr"), name.alias("shape"))
@@ -153,9 +157,9 @@ def shape(scores: DataFrame, least: int = 8) -> DataFrame:
 
 def quantiles(ranked: DataFrame) -> DataFrame:
     """(id, quantile): (k - 1 - i) / (k - 1) by place; 1 for a single item."""
-    place = F.row_number().over(W.orderBy(F.col("score").desc(), "id")) - 1
-    k = F.count(F.lit(1)).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return ranked.select("id", F.when(k == 1, F.lit(1.0)).otherwise((k - 1 - place) / (k - 1)).alias("quantile"))
+    k = ranked.agg(F.count(F.lit(1)).alias("k"))  # one row
+    t = numbered(ranked.select("id", "score"), F.col("score").desc(), "id").join(F.broadcast(k))
+    return t.select("id", F.when(F.col("k") == 1, F.lit(1.0)).otherwise((F.col("k") - F.col("place")) / (F.col("k") - 1)).alias("quantile"))
 
 
 def entropy(scores: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -172,9 +176,10 @@ def entropy(scores: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 def margins(ranked: DataFrame) -> DataFrame:
     """(place, gap): how far each score lies above the next, relative to itself and not below 0."""
-    order = W.orderBy(F.col("score").desc(), "id")
-    gap = F.greatest(F.lit(0.0), (F.col("score") - F.lead("score").over(order)) / F.greatest(F.abs("score"), F.lit(1e-9)))
-    return ranked.select(F.row_number().over(order).alias("place"), F.when(F.lead("score").over(order).isNotNull(), gap).alias("gap")).where("gap is not null")
+    order = (F.col("score").desc(), "id")
+    t = numbered(with_next(ranked.select("id", "score"), *order, of=F.col("score")), *order)
+    gap = F.greatest(F.lit(0.0), (F.col("score") - F.col("next")) / F.greatest(F.abs("score"), F.lit(1e-9)))
+    return t.where("next is not null").select("place", gap.alias("gap"))
 
 
 def median_margin(ranked: DataFrame, k: int) -> DataFrame:

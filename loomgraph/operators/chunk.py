@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,20 +16,36 @@ from ..functions import token_count, whitespace_tokens
 OUT = "doc string, idx int, section_path array<string>, text string, tokens int"
 
 
-def section_paths(sections: DataFrame) -> DataFrame:
-    """Sections with section_path: walking back, headings of ever smaller depth, outermost first.
+def stacked(batches):
+    """For mapInArrow over (doc, idx, heading, depth) sorted by doc and idx: (doc, idx, section_path). The open headings of a document
+    are a stack, so each row is looked at once."""
+    doc, stack = None, []
+    for b in batches:
+        paths = []
+        for d, heading, depth in zip(b.column("doc").to_pylist(), b.column("heading").to_pylist(), b.column("depth").to_pylist()):
+            if d != doc:
+                doc, stack = d, []
+            if heading is not None:
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                stack.append((depth, heading))
+            paths.append([h for level, h in stack if level <= depth])
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("idx"), pa.array(paths, pa.list_(pa.string()))], names=["doc", "idx", "section_path"])
 
-    A document's headings are one list, from the first to each row; its texts are not in it."""
-    past = W.partitionBy("doc").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    heads = F.collect_list(F.when(F.col("heading").isNotNull() & (F.col("depth") > 0), F.struct("heading", "depth"))).over(past)
 
-    def walk(acc, s):
-        take = s["depth"] <= acc["level"]
-        return F.struct(F.when(take, F.concat(F.array(s["heading"]), acc["path"])).otherwise(acc["path"]).alias("path"), F.when(take, s["depth"] - 1).otherwise(acc["level"]).alias("level"))
+def section_paths(sections: DataFrame) -> DataFrame:
+    """Sections with section_path: walking back, headings of ever smaller depth, outermost first.
 
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.col("depth").alias("level"))
-    t = sections.withColumn("_heads", heads)
-    return t.select("doc", "idx", "heading", "depth", "text", F.aggregate(F.reverse("_heads"), start, walk)["path"].alias("section_path"))
+    Paths are made of headings alone; texts meet them afterwards, and don't move where no section has a depth."""
+    t = sections.select("doc", "idx", "heading", "depth", "text")
+    inside = t.where("depth > 0").select("doc", "idx", "heading", "depth")
+    none = F.array().cast("array<string>")
+    if inside.isEmpty():
+        return t.withColumn("section_path", none)
+    kinds = f"doc {t.schema['doc'].dataType.simpleString()}, idx {t.schema['idx'].dataType.simpleString()}"
+    paths = inside.repartition("doc").sortWithinPartitions("doc", "idx").mapInArrow(stacked, f"{kinds}, section_path array<string>")
+    out = t.join(paths, ["doc", "idx"], "left")
+    return out.select("doc", "idx", "heading", "depth", "text", F.coalesce("section_path", none).alias("section_path"))
 
 
 def chunk_paragraph(sections: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .order import numbered
 
 #: Beyond so many nodes PageRank is left out unless it is asked for.
 PPR_NODES = 250_000
@@ -127,8 +129,7 @@ def expand_community(candidates: DataFrame, membership: DataFrame, seeds: int =
     """(id, score, place): the candidates as they are, then members of the best seeds' communities at score * decay.
 
     membership: (id, community). Members come by id; candidates are neither dropped nor moved."""
-    place = F.row_number().over(W.orderBy(F.col("score").desc(), "id"))
-    ranked = candidates.select("id", "score", place.alias("place"))
+    ranked = numbered(candidates.select("id", "score"), F.col("score").desc(), "id")
     best = ranked.where(F.col("place") <= seeds).join(membership, "id").groupBy("community").agg(F.max("score").alias("best"))
     members = membership.join(F.broadcast(best), "community").join(candidates.select("id"), "id", "left_anti")  # as many rows as seeds
     members = members.withColumn("rank", F.row_number().over(W.partitionBy("community").orderBy("id"))).where(F.col("rank") <= per_community)
@@ -196,13 +197,19 @@ def answer_hops(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame
     return found
 
 
-def knn_approximate(index: DataFrame, embeddings: DataFrame, k: int, bands: int = 24, width: int = 10) -> DataFrame:
+def knn_approximate(index: DataFrame, embeddings: DataFrame, k: int, bands: int = 24, width: int | None = None) -> DataFrame:
     """(src, dst, weight): of each vector the k nearest of those that share a band of sign codes with it, by exact cosine.
 
     index: (node_id, code) of rank.sign_index. `bands` groups of `width` signs are buckets; buckets and their pairs are joined by
-    id, vectors fetched once for each candidate pair. Work grows with the buckets' sizes, not with the square of the vectors."""
+    id, vectors fetched once for each candidate pair. The width grows with the table, so that buckets don't, and fewer bands fit in a
+    code then: neighbours.descend keeps its recall at any size."""
     from ..functions import cosine
 
+    first = index.where("code is not null").select(F.size("code")).first()
+    bits = 63 * first[0] if first else 63
+    width = width or min(bits, max(10, math.ceil(math.log2(max(1, index.count()))) - 4))
+    bands = min(bands, bits // width)
+
     bit = lambda i: F.shiftright(F.get("code", F.lit(i // 63)), i % 63).bitwiseAND(F.lit(1).cast("long"))
     keys = [reduce(lambda a, b: a * 2 + b, [bit(t * width + j) for j in range(width)]) for t in range(bands)]
     own = index.where("code is not null").select("node_id", F.posexplode(F.array(*keys)).alias("band", "key"))

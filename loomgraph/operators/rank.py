@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def top(lane: DataFrame, k: int) -> DataFrame:
     """The k best; NaN scores are left out, for Spark holds them to be the largest."""
@@ -77,10 +79,11 @@ def fuse_scores(lanes: list[tuple[DataFrame, float]]) -> DataFrame:
 
 def rerank_head(ranked: DataFrame, score: Column, k: int) -> DataFrame:
     """(id, score, place): the first k by the new score, then the rest in the order they had."""
-    place = F.row_number().over(W.orderBy(F.col("score").desc(), "id"))
-    df = ranked.withColumn("old", place).withColumn("new", F.when(F.col("old") <= k, score))
-    order = F.row_number().over(W.orderBy(F.col("new").desc_nulls_last(), "old"))
-    return df.withColumn("place", order)
+    df = numbered(ranked, F.col("score").desc(), "id", name="old")
+    head = df.where(F.col("old") <= k).withColumn("new", score)  # k rows at most
+    head = head.withColumn("place", F.row_number().over(W.orderBy(F.col("new").desc_nulls_last(), "old")))
+    rest = df.where(F.col("old") > k).withColumn("new", F.lit(None).cast(head.schema["new"].dataType)).withColumn("place", F.col("old"))
+    return head.unionByName(rest)
 
 
 def pack_budget(ranked: DataFrame, budget: int, limit: int | None = None) -> DataFrame:
@@ -110,8 +113,9 @@ def pack_budget(ranked: DataFrame, budget: int, limit: int | None = None) -> Dat
 
 def suggested_neighbours(ranked: DataFrame, preview: int = 200) -> DataFrame:
     """Places 4 to 6, with the head of their text."""
+    best = ranked.orderBy(F.col("score").desc(), "id").limit(6)
     place = F.row_number().over(W.orderBy(F.col("score").desc(), "id"))
-    return ranked.withColumn("place", place).where("place between 4 and 6").select("id", "place", F.substring("text", 1, preview).alias("preview"))
+    return best.withColumn("place", place).where("place between 4 and 6").select("id", "place", F.substring("text", 1, preview).alias("preview"))
 
 
 def text_rank(texts: DataFrame, query: str, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import node_content_id
 from ..plans.lineage import cut
+from . import history
 
 
 def with_cid(nodes: DataFrame) -> DataFrame:
@@ -183,32 +184,23 @@ def walked(links: list, most: int):
 def ancestors(commits: DataFrame, heads: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(head, cid, depth) of everything that the heads (head, cid) come from, themselves at depth 0; depth is the shortest.
 
-    A walk for each head where there are few links; otherwise a join for each generation on the frontier alone."""
+    A walk for each head where there are few links; otherwise one over the segments of the history."""
     parents = cut(commits.select("cid", F.explode("parents").alias("parent")))
     links = parents.limit(WALK_LINKS + 1).collect()
     if len(links) <= WALK_LINKS:
         kinds = {f.name: f.dataType.simpleString() for f in heads.schema.fields}
         return heads.select("head", "cid").groupBy("head").applyInPandas(walked([tuple(x) for x in links], most), f"head {kinds['head']}, cid {kinds['cid']}, depth int")
-    frontier = cut(heads.select("head", "cid", F.lit(0).alias("depth")))
-    seen = [frontier]
-    for depth in range(1, most):
-        step = frontier.join(parents, "cid").select("head", F.col("parent").alias("cid")).distinct()
-        known = reduce(DataFrame.unionByName, seen)
-        frontier = cut(step.join(known.select("head", "cid"), ["head", "cid"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen.append(frontier)
-        if len(seen) > 20:
-            seen = [cut(reduce(DataFrame.unionByName, seen))]
-    return reduce(DataFrame.unionByName, seen)
+    return history.reached(commits, heads).where(F.col("depth") < most)
 
 
 def lowest_common_ancestor(commits: DataFrame, heads: list[str]) -> DataFrame:
-    """One row, cid: a common ancestor of all heads that no other common ancestor descends to; the smallest on ties, none if unrelated."""
+    """One row, cid: a common ancestor of all heads that no other common ancestor descends to; the smallest on ties, none if unrelated.
+
+    What a common ancestor comes from is common too, so the lowest ones are those that are no parent of a common ancestor."""
     spark = commits.sparkSession
     reach = cut(ancestors(commits, spark.createDataFrame([(h, h) for h in heads], "head string, cid string")))
     common = cut(reach.groupBy("cid").agg(F.count_distinct("head").alias("n")).where(F.col("n") == len(set(heads))).select("cid"))
-    above = ancestors(commits, common.select(F.col("cid").alias("head"), "cid")).where("depth > 0").select("cid").distinct()
+    above = commits.join(common, "cid").select(F.explode("parents").alias("cid"))
     return common.join(above, "cid", "left_anti").agg(F.min("cid").alias("cid"))
 
 

@@ -24,3 +24,36 @@ def cut(df: DataFrame) -> DataFrame:
     removes it when nothing refers to it any more; else it stays until the folder is emptied."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+# --- stored tables --------------------------------------------------------------------------------------------
+
+
+def _files(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
+def publish(spark, made: str, path: str) -> None:
+    """Moves a finished folder to its name; where another writer was first, that one's stays and this one goes."""
+    target, files = _files(spark, path)
+    source = _files(spark, made)[0]
+    if not files.exists(target):
+        files.mkdirs(target.getParent())
+        if files.rename(source, target):
+            return
+    files.delete(source, True)
+
+
+def drop_others(spark, path: str, keep: str) -> None:
+    """Removes what stands under path and does not begin with `keep`, but for what is still being built."""
+    root, files = _files(spark, path)
+    for other in files.listStatus(root) if files.exists(root) else ():
+        name = other.getPath().getName()
+        if not name.startswith((keep, "building-")):
+            files.delete(other.getPath(), True)

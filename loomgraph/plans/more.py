@@ -146,13 +146,6 @@ def snapshot_round_trip(spark, sf_dir):
     return expand.stored_knn(t, f"{folder(spark)}/snapshot_round_trip")
 
 
-@query()
-def knn_approximate(spark, sf_dir):
-    """The ten nearest of each vector by buckets of sign codes; test_operators measures its recall."""
-    e = graph(spark, sf_dir).embeddings
-    return expand.knn_approximate(rank.sign_index(e), e, 10).select("src", "dst", r6("weight").alias("weight"))
-
-
 @query(f"WITH {VECTORS}, f AS (SELECT arg_min(v, id) AS q FROM vecs), d AS (SELECT id, list_cosine_similarity(v, q) AS score FROM vecs, f), two AS (SELECT 'a' AS graph, * FROM d WHERE right(id, 1)::INT % 2 = 0 UNION ALL SELECT 'b', * FROM d WHERE right(id, 1)::INT % 2 = 1) SELECT graph, id, round(score, 6) AS score FROM two ORDER BY two.score DESC, id, graph LIMIT 10")
 def global_retrieve(spark, sf_dir):
     """The best of two graphs, each with the graph it is from."""

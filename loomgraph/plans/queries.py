@@ -1082,10 +1082,4 @@ def commit_memory(spark, sf_dir):
     return versions.remembered(t, 7).select("id", "created_at", "updated_at")
 
 
-@query()
-def dense_approximate(spark, sf_dir):
-    e = graph(spark, sf_dir).embeddings
-    return rank.dense_approximate(rank.sign_index(e), e, first_vector(spark, sf_dir), 10).select("id", r6("score").alias("score"))
-
-
-from . import more  # noqa: E402, F401  registers further queries
+from . import indexed, more  # noqa: E402, F401  register further queries

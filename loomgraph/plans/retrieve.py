@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import token_estimate
 from ..model import tagged
 from ..operators import expand, rank
+from ..operators.postings import Postings
 from ..operators.query import Query, rendered, temporal, without_system, without_tombstones
+from ..operators.vector_index import VectorIndex
 from ..sources.graph import Graph
 from .lineage import cut
 
@@ -59,6 +61,9 @@ class Retriever:
     rerank: tuple[Callable[[Column], Column], int] | None = None
     budget: int | None = None
     limit: int | None = None
+    #: Stored indexes that the lanes search in place of the graph's vectors
+    vector_index: VectorIndex | None = None
+    postings: Postings | None = None
 
     def with_(self, **changes) -> Retriever:
         return replace(self, **changes)
@@ -69,13 +74,24 @@ class Retriever:
     def sparse_query(self, query: DataFrame, weight: float = 1.0) -> Retriever:
         return self.with_(sparse=(query, weight))
 
+    def indexed(self, stamp: str, vectors: VectorIndex | None = None, postings: Postings | None = None) -> Retriever:
+        """Searches stored indexes; ValueError where one is of another snapshot than `stamp` says."""
+        for index in (vectors, postings):
+            if index is not None and index.stamp != stamp:
+                raise ValueError(f"an index of snapshot {index.stamp}, not {stamp}")
+        return self.with_(vector_index=vectors, postings=postings)
+
     def lanes(self) -> list[tuple[str, DataFrame, float]]:
         out = []
         if self.dense:
             q, model, weight = self.dense
-            out.append(("vector", rank.dense(self.graph.embeddings, list(q), self.vector_cap, model), weight))
+            index = self.vector_index if self.vector_index is not None and model in (None, self.vector_index.model) else None
+            lane = index.search(list(q), self.vector_cap) if index else rank.dense(self.graph.embeddings, list(q), self.vector_cap, model)
+            out.append(("vector", lane, weight))
         if self.sparse:
-            out.append(("sparse", rank.sparse(self.graph.sparse, self.sparse[0], self.vector_cap), self.sparse[1]))
+            query, weight = self.sparse
+            lane = self.postings.search(query, self.vector_cap) if self.postings else rank.sparse(self.graph.sparse, query, self.vector_cap)
+            out.append(("sparse", lane, weight))
         return out
 
     def fused(self) -> DataFrame:

@@ -5,14 +5,20 @@ Each label is a projection of its own table, so a filter on the label leaves one
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import token_slot, token_weight
 from ..model import ANCHOR, tag
 
+#: The hashed vocabulary: functions.token_slot and token_weight say which slot and weight a token has.
+SLOTS = 1024
+
 
 def node_id(label: str, key: str | Column) -> Column:
     """Keys padded with zeros, so that ids sort as the keys do."""
@@ -84,17 +90,32 @@ def edges(spark: SparkSession, sf_dir: str, etypes: tuple[str, ...] | None = Non
     return reduce(DataFrame.unionByName, [makers[t]() for t in etypes or makers])
 
 
+def hashed_tokens(batches):
+    """For mapInArrow: (doc_id, slot, weight) of (doc_id, lower-cased text); each word of a step is hashed once."""
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            part = b.slice(at, 1000)
+            lists = pc.split_pattern_regex(part.column(1).cast(pa.large_string()).fill_null(""), r"[ \t\n\x0b\f\r]+")
+            coded = pc.list_flatten(lists).dictionary_encode()
+            words = [w.encode() for w in coded.dictionary.to_pylist()]
+            slot = np.array([int(hashlib.md5(w).hexdigest()[:8], 16) % SLOTS for w in words], np.int64)
+            weight = np.array([1.0 / (1.0 + len(w)) if w else 0.0 for w in words])
+            row, code = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy()), coded.indices.to_numpy()
+            key, weight = row * SLOTS + slot[code], weight[code]
+            key, weight = key[weight > 0], weight[weight > 0]
+            order = np.lexsort((-weight, key))
+            first = order[np.concatenate(([True], key[order][1:] != key[order][:-1]))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(key[first] // SLOTS)), pa.array((key[first] % SLOTS).astype(np.int32)), pa.array(weight[first])], names=["doc_id", "slot", "weight"])
+
+
 def sparse_vectors(docs: DataFrame, slots: DataFrame | None = None) -> DataFrame:
-    """One posting row per (node, slot): the greatest weight of the tokens that fall there. slots: only these (slot) are made, for
-    a query that asks for no others; there are no more of them than the vocabulary has slots, so they are broadcast."""
-    tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("token")).where("token <> ''")
-    made = [token_slot(F.col("token")).alias("slot"), token_weight(F.col("token")).alias("weight")]
-    if slots is None:
-        tokens = tokens.select("doc_id", *made)
-    else:  # each word of the vocabulary is hashed once, and only those of the slots are looked for
-        words = tokens.select("token").distinct().select("token", *made).join(F.broadcast(slots.select("slot").distinct()), "slot", "left_semi")
-        tokens = tokens.join(words, "token").select("doc_id", "slot", "weight")
-    return tokens.groupBy("doc_id", "slot").agg(F.max("weight").alias("weight")).select(node_id("Doc", "doc_id").alias("node_id"), "slot", "weight")
+    """One posting row per (node, slot): the greatest weight of the tokens that fall there. slots: only these (slot) are kept; there are
+    no more of them than the vocabulary has slots, so they are broadcast."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(hashed_tokens, f"doc_id {kind}, slot int, weight double")
+    if slots is not None:
+        made = made.join(F.broadcast(slots.select("slot").distinct()), "slot", "left_semi")
+    return made.groupBy("doc_id", "slot").agg(F.max("weight").alias("weight")).select(node_id("Doc", "doc_id").alias("node_id"), "slot", "weight")
 
 
 def tpch_graph(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] | None = None, etypes: tuple[str, ...] | None = None) -> Graph:

@@ -10,9 +10,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.order import running_sum, with_previous
+
 SECTIONS = "doc string, idx int, heading string, depth int, text string"
 CODE = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "cs": "csharp"}
 KINDS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf", "json": "conversation", "jsonl": "conversation"} | {e: "code" for e in CODE}
@@ -192,32 +193,7 @@ def import_blocks(spark: SparkSession, path: str) -> DataFrame:
 def author_runs(rows: DataFrame, order: str, author: str) -> DataFrame:
     """rows with `run`: the commit that a bulk insert makes of them, one for each run of equal authors that follow one another.
 
-    An author that comes again later is another run. Rows are numbered in their order, so one request is one window."""
-    w = W.orderBy(order)
-    new = F.coalesce(~F.lag(author).over(w).eqNullSafe(F.col(author)), F.lit(True))
-    return rows.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-
-def ingest(docs: DataFrame, kind: str = "markdown", chunker: str = "auto", language: str = "python") -> dict[str, DataFrame]:
-    """documents, chunks, entities and edges of (doc, text): chunk_of, chunk_mentions, and a relation between each two entities
-    of a chunk that stand near each other. Ids come from the content, so a second ingest adds nothing. language: of code."""
-    from ..functions import content_hash, short_summary
-    from ..operators.chunk import chunk
-    from ..operators.extract import canonical_entities, entities, relations
-
-    own = docs.select(F.col("doc").cast("string").alias("doc"), "text")
-    sections = {"markdown": markdown, "text": plain_text, "pdf": paged_text, "conversation": conversations, "code": lambda d: code(d, language)}[kind](own)
-    ident = lambda *parts: F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
-    chunks = chunk(sections, kind, chunker).withColumn("id", ident(F.lit("Chunk"), "doc", F.col("idx").cast("string"), "text"))
-    found = entities(chunks.select(F.col("id").alias("doc"), "text"))
-    of = chunks.select(F.col("id").alias("chunk"), F.col("doc").alias("of"))
-    mentions = found.join(of, found["doc"] == of["chunk"]).select(F.col("of").alias("doc"), "chunk", "kind", "text", "ordinal", F.lower(F.trim("text")).alias("name"))
-    named = canonical_entities(mentions).withColumn("id", ident(F.lit("Entity"), "doc", "kind", "name"))
-    documents = own.select(ident(F.lit("Doc"), "doc", content_hash(F.col("text"))).alias("id"), "doc", short_summary(F.col("text")).alias("summary"))
-    belongs = chunks.join(documents.select("doc", F.col("id").alias("dst")), "doc").select(F.lit("chunk_of").alias("etype"), F.col("id").alias("src"), "dst")
-    mentioned = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("dst")), ["doc", "kind", "name"]).select(F.lit("chunk_mentions").alias("etype"), F.col("chunk").alias("src"), "dst").distinct()
-    related = relations(found, chunks.select(F.col("id").alias("doc"), "text"))
-    end = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("entity")), ["doc", "kind", "name"]).select("chunk", "ordinal", "entity")
-    ends = [end.select(F.col("chunk").alias("doc"), F.col("ordinal").alias(k), F.col("entity").alias(v)) for k, v in (("subject", "src"), ("object", "dst"))]
-    linked = related.join(ends[0], ["doc", "subject"]).join(ends[1], ["doc", "object"]).where("src <> dst").select(F.col("kind").alias("etype"), "src", "dst").distinct()
-    return {"documents": documents, "chunks": chunks, "entities": named, "edges": belongs.unionByName(mentioned).unionByName(linked)}
+    An author that comes again later is another run. Rows are dealt to ranges of their order, so no task holds them all."""
+    t = with_previous(rows.withColumn("_author", F.struct(F.col(author))), order, of=F.col("_author"), name="_previous")
+    new = ~F.col("_previous").eqNullSafe(F.col("_author"))  # nothing stands before the first row
+    return running_sum(t, order, of=new.cast("int"), name="run").drop("_author", "_previous")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.order import recent
+
 RESERVOIR, WARM, TTL_SECONDS = 128, 12, 3600
 
 
@@ -20,8 +22,11 @@ def rate_windows(events: DataFrame, key: str, ts: str, seconds: int = 60, most:
 
 
 def storm(events: DataFrame, ts: str, seconds: int = 60, key: str | None = None) -> DataFrame:
-    """Events with `recent`: arrivals in the seconds up to and with each one. A key keeps it distributed."""
-    w = W.partitionBy(*([key] if key else [F.lit(0)])).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    """Events with `recent`: arrivals in the seconds up to and with each one. With a key they are counted for each key; without one, rows meet
+    in buckets of time."""
+    if key is None:
+        return recent(events.withColumn("_micros", F.unix_micros(ts)), "_micros", seconds * 1_000_000).drop("_micros")
+    w = W.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w))
 
 
