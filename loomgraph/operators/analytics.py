@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .order import numbered, with_next
 
 #: Edges that community detection takes into one worker; it is sequential by design. Beyond that, use label propagation.
@@ -37,13 +38,13 @@ def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("e", F.lit(0.0)) / F.col("m2") - F.pow(F.col("a") / F.col("m2"), 2)).alias("modularity"))
 
 
-def _partition(a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int) -> np.ndarray:
-    """Communities by greedy moves and aggregation, each split into connected parts; nodes are 0..n-1."""
-    n = int(max(a.max(), b.max())) + 1
+def _partition(a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int, loops: np.ndarray | None = None) -> np.ndarray:
+    """Communities by greedy moves and aggregation, each split into connected parts; nodes are 0..n-1, with loops of these weights."""
+    n = len(loops) if loops is not None else int(max(a.max(), b.max())) + 1
     home = np.arange(n)
     ea, eb, ew = a.copy(), b.copy(), w.astype(float).copy()
-    loops = np.zeros(n)
-    m2 = 2 * ew.sum()
+    loops = np.zeros(n) if loops is None else loops.astype(float)
+    m2 = 2 * ew.sum() + 2 * loops.sum()
     for _ in range(rounds):
         k = len(loops)
         near: list[dict[int, float]] = [{} for _ in range(k)]
@@ -103,9 +104,9 @@ def communities(pairs: DataFrame, rounds: int = 8, most_edges: int = COMMUNITY_E
     """(id, community): greedy modularity in rounds of local moves, refinement into connected parts and aggregation.
 
     Moves depend on their order, so the edges (a, b, weight) meet in one worker; above most_edges that is refused and
-    label_propagation is the way to go. Communities are numbered by their least node."""
+    spread_communities is the way to go. Communities are numbered by their least node."""
     if pairs.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"more than {most_edges} edges; use label_propagation")
+        raise ValueError(f"more than {most_edges} edges; use spread_communities")
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         t = t[t["weight"] > 0]
@@ -120,10 +121,102 @@ def communities(pairs: DataFrame, rounds: int = 8, most_edges: int = COMMUNITY_E
     return pairs.groupBy(F.lit(0).alias("all")).applyInPandas(lambda t: one(t), "id string, community int")
 
 
+def _moved(both: DataFrame, state: DataFrame, m2: float, turn: int) -> DataFrame:
+    """state (id, degree, community) after the half of the nodes whose turn it is has moved to where it gains most, if it gains at all."""
+    links = both.join(state.select(F.col("id").alias("y"), F.col("community").alias("to")), "y").groupBy(F.col("x").alias("id"), "to").agg(F.sum("w").alias("w"))
+    totals = state.groupBy(F.col("community").alias("to")).agg(F.sum("degree").alias("total"), F.count(F.lit(1)).alias("size"))
+    movers = state.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+    # staying counts as well, also where no link leads home
+    stay = movers.select("id", F.col("community").alias("to"), F.lit(0.0).alias("w"))
+    options = links.join(movers.select("id"), "id", "left_semi").unionByName(stay).groupBy("id", "to").agg(F.sum("w").alias("w"))
+    options = options.join(totals, "to").join(movers, "id")
+    home = F.col("to") == F.col("community")
+    gain = F.col("w") - (F.col("total") - F.when(home, F.col("degree")).otherwise(0.0)) * F.col("degree") / m2
+    options = options.withColumn("gain", gain)
+    choice = F.min_by(F.struct("to", "size"), F.struct((-F.col("gain")).alias("g"), "to"))
+    best = options.groupBy("id", "community").agg(choice.alias("best"), F.max("gain").alias("gain"), F.max(F.when(home, F.col("gain"))).alias("now"), F.max(F.when(home, F.col("size"))).alias("size"))
+    # of two nodes alone the one with the greater name moves, so they don't change places
+    swap = (F.col("size") == 1) & (F.col("best.size") == 1) & (F.col("best.to") > F.col("community"))
+    best = best.where((F.col("gain") > F.col("now") + 1e-12) & ~swap).select("id", F.col("best.to").alias("best"))
+    return state.join(best, "id", "left").select("id", "degree", F.coalesce("best", "community").alias("community"), F.col("best").isNotNull().alias("moved"))
+
+
+def _connected(both: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, part): the least node of the connected part of its community that each node is in."""
+    home = state.select("id", "community")
+    inner = both.join(home.select(F.col("id").alias("x"), F.col("community").alias("cx")), "x").join(home.select(F.col("id").alias("y"), F.col("community").alias("cy")), "y")
+    inner = cut(inner.where("cx = cy").select("x", "y"))
+    part = state.select("id", F.col("id").alias("part"))
+    while True:
+        near = inner.join(part.select(F.col("id").alias("y"), "part"), "y").groupBy(F.col("x").alias("id")).agg(F.min("part").alias("near"))
+        new = part.join(near, "id", "left").select("id", "part", F.least("part", F.coalesce("near", "part")).alias("new"))
+        # the least node found may know a smaller one
+        far = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        step = cut(new.join(far, "new").select("id", "part", F.least("new", "far").alias("new")))
+        part = step.select("id", F.col("new").alias("part"))
+        if step.where("part <> new").isEmpty():
+            return part
+
+
+def spread_communities(pairs: DataFrame, turns: int = 16, levels: int = 12, gather: int = COMMUNITY_EDGES, rounds: int = 8) -> DataFrame:
+    """(id, community): greedy modularity without an edge limit: local moves and aggregation as joins.
+
+    In each turn the half of the nodes that a hash picks may move, so neighbours seldom swap; a level ends when two turns move next to
+    none. Communities are split into connected parts, and these are the nodes of the next level. A level of at most `gather` edges
+    is finished by one worker, as `communities` does it. Communities are numbered by their least node."""
+    own = pairs.where("weight > 0 and a <> b")
+    both = cut(own.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").cast("double").alias("w")).unionByName(own.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("weight").cast("double").alias("w"))))
+    m2 = both.agg(F.sum("w")).first()[0]
+    kind = own.schema["a"].dataType.simpleString()
+    if not m2:
+        return own.sparkSession.createDataFrame([], f"id {kind}, community int")
+    nodes = cut(both.groupBy(F.col("x").alias("id")).agg(F.sum("w").alias("degree")))
+    home = nodes.select("id", F.col("id").alias("at"))
+    for _ in range(levels):
+        if both.count() <= 2 * gather:
+            home = home.join(_gathered(both, nodes, rounds).select(F.col("id").alias("at"), "to"), "at").select("id", F.col("to").alias("at"))
+            break
+        state, quiet, n = nodes.withColumn("community", F.col("id")), 0, nodes.count()
+        for turn in range(turns):
+            step = cut(_moved(both, state, m2, turn))
+            state = step.drop("moved")
+            quiet = quiet + 1 if step.where("moved").count() <= n // 1000 else 0
+            if quiet == 2:
+                break
+        part = cut(_connected(both, state))
+        if part.where("id <> part").isEmpty():
+            break
+        home = cut(home.join(part.select(F.col("id").alias("at"), "part"), "at").select("id", F.col("part").alias("at")))
+        nodes = cut(nodes.join(part, "id").groupBy(F.col("part").alias("id")).agg(F.sum("degree").alias("degree")))
+        to = part.select(F.col("id").alias("x"), F.col("part").alias("px"))
+        both = both.join(to, "x").join(to.select(F.col("x").alias("y"), F.col("px").alias("py")), "y")
+        both = cut(both.where("px <> py").groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum("w").alias("w")))
+        if both.isEmpty():
+            break
+    least = home.groupBy("at").agg(F.min("id").alias("least"))
+    number = numbered(least, "least", name="n").select("at", (F.col("n") - 1).cast("int").alias("community"))
+    return home.join(number, "at").select("id", "community")
+
+
+def _gathered(both: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
+    """(id, to): the communities that one worker finds of the edges both ways and of nodes (id, degree); `to` is one of their nodes."""
+    kind = nodes.schema["id"].dataType.simpleString()
+    rows = both.where("x < y").select("x", "y", "w").unionByName(nodes.select(F.col("id").alias("x"), F.lit(None).cast(kind).alias("y"), F.col("degree").alias("w")))
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        own, links = t[t["y"].isna()].sort_values("x"), t[t["y"].notna()].sort_values(["x", "y"])
+        ids = own["x"].to_numpy()
+        a, b, w = np.searchsorted(ids, links["x"]), np.searchsorted(ids, links["y"]), links["w"].to_numpy()
+        outside = np.bincount(a, w, len(ids)) + np.bincount(b, w, len(ids))
+        loops = (own["w"].to_numpy() - outside) / 2  # what lies within a node
+        at = _partition(a, b, w, rounds, loops) if len(links) else np.arange(len(ids))
+        return pd.DataFrame({"id": ids, "to": ids[np.unique(at, return_index=True)[1]][np.unique(at, return_inverse=True)[1]]})
+
+    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda t: one(t), f"id {kind}, to {kind}")
+
+
 def label_propagation(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, community) without a size gate: each node takes the community of the greatest weight around it, the least on ties."""
-    from ..plans.lineage import cut
-
     both = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight")))
     labels = both.select(F.col("x").alias("id")).distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):

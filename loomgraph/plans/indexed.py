@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, postings, vector_index, versions
+from ..operators import analytics, label_index, neighbours, postings, vector_index, versions
 from ..sources.graph import sparse_vectors
 from .lineage import folder
 from .queries import CID, SPARSE, TOP, commit_name, first_vector, graph, nid, query, r6, read, sparse_query
@@ -72,3 +74,23 @@ def late_common_ancestor(spark, sf_dir):
     t = late_fork(spark, sf_dir)
     heads = [r[0] for r in t.orderBy(F.col("cid").desc()).select("cid").limit(2).collect()]
     return versions.lowest_common_ancestor(t, heads)
+
+
+@query()
+def spread_communities(spark, sf_dir):
+    """Communities of the graph of near vectors by local moves as joins, at every size; tests compare its modularity."""
+    near = knn_approximate(spark, sf_dir).where("weight > 0")
+    return analytics.spread_communities(analytics.undirected(near))
+
+
+@query(f"""SELECT {nid('Part', 'p_partkey')} AS id, 'Part' AS ntype, CASE WHEN p_partkey % 9 = 1 THEN 'new ' || p_name ELSE p_name END AS summary FROM part WHERE p_partkey % 4 <> 2 OR p_partkey % 9 = 1
+    UNION ALL SELECT {nid('Supplier', 's_suppkey')}, 'Supplier', s_name FROM supplier""")
+def label_index_append(spark, sf_dir):
+    """A store of two labels after a commit that adds to one of them and removes from it: that label alone is written anew."""
+    path = f"{folder(spark)}/indexes/labels-{uuid.uuid4().hex}"
+    nodes = graph(spark, sf_dir, "Part", "Supplier").nodes.select("id", "ntype", "summary")
+    label_index.build(nodes, path)
+    parts, key = nodes.where("ntype = 'Part'"), F.substring("id", -10, 10).cast("long")
+    added = parts.where(key % 9 == 1).withColumn("summary", F.concat(F.lit("new "), "summary"))
+    label_index.append(spark, path, added, parts.where((key % 4 == 2) & (key % 9 != 1)).select("id", "ntype"))
+    return label_index.read(spark, path).select("id", "ntype", "summary")

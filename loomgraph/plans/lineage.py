@@ -57,3 +57,8 @@ def drop_others(spark, path: str, keep: str) -> None:
         name = other.getPath().getName()
         if not name.startswith((keep, "building-")):
             files.delete(other.getPath(), True)
+
+
+def remove(spark, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)

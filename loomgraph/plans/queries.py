@@ -839,8 +839,12 @@ def markdown_sections(spark, sf_dir):
     return readers.markdown(d).select("doc", "idx", "heading", "depth", F.length("text").alias("length"))
 
 
+#: Fixed value: the pattern of a heading line in plain text, for SQL; readers.is_heading says it in words.
+HEADING_PATTERN = r"(?:(?:ARTICLE|CHAPTER|PART)\s+(?:[IVXLCDM]{1,8}|\d+)|(?:SECTION|Section)\s+\d+(?:\.\d+)*|[IVXLCDM]{1,5}\.\s+[A-Z]|[A-Z][A-Z &\-/]{2,}[A-Z])"
+
+
 @query(f"""WITH {DOC_TEXTS}, lines AS (SELECT doc, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc, string_split(text, chr(10)) AS l FROM texts)),
-    marked AS (SELECT *, regexp_full_match(line, '[ \\t]*(?:{"|".join(f"(?:{x})" for x in readers.HEADING_SHAPES)})[ \\t]*[:.]?[ \\t]*'.replace('\\s', '[ \\t]')) AS h FROM lines),
+    marked AS (SELECT *, regexp_full_match(line, '[ \\t]*{HEADING_PATTERN}[ \\t]*[:.]?[ \\t]*'.replace('\\s', '[ \\t]')) AS h FROM lines),
     headed AS (SELECT *, h AND sum(h::INT) OVER (PARTITION BY doc) >= 2 AS head FROM marked), numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY i) AS part FROM headed),
     sections AS (SELECT doc, part, list_filter(regexp_split_to_array(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '\\s+'), lambda x: x <> '') AS w FROM numbered GROUP BY doc, part),
     cut AS (SELECT *, unnest(range(0, (greatest(0, ceil((len(w) - 256) / 224.0)) * 224 + 1)::BIGINT, 224)) AS a FROM sections WHERE len(w) > 0),

@@ -65,21 +65,44 @@ def markdown(docs: DataFrame) -> DataFrame:
     return _sections(docs, markdown_sections)
 
 
-#: The shapes of a heading line in plain text. A line of capitals has four characters or more.
-HEADING_SHAPES = (
-    r"(ARTICLE|CHAPTER|PART)\s+([IVXLCDM]{1,8}|[0-9]+)",
-    r"(SECTION|Section)\s+[0-9]+(\.[0-9]+)*",
-    r"[IVXLCDM]{1,5}\.\s+[A-Z]",
-    r"[A-Z][A-Z &/-]{2,}[A-Z]",
-)
-_SHAPES = [re.compile(x) for x in HEADING_SHAPES]
+#: What a heading line in plain text begins with, the letters and lengths of its numerals, and what may stand between capitals.
+NUMBERED = ("ARTICLE", "CHAPTER", "PART")
+SECTIONED = ("SECTION", "Section")
+NUMERAL_LETTERS = "IVXLCDM"
+NUMERAL_LENGTH, OUTLINE_LENGTH, CAPITALS_LENGTH = 8, 5, 4
+BETWEEN_CAPITALS = " &/-"
+
+
+def is_capital(c: str) -> bool:
+    return c.isascii() and c.isupper()
+
+
+def is_numeral(word: str, most: int) -> bool:
+    return 0 < len(word) <= most and all(c in NUMERAL_LETTERS for c in word)
+
+
+def _names_a_part(words: list[str]) -> bool:
+    """CHAPTER IV, ARTICLE 7, Section 2.1, or an outline's numeral and letter, such as II. A."""
+    if len(words) != 2:
+        return False
+    first, second = words
+    if first in NUMBERED:
+        return second.isdecimal() or is_numeral(second, NUMERAL_LENGTH)
+    if first in SECTIONED:
+        return all(n.isdecimal() for n in second.split("."))
+    return first.endswith(".") and is_numeral(first[:-1], OUTLINE_LENGTH) and len(second) == 1 and is_capital(second)
+
+
+def _is_of_capitals(line: str) -> bool:
+    """A title in capitals, from the first character to the last."""
+    return len(line) >= CAPITALS_LENGTH and is_capital(line[0]) and is_capital(line[-1]) and all(is_capital(c) or c in BETWEEN_CAPITALS for c in line)
 
 
 def is_heading(line: str) -> bool:
     """Whether a line is nothing but a heading, closed perhaps by a colon or a full stop."""
     line = line.strip(" \t")
-    bare = line[:-1].rstrip(" \t") if line.endswith((":", ".")) else line
-    return any(shape.fullmatch(x) for shape in _SHAPES for x in (line, bare))
+    closed = line[:-1].rstrip(" \t") if line.endswith((":", ".")) else line
+    return any(x == x.strip() and (_names_a_part(x.split()) or _is_of_capitals(x)) for x in (line, closed))
 
 
 def text_sections(text: str) -> list[tuple[str | None, int, str]]:
@@ -197,3 +220,28 @@ def author_runs(rows: DataFrame, order: str, author: str) -> DataFrame:
     t = with_previous(rows.withColumn("_author", F.struct(F.col(author))), order, of=F.col("_author"), name="_previous")
     new = ~F.col("_previous").eqNullSafe(F.col("_author"))  # nothing stands before the first row
     return running_sum(t, order, of=new.cast("int"), name="run").drop("_author", "_previous")
+
+
+def ingest(docs: DataFrame, kind: str = "markdown", chunker: str = "auto", language: str = "python") -> dict[str, DataFrame]:
+    """documents, chunks, entities and edges of (doc, text): chunk_of, chunk_mentions, and a relation between each two entities
+    of a chunk that stand near each other. Ids come from the content, so a second ingest adds nothing. language: of code."""
+    from ..functions import content_hash, short_summary
+    from ..operators.chunk import chunk
+    from ..operators.extract import canonical_entities, entities, relations
+
+    own = docs.select(F.col("doc").cast("string").alias("doc"), "text")
+    sections = {"markdown": markdown, "text": plain_text, "pdf": paged_text, "conversation": conversations, "code": lambda d: code(d, language)}[kind](own)
+    ident = lambda *parts: F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
+    chunks = chunk(sections, kind, chunker).withColumn("id", ident(F.lit("Chunk"), "doc", F.col("idx").cast("string"), "text"))
+    found = entities(chunks.select(F.col("id").alias("doc"), "text"))
+    of = chunks.select(F.col("id").alias("chunk"), F.col("doc").alias("of"))
+    mentions = found.join(of, found["doc"] == of["chunk"]).select(F.col("of").alias("doc"), "chunk", "kind", "text", "ordinal", F.lower(F.trim("text")).alias("name"))
+    named = canonical_entities(mentions).withColumn("id", ident(F.lit("Entity"), "doc", "kind", "name"))
+    documents = own.select(ident(F.lit("Doc"), "doc", content_hash(F.col("text"))).alias("id"), "doc", short_summary(F.col("text")).alias("summary"))
+    belongs = chunks.join(documents.select("doc", F.col("id").alias("dst")), "doc").select(F.lit("chunk_of").alias("etype"), F.col("id").alias("src"), "dst")
+    mentioned = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("dst")), ["doc", "kind", "name"]).select(F.lit("chunk_mentions").alias("etype"), F.col("chunk").alias("src"), "dst").distinct()
+    related = relations(found, chunks.select(F.col("id").alias("doc"), "text"))
+    end = mentions.join(named.select("doc", "kind", "name", F.col("id").alias("entity")), ["doc", "kind", "name"]).select("chunk", "ordinal", "entity")
+    ends = [end.select(F.col("chunk").alias("doc"), F.col("ordinal").alias(k), F.col("entity").alias(v)) for k, v in (("subject", "src"), ("object", "dst"))]
+    linked = related.join(ends[0], ["doc", "subject"]).join(ends[1], ["doc", "object"]).where("src <> dst").select(F.col("kind").alias("etype"), "src", "dst").distinct()
+    return {"documents": documents, "chunks": chunks, "entities": named, "edges": belongs.unionByName(mentioned).unionByName(linked)}

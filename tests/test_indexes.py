@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import history, neighbours, order, postings, rank, vector_index, versions
+from loomgraph.operators import analytics, history, label_index, neighbours, order, postings, rank, vector_index, versions
 from loomgraph.plans.retrieve import Retriever
 from loomgraph.sources.graph import Graph
 
@@ -199,3 +199,68 @@ def test_orders(spark):
     assert {r.k: r.recent for r in order.recent(df, "k", 10).collect()} == {k: min(k + 1, 10) for k in range(101)}
     for f in (order.numbered, lambda d, o: order.with_next(d, o, of=F.col("v")), lambda d, o: order.running_sum(d, o, of=F.col("v"))):
         assert f(df.limit(0), "k").collect() == []
+
+
+# --- communities ----------------------------------------------------------------------------------------------
+
+
+def planted(groups, size, inside, across, seed=1):
+    rng = np.random.default_rng(seed)
+    n = groups * size
+    a, b = np.triu_indices(n, 1)
+    on = rng.random(len(a)) < np.where(a // size == b // size, inside, across)
+    return [(f"n{x:04d}", f"n{y:04d}", 1.0) for x, y in zip(a[on], b[on])]
+
+
+def test_spread_communities_reach_the_modularity(spark):
+    edges = planted(5, 20, 0.4, 0.02)
+    g = spark.createDataFrame(edges, "a string, b string, weight double").coalesce(1).cache()
+    quality = lambda c: analytics.modularity(g, c).first()[0]
+    spread = analytics.spread_communities(g, turns=6, gather=200).cache()  # the first level is of joins, the next one is gathered
+    rows = {r.id: r.community for r in spread.collect()}
+    assert quality(spread) >= 0.98 * quality(analytics.communities(g))
+    least = {}
+    for i, c in sorted(rows.items()):
+        least.setdefault(c, i)
+    assert [c for c, _ in sorted(least.items(), key=lambda x: x[1])] == list(range(len(least)))
+    near: dict = {}
+    for x, y, _ in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    for c in least:  # each is connected
+        members = {i for i in rows if rows[i] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x] & members
+        assert seen == members
+
+
+def test_spread_communities_edges(spark):
+    kinds = "a string, b string, weight double"
+    assert analytics.spread_communities(spark.createDataFrame([], kinds)).collect() == []
+    g = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 2.0), ("e", "f", 0.0), ("a", "a", 5.0)], kinds)
+    for gather in (0, 100):
+        assert {r.id: r.community for r in analytics.spread_communities(g, turns=3, gather=gather).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1}
+
+
+# --- labels ---------------------------------------------------------------------------------------------------
+
+
+def test_a_commit_rewrites_the_labels_it_touches(spark, tmp_path):
+    kinds, path = "id string, ntype string, summary string", str(tmp_path / "nodes")
+    rows = {("A", f"a{i}"): "old" for i in range(20)} | {("B", f"b{i}"): "old" for i in range(20)} | {("C", "c0"): "old", ("B", "a1"): "other"}
+    frame = lambda d: spark.createDataFrame([(i, t, x) for (t, i), x in d.items()], kinds)
+    label_index.build(frame(rows), path)
+    names = lambda t: {p.name for p in (tmp_path / "nodes" / f"ntype={t}").glob("*.parquet")}
+    before = {t: names(t) for t in "ABC"}
+    added, removed = {("A", "a1"): "new", ("D", "d0"): "new"}, [("A", "a2"), ("C", "c0")]
+    assert label_index.append(spark, path, frame(added), spark.createDataFrame([(i, t) for t, i in removed], "id string, ntype string")) == ["A", "C", "D"]
+    want = {k: v for k, v in (rows | added).items() if k not in removed}
+    assert {(r.ntype, r.id): r.summary for r in label_index.read(spark, path).collect()} == want
+    assert names("B") == before["B"] and not names("A") & before["A"] and not names("C")
+    assert label_index.read(spark, path, "D").count() == 1
+    none = frame({("X", "x"): ""}).limit(0)
+    assert label_index.append(spark, path, none, none.select("id", "ntype")) == [] and label_index.read(spark, path).count() == len(want)
