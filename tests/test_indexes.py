@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, history, label_index, neighbours, order, postings, rank, vector_index, versions
-from loomgraph.plans.retrieve import Retriever
+from loomgraph.operators import analytics, chunk, history, label_index, neighbours, order, postings, rank, vector_index, versions
+from loomgraph.plans.retrieve import GraphExpand, RetrievalEmpty, Retriever, checked
 from loomgraph.sources.graph import Graph
 
 
@@ -264,3 +264,19 @@ def test_a_commit_rewrites_the_labels_it_touches(spark, tmp_path):
     assert label_index.read(spark, path, "D").count() == 1
     none = frame({("X", "x"): ""}).limit(0)
     assert label_index.append(spark, path, none, none.select("id", "ntype")) == [] and label_index.read(spark, path).count() == len(want)
+
+
+# --- requests -------------------------------------------------------------------------------------------------
+
+
+def test_refused_requests_and_warnings(spark):
+    nodes = spark.createDataFrame([("a", "Nation", "x")], "id string, ntype string, summary string")
+    g = Graph(nodes, nodes)
+    with pytest.raises(ValueError):
+        checked("limit", 1001)
+    with pytest.raises(RetrievalEmpty):
+        Retriever(g).fused()
+    with pytest.raises(ValueError):
+        chunk.chunk(nodes, "text", "none")
+    assert checked("limit", 1000) == 1000
+    assert Retriever(g, label="Nation", expansion=GraphExpand(mode="pagerank")).warnings() == ["pagerank_without_adjacency", "no_ranker"]
