@@ -44,7 +44,7 @@ class Postings:
         return self._read("lists", slots).select("node_id", "slot", "weight")
 
     def search(self, query: DataFrame, k: int) -> DataFrame:
-        """(id, score): the k best sums of weight times query weight over (slot, weight); weights are 0 or more."""
+        """(id, score): the k best sums of weight times query weight over (slot, weight); weights are 0 or more. Scores tie by rank.DIGITS."""
         asked = query.where("weight > 0").groupBy("slot").agg(F.sum("weight").alias("q"))
         some = asked.limit(QUERY_SLOTS + 1).collect()
         few = len(some) <= QUERY_SLOTS
@@ -56,17 +56,18 @@ class Postings:
         bounds = self._read("bounds", slots).join(terms, "slot").withColumn("most", F.col("most") * F.col("q"))
         lists = self._read("lists", slots).join(terms, "slot")
         first = last(sums(lists.where("head")))
-        bound = (first["least"] if first["n"] == k else 0.0) * (1 - SLACK)
+        # scores that round alike tie, so one a little below the least of the best may come before it
+        bound = (first["least"] if first["n"] == k else 0.0) * (1 - SLACK) - 10.0**-rank.DIGITS
         unread = bounds.where(F.col("most") < F.lit(bound / m))
         if bound <= 0 or not unread.take(1):
-            return rank.top(sums(lists), k)
+            return rank.top(sums(lists), k, rank.DIGITS)
         rests = F.broadcast(unread.groupBy("slot").agg(F.max("most").alias("rest"))) if few else unread.groupBy("slot").agg(F.max("most").alias("rest"))
         rest = unread.groupBy("slot").agg(F.max("most").alias("rest")).agg(F.sum("rest")).first()[0]
         read = lists.where(F.col("block_most") * F.col("q") >= F.lit(bound / m)).join(rests, "slot", "left")
         met = read.groupBy(F.col("node_id").alias("id")).agg(F.sum(F.col("weight") * F.col("q")).alias("score"), F.sum(F.coalesce("rest", F.lit(0.0))).alias("seen"))
         able = met.where(F.col("score") + F.lit(rest) - F.col("seen") >= F.lit(bound))
         more = lists.where(F.col("block_most") * F.col("q") < F.lit(bound / m)).join(able.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-        return rank.top(sums(more).unionByName(able.select("id", "score")).groupBy("id").agg(F.sum("score").alias("score")), k)
+        return rank.top(sums(more).unionByName(able.select("id", "score")).groupBy("id").agg(F.sum("score").alias("score")), k, rank.DIGITS)
 
 
 def build(vectors: DataFrame, path: str, stamp: str) -> Postings:

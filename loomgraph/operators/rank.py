@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from .order import numbered
 
 
-def top(lane: DataFrame, k: int) -> DataFrame:
-    """The k best; NaN scores are left out, for Spark holds them to be the largest."""
-    return lane.where(~F.isnan("score")).orderBy(F.col("score").desc(), "id").limit(k)
+#: Sums of the same products in another order differ in later digits; sparse lanes hold scores equal to this one to be ties.
+DIGITS = 9
+
+
+def top(lane: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The k best; NaN scores are left out, for Spark holds them to be the largest. digits: scores that round alike tie."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    return lane.where(~F.isnan("score")).orderBy(score.desc(), "id").limit(k)
 
 
 def dense(embeddings: DataFrame, query: list[float], k: int, model: str | None = None, hidden: DataFrame | None = None) -> DataFrame:
@@ -53,9 +58,9 @@ def scored(query: list[float], k: int):
 
 
 def sparse(postings: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """Sum over shared slots of document weight times query weight; query: (slot, weight), a bounded number of terms."""
+    """Sum over shared slots of document weight times query weight; query: (slot, weight), a bounded number of terms. Scores tie by DIGITS."""
     terms = F.broadcast(query.select("slot", F.col("weight").alias("q")))
-    return top(postings.join(terms, "slot").groupBy(F.col("node_id").alias("id")).agg(F.sum(F.col("weight") * F.col("q")).alias("score")), k)
+    return top(postings.join(terms, "slot").groupBy(F.col("node_id").alias("id")).agg(F.sum(F.col("weight") * F.col("q")).alias("score")), k, DIGITS)
 
 
 def _lanes(lanes: list[tuple[DataFrame, float]]) -> DataFrame | None:

@@ -109,6 +109,14 @@ def test_stored_postings_give_the_exact_best(spark, tmp_path, monkeypatch):
     assert postings.opened(lambda: v.limit(7), str(tmp_path), "b", spark).of().count() == 7 and postings.load(spark, str(tmp_path), "a") is None
 
 
+def test_sparse_scores_that_round_alike_are_ties(spark, tmp_path):
+    rows = [("a", 1, 0.3), ("b", 2, 0.1), ("b", 3, 0.2), ("c", 1, 0.05)]  # 0.1 + 0.2 is above 0.3 in doubles
+    v = spark.createDataFrame(rows, "node_id string, slot int, weight double")
+    q = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "slot int, weight double")
+    for lane in (rank.sparse(v, q, 1), postings.opened(lambda: v, str(tmp_path), "a", spark).search(q, 1)):
+        assert [r.id for r in lane.collect()] == ["a"]
+
+
 def test_postings_of_a_query_open_its_folders(spark, tmp_path):
     v = spark.createDataFrame([("n", s, 1.0) for s in range(100)], "node_id string, slot int, weight double")
     p = postings.opened(lambda: v, str(tmp_path), "a", spark)
