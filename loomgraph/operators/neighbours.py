@@ -41,12 +41,15 @@ def _keys(dim: int, bits: int, orders: int, seed: int):
 
 
 def _met(k: int):
-    """For mapInArrow over sorted (id, v): (src, dst, weight) of the k best of each row within its run."""
+    """For mapInArrow over sorted (order, id, v): (src, dst, weight) of the k best of each row within its run. A partition may hold the
+    end of one order and the begin of the next one: a run is of one order, so a vector stands in it once."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, RUN):
-                part = b.slice(at, RUN)
+            order = b.column("order").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(order[1:] != order[:-1]) + 1, [b.num_rows])).tolist()
+            for at, end in ((at, min(at + RUN, end)) for begin, end in zip(cuts[:-1], cuts[1:]) for at in range(begin, end, RUN)):
+                part = b.slice(at, end - at)
                 m = _matrix(part.column("v"))
                 s = m @ m.T
                 np.fill_diagonal(s, -np.inf)
@@ -121,7 +124,7 @@ def descend(embeddings: DataFrame, k: int, rounds: int = 12, change: float = 0.0
         return own.sparkSession.createDataFrame([], out)
     bits = min(62, max(1, math.ceil(math.log2(max(2, n / RUN)))))
     runs = own.mapInArrow(_keys(first["dim"], bits, ORDERS, seed), f"id {kind}, v array<double>, order int, key long, along double")
-    runs = runs.repartitionByRange("order", "key", "along").sortWithinPartitions("order", "key", "along").select("id", "v")
+    runs = runs.repartitionByRange("order", "key", "along").sortWithinPartitions("order", "key", "along").select("order", "id", "v")
     keep = max(k, 10)  # short lists descend badly
     lists = cut(_best(runs.mapInArrow(_met(keep), out).distinct(), keep).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):

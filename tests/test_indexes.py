@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,14 @@ def test_neighbour_descent_edges(spark):
     assert neighbours.descend(spark.createDataFrame([], kinds), 3).collect() == []
 
 
+def test_a_run_of_neighbours_is_of_one_order():
+    unit = np.eye(3)
+    rows = [(0, "a", 0), (0, "b", 1), (1, "a", 0), (1, "c", 2)]  # a partition with the end of one order and the begin of the next
+    b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([unit[r[2]].tolist() for r in rows])], names=["order", "id", "v"])
+    got = {(e["src"], e["dst"]) for out in neighbours._met(3)([b]) for e in out.to_pylist()}
+    assert got == {("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")}
+
+
 # --- history --------------------------------------------------------------------------------------------------
 
 
