@@ -158,8 +158,8 @@ def merged_refs(base: DataFrame, heads: list[DataFrame]) -> DataFrame:
 # --- history --------------------------------------------------------------------------------------------------
 
 
-#: Histories of up to so many parent links are walked by one task for each head, which holds them all; longer ones generation by generation.
-WALK_LINKS = 200_000
+#: Histories of up to so many parent links are walked by one task for each head, which holds them all; longer ones as history.py says.
+WALK_LINKS = 50_000
 
 
 def walked(links: list, most: int):
@@ -184,10 +184,10 @@ def walked(links: list, most: int):
 def ancestors(commits: DataFrame, heads: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(head, cid, depth) of everything that the heads (head, cid) come from, themselves at depth 0; depth is the shortest.
 
-    A walk for each head where there are few links; otherwise one over the segments of the history."""
-    parents = cut(commits.select("cid", F.explode("parents").alias("parent")))
-    links = parents.limit(WALK_LINKS + 1).collect()
-    if len(links) <= WALK_LINKS:
+    A walk for each head where there are few links; otherwise by clusters along the commits' time (their cid, if they have none)."""
+    parents = commits.select("cid", F.explode("parents").alias("parent"))
+    if parents.limit(WALK_LINKS + 1).count() <= WALK_LINKS:
+        links = parents.collect()
         kinds = {f.name: f.dataType.simpleString() for f in heads.schema.fields}
         return heads.select("head", "cid").groupBy("head").applyInPandas(walked([tuple(x) for x in links], most), f"head {kinds['head']}, cid {kinds['cid']}, depth int")
     return history.reached(commits, heads).where(F.col("depth") < most)
@@ -236,6 +236,8 @@ def at(versions: DataFrame, commit: str) -> DataFrame:
 def unreachable(blocks: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """Blocks (cid) that no root (cid) leads to over links (cid, parent)."""
     as_commits = links.groupBy("cid").agg(F.collect_list("parent").alias("parents"))
+    if "time" in blocks.columns:
+        as_commits = as_commits.join(blocks.groupBy("cid").agg(F.min("time").alias("time")), "cid", "left")
     reach = ancestors(as_commits, roots.select(F.col("cid").alias("head"), "cid"))
     return blocks.select("cid").join(reach.select("cid").distinct(), "cid", "left_anti")
 

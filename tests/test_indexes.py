@@ -182,6 +182,30 @@ def test_reached_over_segments(spark, monkeypatch, walked):
     assert {(r.head, r.cid): r.depth for r in history.reached(commits, heads).collect()} == want
 
 
+@pytest.mark.parametrize("share", [10**6, -1])  # by clusters of clusters; by segments
+def test_reached_by_clusters(spark, monkeypatch, share):
+    for name, value in {"WALK_LINKS": 4, "CLUSTER": 8, "HEADS": 2, "CORE_SHARE": share, "ENTRIES": 10**6}.items():
+        monkeypatch.setattr(history, name, value)
+    name = lambda k: f"k{k:03d}"
+    up = {k: [p for p in (k - 1, k - 10) if p >= 0 and (p == k - 1 or k % 5 == 0)] for k in range(30)} | {30: [14, 99]}  # 99 is no commit
+    commits = spark.createDataFrame([(name(k), [name(p) for p in ps], k) for k, ps in up.items()], "cid string, parents array<string>, time long")
+    heads = {"a": 29, "b": 21, "c": 30, "d": 77}
+    want = set()
+    for head, at in heads.items():
+        depth, now, k = {at: 0}, [at], 0
+        while now:
+            k += 1
+            now = [p for p in {p for x in now for p in up.get(x, ())} if p not in depth]
+            depth.update(dict.fromkeys(now, k))
+        want |= {(head, name(c), d) for c, d in depth.items()}
+    joins = []
+    plain = history._by_joins
+    monkeypatch.setattr(history, "_by_joins", lambda *x: joins.append(1) or plain(*x))
+    asked = spark.createDataFrame([(h, name(k)) for h, k in heads.items()], "head string, cid string")
+    assert {(r.head, r.cid, r.depth) for r in history.reached(commits, asked).collect()} == want
+    assert bool(joins) == (share != 10**6)
+
+
 def test_a_long_chain_is_one_segment(spark, monkeypatch):
     monkeypatch.setattr(versions, "WALK_LINKS", 10)
     n, k = 100_000, F.col("id")
