@@ -28,6 +28,7 @@ def undirected(adjacency: DataFrame) -> DataFrame:
 
 def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """One row, modularity: sum over communities of e / 2m - (a / 2m)^2."""
+    pairs = cut(pairs)  # read three times
     ends = pairs.select(F.col("a").alias("id"), "weight").unionAll(pairs.select("b", "weight"))
     total = ends.agg(F.sum("weight").alias("m2"))
     a = ends.join(membership, "id").groupBy("community").agg(F.sum("weight").alias("a"))
@@ -105,6 +106,7 @@ def communities(pairs: DataFrame, rounds: int = 8, most_edges: int = COMMUNITY_E
 
     Moves depend on their order, so the edges (a, b, weight) meet in one worker; above most_edges that is refused and
     spread_communities is the way to go. Communities are numbered by their least node."""
+    pairs = cut(pairs)
     if pairs.limit(most_edges + 1).count() > most_edges:
         raise ValueError(f"more than {most_edges} edges; use spread_communities")
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,34 +139,110 @@ def expand_community(candidates: DataFrame, membership: DataFrame, seeds: int =
     return ranked.unionByName(added)
 
 
-def knn(embeddings: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
+#: Rows of a tile of products, and bytes of vectors that a block holds in memory.
+TILE, BLOCK_BYTES = 2048, 32_000_000
+#: Tasks of a comparison, if there are fewer blocks.
+TASKS = 64
+
+
+class _Block:
+    """Vectors of a block (ids, rows of x) and of each the k best that it has met."""
+
+    def __init__(self, ids: list, x: np.ndarray, k: int, metric: str):
+        self.ids, self.k, self.metric = np.array(ids, object), k, metric
+        self.x, self.worst = self.ready(x), np.full(len(ids), -np.inf)
+        self.best = pd.DataFrame({"row": np.array([], np.int64), "s": np.array([], np.float64), "dst": np.array([], object)})
+        self.at: dict = {}
+        for i, name in enumerate(ids):
+            self.at.setdefault(name, []).append(i)
+
+    def ready(self, x: np.ndarray) -> np.ndarray:
+        return x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1) if self.metric == "cosine" else x
+
+    def meet(self, ids: list, y: np.ndarray) -> None:
+        y, others, found = self.ready(y), np.array(ids, object), []
+        own = np.array([(i, j) for j, name in enumerate(ids) for i in self.at.get(name, ())], np.int64).reshape(-1, 2)
+        for a in range(0, len(self.x), TILE):
+            x = self.x[a : a + TILE]
+            s = x @ y.T
+            if self.metric == "l2":
+                s = 1 / (1 + np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * s, 0)))
+            mine = own[(own[:, 0] >= a) & (own[:, 0] < a + TILE)]
+            s[mine[:, 0] - a, mine[:, 1]] = -np.inf
+            s[~np.isfinite(s)] = -np.inf
+            least = self.worst[a : a + TILE]
+            if s.shape[1] > self.k and not np.isfinite(least).all():  # nothing to compare with yet
+                least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])
+            i, j = np.nonzero((s >= least[:, None] - 1e-11) & (s > -np.inf))  # scores tie when they round alike at 12 digits
+            found.append(pd.DataFrame({"row": i + a, "s": s[i, j], "dst": others[j]}))
+        new = pd.concat(found)
+        if len(new):
+            touched = self.best["row"].isin(new["row"].unique())
+            t = pd.concat([self.best[touched], new])
+            t = t.assign(r=-np.round(t["s"], 12)).sort_values(["row", "r", "dst"], kind="stable")
+            t = t[t.groupby("row").cumcount() < self.k].drop(columns="r")
+            full = t.groupby("row")["s"].agg(["size", "min"])
+            full = full[full["size"] == self.k]
+            self.worst[full.index] = full["min"]
+            self.best = pd.concat([self.best[~touched], t], ignore_index=True)
+
+    def edges(self) -> pa.RecordBatch:
+        kept = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[kept["row"]].tolist()), pa.array(kept["dst"].tolist()), pa.array(kept["s"].to_numpy())], names=["src", "dst", "weight"])
+
+
+def _compared(k: int, metric: str):
+    """For mapInArrow over (task, side, id, v) sorted by task and side: (src, dst, weight) of the k best that each vector of side 0 has
+    among those of side 1 of its task. Side 0 is held, side 1 passes by."""
+
+    def run(batches):
+        task, ids, held, block = None, [], [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("task").to_numpy() * 2 + b.column("side").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                if key[begin] // 2 != task:
+                    if block is not None and len(block.best):
+                        yield block.edges()
+                    task, ids, held, block = key[begin] // 2, [], [], None
+                part = b.slice(begin, end - begin)
+                name, column = part.column("id").to_pylist(), part.column("v")
+                x = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+                if key[begin] % 2 == 0:
+                    ids += name
+                    held.append(x)
+                elif ids:
+                    block = block or _Block(ids, np.concatenate(held), k, metric)
+                    for at in range(0, len(name), TILE):
+                        block.meet(name[at : at + TILE], x[at : at + TILE])
+        if block is not None and len(block.best):
+            yield block.edges()
+
+    return run
+
+
+def knn(embeddings: DataFrame, k: int, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(src, dst, weight): of each vector the k nearest others, ties to the smaller id.
 
-    All pairs, exactly, by blocks: each pair of blocks is one numpy product whose k best per row leave the task, so nothing of the
-    size of the pairs is ever written. cosine expects vectors of any length and normalises them."""
-    own = embeddings.select(F.col("node_id").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-own.count() // block))
-    placed = cut(own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
-    sides = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.select(F.col("block").alias("bi"), sides.alias("bj"), F.lit(0).alias("side"), "id", "v")
-    right = placed.select(sides.alias("bi"), F.col("block").alias("bj"), F.lit(1).alias("side"), "id", "v")
-
-    def best(t: pd.DataFrame) -> pd.DataFrame:
-        a, b = (t[t["side"] == s].sort_values("id") for s in (0, 1))
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "weight": []}).astype({"src": str, "dst": str, "weight": float})
-        x, y = (np.array(s["v"].tolist(), np.float64) for s in (a, b))
-        if metric == "cosine":
-            x, y = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) for m in (x, y))
-        s = x @ y.T if metric != "l2" else 1 / (1 + np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)))
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        s[ids[:, None] == others[None, :]] = -np.inf
-        order = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        out = pd.DataFrame({"src": ids[rows], "dst": others[order.ravel()], "weight": s[rows, order.ravel()]})
-        return out[np.isfinite(out["weight"])]
-
-    near = left.unionByName(right).groupBy("bi", "bj").applyInPandas(best, "src string, dst string, weight double")
+    All pairs, exactly: a task holds a block of vectors, as many as BLOCK_BYTES allow (or `block`), and a stripe of the others passes by; only
+    the k best per row leave it. Vectors are sent as they are given, once for each block and stripe, so what is sent grows with the
+    square of their number, slowly. cosine expects vectors of any length and normalises them."""
+    own = embeddings.where("vector is not null").select(F.col("node_id").alias("id"), F.col("vector").alias("v"))
+    kind = own.schema["id"].dataType.simpleString()
+    n, dim = own.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    size = block or max(TILE, BLOCK_BYTES // (8 * max(1, dim or 1)))
+    tasks = max(1, min(TASKS, (n // TILE + 1) ** 2))
+    blocks = max(1, -(-n // size), math.isqrt(tasks))
+    stripes = -(-tasks // blocks)
+    place = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = own.select(place(blocks, 1).alias("bi"), each(stripes).alias("bj"), F.lit(0).alias("side"), "id", "v")
+    right = own.select(each(blocks).alias("bi"), place(stripes, 2).alias("bj"), F.lit(1).alias("side"), "id", "v")
+    both = left.unionByName(right).select((F.col("bi") * stripes + F.col("bj")).cast("int").alias("task"), "side", "id", "v")
+    both = both.repartition(blocks * stripes, "task").sortWithinPartitions("task", "side")
+    near = both.mapInArrow(_compared(k, metric), f"src {kind}, dst {kind}, weight double")
     rank = F.row_number().over(W.partitionBy("src").orderBy(F.round("weight", 12).desc(), "dst"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "weight")
 

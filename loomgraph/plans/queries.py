@@ -11,6 +11,7 @@ from ..operators import query as q
 from ..sources import readers
 from ..sources.graph import Graph, anchor_node, edges, label_nodes, node_id, sparse_vectors, tpch_graph
 from ..streaming import state
+from .lineage import cut
 from .retrieve import GraphExpand, Retriever, multi_query
 
 QUERIES: dict = {}
@@ -459,7 +460,10 @@ def modularity(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    return analytics.communities(analytics.undirected(expand.knn(graph(spark, sf_dir).embeddings, 5).where("weight > 0")))
+    """One node after another in one worker while the edges are few enough for it, else by joins."""
+    pairs = cut(analytics.undirected(expand.knn(graph(spark, sf_dir).embeddings, 5).where("weight > 0")))
+    few = pairs.count() <= analytics.COMMUNITY_EDGES
+    return analytics.communities(pairs) if few else analytics.spread_communities(pairs)
 
 
 def _labels_sql(rounds: int) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, chunk, history, label_index, neighbours, order, postings, rank, vector_index, versions
+from loomgraph.operators import analytics, chunk, expand, history, label_index, neighbours, order, postings, rank, vector_index, versions
 from loomgraph.plans.retrieve import GraphExpand, RetrievalEmpty, Retriever, checked
 from loomgraph.sources.graph import Graph
 
@@ -161,6 +161,25 @@ def test_a_run_of_neighbours_is_of_one_order():
     assert got == {("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_knn_in_blocks_and_stripes(spark, monkeypatch, metric):
+    monkeypatch.setattr(expand, "TILE", 7)
+    m = np.random.default_rng(5).standard_normal((60, 4)).astype(np.float32)
+    m[40:50] = m[:10]  # ties
+    m[59] = 0
+    rows = [(f"v{i:02d}", x.tolist()) for i, x in enumerate(m)]
+    df = spark.createDataFrame([*rows, ("w", None), ("x", [1.0, None, 0.0, 0.0])], "node_id string, vector array<float>")
+    y = m.astype(float)
+    if metric == "cosine":
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        s = y @ y.T
+    else:
+        s = 1 / (1 + np.linalg.norm(y[:, None] - y[None], axis=2))
+    np.fill_diagonal(s, -9)
+    order = np.argsort(-np.round(s, 7), 1, kind="stable")[:, :3]
+    assert {(r.src, r.dst) for r in expand.knn(df, 3, metric, block=25).collect()} == {(f"v{i:02d}", f"v{j:02d}") for i in range(60) for j in order[i]}
+
+
 # --- history --------------------------------------------------------------------------------------------------
 
 
