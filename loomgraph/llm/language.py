@@ -68,20 +68,28 @@ class CodedClassifier:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> CodedClassifier:
         """Ridge regression on +-1 for each bit, rows weighted so that languages count alike."""
+        return self.fit_inplace(np.hstack([x, np.ones((len(x), 1))]), y)
+
+    def fit_inplace(self, a: np.ndarray, y: np.ndarray) -> CodedClassifier:
+        """fit of features whose last column is 1; they are scaled where they stand, since the driver holds no copy of them."""
         weight = 1.0 / np.maximum(np.bincount(y, minlength=len(self.languages)), 1)[y]
         weight *= len(y) / weight.sum()
-        a = np.hstack([x, np.ones((len(x), 1))]) * np.sqrt(weight)[:, None]
+        a *= np.sqrt(weight)[:, None]
         t = self.code[y] * np.sqrt(weight)[:, None]
         if len(a) < a.shape[1]:  # the dual form is the smaller system
-            self.w = a.T @ np.linalg.solve(a @ a.T + self.ridge * np.eye(len(a)), t)
+            self.w = a.T @ np.linalg.solve(self.ridged(a @ a.T), t)
         else:
-            self.w = np.linalg.solve(a.T @ a + self.ridge * np.eye(a.shape[1]), a.T @ t)
-        wrong = (np.sign(self.margins(x)) != self.code[y]) * weight[:, None]
+            self.w = np.linalg.solve(self.ridged(a.T @ a), a.T @ t)
+        wrong = (np.sign(a @ self.w) != self.code[y]) * weight[:, None]
         error = np.clip(wrong.mean(0), 1e-3, 0.499)
         self.trust = np.log((1 - error) / error)
         self.trust /= self.trust.sum()
         return self
 
+    def ridged(self, gram: np.ndarray) -> np.ndarray:
+        gram[np.diag_indices(len(gram))] += self.ridge
+        return gram
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w[:-1] + self.w[-1]
 
@@ -106,8 +114,16 @@ def train(labelled: DataFrame, per_language: int = 600, max_bytes: int = 20_000)
     if not len(rows):
         return None
     languages = sorted(rows["lang"].unique())
-    x = np.vstack([features(o, d) for _, o, d in steps(pa.array(rows["text"], pa.string()))])
-    return CodedClassifier(languages).fit(x, rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy())
+    y = rows["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
+    texts = pa.array(rows["text"], pa.string())
+    del rows
+    x, at = np.ones((len(texts), FEATURES + 1)), 0
+    for _, offsets, data in steps(texts):
+        for i in range(0, len(offsets) - 1, 256):  # each call takes some arrays of its rows' size
+            o = offsets[i : i + 257]
+            x[at : at + len(o) - 1, :FEATURES] = features(o - o[0], data[o[0] : o[-1]])
+            at += len(o) - 1
+    return CodedClassifier(languages).fit_inplace(x, y)
 
 
 def predicted(model: CodedClassifier | None, ambiguous: float):

@@ -13,6 +13,7 @@ from pyspark.sql.functions import lit
 
 from loomgraph.llm import divergence, fingerprints, packing, pii, queries, repeats, search
 from loomgraph.llm.jaccard import jaccard_join
+from loomgraph.llm.language import CodedClassifier
 from loomgraph.llm.vectors import embedding_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -372,3 +373,17 @@ def test_repeated_shingles_stand_where_they_stand(spark):
         found[r.doc_id][r.start_word : r.end_word - 4] = True
     assert {i for i in texts if cover[i].any()} == {100, 101}
     assert all((found[i] == cover[i]).all() for i in texts)
+
+
+def test_training_holds_its_features_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    y = np.arange(600) % 3
+    a = np.hstack([rng.random((600, 4096)) + (np.arange(4096) % 3 == y[:, None]), np.ones((600, 1))])
+    x = a[:, :-1].copy()
+    tracemalloc.start()
+    model = CodedClassifier(["a", "b", "c"]).fit_inplace(a, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < a.nbytes and (model.decode(x)[0] == y).all()
