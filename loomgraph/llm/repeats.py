@@ -33,6 +33,10 @@ BLOCK = 16_384
 ROUNDS, SHARE = 8, 300_000
 #: Places of shingles that are tried at once.
 EVENTS = 1 << 20
+#: Of stretches that follow one another, one in so many is counted first; a power of two.
+STRIDE = 8
+#: Places for signs of the shingles of a crowded key's row.
+SIGNS = 1024
 _FAR = 1 << 40
 _RADIX = 0x9E3779B97F4A7C15
 
@@ -321,23 +325,43 @@ def _stretches(mark, many, there, piece, width, need, places):
         ok.append(at[hit.any(1)])
     rest = near[several]
     if len(rest):
-        straight = _straight(mark, many, there, piece, width, need, *places)[rest]
+        # neither way has more than the shingles of a stretch that the other side has as often
+        rest = rest[_at_most(mark, piece, width, *places[:3])[rest] >= need]
+        straight = _straight(rest, mark, many, there, piece, width, need, *places)
         ok.append(rest[straight])
         rest = rest[~straight]
-        ok.append(rest[_anywhere(rest, mark, width, need, *places[:-1])])
+        ok.append(rest[_anywhere(rest, mark, piece, width, need, *places[:-1])])
     return np.concatenate(ok)
 
 
-def _straight(mark, many, there, piece, width, need, group, begin, count, place, own):
-    """Which stretches have `need` shingles on the other side at one distance from their own places: found without trying all."""
+def _at_most(mark, piece, width, group, begin, count):
+    """Of each stretch how many of its shingles the whole other side has, each counted as often as it stands there."""
+    at = np.flatnonzero(mark)
+    order = at[np.argsort(group[at], kind="stable")]  # of each shingle its places on this side, ascending
+    n, g = len(mark), group[order]
+    later = np.arange(len(order)) + count[g]
+    # in a stretch that reaches the place so many occurrences later, this one is one too many
+    same = later < len(order)
+    same[same] = (g[later[same]] == g[same]) & (piece[order[later[same]]] == piece[order[same]])
+    end = order + 1
+    end[same] = np.minimum(end[same], order[later[same]] - width + 1)
+    first = np.maximum(order - width + 1, 0)
+    keep = end > first
+    edge = np.bincount(first[keep], minlength=n + 1) - np.bincount(end[keep], minlength=n + 1)
+    return np.cumsum(edge)[: max(0, n - width + 1)]
+
+
+def _straight(starts, mark, many, there, piece, width, need, group, begin, count, place, own):
+    """Which of the stretches from these starts have `need` shingles on the other side at one distance from their own places: found without
+    trying all."""
     sure = np.flatnonzero(mark & ~many)
-    out = np.zeros(max(0, len(mark) - width + 1), bool)
-    if not len(sure):
-        return out
+    if not len(sure) or not len(starts):
+        return np.zeros(len(starts), bool)
     last = np.maximum(np.searchsorted(sure, np.arange(len(mark)), "right") - 1, 0)
     shift = (there - own)[sure[last]]  # as the last shingle that stands once on both sides
     steady = np.concatenate(([0], np.cumsum((np.diff(shift) != 0) | (np.diff(piece) != 0))))
-    at = own + shift
+    asked = np.flatnonzero(mark & covered(starts, len(mark), width))
+    at, group = (own + shift)[asked], group[asked]
     low, high = begin[group], begin[group] + count[group]
     end = high.copy()
     while (low < high).any():  # bisection of each shingle's places
@@ -345,18 +369,42 @@ def _straight(mark, many, there, piece, width, need, group, begin, count, place,
         right = (low < high) & (place[np.minimum(mid, len(place) - 1)] < at)
         high = np.where((low < high) & ~right, mid, high)
         low = np.where(right, mid + 1, low)
-    met = mark & (low < end) & (place[np.minimum(low, len(place) - 1)] == at)
-    total = np.concatenate(([0], np.cumsum(met)))
-    return (total[width:] - total[:-width] >= need) & (steady[: len(out)] == steady[width - 1 :])
+    met = np.zeros(len(mark) + 1, np.int64)
+    met[asked[(low < end) & (place[np.minimum(low, len(place) - 1)] == at)] + 1] = 1
+    total = np.cumsum(met)
+    return (total[starts + width] - total[starts] >= need) & (steady[starts] == steady[starts + width - 1])
 
 
-def _anywhere(at, mark, width, need, group, begin, count, place):
+def _anywhere(at, mark, piece, width, need, group, begin, count, place):
     """Which stretches have `need` shingles within one stretch of the other side, if each may stand at any of its places there.
 
+    A stretch that starts a place later has one more or one fewer at most, so a stretch that has many more or fewer than `need` decides
+    those around it as well: every STRIDE-th of a run is counted first, and what is still open at half the distance, to every one."""
+    known = np.zeros(len(at), np.int8)  # 1 or -1 where it is known
+    at_ = at + piece[at] * _FAR  # stretches of two pieces are far from each other
+    order = np.argsort(at_)
+    ranked = at_[order]
+    step = STRIDE
+    while step:
+        ask = np.flatnonzero((known[order] == 0) & (at[order] % step == 0))
+        if len(ask):
+            most = _most(at[order[ask]], mark, width, group, begin, count, place)
+            side = np.where(most >= need, 1, -1)
+            span = np.where(most >= need, most - need, need - most - 1)
+            low, high = np.searchsorted(ranked, ranked[ask] - span), np.searchsorted(ranked, ranked[ask] + span, "right")
+            flat = order[spread(low, high - low)]
+            known[flat] = np.repeat(side, high - low)
+        step //= 2
+    return known > 0
+
+
+def _most(at, mark, width, group, begin, count, place):
+    """How many shingles of each stretch stand within one stretch of the other side, if each may stand at any of its places there.
+
     group: the shingle of each place; begin, count: its places within `place`, which ascend. A shingle at x stands in the stretches
     that start from x - width + 1 to x. The starts that each shingle allows are counted, one that this stretch has n times up to n
     times, and the most allowed start decides."""
-    out = np.zeros(len(at), bool)
+    out = np.zeros(len(at), np.int64)
     size = np.concatenate(([0], np.cumsum(np.where(mark, count[group], 0))))
     size = np.cumsum(size[at + width] - size[at])
     k = 0
@@ -376,7 +424,10 @@ def _anywhere(at, mark, width, need, group, begin, count, place):
         who = np.concatenate((own, own))
         order = np.lexsort((change, when, who))  # what ends goes before what begins
         level = np.cumsum(change[order])  # 0 again after each stretch
-        out[k + who[order][level >= need]] = True
+        if len(level):
+            who = who[order]
+            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+            out[k + who[first]] = np.maximum.reduceat(level, first)
         k = end
     return out
 
@@ -521,6 +572,8 @@ class Crowd:
         self.group = np.empty(len(code), np.int64)
         self.group[self.order] = np.repeat(np.arange(len(self.at)), self.often)
         self.held = shared[self.group]
+        self.sign = np.zeros((len(self.seg), SIGNS), bool)
+        self.sign[self.row, self.group % SIGNS] = True
         total = np.concatenate(([0], np.cumsum(self.held)))
         # no passage has fewer shingles than `need` in another document
         self.starts = self.starts[total[self.starts + self.width] - total[self.starts] >= self.need]
@@ -531,9 +584,26 @@ class Crowd:
         at = self.starts
         return at[(total[at + self.width] - total[at] < self.width) & self.asks[self.row[at]]]
 
+    def likely(self, i, j):
+        """Which pairs could match, by the signs of the shingles of j: no others have a stretch of i with `need` shingles of j, in any order,
+        and without one no stretch of j has as many of i."""
+        out = np.zeros(len(i), bool)
+        for k in range(0, len(i), 6000):
+            r, other = i[k : k + 6000], j[k : k + 6000]
+            at, pair = spread(self.begin[r], self.length[r]), np.repeat(np.arange(len(r)), self.length[r])
+            total = np.concatenate(([0], np.cumsum(self.sign[other[pair], self.group[at] % SIGNS] & self.held[at])))
+            first = np.cumsum(self.length[r]) - self.length[r]
+            out[k : k + 6000] = (self.length[r] < self.width) & (total[first + self.length[r]] - total[first] >= self.need)
+            near = np.flatnonzero(total[self.width :] - total[: -self.width] >= self.need)
+            out[k + pair[near[pair[near] == pair[near + self.width - 1]]]] = True
+        return out
+
     def compare(self, i, j):
         ok = (i != j) & other_document(self.low, self.high, i, j) & ((self.home[i] != self.home[j]) | (self.home[i] < 0))
         i, j = i[ok], j[ok]
+        for x, y in ((0, 1), (1, 0)):
+            ok = self.likely((i, j)[x], (i, j)[y])
+            i, j = i[ok], j[ok]
         for k in range(0, len(i), 6000):
             x, y = i[k : k + 6000], j[k : k + 6000]
             sides, flat = [], []
@@ -646,20 +716,31 @@ def coded(batches):
 
 
 def unsettled(width: int, need: int):
-    """For mapInArrow: (group, digest) of rows (group, digest, places, spans) with a stretch that other documents could match and none covers."""
+    """For mapInArrow: (group, digest, code) of rows (group, digest, places, spans) with a stretch that other documents could match and none
+    covers: its rarest shingles. places: (place, code, often) of the shingles that two documents hold.
+
+    A match has one of any width - need + 1 shingles of the stretch, and those that no other document holds are among the others."""
+    miss = width - need + 1
+
+    def wanted(places, spans):
+        place, code, often = (np.array(c, np.int64) for c in zip(*((p["place"], p["code"], p["often"]) for p in places)))
+        n = int(place.max()) + 1
+        held, cover = np.zeros(n + width, np.int64), np.zeros(n + width, np.int64)
+        held[place] = often
+        for s in spans or ():
+            cover[s["start"] : s["end"]] = 1
+        total, done = (np.concatenate(([0], np.cumsum(v))) for v in (held > 0, cover))
+        at = np.flatnonzero((total[width:] - total[:-width] >= need) & (done[width:] - done[:-width] < width))
+        flat = at[:, None] + np.arange(width)
+        rare = np.take_along_axis(flat, np.argsort(held[flat], 1, kind="stable")[:, :miss], 1)  # those alone go first, and ask nothing
+        return np.unique(code[np.isin(place, rare[held[rare] > 0])])
 
     def run(batches):
         for b in batches:
-            keep = []
-            for places, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                n = max(places) + 1
-                held, cover = np.zeros(n + width, np.int64), np.zeros(n + width, np.int64)
-                held[places] = 1
-                for s in spans or ():
-                    cover[s["start"] : s["end"]] = 1
-                total, done = (np.concatenate(([0], np.cumsum(v))) for v in (held, cover))
-                keep.append(bool(((total[width:] - total[:-width] >= need) & (done[width:] - done[:-width] < width)).any()))
-            yield batch(group=b.column(0).filter(pa.array(keep, pa.bool_())), digest=b.column(1).filter(pa.array(keep, pa.bool_())))
+            codes = [wanted(places, spans) for places, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            if codes:
+                own = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
+                yield batch(group=b.column(0).take(own), digest=b.column(1).take(own), code=pa.array(np.concatenate(codes)))
 
     return run
 
@@ -668,22 +749,28 @@ def across(placed: DataFrame, found: DataFrame, width: int, need: int) -> DataFr
     """What rows of keys of several blocks have in common with other blocks' rows.
 
     Only rows that could still match look for others: which of their shingles two documents of the key hold is counted over the
-    whole key."""
+    whole key. Of the other rows those come that hold one of the rarest shingles looked for; all of these are dealt to blocks anew, and
+    met in pairs of blocks."""
     many = placed.where("blocks > 1")
     codes = many.select("group", "digest", "low", "high", "piece").mapInArrow(coded, "group long, digest long, low long, high long, place int, code long")
-    codes = cut(codes)
-    shared = codes.groupBy("code").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("code")
-    places = codes.join(shared, "code").groupBy("group", "digest").agg(F.collect_list("place").alias("places"))  # a piece's own
+    shared = codes.groupBy("code").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("often")).where("least < most").select("code", "often")
+    held = cut(codes.select("group", "digest", "place", "code").join(shared, "code"))
+    places = held.groupBy("group", "digest").agg(F.collect_list(F.struct("place", "code", "often")).alias("places"))  # a piece's own
     spans = found.groupBy("group", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    open_ = places.join(spans, ["group", "digest"], "left").mapInArrow(unsettled(width, need), "group long, digest long")
-    open_ = cut(open_.withColumn("asks", F.lit(True)))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = many.join(open_, ["group", "digest"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    asked = rows.where("asks").select("group", F.col("block").alias("other"), F.lit(True).alias("any")).distinct()
-    met = rows.select("group", "digest", "low", "high", "piece", "blocks", F.col("block").alias("home"), "asks", every).where("other <> home")
+    wanted = cut(places.join(spans, ["group", "digest"], "left").mapInArrow(unsettled(width, need), "group long, digest long, code long"))
+    open_ = wanted.select("group", "digest", F.lit(True).alias("asks")).distinct()
+    near = held.join(wanted.select("code").distinct(), "code").select("group", "digest").distinct()  # those that ask among them
+    rows = many.join(near, ["group", "digest"]).join(open_, ["group", "digest"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    rows = cut(rows.select("group", "digest", "low", "high", "piece", "block", "asks"))
+    parts = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(1)), "parts").cast("int"))
+    asked = rows.where("asks").select("group", F.col("part").alias("other"), F.lit(True).alias("any")).distinct()
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.join(asked, ["group", "other"], "left").where("asks or any")
-    met = met.withColumn("block", F.least("home", "other") * F.col("blocks") + F.greatest("home", "other"))
-    met = met.select("group", "block", "digest", "low", "high", "piece", "home", "asks")
+    # within a part those of one block have met, and in two parts those of one part meet elsewhere
+    home = F.when(F.col("part") == F.col("other"), F.col("block")).otherwise(F.col("part"))
+    block = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    met = met.select("group", block.alias("block"), "digest", "low", "high", "piece", home.alias("home"), "asks")
     sorted_ = met.repartition(slots(placed.sparkSession), "group", "block").sortWithinPartitions("group", "block")
     return sorted_.mapInArrow(crowds_compared(width, need), FOUND)
 

@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql.functions import lit
@@ -387,3 +388,49 @@ def test_training_holds_its_features_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < a.nbytes and (model.decode(x)[0] == y).all()
+
+
+def test_repeats_send_on_only_what_could_match(spark, monkeypatch):
+    """Rows of a key of several blocks that share a frequent line alone don't meet again; the two that share a passage do."""
+    line = " ".join(f"line{i}" for i in range(20))
+    texts = [f"{' '.join(f'a{d}x{i}' for i in range(35))} {line} {' '.join(f'b{d}x{i}' for i in range(35))}" for d in range(64)]
+    texts[10] = texts[21] = f"{line} {' '.join(f'both{i}' for i in range(60))}"
+    texts[21] += " more"
+    rows = [(1, d, d, d, t.encode(), 4, d % 4) for d, t in enumerate(texts)]
+    placed = spark.createDataFrame(rows, "group long, digest long, low long, high long, piece binary, blocks int, block int")
+    found = repeats.across(placed, spark.createDataFrame([], repeats.FOUND), 46, 41).collect()
+    assert {r.digest for r in found} == {10, 21}
+    passed = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(2)] + [b.column(0)] * 4, names=list("abcdef")) for b in batches)
+    monkeypatch.setattr(repeats, "crowds_compared", lambda width, need: passed)
+    assert sorted(r.digest for r in repeats.across(placed, spark.createDataFrame([], repeats.FOUND), 46, 41).collect()) == [10, 21]
+
+
+def test_repeats_count_few_stretches_and_pairs(monkeypatch):
+    """A stretch decides those around it, and pairs that share a line alone are not compared: with the answers of counting all."""
+    rng = np.random.default_rng(5)
+    width, need, asked, met = 46, 41, [], []
+    most, compared = repeats._most, repeats.compared
+    monkeypatch.setattr(repeats, "_most", lambda at, *rest: asked.append(len(at)) or most(at, *rest))
+    for words in (3, 40, 60):
+        n = 400
+        mine = rng.integers(0, words, n)
+        theirs = np.where(rng.random(n) < 0.06, rng.integers(0, words, n), mine)[np.roll(np.arange(n), 7)]
+        place = np.argsort(theirs, kind="stable")
+        count = np.bincount(theirs, minlength=words)
+        begin = np.cumsum(count) - count
+        mark, piece, at = count[mine] > 0, np.arange(n) // 200, np.array([s for s in range(n - width + 1) if s // 200 == (s + width - 1) // 200])
+        every = most(at, mark, width, mine, begin, count, place)
+        assert (repeats._anywhere(at, mark, piece, width, need, mine, begin, count, place) == (every >= need)).all()
+        bound = repeats._at_most(mark, piece, width, mine, begin, count)[at]
+        own = [sum(min(int((mine[s : s + width] == w).sum()), int(count[w])) for w in range(words)) for s in at]
+        assert bound.tolist() == own and (bound >= every).all()
+    assert sum(asked) < 3 * len(at) * 2 // 3
+    monkeypatch.setattr(repeats, "compared", lambda a, b, *rest: met.append(int(a[1][-1]) + 1) or compared(a, b, *rest))
+    rows = [np.concatenate((rng.integers(1 << 20, 1 << 62, 35), np.arange(20), rng.integers(1 << 20, 1 << 62, 35))) for _ in range(50)]
+    rows[7][30:] = rows[3][30:]
+    rows[7][60] = 5
+    n = np.arange(50)
+    crowd = repeats.Crowd(n * 0, n, n, np.concatenate(rows).astype(np.uint64), np.arange(51) * 90, width, need)
+    crowd.support()
+    crowd.compare(*np.triu_indices(50, 1))
+    assert met == [1] and set(np.unique(crowd.row[crowd.cover])) == {3, 7}
