@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Steps, cut
 from .order import numbered, with_next
 
 #: Edges that community detection takes into one worker; it is sequential by design. Beyond that, use label propagation.
@@ -143,18 +143,18 @@ def _moved(both: DataFrame, state: DataFrame, m2: float, turn: int) -> DataFrame
     return state.join(best, "id", "left").select("id", "degree", F.coalesce("best", "community").alias("community"), F.col("best").isNotNull().alias("moved"))
 
 
-def _connected(both: DataFrame, state: DataFrame) -> DataFrame:
+def _connected(both: DataFrame, state: DataFrame, steps: Steps) -> DataFrame:
     """(id, part): the least node of the connected part of its community that each node is in."""
     home = state.select("id", "community")
     inner = both.join(home.select(F.col("id").alias("x"), F.col("community").alias("cx")), "x").join(home.select(F.col("id").alias("y"), F.col("community").alias("cy")), "y")
-    inner = cut(inner.where("cx = cy").select("x", "y"))
+    inner = steps.save(inner.where("cx = cy").select("x", "y"), "inner")
     part = state.select("id", F.col("id").alias("part"))
     while True:
         near = inner.join(part.select(F.col("id").alias("y"), "part"), "y").groupBy(F.col("x").alias("id")).agg(F.min("part").alias("near"))
         new = part.join(near, "id", "left").select("id", "part", F.least("part", F.coalesce("near", "part")).alias("new"))
         # the least node found may know a smaller one
         far = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        step = cut(new.join(far, "new").select("id", "part", F.least("new", "far").alias("new")))
+        step = steps.save(new.join(far, "new").select("id", "part", F.least("new", "far").alias("new")), "part")
         part = step.select("id", F.col("new").alias("part"))
         if step.where("part <> new").isEmpty():
             return part
@@ -167,12 +167,14 @@ def spread_communities(pairs: DataFrame, turns: int = 16, levels: int = 12, gath
     none. Communities are split into connected parts, and these are the nodes of the next level. A level of at most `gather` edges
     is finished by one worker, as `communities` does it. Communities are numbered by their least node."""
     own = pairs.where("weight > 0 and a <> b")
-    both = cut(own.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").cast("double").alias("w")).unionByName(own.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("weight").cast("double").alias("w"))))
+    steps = Steps(pairs.sparkSession)
+    both = own.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("weight").cast("double").alias("w"))
+    both = steps.save(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")), "both")
     m2 = both.agg(F.sum("w")).first()[0]
     kind = own.schema["a"].dataType.simpleString()
     if not m2:
         return own.sparkSession.createDataFrame([], f"id {kind}, community int")
-    nodes = cut(both.groupBy(F.col("x").alias("id")).agg(F.sum("w").alias("degree")))
+    nodes = steps.save(both.groupBy(F.col("x").alias("id")).agg(F.sum("w").alias("degree")), "nodes")
     home = nodes.select("id", F.col("id").alias("at"))
     for _ in range(levels):
         if both.count() <= 2 * gather:
@@ -180,19 +182,19 @@ def spread_communities(pairs: DataFrame, turns: int = 16, levels: int = 12, gath
             break
         state, quiet, n = nodes.withColumn("community", F.col("id")), 0, nodes.count()
         for turn in range(turns):
-            step = cut(_moved(both, state, m2, turn))
+            step = steps.save(_moved(both, state, m2, turn), "state")
             state = step.drop("moved")
             quiet = quiet + 1 if step.where("moved").count() <= n // 1000 else 0
             if quiet == 2:
                 break
-        part = cut(_connected(both, state))
+        part = _connected(both, state, steps)
         if part.where("id <> part").isEmpty():
             break
-        home = cut(home.join(part.select(F.col("id").alias("at"), "part"), "at").select("id", F.col("part").alias("at")))
-        nodes = cut(nodes.join(part, "id").groupBy(F.col("part").alias("id")).agg(F.sum("degree").alias("degree")))
+        home = steps.save(home.join(part.select(F.col("id").alias("at"), "part"), "at").select("id", F.col("part").alias("at")), "home")
+        nodes = steps.save(nodes.join(part, "id").groupBy(F.col("part").alias("id")).agg(F.sum("degree").alias("degree")), "nodes")
         to = part.select(F.col("id").alias("x"), F.col("part").alias("px"))
         both = both.join(to, "x").join(to.select(F.col("x").alias("y"), F.col("px").alias("py")), "y")
-        both = cut(both.where("px <> py").groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum("w").alias("w")))
+        both = steps.save(both.where("px <> py").groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum("w").alias("w")), "both")
         if both.isEmpty():
             break
     least = home.groupBy("at").agg(F.min("id").alias("least"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -26,6 +29,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Tables of a loop, as Parquet in the shared folder; a new one of a name takes the old one's place.
+
+    The planner knows their size by their files. A checkpoint's is the one its plan was estimated at, and joins multiply estimates, so in a loop
+    that joins what it made before they get three times the digits in each turn, until they fill the driver."""
+
+    def __init__(self, spark):
+        self.spark, self.root, self.at = spark, f"{folder(spark)}/loomgraph/{uuid.uuid4().hex}", {}
+        atexit.register(self._end)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """df, computed once. What read the last table of that name must have been computed."""
+        n = self.at[name] = self.at.get(name, 0) + 1
+        df.write.parquet(f"{self.root}/{name}-{n}")
+        remove(self.spark, f"{self.root}/{name}-{n - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}-{n}")
+
+    def _end(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # a stopped session leaves nobody to ask
+            with contextlib.suppress(Exception):
+                remove(self.spark, self.root)
+
+
 # --- stored tables --------------------------------------------------------------------------------------------
 
 
